@@ -1 +1,14 @@
 """Query plans composed of the library's operators."""
+
+
+def all_queries():
+    from tessera.plans import catalogue, time_queries  # noqa: F401
+
+    return catalogue.QUERIES
+
+
+def all_sql():
+    all_queries()
+    from tessera.plans import catalogue
+
+    return catalogue.SQL
