@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 #: Lanczos coefficients for g = 7, n = 9. Fixed values.
 LANCZOS = (0.99999999999980993, 676.5203681218851, -1259.1392167224028, 771.32342877765313, -176.61502916214059, 12.507343278686905, -0.13857109526572012, 9.9843695780195716e-6, 1.5056327351493116e-7)
@@ -65,7 +66,7 @@ def lower_gamma(a: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.clip(out, 0, 1)
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def gamma_cdf(shape: pd.Series, x: pd.Series) -> pd.Series:
     return pd.Series(lower_gamma(shape.to_numpy(float), np.maximum(x.to_numpy(float), 0)))
 
@@ -76,7 +77,7 @@ def csgd_exceed(mean: Column, sd: Column, shift: Column, x: Column) -> Column:
     return 1.0 - gamma_cdf(k, F.greatest(x + shift, F.lit(0.0)) * mean / (sd * sd))
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def csgd_quantile(mean: pd.Series, sd: pd.Series, shift: pd.Series, p: pd.Series) -> pd.Series:
     """By bisection on the distribution function, all rows at once."""
     m, s, q = mean.to_numpy(float), sd.to_numpy(float), p.to_numpy(float)
@@ -102,7 +103,7 @@ def normal_quantile(p: np.ndarray) -> np.ndarray:
     return (lo + hi) / 2
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def copula_union(p: pd.Series, q: pd.Series, rho: pd.Series) -> pd.Series:
     """P(A or B) under a Gaussian copula: the joint probability is the product plus an integral over the correlation
     (Simpson's rule), kept between the bounds that the two probabilities set."""
