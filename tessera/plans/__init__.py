@@ -2,7 +2,7 @@
 
 
 def all_queries():
-    from tessera.plans import catalogue, space_queries, stat_queries, time_queries  # noqa: F401
+    from tessera.plans import catalogue, risk_queries, space_queries, stat_queries, stream_queries, text_queries, time_queries  # noqa: F401
 
     return catalogue.QUERIES
 

@@ -1,0 +1 @@
+"""Structured Streaming counterparts. Each function takes and gives DataFrames, streaming or not."""
