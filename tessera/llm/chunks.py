@@ -1,8 +1,9 @@
 """Substring dedup: content-defined chunks cut by a gear rolling hash, deduplicated by digest.
 
 Every byte adds to a hash of the last 16 bytes; where its top bits are zero a chunk may end, so the cuts depend on the
-content alone and come back after any insertion. A cut too close behind the previous candidate is passed over, and a
-stretch without a cut is cut at every `longest` bytes. Chunks with equal 128-bit digests are copies: the one with the
+content alone and come back after any insertion. A cut too close behind the previous candidate is passed over; a
+stretch of more than `longest` bytes without a cut is cut where the hash is least in the later half of what is allowed,
+which cuts runs of one repeated word in phase. Chunks with equal 128-bit digests are copies: the one with the
 least (id, start) is the first and stays. Consecutive copies form a passage, which counts if it has at least
 `min_words` words.
 
@@ -32,8 +33,8 @@ GEAR = (mix(np.arange(256, dtype=np.uint64) + np.uint64(0xA0761D6478BD642F)) >>
 class Chunking:
     bits: int = 4
     shortest: int = 16
-    longest: int = 512
-    min_words: int = 20
+    longest: int = 128
+    min_words: int = 16
 
 
 def gear(data: np.ndarray) -> np.ndarray:
@@ -46,21 +47,24 @@ def gear(data: np.ndarray) -> np.ndarray:
 
 def cuts(data: np.ndarray, chunking: Chunking, limit: int = 1 << 18) -> np.ndarray:
     """Ends of the chunks of one text, its end included."""
-    found = []
+    h = np.empty(len(data), np.uint16)
     for _, s, e in slices(np.array([0, len(data)]), REACH - 1, limit):
-        at = np.flatnonzero(gear(data[s[0] : e[0]]) >> np.uint16(16 - chunking.bits) == 0)
         # a piece's first bytes lack what came before; the piece before has them
-        found.append(at[at >= REACH - 1] + s[0] + 1 if s[0] else at + 1)
-    at = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+        skip = REACH - 1 if s[0] else 0
+        h[s[0] + skip : e[0]] = gear(data[s[0] : e[0]])[skip:]
+    at = np.flatnonzero(h >> np.uint16(16 - chunking.bits) == 0) + 1
     at = at[np.diff(at, prepend=0) >= chunking.shortest]
     at = np.append(at[at < len(data)], len(data))
-    gaps = np.diff(at, prepend=0)
-    if gaps.max(initial=0) > chunking.longest:
-        more = (gaps - 1) // chunking.longest
-        start = np.repeat(at - gaps, more)
-        nth = np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more) + 1
-        at = np.sort(np.concatenate([at, start + nth * chunking.longest]))
-    return at
+    wide = np.flatnonzero(np.diff(at, prepend=0) > chunking.longest)
+    more = []
+    for k in wide.tolist():
+        start, end = int(at[k - 1]) if k else 0, int(at[k])
+        while end - start > chunking.longest:
+            # the least hash of the later half; the first such, so that repeated text is cut in phase
+            half = start + chunking.longest // 2
+            start = half + int(np.argmin(h[half : start + chunking.longest])) + 1
+            more.append(start)
+    return np.sort(np.append(at, more).astype(np.int64)) if more else at
 
 
 def chunk_rows(docs: DataFrame, id_col: str, text_col: str, chunking: Chunking) -> DataFrame:
