@@ -5,7 +5,7 @@ a changed word at an ignored place. Seeds of documents and of test items are joi
 are laid on each other at its diagonal: the best stretch there, with a changed word costing what `1 / (1 - identity)`
 equal ones earn, is an overlap if it has enough words and enough of them are equal.
 
-Words are runs of letters and digits, with A-Z as a-z. Null and empty texts match nothing. Items of fewer than
+Words are runs of letters and digits in lower case. Null and empty texts match nothing. Items of fewer than
 `min_words` words are too short to be told from chance and match nothing. Rows with a null id take no part; repeated
 rows give the same overlaps once.
 """
@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -64,7 +65,7 @@ def item_words(items: DataFrame, id_col: str, text_col: str, seeds: Seeds) -> Da
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data, offsets = as_bytes(b.column(1))
+            data, offsets = as_bytes(pc.utf8_lower(b.column(1)))
             ids, words, found = [], [], []
             for i, j, first, h, _, _ in hashed_words(data, offsets):
                 for r in range(i, j):
@@ -101,7 +102,7 @@ def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
         for b in batches:
-            data, offsets = as_bytes(b.column(1))
+            data, offsets = as_bytes(pc.utf8_lower(b.column(1)))
             ids = b.column(0)
             out: list[tuple] = []
             for i, j, first, h, _, _ in hashed_words(data, offsets):
