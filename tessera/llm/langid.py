@@ -7,7 +7,7 @@ of all rows, and a row's own vote is taken out of its host and domain.
 
 The trigrams are fitted on a bounded sample of labelled rows (`sample` rows, those whose id has the least hashes). A row
 without letters in its text gets the language the other evidence suggests, but is not accepted; nor is one whose
-language has a probability below `accept`. Null text, declaration, address or host is evidence of nothing. Rows with
+language has a probability below `accept`. A model that was fitted on nothing judges nothing: it accepts all. Null text, declaration, address or host is evidence of nothing. Rows with
 equal or null ids are each judged on their own.
 """
 
@@ -111,6 +111,9 @@ def identify(
     """
     n = len(model.languages)
     table = model.table
+    if not n:
+        empty = F.lit(None).cast("string")
+        return rows.select(F.col(id_col).alias("id"), empty.alias("lang"), F.lit(0.0).alias("probability"), empty.alias("text_lang"), F.lit(0).cast("long").alias("letters"), F.lit(True).alias("accepted"))
 
     def likelihoods(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
