@@ -53,19 +53,19 @@ OP4_SQL = """
 WITH plain AS (
   SELECT DISTINCT conv_id, turn, coalesce(nullif(role, ''), 'unknown') AS role, coalesce(text, '') AS text
   FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
-rows AS (
+turns AS (
   SELECT *, CAST(floor(turn / 256.0) AS BIGINT) AS segment, replace(text, '<|', '<' || chr(8203) || '|') || '<|im_end|>' AS body FROM plain),
 speakers AS (SELECT DISTINCT conv_id, role AS perspective FROM plain WHERE role <> 'system'),
 seen AS (
   SELECT r.*, s.perspective, r.role = s.perspective AS mine,
     '<|im_start|>' || CASE WHEN r.role = s.perspective THEN 'assistant' WHEN r.role = 'system' THEN 'system'
       ELSE 'user name=' || replace(r.role, '<|', '<' || chr(8203) || '|') END || chr(10) AS head
-  FROM rows r JOIN speakers s ON r.conv_id = s.conv_id),
+  FROM turns r JOIN speakers s ON r.conv_id = s.conv_id),
 placed AS (
   SELECT *, CAST(coalesce(sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, perspective, segment ORDER BY turn, role, text
-    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) + length(head) AS at FROM seen)
-SELECT conv_id, perspective, segment, count(*) AS n_turns, string_agg(head || body || chr(10), '' ORDER BY at) AS text,
-  coalesce(string_agg(CAST(at AS VARCHAR) || '-' || CAST(at + length(body) AS VARCHAR), ',' ORDER BY at) FILTER (WHERE mine), '') AS spans,
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) + length(head) AS place FROM seen)
+SELECT conv_id, perspective, segment, count(*) AS n_turns, string_agg(head || body || chr(10), '' ORDER BY place) AS text,
+  coalesce(string_agg(CAST(place AS VARCHAR) || '-' || CAST(place + length(body) AS VARCHAR), ',' ORDER BY place) FILTER (WHERE mine), '') AS spans,
   CAST(coalesce(sum(length(body)) FILTER (WHERE mine), 0) AS BIGINT) AS n_learned
 FROM placed GROUP BY conv_id, perspective, segment
 """
