@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass handles, so that its arrays stay in cache.
 BLOCK = 1 << 18
@@ -33,6 +34,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, per_class: int) -> tuple[DataFrame, dict[int, int]]:
+    """y, text and h of at most per_class labelled rows of each class, those whose ids have the least hashes, and how many
+    labels each class has in all. The ids are chosen from the labels alone; being at most 2 * per_class, they are
+    broadcast, so that no text but the sample's is moved."""
+    known = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id_"), F.col(label_col).cast("int").alias("y"), F.xxhash64(id_col).alias("h"))
+    count = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
+    chosen = [known.where(F.col("y") == k).orderBy("h", "id_").limit(per_class) for k in (0, 1)]
+    ids = F.broadcast(chosen[0].unionByName(chosen[1]))
+    texts = docs.select(F.col(id_col).alias("id_"), F.col(text_col).cast("string").alias("text"))
+    return texts.join(ids, "id_").select("y", "text", "h"), count
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -81,6 +94,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 #: ASCII letters and digits, and all bytes of other characters, belong to words.
 WORD = np.zeros(256, bool)
 WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+LONGEST_WORD = 1 << 12
 _LOWER = np.arange(256)
 _LOWER[65:91] += 32
 _CODE = mix(_LOWER.astype(np.uint64) + U(0x9E3779B97F4A7C15))
@@ -116,6 +130,11 @@ def _words(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray
     starts[breaks] = inside[breaks]
     ends[breaks - 1] = inside[breaks - 1]
     s, e = np.flatnonzero(starts), np.flatnonzero(ends) + 1
+    if len(s) and (e - s).max() > LONGEST_WORD:
+        n = -(-(e - s) // LONGEST_WORD)
+        nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        s, last = np.repeat(s, n) + nth * LONGEST_WORD, np.repeat(e, n)
+        e = np.minimum(s + LONGEST_WORD, last)
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_CODE[data] * _UP[: len(data)], out=total[1:])
     return mix((total[e] - total[s]) * _DOWN[s] + (e - s).astype(np.uint64)), s, e
@@ -124,17 +143,23 @@ def _words(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def hashed_words(data: np.ndarray, offsets: np.ndarray, limit: int = BLOCK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Blocks of whole rows: (first row, row after the last, first word of each row and the end, hashes, starts, ends).
 
-    Words are runs of letters and digits with A-Z as a-z; starts and ends are bytes of `data`.
+    Words are runs of letters and digits with A-Z as a-z, in pieces of LONGEST_WORD bytes at most; starts and ends are
+    bytes of `data`.
     """
     for i, j in row_blocks(offsets, limit):
         lo, hi = int(offsets[i]), int(offsets[j])
         parts = []
         while lo < hi or not parts:
             end = hi
-            if hi - lo > limit + (1 << 12):  # one long row: cut it where no word is cut, if there is such a place
+            if hi - lo > limit + LONGEST_WORD:  # one long row: cut it where a word ends, or would be cut anyway
                 end = lo + limit
-                gap = np.flatnonzero(~WORD[data[end : min(hi, end + (1 << 12))]])
-                end += int(gap[0]) if len(gap) else 0
+                gap = np.flatnonzero(~WORD[data[end : end + LONGEST_WORD]])
+                if len(gap):
+                    end += int(gap[0])
+                else:
+                    before = np.flatnonzero(~WORD[data[lo:end]])
+                    word = lo + int(before[-1]) + 1 if len(before) else lo
+                    end = word - (word - end) // LONGEST_WORD * LONGEST_WORD
             h, s, e = _words(data[lo:end], offsets[i : j + 1] - lo)
             parts.append((h, s + lo, e + lo))
             lo = end

@@ -28,13 +28,18 @@ def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def _learned(spark: SparkSession, sf_dir: str, n: int, held: int) -> tuple[DataFrame, DataFrame]:
+    """The documents and the labels that may be learned from."""
+    return table(spark, sf_dir, "documents").where(remainder(n) != held), table(spark, sf_dir, "labels").where(remainder(n) != held)
+
+
 def _labelled(spark: SparkSession, sf_dir: str, label: str, n: int, held: int) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").where(remainder(n) != held)
     return docs.join(table(spark, sf_dir, "labels").select("doc_id", label).where(remainder(n) != held), "doc_id")
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = toxicity.train(_labelled(spark, sf_dir, "toxic", 4, 2))
+    model = toxicity.train(*_learned(spark, sf_dir, 4, 2))
     scored = toxicity.score(table(spark, sf_dir, "documents"), model, keep={"held_out": remainder(4) == 2})
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 

@@ -1,6 +1,6 @@
 """Toxicity by a linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
-Whole lower-cased texts are read as bytes; a feature says whether an n-gram (3 to 6 bytes, hashed) occurs. Its scale is
+Whole lower-cased texts are read as bytes; a feature says whether an n-gram (5, 7 or 9 bytes, hashed) occurs. Its scale is
 the log ratio of its smoothed shares in both classes, and a logistic regression with a ridge penalty weighs the scaled
 features. It is fitted on at most `per_class` labelled rows of each class, those whose ids have the least hashes.
 
@@ -19,10 +19,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import as_bytes, slices
+from tessera.llm.common import as_bytes, labelled_sample, slices
 
-BITS = 18
-LENGTHS = (3, 4, 5, 6)
+BITS = 20
+LENGTHS = (5, 7, 9)
 
 
 def gram_slots(data: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -38,6 +38,12 @@ def gram_slots(data: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
             yield n, (y ^ (y >> np.uint32(12))) >> np.uint32(32 - BITS)
 
 
+def distinct(keys: np.ndarray) -> np.ndarray:
+    """Sorted, each once; for keys that mostly repeat a sort is far faster than numpy's hash table."""
+    keys = np.sort(keys)
+    return keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
+
+
 def features(texts: pa.Array, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, feature) of each chosen slot that a text has, once. chosen: the feature of a slot, or -1."""
     data, offsets = as_bytes(pc.utf8_lower(texts.fill_null("")))
@@ -55,8 +61,8 @@ def features(texts: pa.Array, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarra
             inside = at + n <= local[r]
             keys.append(rows[r[inside]] * width + f[at[inside]])
         if keys:
-            found.append(np.unique(np.concatenate(keys)))
-    key = np.unique(np.concatenate(found))
+            found.append(distinct(np.concatenate(keys)))
+    key = distinct(np.concatenate(found))
     return key // width, key % width
 
 
@@ -94,11 +100,11 @@ def fit_logistic(rows: np.ndarray, cols: np.ndarray, scale: np.ndarray, y: np.nd
     return w * scale, b
 
 
-def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 3000, width: int = 1 << 15, least: int = 4, ridge: float = 2e-5) -> ToxicityModel:
-    """per_class bounds the rows fitted on; width bounds the features: those whose class shares differ most surely."""
-    rows = labelled.where(F.col(label_col).isin(0, 1)).select(F.col(label_col).cast("int").alias("y"), F.col(text_col).cast("string").alias("text"), F.xxhash64(id_col).alias("h"))
-    halves = [rows.where(F.col("y") == k).orderBy("h", "text").limit(per_class) for k in (0, 1)]
-    sample = halves[0].unionByName(halves[1]).select("y", "text").repartition(12, F.xxhash64("text"))
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 3000, width: int = 1 << 14, least: int = 4, least_ratio: float = 0.7, ridge: float = 2e-5) -> ToxicityModel:
+    """per_class bounds the rows fitted on; width bounds the features: of those that
+    occur in `least` texts and whose log ratio is at least least_ratio, those whose class shares differ most surely."""
+    rows, _ = labelled_sample(docs, labels, id_col, text_col, label_col, per_class)
+    sample = rows.select("y", "text").repartition(12, F.xxhash64("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have, n = np.zeros((2, 1 << BITS), np.int32), np.zeros(2, np.int64)
@@ -123,7 +129,7 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     share = (have + 1) / (n[:, None] + 2)
     ratio = np.log(share[1] / share[0])
     spread = np.sqrt((1 - share[0]) / (have[0] + 1) + (1 - share[1]) / (have[1] + 1))
-    sure = np.where(have.sum(axis=0) >= least, np.abs(ratio) / np.maximum(spread, 1e-9), 0.0)
+    sure = np.where((have.sum(axis=0) >= least) & (np.abs(ratio) >= least_ratio), np.abs(ratio) / np.maximum(spread, 1e-9), 0.0)
     best = np.argsort(-sure, kind="stable")[:width]
     best = np.sort(best[sure[best] > 1.5])
     chosen = np.full(1 << BITS, -1, np.int32)
@@ -146,7 +152,7 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 
 def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", keep: dict[str, Column] | None = None) -> DataFrame:
     """id_col, the kept columns, and score of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: 2 ** 18 slots and `width` weights
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: 2 ** 20 slots and `width` weights
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
