@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import as_bytes
+from tessera.llm.common import as_bytes, labelled_sample
 
 PAD = 256
 
@@ -133,13 +133,11 @@ def fit(groups: list[np.ndarray], y: np.ndarray, shape: Shape, epochs: int = 14,
     return net
 
 
-def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = 1000, chunks: int = 12, shape: Shape = Shape()) -> Net | float:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = 1000, chunks: int = 12, shape: Shape = Shape()) -> Net | float:
     """A net, or the one class that all labelled rows have."""
-    rows = labelled.where(F.col(label_col).isin(0, 1)).select(F.col(label_col).cast("int").alias("y"), F.col(text_col).cast("string").alias("text"), F.xxhash64(id_col).alias("h"))
-    count = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
+    sample, count = labelled_sample(docs, labels, id_col, text_col, label_col, per_class)
     if len(count) < 2:
         return float(next(iter(count), 0.5))
-    halves = [rows.where(F.col("y") == k).orderBy("h", "text").limit(per_class) for k in (0, 1)]
 
     def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -151,9 +149,11 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
                 out.append(chunk_bytes(data, offsets, row[take], start[take], shape).astype(np.int16).tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(out, pa.binary())], ["y", "h", "x"])
 
-    got = halves[0].unionByName(halves[1]).mapInArrow(some, "y int, h long, x binary").collect()
+    got = sample.mapInArrow(some, "y int, h long, x binary").collect()
     got.sort(key=lambda r: (r["h"], r["x"]))
     y = np.array([r["y"] for r in got], float)
+    if len(set(y)) < 2:
+        return float(y.mean()) if len(y) else 0.5
     net = fit([np.frombuffer(r["x"], np.int16).reshape(-1, shape.chunk + shape.width - 1).astype(np.int32) for r in got], y, shape)
     # fitted on classes of like size; the rows have them in other shares
     net.b2 += np.log(count[1] / count[0]) - np.log(y.sum() / (len(y) - y.sum()))

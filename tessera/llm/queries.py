@@ -33,11 +33,6 @@ def _learned(spark: SparkSession, sf_dir: str, n: int, held: int) -> tuple[DataF
     return table(spark, sf_dir, "documents").where(remainder(n) != held), table(spark, sf_dir, "labels").where(remainder(n) != held)
 
 
-def _labelled(spark: SparkSession, sf_dir: str, label: str, n: int, held: int) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text").where(remainder(n) != held)
-    return docs.join(table(spark, sf_dir, "labels").select("doc_id", label).where(remainder(n) != held), "doc_id")
-
-
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.train(*_learned(spark, sf_dir, 4, 2))
     scored = toxicity.score(table(spark, sf_dir, "documents"), model, keep={"held_out": remainder(4) == 2})
@@ -95,7 +90,7 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = quality.train(_labelled(spark, sf_dir, "quality", 3, 1))
+    model = quality.train(*_learned(spark, sf_dir, 3, 1))
     scored = quality.score(table(spark, sf_dir, "documents"), model, keep={"held_out": remainder(3) == 1})
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
