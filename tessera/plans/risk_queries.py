@@ -15,6 +15,8 @@ MEMBERS = {"view": 3.0, "click": 2.0, "purchase": 1.0, "signup": 1.0, "error": 1
 THRESHOLDS = {2: (2000.0, 6000.0), 3: (5000.0, 12000.0), 4: (12000.0, 25000.0), 5: (24000.0, 50000.0)}
 TAU = {2: 0.15, 3: 0.30, 4: 0.30, 5: 0.40}
 SIGMA, BIAS, CAP = 0.6, 1.1, 4
+#: Coefficients of the flood vote: intercept, log ratio, log ratio now, log depth. Fixed values.
+FLOOD_BETA = (-6.769, 0.587, 0.898, 0.837)
 
 MEMBER_VALUES = ", ".join(f"('{k}', CAST({v} AS DOUBLE))" for k, v in MEMBERS.items())
 LEVEL_VALUES = ", ".join(f"({k}, CAST({a} AS DOUBLE), CAST({b} AS DOUBLE))" for k, (a, b) in THRESHOLDS.items())
@@ -187,10 +189,10 @@ def top_40(spark: SparkSession, sf: str) -> DataFrame:
     return c.select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("v"), F.row_number().over(Window.orderBy(F.desc("c_acctbal"), "c_custkey")).alias("place"))
 
 
-@query(f"""WITH {PROBS} SELECT cell, f, round(1 / (1 + exp(-(CAST(-6.769 AS DOUBLE) + CAST(0.587 AS DOUBLE) * ln(greatest(p_top, CAST(0.001 AS DOUBLE))) + CAST(0.898 AS DOUBLE) * ln(greatest(decided / CAST(2 AS DOUBLE), CAST(0.001 AS DOUBLE))) + CAST(0.837 AS DOUBLE) * ln(1 + decided * CAST(20 AS DOUBLE))))), 6) AS vote FROM decided""")
+@query(f"""WITH {PROBS} SELECT cell, f, round(1 / (1 + exp(-(CAST({FLOOD_BETA[0]} AS DOUBLE) + CAST({FLOOD_BETA[1]} AS DOUBLE) * ln(greatest(p_top, CAST(0.001 AS DOUBLE))) + CAST({FLOOD_BETA[2]} AS DOUBLE) * ln(greatest(decided / CAST(2 AS DOUBLE), CAST(0.001 AS DOUBLE))) + CAST({FLOOD_BETA[3]} AS DOUBLE) * ln(1 + decided * CAST(20 AS DOUBLE))))), 6) AS vote FROM decided""")
 def flood_vote(spark: SparkSession, sf: str) -> DataFrame:
     d = decisions(spark, sf)
-    v = E.flood_vote(F.col("p_top"), F.col("decided") / 2.0, F.col("decided") * 20.0, (-6.769, 0.587, 0.898, 0.837))
+    v = E.flood_vote(F.col("p_top"), F.col("decided") / 2.0, F.col("decided") * 20.0, FLOOD_BETA)
     return d.select("cell", "f", F.round(v, 6).alias("vote"))
 
 
