@@ -62,8 +62,10 @@ class LanguageModel:
 
 
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = 3000) -> LanguageModel:
-    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    rows = rows.select(F.lower(F.col(lang_col).cast("string")).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col).alias("h")).orderBy("h", "text").limit(sample).select("lang", "text")
+    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id_"), F.lower(F.col(lang_col).cast("string")).alias("lang"), F.col(text_col).alias("text"))
+    # the ids are chosen without the texts and, being at most `sample`, broadcast: no text but the sample's is moved
+    ids = rows.select("id_", F.xxhash64("id_").alias("h")).orderBy("h", "id_").limit(sample).select("id_").distinct()
+    rows = rows.join(F.broadcast(ids), "id_").select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
