@@ -182,7 +182,10 @@ def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), raw, pa.array([r.tobytes() for r in p], pa.binary())], ["id", "asks", "v", "p"])
 
     projected = durable(valid.mapInArrow(project, "id long, asks boolean, v binary, p binary"))
-    sample = projected.select("p", F.xxhash64("id").alias("h")).orderBy("h").limit(search.sample).collect()
+    # a share of the hashes that holds a little more than the sample, so that what the tasks send does not grow with them
+    share = math.ceil((1 << 30) * min(1.0, 1.5 * search.sample / n))
+    hashed = projected.select("p", F.xxhash64("id").alias("h")).where(F.pmod("h", F.lit(1 << 30)) < share)
+    sample = hashed.orderBy(F.pmod("h", F.lit(1 << 30)), "h").limit(search.sample).collect()
     depth = max(0, min(math.ceil(math.log2(max(1, n / search.block))), int(math.log2(search.cells))))
     cells = Cells.of(np.array([np.frombuffer(r["p"], "<f8") for r in sample]).reshape(-1, M), depth)
     limit = chi_square_quantile(search.confidence)
