@@ -81,6 +81,7 @@ class Encoder:
         self.chunks: dict[bytes, tuple[int, ...]] = {}
         self.words: dict[str, tuple[int, ...]] = {}
         self.most = most
+        self.number = list(range(self.tokenizer.get_vocab_size()))  # one object for each id, however many words hold it
         # the usual printable stand-ins of byte-level BPE: a byte that is printable stands for itself
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = (x for x in range(256) if x not in set(shown))
@@ -90,8 +91,8 @@ class Encoder:
         ids = self.words.get(word)
         if ids is None:
             seen = word if word.isascii() else word.encode().decode("latin-1").translate(self.shown)
-            ids = tuple(t.id for t in self.model.tokenize(seen))
-            if len(self.words) < self.most:
+            ids = tuple(self.number[t.id] for t in self.model.tokenize(seen))
+            if len(self.words) < self.most // 2:
                 self.words[word] = ids
         return ids
 
@@ -105,7 +106,7 @@ class Encoder:
             ids = tuple(x for w in LATIN_WORDS.findall(text.lower()) for x in self.word(w))
         else:
             ids = tuple(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        if len(self.chunks) < self.most and len(raw) <= 200:
+        if len(self.chunks) < self.most and len(raw) <= 40:
             self.chunks[raw] = ids
         return ids
 
