@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -50,13 +51,19 @@ def seed_keys(words: np.ndarray, mask: str, nth: int) -> np.ndarray:
     return mix(out)
 
 
-def best_stretch(equal: np.ndarray, identity: float) -> tuple[int, int, int]:
-    """(start, end, equal words) of the stretch with the greatest sum, equal words counting 1 - identity, others
-    -identity: of all stretches with that share of equal words it is worth most. The earliest one, if tied."""
-    worth = np.concatenate([[0.0], np.cumsum(np.where(equal, 1 - identity, -identity))])
-    low = np.minimum.accumulate(worth)
-    end = int(np.argmax(worth - low))
-    start = int(np.argmin(worth[: end + 1]))
+def best_stretch(equal: np.ndarray, identity: float, min_words: int) -> tuple[int, int, int] | None:
+    """(start, end, equal words) of the stretch of `min_words` words or more with the greatest sum, equal words counting
+    1 - identity, others -identity, or None if all sums are negative: a stretch has that share of equal words if its
+    sum is 0 or more. Sums are whole numbers, so that a share of just `identity` counts. The earliest one, if tied."""
+    if len(equal) < min_words:
+        return None
+    share = Fraction(identity).limit_denominator(10_000)
+    worth = np.concatenate([[0], np.cumsum(np.where(equal, share.denominator - share.numerator, -share.numerator))])
+    gain = worth[min_words:] - np.minimum.accumulate(worth[: len(worth) - min_words])
+    last = int(np.argmax(gain))
+    if gain[last] < 0:
+        return None
+    start, end = int(np.argmin(worth[: last + 1])), last + min_words
     return start, end, int(equal[start:end].sum())
 
 
@@ -145,8 +152,9 @@ def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col
                 best = None
                 for d in sorted(r["diagonals"]):
                     lo, hi = max(0, d), min(len(words), d + len(item))
-                    s, e, n = best_stretch(words[lo:hi] == item[lo - d : hi - d], seeds.identity)
-                    if e - s >= seeds.min_words and n >= seeds.identity * (e - s) and (best is None or n > best[-1]):
+                    found = best_stretch(words[lo:hi] == item[lo - d : hi - d], seeds.identity, seeds.min_words)
+                    if found and (best is None or found[-1] > best[-1]):
+                        s, e, n = found
                         best = (r["doc_id"], r["item_id"], r["origin"] + lo + s, r["origin"] + lo + e, lo - d + s, e - s, n)
                 if best:
                     out.append(best)

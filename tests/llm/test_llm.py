@@ -219,6 +219,30 @@ def test_decontamination_stands_substitutions(spark, odd, none):
     assert decontam.overlaps(odd, b).count() == 0 and decontam.overlaps(none, b).count() == 0 and decontam.overlaps(d, b.limit(0)).count() == 0
 
 
+def test_best_stretch_equals_all_stretches():
+    rng = np.random.default_rng(3)
+    for n in [*range(8, 41)] * 12:
+        equal = rng.random(n) < rng.choice([0.6, 0.75, 0.8, 0.85, 0.9])
+        fit = [(5 * int(equal[s:e].sum()) - 4 * (e - s), s, e) for s in range(n) for e in range(s + 10, n + 1) if 5 * int(equal[s:e].sum()) >= 4 * (e - s)]
+        got = decontam.best_stretch(equal, 0.8, 10)
+        assert (got is None) == (not fit)
+        if got:
+            s, e, same = got
+            assert e - s >= 10 and same == equal[s:e].sum() and 5 * same - 4 * (e - s) == max(fit)[0]
+
+
+def test_decontamination_at_the_bounds_of_its_rule(spark):
+    """Four words of five are equal all along; and an item of 16 words, whose purest run is shorter than 10."""
+    w, v, noise = [f"tok{i}" for i in range(40)], [f"item{i}" for i in range(16)], [f"n{i}" for i in range(30)]
+    fifth = [x if i % 5 != 4 else f"other{i}" for i, x in enumerate(w)]
+    short = [x if i not in (3, 12) else f"other{i}" for i, x in enumerate(v)]
+    less = [x if i not in (3, 7, 11) else f"other{i}" for i, x in enumerate(v)]
+    d = spark.createDataFrame([(k, " ".join([*noise, *x, *noise])) for k, x in enumerate([fifth, short, less])], "doc_id long, text string")
+    b = spark.createDataFrame([(9, " ".join(w)), (8, " ".join(v))], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.overlaps(d, b).collect()}
+    assert {(0, 9), (1, 8)} <= got
+
+
 def test_chat_equals_sql(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{SF}/conversations.parquet')")
