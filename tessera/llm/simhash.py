@@ -20,6 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from tessera.llm.common import durable, shuffle_width
 from tessera.llm.graph import components
@@ -77,6 +78,12 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(scan, "id long, fp long")
 
 
+@F.arrow_udf(LongType())
+def fingerprint_of(texts: pa.Array) -> pa.Array:
+    """The fp of fingerprints() as a column."""
+    return pa.array(np.fromiter((fingerprint(t.as_py() or b"") for t in texts.cast(pa.large_binary())), np.uint64, len(texts)).view(np.int64))
+
+
 def boxes(cells: np.ndarray, counts: np.ndarray, rows: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Split the lane counts' lattice into boxes of about `rows` fingerprints: the box of each cell, and the boxes'
     least and greatest lane counts. Cells are never split."""
@@ -192,8 +199,9 @@ def links(fps: DataFrame, radius: int = 3, tile: int = 8192, most_boxes: int = 1
     return sides.repartition(width, "p", "q").sortWithinPartitions("p", "q").mapInArrow(compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 3) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id (least id of all rows that links reach) of every row."""
+def members(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 3) -> DataFrame:
+    """id, fp, root (a fingerprint that stands for the component) and component_id of every row. An id that stands for
+    different texts can be the least of several components, which only their roots tell apart."""
     rows = durable(fingerprints(docs, id_col, text_col, width))
     least = durable(rows.groupBy("fp").agg(F.min("id").alias("least")))
     edges = durable(links(least.select("fp"), radius))
@@ -201,5 +209,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labelled = least.join(root, least["fp"] == root["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     # few components have several fingerprints: the minimum is taken over those alone
     many = labelled.join(root.select("root").distinct(), "root", "left_semi").groupBy("root").agg(F.min("least").alias("component_id"))
-    named = labelled.join(many, "root", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return rows.join(named, "fp").select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    named = labelled.join(many, "root", "left").select("fp", "root", F.coalesce("component_id", "least").alias("component_id"))
+    return rows.join(named, "fp").select("id", "fp", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 3) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits) and component_id (least id of all rows that links reach) of every row."""
+    found = members(docs, id_col, text_col, width, radius)
+    return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -406,6 +406,17 @@ def test_pipeline_stages(spark, docs):
     assert len(set(plain_components(fps).values())) == len(fps)
 
 
+def test_pipeline_keeps_different_texts_of_one_id(spark):
+    import corpus_pipeline as P
+
+    a, b, c, e = (" ".join(f"{x}{i}" for i in range(60)) for x in "abce")
+    # 5: a copy of a smaller id's text and one of its own; 6: two of its own, one twice; 7: a copy and a text of 6
+    rows = [(2, a), (5, a), (5, b), (6, c), (6, e), (6, e), (7, e), (7, a), (None, a)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], DOCS)
+    got = [(r.doc_id, r.text) for r in P.near_duplicates(spark, docs, SF).collect()]
+    assert sorted(got, key=str) == sorted([(2, a), (5, b), (6, c), (6, e), (None, a)], key=str)
+
+
 def test_pipeline_odd_rows(spark, none):
     import corpus_pipeline as P
 
