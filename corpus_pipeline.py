@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import chunks, decontam, langid, packing, simhash
-from tessera.llm.common import durable_folder, table
+from tessera.llm.common import durable, durable_folder, table
 from tessera.llm.queries import tokenizer_path
 
 
@@ -27,15 +27,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Keeps of each group one row: of the least id, and if this id stands for different texts, of its least fingerprint
     in the group. An id with texts in several groups can so keep several rows. Rows with a null id belong to no group and
     stay."""
-    rows = simhash.members(docs).where("id is not null")
+    rows = durable(simhash.members(docs).where("id is not null"))
     least = F.min(F.struct("id", "fp")).alias("s")
     kept = rows.where(F.col("id") == F.col("component_id")).groupBy("root").agg(least).select(F.col("s.id").alias("doc_id"), F.col("s.fp").alias("fp__"))
-    several = rows.groupBy("id").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a <> b").select(F.col("id").alias("doc_id"))
+    several = durable(rows.groupBy("id").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a <> b").select(F.col("id").alias("doc_id")))
+    lost = docs.where("doc_id is null")
+    if several.isEmpty():  # then nothing needs to move the texts twice
+        return docs.join(kept.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns).unionByName(lost)
     # only texts of ids that stand for several must be told apart by their fingerprints
     plain = docs.join(kept.join(several, "doc_id", "left_anti").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     mixed = docs.join(several, "doc_id", "left_semi").withColumn("fp__", simhash.fingerprint_of(F.col("text").cast("string")))
-    mixed = mixed.join(kept, ["doc_id", "fp__"], "left_semi").dropDuplicates(["doc_id", "fp__"]).select(docs.columns)
-    return plain.select(docs.columns).unionByName(mixed).unionByName(docs.where("doc_id is null"))
+    mixed = mixed.join(kept, ["doc_id", "fp__"], "left_semi").dropDuplicates(["doc_id", "fp__"])
+    return plain.select(docs.columns).unionByName(mixed.select(docs.columns)).unionByName(lost)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
