@@ -340,6 +340,16 @@ def test_licenses(spark, docs, texts, odd, none):
     assert licenses.scan(odd).count() == 0 and licenses.scan(none).count() == 0
 
 
+def test_license_headers_that_differ_by_a_word(spark):
+    rows = []
+    for name in ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "ISC"):
+        for shift in range(8):
+            noise = [f"f{i}" for i in range(30 + shift)]
+            rows.append((len(rows), name, " ".join([*noise, licenses.TEMPLATES[name][-1], *noise])))
+    d = spark.createDataFrame(rows, "doc_id long, name string, text string")
+    assert {(r.doc_id, r.license) for r in licenses.scan(d).collect()} == {(i, n) for i, n, _ in rows}
+
+
 def test_license_bands_keep_their_promise():
     rng = np.random.default_rng(0)
     hit = 0
