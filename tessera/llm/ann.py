@@ -217,9 +217,9 @@ def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_
     def searched(queries_: DataFrame) -> DataFrame:
         return queries_.groupBy(*key).cogroup(rows.groupBy(*key)).applyInArrow(run, "query_id long, id long, score double")
 
-    home = asked.withColumn("part", F.pmod(F.xxhash64("query_id"), parts_of).cast("int")).withColumn("bound", F.lit(4.0))
-    seen = searched(home).groupBy("query_id").agg(F.when(F.count("*") >= search.k, F.greatest(F.lit(0.0), 2 - 2 * F.min("score")) + 1e-9).otherwise(4.0).alias("bound"))
-    bounded = asked.join(seen, "query_id", "left").select("query_id", "v", "q_part", F.coalesce("bound", F.lit(4.0)).alias("bound"))
+    home = asked.withColumn("part", F.pmod(F.xxhash64("query_id"), parts_of).cast("int")).withColumn("bound", F.lit(math.inf))  # none until k neighbours are known
+    seen = searched(home).groupBy("query_id").agg(F.when(F.count("*") >= search.k, F.greatest(F.lit(0.0), 2 - 2 * F.min("score")) + 1e-9).otherwise(math.inf).alias("bound"))
+    bounded = asked.join(seen, "query_id", "left").select("query_id", "v", "q_part", F.coalesce("bound", F.lit(math.inf)).alias("bound"))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

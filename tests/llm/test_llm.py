@@ -392,6 +392,13 @@ def test_neighbours_odd_rows(spark):
     assert ann.chi_square_cdf(ann.chi_square_quantile(0.9)) == pytest.approx(0.9)
 
 
+def test_few_candidates_are_all_found(spark):
+    """Nothing is tested away while fewer than k neighbours are known, however strict the test."""
+    df = spark.createDataFrame([(0, [1.0, 0.0, 0.0]), (1, [-1.0, 0.0, 0.0]), (2, [0.0, -1.0, 0.0])], "vec_id long, embedding array<double>")
+    got = ann.nearest(df, F.col("vec_id") >= 0, search=ann.Search(confidence=0.001)).collect()
+    assert sorted((r.query_id, r.vec_id) for r in got) == [(0, 1), (0, 2), (1, 0), (1, 2), (2, 0), (2, 1)]
+
+
 def test_copies_beyond_a_block_tie_by_id(spark):
     rng = np.random.default_rng(3)
     rows = [(i, [1.0, 2.0, 3.0, 4.0]) for i in range(400)] + [(i, rng.normal(size=4).tolist()) for i in range(400, 600)]
