@@ -16,10 +16,12 @@ U = np.uint64
 
 
 def durable_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all executors share. Only where a session has none (tests), a temporary
-    one is set."""
+    """The folder of spark.checkpoint.dir, which all executors share. Only where a local session has none (tests), a
+    temporary one is set; on a cluster that is an error, as no folder of one machine would do."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named and not spark._jsc.sc().getCheckpointDir().isDefined():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-checkpoint-"))
     return named or spark._jsc.sc().getCheckpointDir().get()
 
@@ -30,20 +32,60 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def forget(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of intermediate rows that nothing reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, per_class: int) -> tuple[DataFrame, dict[int, int]]:
-    """y, text and h of at most per_class labelled rows of each class, those whose ids have the least hashes, and how many
-    labels each class has in all. The ids are chosen from the labels alone; being at most 2 * per_class, they are
-    broadcast, so that no text but the sample's is moved."""
-    known = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id_"), F.col(label_col).cast("int").alias("y"), F.xxhash64(id_col).alias("h"))
+    """y, text and h of at most per_class labelled ids of each class, those with the least hashes, and how many labels
+    each class has in all. The ids are chosen from the labels alone; being at most 2 * per_class, they are broadcast, so
+    that no text but the sample's is moved. Repeated labels count once; of an id's rows, the one with the least text is
+    taken, so that there are no more rows than ids."""
+    known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id_"), F.col(label_col).cast("int").alias("y"), F.xxhash64(id_col).alias("h")).distinct()
     count = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     chosen = [known.where(F.col("y") == k).orderBy("h", "id_").limit(per_class) for k in (0, 1)]
     ids = F.broadcast(chosen[0].unionByName(chosen[1]))
-    texts = docs.select(F.col(id_col).alias("id_"), F.col(text_col).cast("string").alias("text"))
-    return texts.join(ids, "id_").select("y", "text", "h"), count
+    texts = docs.select(F.col(id_col).alias("id_"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    return texts.join(ids, "id_").groupBy("id_", "y", "h").agg(F.min("text").alias("text")).select("y", "text", "h"), count
+
+
+#: A key is hot if it holds at least 1 / HOT of all rows: whatever the input, there are at most HOT hot keys.
+HOT = 4096
+
+
+def attach(rows: DataFrame, facts: DataFrame, key: str, total: int, size: str = "rows__") -> DataFrame:
+    """rows left-joined with facts, which has one row for each value of `key`, and in `size` how many of the `total` rows
+    have it. Facts of hot keys, at most HOT, are broadcast, so that their rows stay where they are; rows without a key
+    meet nothing; only the others are shuffled, in groups of less than 1 / HOT of all rows. `size` is left out."""
+    hot = F.broadcast(facts.where(F.col(size) * HOT >= total).drop(size))
+    cold = facts.where(F.col(size) * HOT < total).drop(size)
+    bare = rows.where(F.col(key).isNull()).select(*rows.columns, *[F.lit(None).cast(t).alias(c) for c, t in cold.dtypes if c != key])
+    rest = rows.where(F.col(key).isNotNull()).join(hot.select(key), key, "left_anti").join(cold, key, "left")
+    return rows.join(hot, key).unionByName(rest).unionByName(bare)
+
+
+#: Ids that may be broadcast: 16 MB of longs.
+MOST_IDS = 1 << 20
+
+
+def select_ids(rows: DataFrame, ids: DataFrame, id_col: str, how: str) -> DataFrame:
+    """Semi- or anti-join of rows with a table of distinct ids. Few ids are broadcast, after their number is known, so that
+    texts are not moved; more are joined by a shuffle."""
+    ids = durable(ids)
+    return rows.join(F.broadcast(ids) if ids.count() <= MOST_IDS else ids, id_col, how)
+
+
+def fresh(name: str, taken: list[str]) -> str:
+    """name, lengthened until no column has it."""
+    while name.lower() in {c.lower() for c in taken}:
+        name += "_"
+    return name
 
 
 def shuffle_width(spark: SparkSession) -> int:

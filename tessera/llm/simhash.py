@@ -6,7 +6,8 @@ most three bits are linked, and documents that links connect form a component.
 
 Null and empty texts have the fingerprint 0 and are linked like all others. Copies meet as one fingerprint before
 anything is compared. Rows with the same id stay rows of their own; a null id never names a component unless all ids of
-the component are null, which makes its component_id null.
+the component are null, which makes its component_id null. An empty table gives an empty result; ties cannot arise, as a
+component is named by its least id.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from tessera.llm.common import durable, shuffle_width
+from tessera.llm.common import attach, durable, shuffle_width
 from tessera.llm.graph import components
 
 SEED = 42
@@ -203,14 +204,15 @@ def members(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     """id, fp, root (a fingerprint that stands for the component) and component_id of every row. An id that stands for
     different texts can be the least of several components, which only their roots tell apart."""
     rows = durable(fingerprints(docs, id_col, text_col, width))
-    least = durable(rows.groupBy("fp").agg(F.min("id").alias("least")))
+    least = durable(rows.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("rows__")))
     edges = durable(links(least.select("fp"), radius))
     root = components(edges)
-    labelled = least.join(root, least["fp"] == root["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    labelled = least.join(root, least["fp"] == root["node"], "left").select("fp", "least", "rows__", F.coalesce("root", "fp").alias("root"))
     # few components have several fingerprints: the minimum is taken over those alone
-    many = labelled.join(root.select("root").distinct(), "root", "left_semi").groupBy("root").agg(F.min("least").alias("component_id"))
-    named = labelled.join(many, "root", "left").select("fp", "root", F.coalesce("component_id", "least").alias("component_id"))
-    return rows.join(named, "fp").select("id", "fp", "root", "component_id")
+    many = labelled.join(root.select("root").distinct(), "root", "left_semi").groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("size__"))
+    named = attach(labelled, many, "root", max(1, root.count()), "size__").select("fp", "root", "rows__", F.coalesce("component_id", "least").alias("component_id"))
+    # copies without number share one fingerprint
+    return attach(rows, durable(named), "fp", max(1, rows.count())).select("id", "fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 3) -> DataFrame:
