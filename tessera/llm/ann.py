@@ -6,12 +6,18 @@ degrees of freedom as there are projections (8). Neighbours are verified on the
 kd-tree's nodes in projected space; the search of a query stops once the next node is so far that a point there would be
 nearer than the k-th best only with probability 1 - confidence.
 
-The tree's upper part is fitted on a bounded sample (`sample` rows, those whose ids have the least hashes) and has at most
-`cells` cells; each row is indexed in its cell, in blocks of about `block` rows, however many a cell takes. A query first
-searches a block of its own cell, which bounds its k-th distance; then it goes only to the cells that the test leaves.
+The tree's upper part is fitted on a bounded sample, 16 rows for each cell, those whose ids have the least hashes; each row
+is indexed in its cell, in blocks of about `block` rows. The tree has a cell for each block of rows, `cells` of them at most
+(beyond 500 million rows its cells take several blocks). A query first searches a block of its own cell, which bounds its
+k-th distance; then it goes only to the cells that the test leaves, where it shares a block of queries with the others that
+were sent there. Neighbours are chosen by the score that is returned, so none loses its place to rounding.
 
 Vectors that are null or zero, hold null or non-finite components, or have another length than most valid rows take no
-part, as queries or otherwise; nor do rows with a null id. A query never finds rows of its own id. Ties go to the smaller id.
+part, as queries or otherwise; nor do rows with a null id. Repeated rows count once. Of rows with the same vector only the
+k + 1 least ids can be among any query's k nearest, so only these are searched, however many there are. An id that stands
+for several vectors counts by its nearest, and asks for the nearest to any of them. A query never finds rows of its own
+id. Ties go to the smaller id. Components may be of any size: they are scaled by a power of two before they are squared. An
+empty table gives no neighbours.
 """
 
 from __future__ import annotations
@@ -36,11 +42,13 @@ class Search:
     confidence: float = 0.97
     block: int = 4096
     node: int = 256
-    cells: int = 1024
-    sample: int = 16_384
-    queries: int = 4096
+    cells: int = 1 << 17
+    queries: int = 1 << 15
     seed: int = 11
 
+    def depth(self, rows: int) -> int:
+        return max(0, min(math.ceil(math.log2(max(1, rows / self.block))), int(math.log2(self.cells))))
+
 
 def chi_square_cdf(x: float, m: int = M) -> float:
     """For an even number of degrees of freedom."""
@@ -57,7 +65,8 @@ def chi_square_quantile(p: float, m: int = M) -> float:
 
 @dataclass(frozen=True)
 class Cells:
-    """The upper part of the tree. A node i has children 2 i + 1 and 2 i + 2; lanes and cuts are those of inner nodes."""
+    """The upper part of the tree. A node i has children 2 i + 1 and 2 i + 2; lanes and cuts are those of inner nodes, the
+    boxes low and high those of all nodes; the last 2 ** depth nodes are the cells."""
 
     depth: int
     lanes: np.ndarray
@@ -67,19 +76,19 @@ class Cells:
 
     @classmethod
     def of(cls, points: np.ndarray, depth: int) -> Cells:
-        lanes, cuts = np.zeros((1 << depth) - 1, np.int64), np.zeros((1 << depth) - 1)
-        low, high = np.full((1 << depth, M), -np.inf), np.full((1 << depth, M), np.inf)
-        own = {0: (points, np.full(M, -np.inf), np.full(M, np.inf))}
-        for node in range((1 << depth) - 1):
-            p, lo, hi = own.pop(node)
+        inner, every = (1 << depth) - 1, (2 << depth) - 1
+        lanes, cuts = np.zeros(inner, np.int64), np.zeros(inner)
+        low, high = np.full((every, M), -np.inf), np.full((every, M), np.inf)
+        own = {0: points}
+        for node in range(inner):
+            p = own.pop(node)
             lanes[node] = lane = int(np.argmax(p.var(axis=0))) if len(p) > 1 else node % M
             cuts[node] = cut = float(np.median(p[:, lane])) if len(p) else 0.0
-            left, right = hi.copy(), lo.copy()
-            left[lane] = right[lane] = cut
-            own[2 * node + 1] = (p[p[:, lane] < cut], lo, left)
-            own[2 * node + 2] = (p[p[:, lane] >= cut], right, hi)
-        for k, (_, lo, hi) in own.items():
-            low[k - (1 << depth) + 1], high[k - (1 << depth) + 1] = lo, hi
+            left, right = 2 * node + 1, 2 * node + 2
+            low[left] = low[right] = low[node]
+            high[left] = high[right] = high[node]
+            high[left, lane] = low[right, lane] = cut
+            own[left], own[right] = p[p[:, lane] < cut], p[p[:, lane] >= cut]
         return cls(depth, lanes, cuts, low, high)
 
     def of_points(self, p: np.ndarray) -> np.ndarray:
@@ -88,6 +97,21 @@ class Cells:
             node = 2 * node + 1 + (p[np.arange(len(p)), self.lanes[node]] >= self.cuts[node])
         return node - (1 << self.depth) + 1
 
+    def within(self, p: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(point, cell) for all cells whose squared distance from the point is at most its reach; the tree is descended
+        only where that is so."""
+        at, node = np.arange(len(p)), np.zeros(len(p), np.int64)
+        for level in range(self.depth + 1):
+            out = np.zeros(len(at))
+            for lane in range(M):
+                x = p[at, lane]
+                out += np.maximum(np.maximum(self.low[node, lane] - x, x - self.high[node, lane]), 0) ** 2
+            near = out <= reach[at]
+            at, node = at[near], node[near]
+            if level < self.depth:
+                at, node = np.repeat(at, 2), (2 * node[:, None] + np.array([1, 2])).ravel()
+        return at, node - (1 << self.depth) + 1
+
 
 def box_distances(p: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     """Squared distances of points to boxes."""
@@ -111,49 +135,76 @@ def tree_nodes(p: np.ndarray, most: int) -> list[np.ndarray]:
     return out
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times powers of two that bring their greatest component near 1: exact, and no square over- or underflows."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1]) if len(x) else x
+
+
 def unit(x: np.ndarray) -> np.ndarray:
-    x = x / np.abs(x).max(axis=1, keepdims=True)  # neither overflow nor underflow in the squares
+    x = scaled(x)
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
+def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of rows of a with rows of b, both scaled: the score that is returned."""
+    norm = lambda v: np.sqrt(np.einsum("ij,ij->i", v, v))
+    return np.einsum("ij,ij->i", a, b) / (norm(a) * norm(b))
+
+
+def keep_best(place: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(place, rank, id, score) of the k best different ids of each place."""
+    order = np.lexsort((ids, -score, place))
+    place, ids, score = place[order], ids[order], score[order]
+    by_id = np.lexsort((np.arange(len(ids)), ids, place))
+    again = np.zeros(len(ids), bool)
+    again[by_id[1:]] = (place[by_id[1:]] == place[by_id[:-1]]) & (ids[by_id[1:]] == ids[by_id[:-1]])
+    place, ids, score = place[~again], ids[~again], score[~again]
+    first = np.flatnonzero(np.diff(place, prepend=-1))
+    rank = np.arange(len(place)) - np.repeat(first, np.diff(np.append(first, len(place))))
+    top = rank < k
+    return place[top], rank[top], ids[top], score[top]
+
+
 def search_block(q: np.ndarray, q_ids: np.ndarray, bound: np.ndarray, x: np.ndarray, ids: np.ndarray, weights: np.ndarray, search: Search) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(place of the query, id, score) of up to k nearest rows of a block for each query. bound: squared distances that
     the k-th neighbour is known not to exceed."""
     k, limit = search.k, chi_square_quantile(search.confidence)
+    sq, sx = scaled(q), scaled(x)
     uq, ux = unit(q), unit(x)
     pq, px = uq @ weights, ux @ weights
     nodes = tree_nodes(px, search.node)
     lower = box_distances(pq, np.array([px[n].min(axis=0) for n in nodes]), np.array([px[n].max(axis=0) for n in nodes]))
     order = np.argsort(lower, axis=1)
-    sims, at = np.full((len(q), k), -np.inf), np.full((len(q), k), -1)
-    rank_ids = np.append(ids, np.iinfo(np.int64).max)
-    reach = bound.copy()
+    held, held_id = np.full((len(q), k), -np.inf), np.zeros((len(q), k), np.int64)
+    reach, several = bound.copy(), len(np.unique(ids)) < len(ids)
     for step in range(len(nodes)):
         node = order[:, step]
         active = np.flatnonzero(lower[np.arange(len(q)), node] <= limit * reach)
         if not len(active):
             break
+        place, row = [], []
         for n in np.unique(node[active]):
-            qs, own = active[node[active] == n], nodes[n]
-            near = ((pq[qs] ** 2).sum(axis=1)[:, None] - 2 * pq[qs] @ px[own].T + (px[own] ** 2).sum(axis=1)) <= limit * reach[qs, None] + 1e-9
-            near &= ids[own][None, :] != q_ids[qs, None]
-            # rounded, so that equal vectors tie whatever the order of the sums
-            s = np.where(near, np.round(uq[qs] @ ux[own].T, 10), -np.inf)
-            better = s.max(axis=1) >= np.maximum(sims[qs, -1], -2)
-            qs, s = qs[better], s[better]
-            if not len(qs):
-                continue
-            both = np.hstack([sims[qs], s])
-            places = np.hstack([at[qs], np.broadcast_to(own, s.shape)])
-            places[both == -np.inf] = -1
-            best = np.lexsort((rank_ids[places], -both), axis=1)[:, :k]
-            sims[qs], at[qs] = np.take_along_axis(both, best, 1), np.take_along_axis(places, best, 1)
-            reach[qs] = np.minimum(reach[qs], np.maximum(2 - 2 * sims[qs, -1], 0) + 1e-9)
-    place, col = np.nonzero(at >= 0)
-    row = at[place, col]
-    a, b = q[place], x[row]
-    norm = lambda v: np.sqrt(np.einsum("ij,ij->i", v, v))
-    return place, ids[row], np.einsum("ij,ij->i", a, b) / (norm(a) * norm(b))
+            everyone, own = active[node[active] == n], nodes[n]
+            for c in range(0, len(everyone), 2048):
+                qs = everyone[c : c + 2048]
+                near = ((pq[qs] ** 2).sum(axis=1)[:, None] - 2 * pq[qs] @ px[own].T + (px[own] ** 2).sum(axis=1)) <= limit * reach[qs, None] + 1e-9
+                near &= ids[own][None, :] != q_ids[qs, None]
+                s = np.where(near, uq[qs] @ ux[own].T, -np.inf)
+                # products of matrices round in their own ways: all that may be among the k best go on to their exact score
+                kth = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k and not several else np.full(len(qs), -np.inf)
+                r, o = np.nonzero(near & (s >= np.maximum(kth, held[qs, -1])[:, None] - 1e-9))
+                place.append(qs[r])
+                row.append(own[o])
+        at, x_at = np.concatenate(place), np.concatenate(row)
+        for c in range(0, len(at), 1 << 17):
+            p, r = at[c : c + (1 << 17)], x_at[c : c + (1 << 17)]
+            own = np.unique(p)
+            a, b = np.nonzero(held[own] > -np.inf)
+            p2, rank, i, v = keep_best(np.append(own[a], p), np.append(held_id[own[a], b], ids[r]), np.append(held[own[a], b], cosines(sq[p], sx[r])), k)
+            held_id[p2, rank], held[p2, rank] = i, v
+        reach = np.minimum(reach, np.where(held[:, -1] > -np.inf, np.maximum(2 - 2 * held[:, -1], 0) + 1e-9, np.inf))
+    at, rank = np.nonzero(held > -np.inf)
+    return at, held_id[at, rank], held[at, rank]
 
 
 def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_col: str = "embedding", search: Search = Search()) -> DataFrame:
@@ -169,42 +220,45 @@ def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_
         return spark.createDataFrame([], schema)
     dim, n = lengths["dim"], lengths["count"]
     weights = np.random.default_rng(search.seed).normal(size=(dim, M))
-    valid = valid.where(F.size("v") == dim)
 
     def matrix(column: pa.Array) -> np.ndarray:
         return np.frombuffer(b"".join(column.to_pylist()), "<f8").reshape(-1, dim)
 
-    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             v = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-            p = unit(v) @ weights if len(v) else np.zeros((0, M))
-            raw = pa.array([r.tobytes() for r in v], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), raw, pa.array([r.tobytes() for r in p], pa.binary())], ["id", "asks", "v", "p"])
-
-    projected = durable(valid.mapInArrow(project, "id long, asks boolean, v binary, p binary"))
-    # a share of the hashes that holds a little more than the sample, so that what the tasks send does not grow with them
-    share = math.ceil((1 << 30) * min(1.0, 1.5 * search.sample / n))
-    hashed = projected.select("p", F.xxhash64("id").alias("h")).where(F.pmod("h", F.lit(1 << 30)) < share)
-    sample = hashed.orderBy(F.pmod("h", F.lit(1 << 30)), "h").limit(search.sample).collect()
-    depth = max(0, min(math.ceil(math.log2(max(1, n / search.block))), int(math.log2(search.cells))))
-    cells = Cells.of(np.array([np.frombuffer(r["p"], "<f8") for r in sample]).reshape(-1, M), depth)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([r.tobytes() for r in v], pa.binary())], ["id", "asks", "v"])
+
+    packed = valid.where(F.size("v") == dim).mapInArrow(pack, "id long, asks boolean, v binary").groupBy("id", "v").agg(F.max("asks").alias("asks"))
+    order = F.row_number().over(Window.partitionBy("v").orderBy("id"))
+    # queries stay as such, but only the first k + 1 ids of a vector are found
+    rows = durable(packed.withColumn("found", order <= search.k + 1).where("found or asks"))
+
+    depth = search.depth(n)
+    share = math.ceil((1 << 30) * min(1.0, 1.2 * (16 << depth) / n))  # of the hashes: a little more than the sample
+    hashed = rows.select("v", F.xxhash64("id").alias("h")).where(F.pmod("h", F.lit(1 << 30)) < share)
+    sample = hashed.orderBy(F.pmod("h", F.lit(1 << 30)), "h", "v").limit(16 << depth).select("v")
+
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            p = unit(matrix(b.column(0))) @ weights
+            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in p.astype("<f4")], pa.binary())], ["p"])
+
+    got = sample.mapInArrow(project, "p binary").toArrow().column("p").to_pylist()  # 32 bytes for each row
+    cells = Cells.of(np.frombuffer(b"".join(got), "<f4").reshape(-1, M).astype(float), depth)
+    shared = spark.sparkContext.broadcast(cells)
     limit = chi_square_quantile(search.confidence)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            p = np.frombuffer(b"".join(b.column(3).to_pylist()), "<f8").reshape(-1, M)
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(cells.of_points(p).astype(np.int32))], ["id", "asks", "v", "cell"])
-
-    placed = durable(projected.mapInArrow(place, "id long, asks boolean, v binary, cell int"))
-    counts = {r["cell"]: r["count"] for r in placed.groupBy("cell").count().collect()}  # at most `cells` rows
-    parts = [max(1, -(-counts.get(c, 0) // search.block)) for c in range(1 << depth)]
-    parts_of = F.element_at(F.array(*[F.lit(x) for x in parts]), F.col("cell") + 1)
-    index = placed.withColumn("part", F.pmod(F.xxhash64("id"), parts_of).cast("int"))
-    asked = placed.where("asks").select(F.col("id").alias("query_id"), "v", "cell")
-    q_parts = max(1, -(-asked.count() // search.queries))
-    asked = asked.withColumn("q_part", F.pmod(F.xxhash64("query_id", F.lit(1)), F.lit(q_parts)).cast("int"))
-    # blocks of queries meet blocks of rows; each row goes to all blocks of queries
-    rows = index.select("cell", "part", "id", F.col("v").alias("x"), F.explode(F.sequence(F.lit(0), F.lit(q_parts - 1))).alias("q_part"))
+            p = unit(matrix(b.column(2))) @ weights
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shared.value.of_points(p).astype(np.int32))], [*b.schema.names, "cell"])
+
+    placed = durable(rows.select("id", "asks", "v", "found").mapInArrow(place, "id long, asks boolean, v binary, found boolean, cell int"))
+    parts_of = lambda size: F.greatest(F.lit(1), F.ceil(size)).cast("int")
+    # one row for each cell, `cells` at most
+    blocks = F.broadcast(durable(placed.groupBy("cell").agg(parts_of(F.count_if("found") / search.block).alias("parts"), parts_of(F.count_if("asks") / search.queries).alias("q_parts"))))
+    index = placed.where("found").join(blocks.select("cell", "parts"), "cell").select("cell", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"), "id", F.col("v").alias("x"))
     key = ["cell", "part", "q_part"]
 
     def run(key_: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -214,24 +268,37 @@ def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_
         at, ids, score = search_block(matrix(left["v"]), q_ids, left["bound"].to_numpy(), matrix(right["x"]), right["id"].to_numpy(), weights, search)
         return pa.table({"query_id": q_ids[at], "id": ids, "score": score})
 
-    def searched(queries_: DataFrame) -> DataFrame:
-        return queries_.groupBy(*key).cogroup(rows.groupBy(*key)).applyInArrow(run, "query_id long, id long, score double")
+    def searched(asked: DataFrame, asked_blocks: DataFrame) -> DataFrame:
+        """asked: query_id, v, bound, cell, part. A cell's rows go once to each block of the queries asked of it."""
+        left = asked.join(asked_blocks, "cell").withColumn("q_part", F.pmod(F.xxhash64("query_id", F.lit(1)), "q_parts").cast("int"))
+        right = index.join(asked_blocks, "cell").withColumn("q_part", F.explode(F.sequence(F.lit(0), F.col("q_parts") - 1)))
+        again = lambda *c: [F.col(x).alias(x) for x in c]  # noqa: E731  (both sides come from one table)
+        met = left.select(*again(*key, "query_id", "v", "bound")).groupBy(*key).cogroup(right.select(*again(*key, "id", "x")).groupBy(*key)).applyInArrow(run, "query_id long, id long, score double")
+        return met.groupBy("query_id", "id").agg(F.max("score").alias("score"))
 
-    home = asked.withColumn("part", F.pmod(F.xxhash64("query_id"), parts_of).cast("int")).withColumn("bound", F.lit(math.inf))  # none until k neighbours are known
-    seen = searched(home).groupBy("query_id").agg(F.when(F.count("*") >= search.k, F.greatest(F.lit(0.0), 2 - 2 * F.min("score")) + 1e-9).otherwise(math.inf).alias("bound"))
-    bounded = asked.join(seen, "query_id", "left").select("query_id", "v", "q_part", F.coalesce("bound", F.lit(math.inf)).alias("bound"))
+    asked = placed.where("asks").select(F.col("id").alias("query_id"), "v", "cell")
+    home = asked.join(blocks.select("cell", "parts"), "cell").withColumn("part", F.pmod(F.xxhash64("query_id"), "parts").cast("int"))
+    first = searched(home.select("query_id", "v", F.lit(math.inf).alias("bound"), "cell", "part"), blocks.select("cell", "q_parts"))  # no bound until k neighbours are known
+    # the k-th best known; a query with several vectors knows those of all of them
+    kth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")).alias("rank")
+    seen = first.select("query_id", "score", kth).where(F.col("rank") == search.k).select("query_id", (F.greatest(F.lit(0.0), 2 - 2 * F.col("score")) + 1e-9).alias("bound"))
+    bounded = asked.join(seen, "query_id", "left").select("query_id", "v", F.coalesce("bound", F.lit(math.inf)).alias("bound"))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree = shared.value
+        step = max(1, (1 << 20) >> tree.depth)  # so that no more than a million pairs are held
         for b in batches:
-            if not len(b):
-                continue
-            near = box_distances(unit(matrix(b.column(1))) @ weights, cells.low, cells.high) <= limit * b.column(3).to_numpy()[:, None]
-            q, c = np.nonzero(near)
-            take = pa.array(q)
-            yield pa.RecordBatch.from_arrays([*(x.take(take) for x in b.columns), pa.array(c.astype(np.int32))], [*b.schema.names, "cell"])
-
-    routed = bounded.mapInArrow(route, "query_id long, v binary, q_part int, bound double, cell int")
-    routed = routed.withColumn("part", F.explode(F.sequence(F.lit(0), parts_of - 1)))
-    found = searched(routed).distinct()
+            p = unit(matrix(b.column(1))) @ weights
+            reach = limit * b.column(2).to_numpy()
+            for i in range(0, len(b), step):
+                q, c = tree.within(p[i : i + step], reach[i : i + step])
+                for j in range(0, len(q), 8192):
+                    take = pa.array(q[j : j + 8192] + i)
+                    yield pa.RecordBatch.from_arrays([*(x.take(take) for x in b.columns), pa.array(c[j : j + 8192].astype(np.int32))], [*b.schema.names, "cell"])
+
+    routed = durable(bounded.mapInArrow(route, "query_id long, v binary, bound double, cell int"))
+    sent = F.broadcast(durable(routed.groupBy("cell").agg(parts_of(F.count("*") / search.queries).alias("q_parts"))))
+    routed = routed.join(blocks.select("cell", "parts"), "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    found = searched(routed.select("query_id", "v", "bound", "cell", "part"), sent)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= search.k).select("query_id", "rank", F.col("id").alias("vec_id"), "score")
