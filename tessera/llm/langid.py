@@ -5,10 +5,15 @@ suffix of its address, and a prior of its host. All but the trigrams come from g
 the language that the text alone suggests: the host's shares are smoothed towards its domain's, these towards the shares
 of all rows, and a row's own vote is taken out of its host and domain.
 
-The trigrams are fitted on a bounded sample of labelled rows (`sample` rows, those whose id has the least hashes). A row
-without letters in its text gets the language the other evidence suggests, but is not accepted; nor is one whose
-language has a probability below `accept`. A model that was fitted on nothing judges nothing: it accepts all. Null text, declaration, address or host is evidence of nothing. Rows with
-equal or null ids are each judged on their own.
+The trigrams are fitted on a bounded sample of labelled rows (`sample` rows, those whose id has the least hashes; of rows
+with one id and language that with the least text). A row without letters in its text gets the language the other evidence
+suggests, no text_lang, and is not accepted; nor is one whose language has a probability below `accept`. A model that was
+fitted on nothing judges nothing: it accepts all. Null text, declaration, address or host is evidence of nothing. Languages
+that tie give the first in alphabetical order. Rows with equal or null ids are each judged on their own, of texts of any
+length the whole; an empty table gives an empty result.
+
+A host, a domain, a suffix or a declared language may have any share of all rows: counts of such are broadcast (see
+common.attach), and rows that lack a host or a declaration meet no counts at all.
 """
 
 from __future__ import annotations
@@ -21,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import as_bytes, durable, slices
+from tessera.llm.common import as_bytes, attach, durable, slices
 
 BITS = 15
 #: Letters with A-Z as a-z; all else is a space.
@@ -65,7 +70,7 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id_"), F.lower(F.col(lang_col).cast("string")).alias("lang"), F.col(text_col).alias("text"))
     # the ids are chosen without the texts and, being at most `sample`, broadcast: no text but the sample's is moved
     ids = rows.select("id_", F.xxhash64("id_").alias("h")).orderBy("h", "id_").limit(sample).select("id_").distinct()
-    rows = rows.join(F.broadcast(ids), "id_").select("lang", "text")
+    rows = rows.join(F.broadcast(ids), "id_").groupBy("id_", "lang").agg(F.min("text").alias("text")).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
@@ -136,18 +141,21 @@ def identify(
 
     votes = [F.sum(((F.col("best") == k) & (F.col("letters") > 0)).cast("double")).alias(f"v{k}") for k in range(n)]
     v = [f"v{k}" for k in range(n)]
-    overall = scored.agg(*votes).first()
+    overall = scored.agg(*votes, F.count("*").alias("rows__")).first()
+    rows_in_all, overall = max(1, overall["rows__"]), overall[:-1]
     total = sum(x or 0.0 for x in overall)
     share = [((x or 0.0) + 1) / (total + n) for x in overall]
 
-    # one row a host: its votes, those of its domain, and the suffix
-    hosts = scored.where("host is not null").groupBy("host").agg(*votes)
-    hosts = hosts.withColumn("domain", F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1)).withColumn("suffix", F.regexp_extract("host", r"\.([^.]+)$", 1))
-    domains = hosts.groupBy("domain").agg(*[F.sum(x).alias(f"d{x}") for x in v])
-    suffixes = hosts.groupBy("suffix").agg(*[F.sum(x).alias(f"s{x}") for x in v])
-    hosts = hosts.join(domains, "domain").join(suffixes, "suffix").drop("domain")
-    tags = scored.where("declared is not null").groupBy("declared").agg(*[x.alias(f"t{y}") for x, y in zip(votes, v, strict=True)])
-    joined = scored.join(hosts, "host", "left").join(tags, "declared", "left")
+    # one row a host: its votes, those of its domain, and of the suffix
+    in_all = F.count("*").alias("rows__")
+    hosts = scored.where("host is not null").groupBy("host").agg(*votes, in_all)
+    hosts = durable(hosts.withColumn("domain", F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1)).withColumn("suffix", F.regexp_extract("host", r"\.([^.]+)$", 1)))
+    n_hosts = max(1, hosts.count())
+    domains = hosts.groupBy("domain").agg(*[F.sum(x).alias(f"d{x}") for x in v], F.count("*").alias("hosts__"))
+    suffixes = hosts.groupBy("suffix").agg(*[F.sum(x).alias(f"s{x}") for x in v], F.count("*").alias("hosts__"))
+    hosts = durable(attach(attach(hosts, domains, "domain", n_hosts, "hosts__"), suffixes, "suffix", n_hosts, "hosts__").drop("domain"))
+    tags = durable(scored.where("declared is not null").groupBy("declared").agg(*[x.alias(f"t{y}") for x, y in zip(votes, v, strict=True)], in_all))
+    joined = attach(attach(scored, hosts, "host", rows_in_all), tags, "declared", rows_in_all)
 
     voted = F.col("letters") > 0
     own = [F.when(voted & (F.col("best") == k), 1.0).otherwise(0.0) for k in range(n)]
@@ -170,7 +178,7 @@ def identify(
     weights = [F.exp(F.col(f"p{k}") - F.col("top")) for k in range(n)]
     probability = 1.0 / sum(weights[1:], weights[0])
     lang = F.coalesce(*[F.when(F.col(f"p{k}") == F.col("top"), F.lit(x)) for k, x in enumerate(model.languages)])
-    names = F.element_at(F.array(*[F.lit(x) for x in model.languages]), F.col("best") + 1)
+    names = F.when(voted, F.element_at(F.array(*[F.lit(x) for x in model.languages]), F.col("best") + 1))
     return scaled.select("id", lang.alias("lang"), probability.alias("probability"), names.alias("text_lang"), "letters", (voted & (probability >= accept)).alias("accepted"))
 
 
