@@ -2,14 +2,16 @@
 shingles verifies them.
 
 Shingles are runs of three words. Windows of four lengths slide over a document: the short ones, for one-line notices,
-word by word; the long one, for whole license texts, by steps of eight. A template is cut into windows of the greatest of
+word by word; the long one, for whole license texts, by steps of eight from a document's first word. A template is cut into windows of the greatest of
 these lengths that it fills, at every word, so that for each step of a document one of them lies alike. Two windows with
 Jaccard similarity s share one of 12 bands of 2 minima with probability 1 - (1 - s^2)^12: 0.99 at 0.57. A window that
 meets a template is verified exactly, on the document's words around it: the share of the shingles of the template (of
 its window, for the long ones) that they contain must reach `containment`.
 
-Words are runs of letters and digits, with A-Z as a-z. Null and empty texts, and those without three words, match
-nothing. Rows with a null id take no part; repeated rows are reported once.
+Words are runs of letters and digits, with A-Z as a-z (a run of over 4,096 bytes counts as several). Null and empty
+texts, and those without three words, match nothing. Rows with a null id take no part; repeated rows are reported once.
+What is found in a document does not depend on its neighbours. Texts are read whole: long ones in pieces that overlap by
+more than a template. Of places that contain as much the first is reported; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -69,6 +71,9 @@ TEMPLATES = {
     "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     "Unlicense": ("This is free and unencumbered software released into the public domain.",),
+    "Zlib": ("This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",),
+    "BSL-1.0": ("Distributed under the Boost Software License, Version 1.0.",),
+    "EPL-2.0": ("This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",),
 }
 
 
@@ -135,20 +140,33 @@ def library(templates: dict[str, tuple[str, ...]]) -> Library:
     return Library(names, shingles, words, k[order], np.concatenate([empty, *owner])[order], np.concatenate([empty, *window])[order], bits)
 
 
-def find(w: np.ndarray, first: np.ndarray, lib: Library, containment: float) -> list[tuple[int, int, int, int, float]]:
-    """(row, template, first word, word after the last, containment) of the verified places of a block of rows."""
+def candidates(w: np.ndarray, first: np.ndarray, lib: Library) -> np.ndarray:
+    """(template, its window or -1, word) of all windows of a block of rows that share a band with a template, each once."""
     s = gram_keys(w, SHINGLE)
-    seen: set[tuple[int, int, int]] = set()
+    found = [np.zeros((0, 3), np.int64)]
     for length, least in minima(s, LENGTHS):
         step = STEPS[LENGTHS.index(length)]
-        k = bands(least[:, ::step], length)
-        for band, c in zip(*np.nonzero(lib.bits[(k >> U(48)).astype(np.int64)]), strict=True):
-            key = k[band, c]
-            for i in range(int(np.searchsorted(lib.keys, key, "left")), int(np.searchsorted(lib.keys, key, "right"))):
-                # a long template's window stands for the part of the text that it covers
-                seen.add((int(lib.owner[i]), int(lib.window[i]) if lib.words[lib.owner[i]] > LENGTHS[-1] else -1, int(c) * step))
+        at = np.arange(least.shape[1])
+        if step > 1:  # counted from the first word of the row
+            at = at[(at - first[np.searchsorted(first, at, "right") - 1]) % step == 0]
+        k = bands(least[:, at], length)
+        band, c = np.nonzero(lib.bits[(k >> U(48)).astype(np.int64)])
+        keys = k[band, c]
+        lo, hi = np.searchsorted(lib.keys, keys, "left"), np.searchsorted(lib.keys, keys, "right")
+        n = hi - lo
+        which = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        owner = lib.owner[which]
+        # a long template's window stands for the part of the text that it covers
+        part = np.where(np.array(lib.words)[owner] > LENGTHS[-1], lib.window[which], -1)
+        found.append(np.stack([owner, part, np.repeat(at[c], n)], axis=1))
+    return np.unique(np.concatenate(found), axis=0)
+
+
+def find(w: np.ndarray, first: np.ndarray, lib: Library, containment: float) -> list[tuple[int, int, int, int, float]]:
+    """(row, template, first word, word after the last, containment) of the verified places of a block of rows."""
+    s = gram_keys(w, SHINGLE)
     out: dict[tuple[int, int, int], tuple] = {}
-    for t, part, at in seen:
+    for t, part, at in candidates(w, first, lib).tolist():
         row = int(np.searchsorted(first, at, "right")) - 1
         if part < 0:
             want, n = lib.shingles[t], lib.words[t]
@@ -164,16 +182,23 @@ def find(w: np.ndarray, first: np.ndarray, lib: Library, containment: float) ->
             out[place] = max(out.get(place, found), found, key=lambda x: (x[4], -x[2]))
     # where places overlap, the license that fits best stands for the others (the first listed, if tied)
     kept: list[tuple] = []
+    own: list[tuple] = []
     for place in sorted(out.values(), key=lambda x: (x[0], -x[4], -(x[3] - x[2]), x[1], x[2])):
-        if all(k[0] != place[0] or lib.names[k[1]] == lib.names[place[1]] or k[3] <= place[2] or k[2] >= place[3] for k in kept):
+        if own and own[0][0] != place[0]:
+            own = []
+        if all(lib.names[k[1]] == lib.names[place[1]] or k[3] <= place[2] or k[2] >= place[3] for k in own):
+            own.append(place)
             kept.append(place)
     return kept
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, tuple[str, ...]] | None = None, containment: float = 0.8) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, tuple[str, ...]] | None = None, containment: float = 0.8, most_words: int = 500_000) -> DataFrame:
     """doc_id, license, start, stop (words), containment, places: for each document and license its best place (the
-    earliest, if tied) and how many places were verified. templates: texts by license; they go to all executors."""
+    earliest, if tied) and how many places were verified. templates: texts by license; they go to all executors,
+    so they may hold `most_words` words at most."""
     lib = library(TEMPLATES if templates is None else templates)
+    if sum(lib.words) > most_words:
+        raise ValueError(f"the templates hold {sum(lib.words)} words, which is more than {most_words}")
     shared = docs.sparkSession.sparkContext.broadcast(lib)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
