@@ -2,11 +2,12 @@
 
 Filters of `width` bytes run over chunks of `chunk` bytes that overlap and cover the whole document; each filter's
 greatest response in a chunk is kept, and a small hidden layer turns the mean and the maximum of these over all chunks
-into one probability. Filters and layers are learned together by Adam, on at most `per_class` labelled rows of each class
-(those whose ids have the least hashes), of which fitting, not scoring, sees at most `chunks` random chunks each.
+into one probability. Filters and layers are learned together by Adam, on all chunks of at most `per_class` labelled rows
+of each class (those whose ids have the least hashes).
 
-Null and empty texts are one chunk of padding. Rows with equal or null ids are each scored on their own. A training set
-without one of the classes gives that of the other to all rows (0.5 if empty).
+Null and empty texts are one chunk of padding. Rows with equal or null ids are each scored on their own; an empty table gives
+an empty result, and other columns of the tables, whatever their names, play no part. Texts of any length are read whole,
+64 chunks at a time. A training set without one of the classes gives that of the other to all rows (0.5 if empty).
 """
 
 from __future__ import annotations
@@ -47,7 +48,7 @@ def chunk_bytes(data: np.ndarray, offsets: np.ndarray, row: np.ndarray, start: n
     inside = at < offsets[row + 1][:, None]
     if not len(data):
         return np.full(at.shape, PAD, np.int32)
-    return np.where(inside, data[np.minimum(at, len(data) - 1)], PAD).astype(np.int32)
+    return np.where(inside, data[np.minimum(at, len(data) - 1)].astype(np.int32), np.int32(PAD))
 
 
 @dataclass
@@ -88,24 +89,36 @@ class Net:
         return 1 / (1 + np.exp(-np.clip(self.logit(means, np.maximum.reduceat(pooled, first, axis=0)), -500, 500)))
 
 
-def fit(groups: list[np.ndarray], y: np.ndarray, shape: Shape, epochs: int = 14, batch: int = 32, rate: float = 0.01, seed: int = 7) -> Net:
-    """groups: for each document the bytes of its chunks, as chunk_bytes gives them."""
+def strongest(net: Net, data: np.ndarray, offsets: np.ndarray, row: np.ndarray, start: np.ndarray, block: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    """For each chunk and filter its greatest response, before the bias, and the bytes of the window that gave it."""
+    shape, value, windows = net.shape, [], []
+    for k in range(0, len(row), block):
+        x = chunk_bytes(data, offsets, row[k : k + block], start[k : k + block], shape)
+        conv = net.convolved(x)
+        at = conv.argmax(axis=1)
+        value.append(np.take_along_axis(conv, at[:, None], axis=1)[:, 0])
+        windows.append(np.stack([np.take_along_axis(x, at + j, axis=1) for j in range(shape.width)]))
+    return np.concatenate(value), np.concatenate(windows, axis=1)
+
+
+def fit(texts: list[bytes], y: np.ndarray, shape: Shape, epochs: int = 14, batch: int = 32, rate: float = 0.01, seed: int = 7) -> Net:
+    """texts: the bytes of each document; all of its chunks are seen in each epoch."""
     rng = np.random.default_rng(seed)
     f, h = shape.filters, shape.hidden
     net = Net(shape, rng.normal(0, 0.15, (shape.width, 257, f)).astype(np.float32), np.zeros(f, np.float32), rng.normal(0, (2 * f) ** -0.5, (2 * f, h)), np.zeros(h), rng.normal(0, h**-0.5, h), 0.0)
     names = ("table", "bias", "w1", "b1", "w2", "b2")
     m, v, t = {k: 0.0 for k in names}, {k: 0.0 for k in names}, 0
     for epoch in range(epochs):
-        order = rng.permutation(len(groups))
+        order = rng.permutation(len(texts))
         for k in range(0, len(order), batch):
             own = order[k : k + batch]
-            x = np.concatenate([groups[i] for i in own])
-            n = np.array([len(groups[i]) for i in own])
+            offsets = np.cumsum([0, *(len(texts[i]) for i in own)])
+            data = np.frombuffer(b"".join([texts[i] for i in own]), np.uint8)
+            doc, start = chunk_starts(np.diff(offsets), shape)
+            n = np.bincount(doc, minlength=len(own))
             first = np.cumsum(n) - n
-            doc = np.repeat(np.arange(len(own)), n)
-            conv = net.convolved(x)
-            at = conv.argmax(axis=1)
-            value = np.take_along_axis(conv, at[:, None], axis=1)[:, 0] + net.bias
+            raw, windows = strongest(net, data, offsets, doc, start)
+            value = raw + net.bias
             pool = np.maximum(value, 0)
             means, tops = np.add.reduceat(pool, first, axis=0) / n[:, None], np.maximum.reduceat(pool, first, axis=0)
             z = np.hstack([means, tops])
@@ -119,8 +132,7 @@ def fit(groups: list[np.ndarray], y: np.ndarray, shape: Shape, epochs: int = 14,
             dtable = np.empty_like(net.table)
             cell = np.arange(f)[None, :]
             for j in range(shape.width):
-                byte = np.take_along_axis(x, at + j, axis=1)
-                dtable[j] = np.bincount((byte * f + cell).ravel(), dpool.ravel(), minlength=257 * f).reshape(257, f)
+                dtable[j] = np.bincount((windows[j] * f + cell).ravel(), dpool.ravel(), minlength=257 * f).reshape(257, f)
             grads = {"table": dtable, "bias": dpool.sum(axis=0), "w1": z.T @ da + 1e-4 * net.w1, "b1": da.sum(axis=0), "w2": a.T @ e + 1e-4 * net.w2, "b2": e.sum()}
             t += 1
             now = rate * (1 - epoch / epochs) + 1e-4
@@ -133,28 +145,16 @@ def fit(groups: list[np.ndarray], y: np.ndarray, shape: Shape, epochs: int = 14,
     return net
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = 1000, chunks: int = 12, shape: Shape = Shape()) -> Net | float:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = 1000, shape: Shape = Shape()) -> Net | float:
     """A net, or the one class that all labelled rows have."""
     sample, count = labelled_sample(docs, labels, id_col, text_col, label_col, per_class)
     if len(count) < 2:
         return float(next(iter(count), 0.5))
-
-    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for k in range(len(b)):
-                data, offsets = as_bytes(b.column(1).slice(k, 1))
-                row, start = chunk_starts(np.diff(offsets), shape)
-                take = np.sort(np.random.default_rng(b.column(2)[k].as_py() & 0xFFFFFFFF).permutation(len(row))[:chunks])
-                out.append(chunk_bytes(data, offsets, row[take], start[take], shape).astype(np.int16).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(out, pa.binary())], ["y", "h", "x"])
-
-    got = sample.mapInArrow(some, "y int, h long, x binary").collect()
-    got.sort(key=lambda r: (r["h"], r["x"]))
+    got = sorted(sample.select("h", "y", "text").collect())  # at most 2 * per_class texts
     y = np.array([r["y"] for r in got], float)
     if len(set(y)) < 2:
         return float(y.mean()) if len(y) else 0.5
-    net = fit([np.frombuffer(r["x"], np.int16).reshape(-1, shape.chunk + shape.width - 1).astype(np.int32) for r in got], y, shape)
+    net = fit([r["text"].encode() for r in got], y, shape)
     # fitted on classes of like size; the rows have them in other shares
     net.b2 += np.log(count[1] / count[0]) - np.log(y.sum() / (len(y) - y.sum()))
     return net
