@@ -1,11 +1,14 @@
 """Toxicity by a linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
-Whole lower-cased texts are read as bytes; a feature says whether an n-gram (5, 7 or 9 bytes, hashed) occurs. Its scale is
-the log ratio of its smoothed shares in both classes, and a logistic regression with a ridge penalty weighs the scaled
-features. It is fitted on at most `per_class` labelled rows of each class, those whose ids have the least hashes.
+Whole lower-cased texts are read as characters; a feature says whether an n-gram (3, 5 or 7 characters, hashed to 2^20
+slots) occurs. Its scale is the log ratio of its smoothed shares in both classes, and a logistic regression with a ridge
+penalty weighs the scaled features. It is fitted on at most `per_class` labelled rows of each class, those whose ids have
+the least hashes, and then moved to the shares that the classes have among all labels.
 
 Null and empty texts have no features and get the score of the intercept. Rows with equal or null ids are each scored on
-their own. A training set without one of the classes gives that of the other to all rows (0.5 if empty).
+their own; an empty table gives an empty result, and other columns of the tables, whatever their names, play no part. Texts
+of any length are read whole, in pieces that overlap. A training set without one of the classes gives that of the other to
+all rows (0.5 if empty).
 """
 
 from __future__ import annotations
@@ -22,11 +25,19 @@ from pyspark.sql import functions as F
 from tessera.llm.common import as_bytes, labelled_sample, slices
 
 BITS = 20
-LENGTHS = (5, 7, 9)
+LENGTHS = (3, 5, 7)
+
+
+def characters(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of lower-cased texts, and where each text begins; null counts as empty."""
+    data, offsets = as_bytes(pc.utf8_lower(texts.fill_null("")))
+    data = data[offsets[0] : offsets[-1]]
+    begun = np.concatenate([[0], np.cumsum(data & 0xC0 != 0x80)])
+    return np.frombuffer(data.tobytes().decode().encode("utf-32-le"), "<u4"), begun[offsets - offsets[0]]
 
 
 def gram_slots(data: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(length, slot at each start) of all n-grams of a block."""
+    """(length, slot at each start) of all n-grams of a block of characters."""
     x = data.astype(np.uint32) + np.uint32(1)
     h = x.copy()
     for n in range(2, LENGTHS[-1] + 1):
@@ -46,7 +57,7 @@ def distinct(keys: np.ndarray) -> np.ndarray:
 
 def features(texts: pa.Array, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, feature) of each chosen slot that a text has, once. chosen: the feature of a slot, or -1."""
-    data, offsets = as_bytes(pc.utf8_lower(texts.fill_null("")))
+    data, offsets = characters(texts)
     width = int(chosen.max(initial=0)) + 1
     found = [np.zeros(0, np.int64)]
     for rows, starts, ends in slices(offsets, LENGTHS[-1] - 1):
@@ -103,7 +114,7 @@ def fit_logistic(rows: np.ndarray, cols: np.ndarray, scale: np.ndarray, y: np.nd
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 3000, width: int = 1 << 14, least: int = 4, least_ratio: float = 0.7, ridge: float = 2e-5) -> ToxicityModel:
     """per_class bounds the rows fitted on; width bounds the features: of those that
     occur in `least` texts and whose log ratio is at least least_ratio, those whose class shares differ most surely."""
-    rows, _ = labelled_sample(docs, labels, id_col, text_col, label_col, per_class)
+    rows, in_all = labelled_sample(docs, labels, id_col, text_col, label_col, per_class)
     sample = rows.select("y", "text").repartition(12, F.xxhash64("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,6 +158,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         parts.append(np.frombuffer(r["f"], np.int32))
     rows_ = np.repeat(np.arange(len(y)), [len(p) for p in parts])
     weights, bias = fit_logistic(rows_, np.concatenate(parts), ratio[best], np.array(y, float), ridge)
+    bias += np.log(in_all[1] / in_all[0]) - np.log(n[1] / n[0])  # where the sample holds the classes in other shares
     return ToxicityModel(chosen, weights.astype(np.float64), bias)
 
 
