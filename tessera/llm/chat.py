@@ -6,12 +6,15 @@ steps are native DataFrame functions.
 
 A turn is rendered as `<|im_start|>ROLE\\nCONTENT<|im_end|>\\n`, ROLE being assistant, a context role, or user name=NAME.
 `<|` in a content or a name becomes `<\\u200b|`, so that no text can open or close a turn. A learned span covers a content
-and its end mark. Long dialogues come in segments of consecutive turns (turn number divided by `turns`, rounded down), so no
-task holds an unbounded dialogue: a dialogue is its segments' texts, joined in order.
+and its end mark.
+
+A dialogue from one view is one text. It is put together in two steps, of runs of `run` turn numbers first, so that turns
+of a long dialogue are rendered and placed by many tasks; only the runs' texts meet in one. Texts too long for one row
+can be had in segments instead (per_segment), each of which stands for itself.
 
 Rows with a null conv_id or turn belong to no dialogue. Repeated rows count once; different rows of one turn are ordered
 by role, then text. A null or empty role is the speaker "unknown", a null text is empty. A dialogue of context turns only
-has no perspective, so no rows.
+has no perspective, so no rows; nor has an empty table.
 """
 
 from __future__ import annotations
@@ -19,38 +22,47 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.common import attach
+
 CONTEXT = ("system",)
-TURNS = 256
 
 
-def perspectives(turns: DataFrame, context: tuple[str, ...] = CONTEXT, per_segment: int = TURNS) -> DataFrame:
-    """conv_id, perspective, segment, n_turns, text, spans (array of start and stop, in characters of text, of what is
-    learned), n_learned (characters), of conv_id, turn, role, text."""
+def perspectives(turns: DataFrame, context: tuple[str, ...] = CONTEXT, per_segment: int | None = None, run: int = 256) -> DataFrame:
+    """conv_id, perspective, segment (0 unless per_segment, a number of turns, is given), n_turns, text, spans (array of
+    start and stop, in characters of text, of what is learned), n_learned (characters), of conv_id, turn, role, text."""
     plain = turns.where(F.col("conv_id").isNotNull() & F.col("turn").isNotNull()).select(
         "conv_id",
         F.col("turn").cast("long").alias("turn"),
         F.coalesce(F.nullif(F.col("role"), F.lit("")), F.lit("unknown")).alias("role"),
         F.coalesce("text", F.lit("")).alias("text"),
     )
-    rows = plain.distinct().withColumn("segment", F.floor(F.col("turn") / per_segment).cast("long"))
+    segment = F.floor(F.col("turn") / per_segment).cast("long") if per_segment else F.lit(0).cast("long")
+    rows = plain.distinct().withColumns({"segment": segment, "run": F.floor(F.col("turn") / run).cast("long")})
     shut = lambda c: F.replace(c, F.lit("<|"), F.lit("<\u200b|"))
     rows = rows.withColumn("body", F.concat(shut(F.col("text")), F.lit("<|im_end|>")))
-    speakers = plain.where(~F.col("role").isin(*context)).select("conv_id", F.col("role").alias("perspective")).distinct()
-    seen = rows.join(speakers, "conv_id")
+    # a dialogue may hold any share of all turns, so its speakers come to its turns (see attach)
+    speakers = plain.groupBy("conv_id").agg(F.collect_set(F.when(~F.col("role").isin(*context), F.col("role"))).alias("perspectives"), F.count("*").alias("rows__"))
+    seen = attach(rows, speakers, "conv_id", plain.count()).withColumn("perspective", F.explode("perspectives"))
     mine = F.col("role") == F.col("perspective")
     head = F.when(mine, F.lit("assistant")).when(F.col("role").isin(*context), F.col("role")).otherwise(F.concat(F.lit("user name="), shut(F.col("role"))))
     seen = seen.withColumn("mine", mine).withColumn("head", F.concat(F.lit("<|im_start|>"), head, F.lit("\n")))
     group = ["conv_id", "perspective", "segment"]
-    before = Window.partitionBy(*group).orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*group, "run").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, -1)
     size = F.length("head") + F.length("body") + 1
     placed = seen.withColumn("at", F.coalesce(F.sum(size).over(before), F.lit(0)) + F.length("head"))
     parts = F.sort_array(F.collect_list(F.struct("at", "head", "body", "mine")))
-    whole = placed.groupBy(*group).agg(F.count("*").alias("n_turns"), parts.alias("parts"))
+    runs = placed.groupBy(*group, "run").agg(F.count("*").alias("n_turns"), parts.alias("parts"))
     spans = F.transform(F.filter("parts", lambda p: p["mine"]), lambda p: F.struct(p["at"].alias("start"), (p["at"] + F.length(p["body"])).alias("stop")))
+    runs = runs.select(*group, "run", "n_turns", F.array_join(F.transform("parts", lambda p: F.concat(p["head"], p["body"], F.lit("\n"))), "").alias("text"), spans.alias("spans"))
+    earlier = Window.partitionBy(*group).orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.withColumn("origin", F.coalesce(F.sum(F.length("text")).over(earlier), F.lit(0)).cast("long"))
+    moved = F.transform("spans", lambda s: F.struct((s["start"] + F.col("origin")).alias("start"), (s["stop"] + F.col("origin")).alias("stop")))
+    whole = runs.select(*group, "n_turns", F.struct("run", "text", moved.alias("spans")).alias("part")).groupBy(*group).agg(F.sum("n_turns").alias("n_turns"), F.sort_array(F.collect_list("part")).alias("parts"))
+    learned = F.flatten(F.transform("parts", lambda p: p["spans"]))
     return whole.select(
         *group,
         "n_turns",
-        F.array_join(F.transform("parts", lambda p: F.concat(p["head"], p["body"], F.lit("\n"))), "").alias("text"),
-        spans.alias("spans"),
-        F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"]).alias("n_learned"),
+        F.array_join(F.transform("parts", lambda p: p["text"]), "").alias("text"),
+        learned.alias("spans"),
+        F.aggregate(learned, F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"]).alias("n_learned"),
     )
