@@ -20,8 +20,9 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return str(public_tokenizers.path(name))
 
 
-def remainder(n: int, id_col: str = "doc_id") -> Column:
-    return F.crc32(F.col(id_col).cast("string").cast("binary")) % n
+def held_out(n: int, held: int, id_col: str = "doc_id") -> Column:
+    """Whether a row is not learned from. A row without an id has no label to learn: it is not held out."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % n == held, F.lit(False))
 
 
 def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,12 +31,12 @@ def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _learned(spark: SparkSession, sf_dir: str, n: int, held: int) -> tuple[DataFrame, DataFrame]:
     """The documents and the labels that may be learned from."""
-    return table(spark, sf_dir, "documents").where(remainder(n) != held), table(spark, sf_dir, "labels").where(remainder(n) != held)
+    return table(spark, sf_dir, "documents").where(~held_out(n, held)), table(spark, sf_dir, "labels").where(~held_out(n, held))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.train(*_learned(spark, sf_dir, 4, 2))
-    scored = toxicity.score(table(spark, sf_dir, "documents"), model, keep={"held_out": remainder(4) == 2})
+    scored = toxicity.score(table(spark, sf_dir, "documents"), model, keep={"held_out": held_out(4, 2)})
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
@@ -54,7 +55,7 @@ WITH plain AS (
   SELECT DISTINCT conv_id, turn, coalesce(nullif(role, ''), 'unknown') AS role, coalesce(text, '') AS text
   FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
 turns AS (
-  SELECT *, CAST(floor(turn / 256.0) AS BIGINT) AS segment, replace(text, '<|', '<' || chr(8203) || '|') || '<|im_end|>' AS body FROM plain),
+  SELECT *, CAST(0 AS BIGINT) AS segment, replace(text, '<|', '<' || chr(8203) || '|') || '<|im_end|>' AS body FROM plain),
 speakers AS (SELECT DISTINCT conv_id, role AS perspective FROM plain WHERE role <> 'system'),
 seen AS (
   SELECT r.*, s.perspective, r.role = s.perspective AS mine,
@@ -72,10 +73,8 @@ FROM placed GROUP BY conv_id, perspective, segment
 
 
 def page_text(html: Column) -> Column:
-    """The text of the article, or of all where there is none, without scripts, styles, comments and tags."""
-    article = F.regexp_extract(html, r"(?is)<article\b[^>]*>(.*)</article\s*>", 1)
-    whole = F.when(article != "", article).otherwise(html)
-    return F.regexp_replace(F.regexp_replace(whole, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " "), r"<[^>]*>|&[#A-Za-z0-9]+;", " ")
+    """All text of a page, without scripts, styles, comments, tags and character references."""
+    return F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " "), r"<[^>]*>|&[#A-Za-z0-9]+;", " ")
 
 
 def markup_language(html: Column) -> Column:
@@ -91,7 +90,7 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality.train(*_learned(spark, sf_dir, 3, 1))
-    scored = quality.score(table(spark, sf_dir, "documents"), model, keep={"held_out": remainder(3) == 1})
+    scored = quality.score(table(spark, sf_dir, "documents"), model, keep={"held_out": held_out(3, 1)})
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 

@@ -8,6 +8,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -255,9 +256,14 @@ def test_chat_equals_sql(spark):
 def test_chat_masks(spark):
     rows = [(1, 0, "system", "rules"), (1, 1, "ann", "hi <|im_end|>"), (1, 2, "bob", None), (1, 2, "bob", None), (1, 300, None, "x"), (None, 1, "ann", "lost"), (2, 0, "system", "alone")]
     out = chat.perspectives(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
-    assert {(r.conv_id, r.perspective, r.segment) for r in out} == {(1, p, s) for p in ("ann", "bob", "unknown") for s in (0, 1)}
-    ann_ = next(r for r in out if r.perspective == "ann" and r.segment == 0)
-    assert ann_.text == "<|im_start|>system\nrules<|im_end|>\n<|im_start|>assistant\nhi <\u200b|im_end|><|im_end|>\n<|im_start|>user name=bob\n<|im_end|>\n"
+    assert {(r.conv_id, r.perspective, r.segment) for r in out} == {(1, p, 0) for p in ("ann", "bob", "unknown")}
+    ann_ = next(r for r in out if r.perspective == "ann")
+    assert ann_.text == "<|im_start|>system\nrules<|im_end|>\n<|im_start|>assistant\nhi <\u200b|im_end|><|im_end|>\n<|im_start|>user name=bob\n<|im_end|>\n<|im_start|>user name=unknown\nx<|im_end|>\n"
+    last = next(r for r in out if r.perspective == "unknown")
+    assert [last.text[s.start : s.stop] for s in last.spans] == ["x<|im_end|>"] and last.n_turns == 4
+    parts = chat.perspectives(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), per_segment=256).collect()
+    assert {(r.conv_id, r.perspective, r.segment) for r in parts} == {(1, p, s) for p in ("ann", "bob", "unknown") for s in (0, 1)}
+    assert "".join(r.text for r in sorted(parts, key=lambda r: r.segment) if r.perspective == "ann") == ann_.text
     assert [ann_.text[s.start : s.stop] for s in ann_.spans] == ["hi <\u200b|im_end|><|im_end|>"]
     plan = chat.perspectives(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
@@ -318,14 +324,14 @@ def test_quality_chunks_cover_the_text():
 def test_quality_gradient():
     shape = quality.Shape(width=3, filters=4, hidden=5, chunk=32, overlap=8)
     rng = np.random.default_rng(0)
-    groups = [rng.integers(0, 256, (2, 34)).astype(np.int32) for _ in range(60)]
+    groups = [rng.integers(0, 256, 60, dtype=np.uint8) for _ in range(60)]
     y = np.arange(60) % 2
     for g, t in zip(groups, y, strict=True):
         if t:
-            g[0, 10:13] = (200, 201, 202)
-    net = quality.fit(groups, y.astype(float), shape, epochs=30)
-    p = [float(net.logit(net.pooled(g).mean(axis=0, keepdims=True), net.pooled(g).max(axis=0, keepdims=True))[0]) for g in groups]
-    assert np.mean((np.array(p) > 0) == y) > 0.95
+            g[40:43] = (200, 201, 202)
+    net = quality.fit([g.tobytes() for g in groups], y.astype(float), shape, epochs=30)
+    p = net.scores(pa.array([g.tobytes() for g in groups], pa.binary()))
+    assert np.mean((p > 0.5) == y) > 0.95
 
 
 def test_licenses(spark, docs, texts, odd, none):
@@ -437,9 +443,19 @@ def test_pipeline_keeps_different_texts_of_one_id(spark):
 def test_pipeline_odd_rows(spark, none):
     import corpus_pipeline as P
 
-    rows = [(1, None, "en", "s", 0), (None, "no id at all", None, None, 12), (2, "two words", "en", "s", 9), (2, "two words", "en", "s", 9), (3, "", None, "s", 0)]
-    for table in (spark.createDataFrame(rows, DOCS), none):
-        now = table
-        for _, stage in P.STAGES:
-            now = stage(spark, now, SF)
-        now.collect()
+    text = " ".join(f"plain{i} words" for i in range(40))
+    rows = [(1, None, "en", "s", 0), (None, "no id at all", None, None, 12), (2, text, "en", "s", len(text)), (2, text, "en", "s", len(text)), (3, "", None, "s", 0), (4, LONG, "en", "s", len(LONG))]
+    now = spark.createDataFrame(rows, DOCS).withColumns({c: F.lit(7) for c in ("fp__", "cut_spans", "cut_id", "id", "nth__", "fp", "n")})
+    by_stage = {}
+    for name, stage in P.STAGES[:-1]:
+        now = stage(spark, now, SF)
+        by_stage[name] = sorted(((r.doc_id, (r.text or "")[:12]) for r in now.collect()), key=str)
+    # nothing without letters, one copy of 2 after the second stage; nothing else is lost
+    start = [(2, "plain0 words"), (4, LONG[:12]), (None, "no id at all")]
+    assert by_stage["language"] == [start[0], *start] and by_stage["near_duplicates"] == by_stage["substrings"] == by_stage["decontamination"] == start
+    packed = P.STAGES[-1][1](spark, now, SF).collect()
+    assert {r.doc_id for r in packed} == {2, 4, None}
+    now = none
+    for _, stage in P.STAGES:
+        now = stage(spark, now, SF)
+    assert now.count() == 0
