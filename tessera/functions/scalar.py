@@ -223,3 +223,15 @@ def code_mm(mm: Column) -> Column:
 
 def decode_mm(code: Column) -> Column:
     return F.when(code == 255, None).otherwise(F.pow(code / 8.0, F.lit(2.0)))
+
+
+def lead_class(horizon: Column, lead_h: Column) -> Column:
+    """Class of lead time of a frame, by its end in hours from now."""
+    now = F.when(lead_h <= 2, "h1-2").when(lead_h <= 4, "h3-4").otherwise("h5-6")
+    mid = F.when(lead_h <= 30, "d1").otherwise("d2")
+    return F.when(horizon == "now", now).when(horizon == "mid", mid).otherwise(F.when(lead_h <= 96, "d2-3").when(lead_h <= 144, "d4-5").otherwise("d6-7"))
+
+
+def standardised(x: Column, mean: Column, sd: Column) -> Column:
+    """Standardised anomaly; null without spread."""
+    return (x - mean) / F.nullif(sd, F.lit(0.0))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -92,24 +93,49 @@ def overlay_zones(cells: DataFrame, zones: DataFrame, zone: str, keys: Sequence[
     return cells.join(z, [zone, *keys], "left").withColumn(value, F.coalesce("z_", value)).drop("z_")
 
 
+def _shares(members: DataFrame, climate: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """keys, p, q and f, the share of members at or below q, of climate (keys, p, q). Members are counted by the first
+    quantile that they do not exceed, so no group is ever gathered."""
+    levels = climate.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("p", "q"))).alias("c_"))  # as many as climate has levels
+    place = F.size(F.filter("c_", lambda c: c["q"] < F.col(value)))
+    counted = members.where(F.col(value).isNotNull()).join(levels, list(keys)).groupBy(*keys, place.alias("k_")).agg(F.count("*").alias("n_"))
+    hist = counted.groupBy(*keys).agg(F.collect_list(F.struct("k_", "n_")).alias("h_"), F.sum("n_").alias("all_"))
+    rows = levels.join(hist, list(keys)).select(*keys, F.posexplode("c_").alias("at_", "c_"), "h_", "all_")
+    below = F.aggregate(F.filter("h_", lambda h: h["k_"] <= F.col("at_")), F.lit(0).cast("long"), lambda n, h: n + h["n_"])
+    return rows.select(*keys, "c_.p", "c_.q", (below / F.col("all_")).alias("f"))
+
+
 def forecast_index(members: DataFrame, climate: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Extreme forecast index: 2/pi times the integral of (p - F(q_p)) / sqrt(p (1 - p)), F the share of members at or
-    below the climate's quantile q_p. climate: keys, p, q. Trapezoids in the angle, where the weight is even."""
-    joined = climate.join(members.groupBy(*keys).agg(F.collect_list(value).alias("m_")), list(keys))
-    share = F.size(F.filter("m_", lambda x: x <= F.col("q"))) / F.size("m_")
-    rows = joined.select(*keys, "p", share.alias("f_")).withColumn("x_", F.asin(F.sqrt("p")))
+    """Extreme forecast index: 2/pi times the integral of (p - f(p)) / sqrt(p (1 - p)) by trapezoids in p, f being the share
+    of members at or below the climate's quantile q_p. climate: keys, p (0 < p < 1), q."""
+    rows = _shares(members, climate, keys, value).withColumn("y_", (F.col("p") - F.col("f")) / F.sqrt(F.col("p") * (1 - F.col("p"))))
     w = Window.partitionBy(*keys).orderBy("p")
-    d = F.lead("x_").over(w) - F.col("x_")
-    gap, nxt = F.col("p") - F.col("f_"), F.lead(F.col("p") - F.col("f_")).over(w)
-    parts = rows.withColumn("part_", (gap + nxt) * d * 2 / F.pi())
+    parts = rows.withColumn("part_", (F.col("y_") + F.lead("y_").over(w)) / 2 * (F.lead("p").over(w) - F.col("p")) * 2 / math.pi)
     return parts.groupBy(*keys).agg(F.least(F.greatest(F.sum("part_"), F.lit(-1.0)), F.lit(1.0)).alias("efi"))
 
 
+def closed_forecast_index(members: DataFrame, climate: DataFrame, keys: Sequence[str], value: str, wet: float = 1.0) -> DataFrame:
+    """The index in closed form, f linear between levels, which are closed by 0 (f as at the first level) and 1 (the highest
+    quantile). With wet > 0 only intervals whose upper quantile exceeds it count, over what all members above would give
+    there; null where the climate is dry at all levels."""
+    rows = _shares(members, climate, keys, value)
+    ends = rows.groupBy(*keys).agg(F.min_by(F.struct("q", "f"), "p").alias("a_"), F.max_by(F.struct("q", "f"), "p").alias("b_"))
+    closed = rows.unionByName(ends.select(*keys, F.lit(0.0).alias("p"), "a_.*")).unionByName(ends.select(*keys, F.lit(1.0).alias("p"), "b_.*"))
+    w = Window.partitionBy(*keys).orderBy("p")
+    angle, root = F.asin(F.sqrt("p")), F.sqrt(F.col("p") * (1 - F.col("p")))
+    rows = closed.withColumns({"x_": angle, "r_": root}).withColumns({f"{c}2_": F.lead(c).over(w) for c in ("p", "q", "f", "x_", "r_")}).where("p2_ is not null")
+    dx, dr = F.col("x_2_") - F.col("x_"), F.col("r_2_") - F.col("r_")
+    slope = (F.col("f2_") - F.col("f")) / (F.col("p2_") - F.col("p"))
+    gain = (1 - 2 * F.col("f")) * dx - dr + slope * ((2 * F.col("p") - 1) * dx + dr)
+    counts = F.col("q2_") > wet if wet > 0 else F.lit(True)
+    sums = rows.groupBy(*keys).agg(F.sum(F.when(counts, gain)).alias("g_"), F.sum(F.when(counts, dx - dr)).alias("m_"))
+    return sums.select(*keys, F.when(F.col("m_") > 1e-9, F.least(F.greatest(F.col("g_") / F.col("m_"), F.lit(-1.0)), F.lit(1.0))).alias("efi"))
+
+
 def shift_of_tails(members: DataFrame, climate: DataFrame, keys: Sequence[str], value: str, p: float = 0.9, floor: float = 0.5) -> DataFrame:
-    """(Q_p of members - c_top) / (c_top - c_p), climate with c_p and c_top; null where the tail is shorter than floor."""
+    """(Q_p of members - c_top) / (c_top - c_p), climate with c_p and c_top; a tail shorter than floor counts as that long."""
     q = members.groupBy(*keys).agg(F.percentile(value, F.lit(p)).alias("q_"))
-    tail = F.col("c_top") - F.col("c_p")
-    return q.join(climate, list(keys)).select(*keys, F.when(tail >= floor, (F.col("q_") - F.col("c_top")) / tail).alias("sot"))
+    return q.join(climate, list(keys)).select(*keys, ((F.col("q_") - F.col("c_top")) / F.greatest(F.col("c_top") - F.col("c_p"), F.lit(floor))).alias("sot"))
 
 
 def worst(df: DataFrame, keys: Sequence[str], level: str, p: str, frame: str) -> DataFrame:

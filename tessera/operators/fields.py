@@ -20,19 +20,23 @@ def _kinds(df: DataFrame, names: Sequence[str]) -> str:
     return ", ".join(f"`{n}` {kinds[n]}" for n in names)
 
 
-def _kriged(p: np.ndarray, v: np.ndarray, q: np.ndarray, reach: float, nugget: float) -> np.ndarray:
+def _kriged(p: np.ndarray, v: np.ndarray, q: np.ndarray, reach: float, nugget: float, variance: bool = False):
     n = len(p)
-    gamma = lambda d: np.where(d > 0, nugget + (1 - nugget) * (1 - np.exp(-d / reach)), 0.0)
+    gamma = lambda d: np.where(d > 0, nugget + (1 - nugget) * (1 - np.exp(-3 * d / reach)), 0.0)
     away = lambda a, b: np.hypot(a[:, None, 0] - b[None, :, 0], a[:, None, 1] - b[None, :, 1])
     m, r = np.ones((n + 1, n + 1)), np.ones((n + 1, len(q)))
     m[:n, :n], m[n, n], r[:n] = gamma(away(p, p)), 0, gamma(away(p, q))
-    return np.linalg.solve(m + 1e-10 * np.eye(n + 1), r)[:n].T @ v
+    w = np.linalg.solve(m + 1e-10 * np.eye(n + 1), r)
+    estimate = w[:n].T @ v
+    return (estimate, np.maximum((w * r).sum(axis=0), 0)) if variance else estimate
 
 
-def merge_gauges(radar: DataFrame, gauges: DataFrame, keys: Sequence[str], least: int = 5, reach: float = 8.0, nugget: float = 0.05) -> DataFrame:
+def merge_gauges(radar: DataFrame, gauges: DataFrame, keys: Sequence[str], least: int = 5, reach: float = 24.0, nugget: float = 0.1, usual: float = 1.0) -> DataFrame:
     """Conditional merging in square roots: the radar field (j, i, r) plus the kriged difference of gauges (j, i, g) and
-    radar at the gauges. With fewer gauges than `least` the field is scaled by the ratio of sums (limited to 0.2 to 5),
-    without wet ones it stays. Cells that the radar does not see get the kriged gauges."""
+    radar at the gauges. With fewer gauges than `least` the field is scaled by the ratio of sums over pairs with 1 or more on
+    both (limited to 0.2 to 5), if there are three, else by the usual factor. Cells that the radar does not see get the
+    kriged gauges, if there are `least` of them, with their kriging variance, and else stay unknown. Gauges come checked
+    (see grids.gauge_check), and moved to where the radar sees them (see grids.register)."""
 
     def merge(field: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
         out = field[[*keys, "j", "i"]].copy()
@@ -45,24 +49,33 @@ def merge_gauges(radar: DataFrame, gauges: DataFrame, keys: Sequence[str], least
             difference = np.sqrt(seen["g"].to_numpy(float)) - np.sqrt(np.maximum(seen["r"].to_numpy(float), 0))
             merged = np.maximum(r + _kriged(seen[["j", "i"]].to_numpy(float), difference, q, reach, nugget), 0) ** 2
         else:
-            ratio = seen["g"].sum() / seen["r"].sum() if len(seen) and seen["r"].sum() > 0 else 1.0
-            merged = r * r * min(max(ratio, 0.2), 5.0)
+            wet = seen[(seen["g"] >= 1) & (seen["r"] >= 1)]
+            merged = r * r * (min(max(wet["g"].sum() / wet["r"].sum(), 0.2), 5.0) if len(wet) >= 3 else usual)
         hole = np.isnan(merged)
-        if hole.any() and len(at):
-            merged[hole] = np.maximum(_kriged(at[["j", "i"]].to_numpy(float), np.sqrt(at["g"].to_numpy(float)), q[hole], reach, nugget), 0) ** 2
+        if hole.any() and len(at) >= least:
+            root = np.sqrt(np.maximum(at["g"].to_numpy(float), 0))
+            guess, spread = _kriged(at[["j", "i"]].to_numpy(float), root, q[hole], reach, nugget, variance=True)
+            guess = np.maximum(guess, 0)
+            merged[hole] = guess**2 + np.minimum(spread * root.var(), guess**2)
         return out.assign(merged=merged)
 
     return radar.select(*keys, "j", "i", "r").groupBy(*keys).cogroup(gauges.select(*keys, "j", "i", "g").groupBy(*keys)).applyInPandas(merge, f"{_kinds(radar, [*keys, 'j', 'i'])}, merged double")
 
 
-def ceiling(field: DataFrame, gauges: DataFrame, keys: Sequence[str], value: str, offsets: Sequence[tuple[int, int]], ny: int, nx: int, factor: float = 3.0, extra: float = 20.0, least: int = 3) -> DataFrame:
-    """No more than factor * the greatest gauge around + extra, where at least `least` gauges are around."""
-    at = gauges.groupBy(*keys, "j", "i").agg(F.max("g").alias("g_"), F.count("g").alias("n_"))
+def ceiling(field: DataFrame, gauges: DataFrame, keys: Sequence[str], value: str, offsets: Sequence[tuple[int, int]], ny: int, nx: int, factor: float = 3.0, extra: float = 20.0, least: int = 3, heavy: float = 20.0, ratio: float = 2.5) -> DataFrame:
+    """No more than factor * the greatest gauge around + extra, where at least `least` gauges are around. gauges: j, i, g and,
+    if known, r, what the radar saw there. Around a gauge of at least `heavy` that has over `ratio` times as much as the
+    radar (taken as 1 at least), the radar is attenuated and a lower bound: there is no ceiling."""
+    seen = gauges if "r" in gauges.columns else gauges.withColumn("r", F.lit(None).cast("double"))
+    weak = (F.col("g") >= heavy) & (F.col("g") > ratio * F.greatest("r", F.lit(1.0))) & F.col("r").isNotNull()
+    at = seen.groupBy(*keys, "j", "i").agg(F.max("g").alias("g_"), F.count("g").alias("n_"), F.max(weak.cast("int")).alias("weak_"))
     cells = field.select(*keys, "j", "i").join(at, [*keys, "j", "i"], "left")
-    top = neighbourhood(cells, keys, "g_", offsets, ny, nx, F.max, "top_")
-    n = neighbourhood(cells.withColumn("n_", F.coalesce("n_", F.lit(0))), keys, "n_", offsets, ny, nx, F.sum, "count_")
-    joined = field.join(top, [*keys, "j", "i"], "left").join(n, [*keys, "j", "i"], "left")
-    return joined.withColumn(value, F.when(F.col("count_") >= least, F.least(value, factor * F.col("top_") + extra)).otherwise(F.col(value))).drop("top_", "count_")
+    whole = F.struct(F.coalesce("weak_", F.lit(0)).alias("weak"), F.coalesce("n_", F.lit(0)).alias("n"), F.col("g_").alias("g"))
+    gather = lambda x: F.struct(F.max(x["weak"]).alias("weak"), F.sum(x["n"]).alias("n"), F.max(x["g"]).alias("g"))
+    near = neighbourhood(cells.withColumn("x_", whole), keys, "x_", offsets, ny, nx, lambda c: gather(F.col(c)), "near_")
+    joined = field.join(near, [*keys, "j", "i"], "left")
+    bounded = (F.col("near_.n") >= least) & (F.col("near_.weak") == 0)
+    return joined.withColumn(value, F.when(bounded, F.least(value, factor * F.col("near_.g") + extra)).otherwise(F.col(value))).drop("near_")
 
 
 def closed_lows(df: DataFrame, keys: Sequence[str], value: str, half: int = 2, least: float = 1.0) -> DataFrame:

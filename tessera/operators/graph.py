@@ -8,6 +8,8 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.sources.storage import durable
+
 
 def closure(edges: DataFrame, src: str = "src", dst: str = "dst", stop: str | None = None, most: int = 64) -> DataFrame:
     """All (src, dst, steps) that walks along the edges reach, each node itself included (0 steps), by doubling of paths:
@@ -20,7 +22,7 @@ def closure(edges: DataFrame, src: str = "src", dst: str = "dst", stop: str | No
         a, b = paths.alias("a"), paths.alias("b")
         longer = a.join(b, (F.col("a.dst") == F.col("b.src")) & ~F.col("a.end_")).select(F.col("a.src").alias("src"), F.col("b.dst").alias("dst"), (F.col("a.steps") + F.col("b.steps")).alias("steps"), F.col("b.end_").alias("end_"))
         paths = paths.union(longer).groupBy("src", "dst").agg(F.min("steps").alias("steps"), F.min_by("end_", "steps").alias("end_"))
-        paths = paths.checkpoint() if edges.sparkSession._jsc.sc().getCheckpointDir().isDefined() else paths.cache()
+        paths = durable(paths)
         now = paths.count()
         if now == size:
             break
@@ -48,6 +50,23 @@ def order(paths: DataFrame) -> DataFrame:
     return paths.groupBy(F.col("dst").alias("node")).agg(F.max("steps").alias("level"))
 
 
+def tree_sums(nodes: DataFrame, node: str, down: str, value: str, most: int = 64) -> DataFrame:
+    """node, value (the sum of its own and of all that flows into it) and level (the longest way to it from a source), for nodes
+    that each flow into at most one (null: none). Pointers are doubled: after k rounds a node knows the sum and the longest way
+    of what lies less than 2^k steps upstream, and who is 2^k steps downstream. So rows stay as many as nodes, and a river of n
+    nodes takes log2(n) rounds."""
+    now = durable(nodes.select(F.col(node).alias("n"), F.col(down).alias("d"), F.col(value).alias("v"), F.lit(0).alias("l")))
+    for k in range(most):
+        if now.where("d is not null").isEmpty():
+            break
+        arriving = now.where("d is not null").groupBy(F.col("d").alias("n")).agg(F.sum("v").alias("v2"), F.max("l").alias("l2"))
+        beyond = now.where("d is not null").select(F.col("n").alias("d"), F.col("d").alias("d2"))
+        grown = now.join(arriving, "n", "left").join(beyond, "d", "left")
+        total = F.when(F.col("v2").isNull(), F.col("v")).otherwise(F.coalesce("v", F.lit(0)) + F.col("v2"))
+        now = durable(grown.select("n", F.col("d2").alias("d"), total.alias("v"), F.greatest("l", F.col("l2") + F.lit(1 << k)).cast("int").alias("l")))
+    return now.select(F.col("n").alias(node), F.col("v").alias(value), F.col("l").alias("level"))
+
+
 def downstream_codes(df: DataFrame, river: str, code: str) -> DataFrame:
     """Edges along each river: a unit flows into the one with the next lower code; the lowest has none."""
     return df.withColumn("next", F.lag(code).over(Window.partitionBy(river).orderBy(code)))
@@ -74,11 +93,12 @@ def steepest(df: DataFrame, keys: Sequence[str], height: str, ny: int, nx: int)
     return df.join(best, [*keys, "j", "i"], "left").select(*keys, "j", "i", F.col("b.tj").alias("tj"), F.col("b.ti").alias("ti"), F.col("b.s_").alias("slope"))
 
 
-def snap(points: DataFrame, field: DataFrame, value: str, radius: int) -> DataFrame:
-    """Moves each point (id, j, i) to the cell within the radius that has the greatest value (the nearest, if tied)."""
+def snap(points: DataFrame, field: DataFrame, keys: Sequence[str], value: str, radius: int) -> DataFrame:
+    """Moves each point (id, j, i) to the cell within the radius that has the greatest value (the nearest, if tied), in
+    the field of each of the keys."""
     o = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in range(-radius, radius + 1) for b in range(-radius, radius + 1)]))
     wide = points.withColumn("o_", o).select("id", (F.col("j") + F.col("o_.a")).alias("j"), (F.col("i") + F.col("o_.b")).alias("i"), (F.abs("o_.a") + F.abs("o_.b")).alias("d_"))
-    return wide.join(field, ["j", "i"]).groupBy("id").agg(F.min_by(F.struct("j", "i", value), F.struct(-F.col(value), "d_", "j", "i")).alias("b")).select("id", "b.*")
+    return wide.join(field, ["j", "i"]).groupBy(*keys, "id").agg(F.min_by(F.struct("j", "i", value), F.struct(-F.col(value), "d_", "j", "i")).alias("b")).select(*keys, "id", "b.*")
 
 
 def time_area(cells: DataFrame, keys: Sequence[str], hours: str, area: str) -> DataFrame:

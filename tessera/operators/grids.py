@@ -94,14 +94,16 @@ def regrid(weights: DataFrame, values: DataFrame, to: Sequence[str], source: Seq
 
 
 def bilinear(df: DataFrame, at: DataFrame, keys: Sequence[str], value: str, ny: int, nx: int) -> DataFrame:
-    """Values of the field at fractional (y, x) of `at` (id, y, x), clamped to the grid."""
+    """Values of the field at fractional (y, x) of `at` (id, y, x), clamped to the grid. Up to 65,536 points come to the
+    fields' rows; more meet them by cell."""
+    few = at.count() <= 1 << 16
     y, x = F.least(F.greatest("y", F.lit(0.0)), F.lit(ny - 1.0)), F.least(F.greatest("x", F.lit(0.0)), F.lit(nx - 1.0))
     j0, i0 = F.least(F.floor(y), F.lit(max(ny - 2, 0))), F.least(F.floor(x), F.lit(max(nx - 2, 0)))
     p = at.withColumn("fy", y - j0).withColumn("fx", x - i0).withColumn("j0", j0).withColumn("i0", i0).withColumn("o_", _offsets([(0, 0), (0, 1), (1, 0), (1, 1)]))
     w = F.when(F.col("o_.dj") == 1, F.col("fy")).otherwise(1 - F.col("fy")) * F.when(F.col("o_.di") == 1, F.col("fx")).otherwise(1 - F.col("fx"))
     p = p.withColumn("w_", w).withColumn("j", (F.col("j0") + F.col("o_.dj")).cast("int")).withColumn("i", (F.col("i0") + F.col("o_.di")).cast("int"))
     known = F.when(F.col(value).isNotNull(), F.col("w_"))
-    return p.join(df, ["j", "i"]).groupBy(*keys, "id").agg((F.sum(F.col("w_") * F.col(value)) / F.nullif(F.sum(known), F.lit(0.0))).alias(value))
+    return df.join(F.broadcast(p) if few else p, ["j", "i"]).groupBy(*keys, "id").agg((F.sum(F.col("w_") * F.col(value)) / F.nullif(F.sum(known), F.lit(0.0))).alias(value))
 
 
 def majority(df: DataFrame, keys: Sequence[str], unit: str) -> DataFrame:
@@ -110,14 +112,21 @@ def majority(df: DataFrame, keys: Sequence[str], unit: str) -> DataFrame:
     return n.groupBy(*keys).agg(F.min_by(unit, F.struct(-F.col("n"), unit)).alias(unit), (F.max("n") / F.sum("n")).alias("share"))
 
 
-def register(radar: DataFrame, gauges: DataFrame, keys: Sequence[str], reach: int = 6, least: int = 30, gain: float = 0.03) -> DataFrame:
-    """The shift of the radar field (j, i, r) which correlates best, in square roots, with gauges (j, i, g): dj, di, r.
-    No shift, if fewer than `least` wet pairs remain or the gain is too small."""
+def register(radar: DataFrame, gauges: DataFrame, keys: Sequence[str], ny: int, nx: int, reach: int = 6, least: int = 30, gain: float = 0.03) -> DataFrame:
+    """The shift of the radar field (j, i, r) which correlates best with gauges (j, i, g): dj, di, r. Square roots are
+    compared, of the radar's 3 x 3 means (unknown cells are dry, the edge is repeated). No shift, if without one fewer than
+    `least` gauges have 1 or more on both, or if the best is not better by `gain`; of equals the first counts."""
+    box = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1)]
+    smooth = neighbourhood(radar.withColumn("r", F.coalesce("r", F.lit(0.0))), keys, "r", box, ny, nx, F.avg, "m_").select(*keys, "j", "i", F.sqrt("m_").alias("f_"))
     shifts = [(a, b) for a in range(-reach, reach + 1) for b in range(-reach, reach + 1)]
-    moved = gauges.withColumn("o_", _offsets(shifts)).select(*keys, "g", "o_.dj", "o_.di", (F.col("j") - F.col("o_.dj")).alias("j"), (F.col("i") - F.col("o_.di")).alias("i"))
-    scores = moved.join(radar, [*keys, "j", "i"]).where((F.col("g") > 0) | (F.col("r") > 0)).groupBy(*keys, "dj", "di").agg(F.corr(F.sqrt("g"), F.sqrt("r")).alias("c"), F.count("*").alias("n")).where((F.col("n") >= least) & F.col("c").isNotNull())
-    best = scores.groupBy(*keys).agg(F.min_by(F.struct("dj", "di", "c"), F.struct(-F.col("c"), F.abs("dj") + F.abs("di"), "dj", "di")).alias("b"), F.max(F.when((F.col("dj") == 0) & (F.col("di") == 0), F.col("c"))).alias("c0"))
-    use = F.col("b.c") - F.coalesce("c0", F.lit(-1.0)) >= gain
+    inside = gauges.where(F.col("g").isNotNull() & F.col("j").between(0, ny - 1) & F.col("i").between(0, nx - 1))
+    moved = inside.withColumn("o_", _offsets(shifts)).select(*keys, "g", "o_.dj", "o_.di", _clamped(F.col("j") - F.col("o_.dj"), ny).alias("j"), _clamped(F.col("i") - F.col("o_.di"), nx).alias("i"))
+    wet = (F.sqrt("g") >= 1) & (F.col("f_") >= 1)
+    flat = F.stddev_pop("f_") <= 0
+    scores = moved.join(smooth, [*keys, "j", "i"]).groupBy(*keys, "dj", "di").agg(F.when(flat, -1.0).otherwise(F.corr(F.sqrt("g"), "f_")).alias("c"), F.count_if(wet).alias("n"))
+    here = (F.col("dj") == 0) & (F.col("di") == 0)
+    best = scores.groupBy(*keys).agg(F.min_by(F.struct("dj", "di", "c"), F.struct(-F.round("c", 9), "dj", "di")).alias("b"), F.max(F.when(here, F.col("c"))).alias("c0"), F.max(F.when(here, F.col("n"))).alias("n"))
+    use = (F.col("n") >= least) & (F.col("b.c") - F.col("c0") >= gain)
     return best.select(*keys, F.when(use, F.col("b.dj")).otherwise(0).alias("dj"), F.when(use, F.col("b.di")).otherwise(0).alias("di"), F.when(use, F.col("b.c")).otherwise(F.col("c0")).alias("r"))
 
 
@@ -126,8 +135,8 @@ def field_bias(pairs: DataFrame, keys: Sequence[str], gauge: str, radar: str, lo
     return pairs.groupBy(*keys).agg(F.least(F.greatest(F.sum(gauge) / F.nullif(F.sum(radar), F.lit(0.0)), F.lit(lo)), F.lit(hi)).alias("bias"), F.count("*").alias("n"))
 
 
-def krige(points: DataFrame, targets: DataFrame, keys: Sequence[str], value: str, range_km: float = 40.0, nugget: float = 0.05) -> DataFrame:
-    """Ordinary kriging with an exponential variogram: points (keys, y, x in km, value), targets (keys, id, y, x); estimate
+def krige(points: DataFrame, targets: DataFrame, keys: Sequence[str], value: str, range_km: float = 40.0, nugget: float = 0.1) -> DataFrame:
+    """Ordinary kriging with an exponential variogram (95 % of the sill at range_km): points (keys, y, x in km, value), targets (keys, id, y, x); estimate
     and variance per target. A key's points are one network at one time: a bounded set, which one task solves."""
     schema = ", ".join(f"`{k}` {dict(targets.dtypes)[k]}" for k in keys) + ", id long, estimate double, variance double"
 
@@ -139,7 +148,7 @@ def krige(points: DataFrame, targets: DataFrame, keys: Sequence[str], value: str
         p, q = known[["y", "x"]].to_numpy(float), wanted[["y", "x"]].to_numpy(float)
         n = len(p)
         distance = lambda a, b: np.sqrt(((a[:, None] - b[None]) ** 2).sum(-1))
-        g = lambda d: np.where(d > 0, nugget + (1 - nugget) * (1 - np.exp(-d / range_km)), 0.0)
+        g = lambda d: np.where(d > 0, nugget + (1 - nugget) * (1 - np.exp(-3 * d / range_km)), 0.0)
         m = np.ones((n + 1, n + 1))
         m[:n, :n], m[n, n] = g(distance(p, p)), 0
         r = np.ones((n + 1, len(q)))
@@ -150,48 +159,72 @@ def krige(points: DataFrame, targets: DataFrame, keys: Sequence[str], value: str
     return points.select(*keys, "y", "x", value).groupBy(*keys).cogroup(targets.select(*keys, "id", "y", "x").groupBy(*keys)).applyInPandas(solve, schema)
 
 
-def gauge_check(df: DataFrame, keys: Sequence[str], value: str, radius_km: float = 15.0, dry: float = 0.1, wet: float = 5.0, spike: float = 8.0) -> DataFrame:
-    """Rejects gauges that are dry among wet neighbours or far above all of them, in order of id, each rejection taking
-    part in the next decision. df: keys, id, y, x (km), value. Adds kept. A key is one network at one time."""
+def gauge_check(df: DataFrame, keys: Sequence[str], value: str, radar: str, radius_km: float = 15.0) -> DataFrame:
+    """Rejects impossible values (below 0, or 1,500 and more); a gauge that is dry (below 0.5) where the radar has 15 or more
+    and the median of at least two neighbours is 10 or more; and one over 30 that is above three times the greatest of
+    neighbours and radar, plus 20. df: keys, id, y, x (km), value, radar (null: not seen). Gauges are judged in the order
+    of their ids, and a rejected one is nobody's neighbour any more, so a network (a key at one time) is one task's loop over
+    its suspects."""
     kinds = dict(df.dtypes)
     schema = ", ".join(f"`{k}` {kinds[k]}" for k in [*keys, "id", value]) + ", kept boolean"
 
     def check(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")
-        p, v = pdf[["y", "x"]].to_numpy(float), pdf[value].to_numpy(float)
-        kept = ~np.isnan(v)
-        for k in range(len(v)):
-            near = (np.hypot(*(p - p[k]).T) <= radius_km) & kept
+        y, x, g, r = (pdf[c].to_numpy(float) for c in ("y", "x", value, radar))
+        kept = (g >= 0) & (g < 1500)
+        for k in np.flatnonzero(kept & ((g < 0.5) | (g > 30))):
+            near = kept & (np.hypot(y - y[k], x - x[k]) <= radius_km)
             near[k] = False
-            if kept[k] and near.sum() >= 3:
-                m = np.median(v[near])
-                if (v[k] <= dry and m >= wet) or v[k] > spike * max(np.max(v[near]), wet):
-                    kept[k] = False
+            if near.sum() < 2:
+                continue
+            blocked = g[k] < 0.5 and r[k] >= 15 and np.median(g[near]) >= 10
+            dumped = g[k] > 30 and r[k] >= 0 and g[k] > 3 * max(g[near].max(), r[k]) + 20
+            kept[k] = not (blocked or dumped)
         return pdf[[*keys, "id", value]].assign(kept=kept)
 
-    return df.select(*keys, "id", "y", "x", value).groupBy(*keys).applyInPandas(check, schema)
-
-
-def convective(df: DataFrame, keys: Sequence[str], dbz: str, ny: int, nx: int, half: int = 5, strong: float = 40.0) -> DataFrame:
-    """Cells whose reflectivity is high, or stands out from the mean of the box around it by a margin that shrinks as that
-    mean grows. Box means are two running sums, over i and then over j."""
-    z = F.pow(F.lit(10.0), F.col(dbz) / 10.0)
-    w = Window.partitionBy(*keys, "j").orderBy("i").rangeBetween(-half, half)
-    rows = df.withColumn("s_", F.sum(z).over(w)).withColumn("n_", F.count(z).over(w))
-    w = Window.partitionBy(*keys, "i").orderBy("j").rangeBetween(-half, half)
-    rows = rows.withColumn("mean_", 10.0 * F.log10(F.sum("s_").over(w) / F.sum("n_").over(w)))
+    return df.select(*keys, "id", "y", "x", value, radar).groupBy(*keys).applyInPandas(check, schema)
+
+
+def _box_mean(df: DataFrame, keys: Sequence[str], value: str, half_j: int, half_i: int, ny: int, nx: int, out: str) -> DataFrame:
+    """Mean of the box around each cell, the edge repeated: two running sums, to which edge values are added as often as the
+    box reaches beyond."""
+    rows = df
+    for axis, other, half, n, source in (("i", "j", half_i, nx, value), ("j", "i", half_j, ny, "s_")):
+        line = Window.partitionBy(*keys, other).orderBy(axis)
+        ends = line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        beyond = F.greatest(half - F.col(axis), F.lit(0)) * F.first(source).over(ends) + F.greatest(half - (n - 1 - F.col(axis)), F.lit(0)) * F.last(source).over(ends)
+        rows = rows.withColumn("s_", F.sum(source).over(line.rangeBetween(-half, half)) + beyond)
+    return rows.withColumn(out, F.col("s_") / ((2 * half_i + 1) * (2 * half_j + 1))).drop("s_")
+
+
+def convective(df: DataFrame, keys: Sequence[str], dbz: str, ny: int, nx: int, half_j: int = 10, half_i: int = 10, strong: float = 40.0) -> DataFrame:
+    """Cells (complete fields of ny x nx) within reach of a core, and of at least 15 dBZ. A core has `strong` dBZ or more, or 25
+    or more and stands out from the mean of the box around it by a margin that shrinks as that mean grows; it reaches 1 to
+    5 cells, the farther the stronger its surroundings (cells count by the steps between them). A field without 25 dBZ
+    has none."""
+    z = F.coalesce(F.col(dbz), F.lit(-32.0))
+    rows = _box_mean(df.withColumn("z_", z).withColumn("l_", F.pow(F.lit(10.0), F.greatest("z_", F.lit(0.0)) / 10.0)), keys, "l_", half_j, half_i, ny, nx, "m_")
+    mean = 10.0 * F.log10(F.greatest("m_", F.lit(1.0)))
     margin = F.when(F.col("mean_") < 0, 10.0).when(F.col("mean_") < 42.43, 10.0 - F.pow("mean_", F.lit(2.0)) / 180.0).otherwise(0.0)
-    return rows.withColumn("convective", (F.col(dbz) >= strong) | (F.col(dbz) - F.col("mean_") >= margin)).drop("s_", "n_", "mean_")
-
-
-def despeckle(df: DataFrame, keys: Sequence[str], value: str, least_cells: int = 4, strong: float = 30.0, echo: float = 7.0) -> DataFrame:
-    """Removes connected echoes of fewer than least_cells cells whose peak is strong: isolated clutter. Four neighbours
-    connect. A field at one time is one bounded group."""
+    rows = rows.withColumn("mean_", mean).withColumn("core_", (F.col("z_") >= strong) | ((F.col("z_") - F.col("mean_") >= margin) & (F.col("z_") >= 25)))
+    reach = F.floor(F.least(F.greatest(1.0 + (F.col("mean_") - 25.0) / 5.0, F.lit(1.0)), F.lit(5.0))) - 1
+    steps = [(a, b) for a in range(-4, 5) for b in range(-4, 5) if abs(a) + abs(b) <= 4]
+    grown = rows.where("core_").select(*keys, "j", "i", reach.alias("reach_")).withColumn("o_", _offsets(steps)).where(F.abs("o_.dj") + F.abs("o_.di") <= F.col("reach_"))
+    grown = grown.select(*keys, (F.col("j") + F.col("o_.dj")).alias("j"), (F.col("i") + F.col("o_.di")).alias("i"), F.lit(True).alias("near_")).distinct()
+    near = rows.select(*df.columns, "z_").join(grown, [*keys, "j", "i"], "left")
+    return near.withColumn("convective", F.coalesce("near_", F.lit(False)) & (F.col("z_") >= 15)).select(*df.columns, "convective")
+
+
+def despeckle(df: DataFrame, keys: Sequence[str], value: str, least_cells: int = 4, strong: float = 30.0, echo: float = 12.0, clutter: str | None = None) -> DataFrame:
+    """speck: whether a cell belongs to a connected echo of fewer than least_cells cells whose peak is strong: isolated
+    clutter. Four neighbours connect. Cells marked in the boolean column `clutter` are unknown. clean: the value, without
+    echo (-32) at specks, null where unknown. A field at one time is one bounded group."""
     kinds = dict(df.dtypes)
-    schema = ", ".join(f"`{k}` {kinds[k]}" for k in [*keys, "j", "i", value]) + ", speck boolean"
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in [*keys, "j", "i", value]) + ", speck boolean, clean double"
 
     def mark(pdf: pd.DataFrame) -> pd.DataFrame:
-        cells = {(j, i): v for j, i, v in zip(pdf["j"], pdf["i"], pdf[value], strict=True) if v is not None and v >= echo}
+        known = pdf[value].where(~pdf[clutter].astype(bool)) if clutter else pdf[value]
+        cells = {(j, i): v for j, i, v in zip(pdf["j"], pdf["i"], known, strict=True) if v is not None and v >= echo}
         speck: set[tuple[int, int]] = set()
         todo = dict(cells)
         while todo:
@@ -207,7 +240,8 @@ def despeckle(df: DataFrame, keys: Sequence[str], value: str, least_cells: int =
                         stack.append(n)
             if len(part) < least_cells and max(cells[c] for c in part) >= strong:
                 speck.update(part)
-        return pdf[[*keys, "j", "i", value]].assign(speck=[(j, i) in speck for j, i in zip(pdf["j"], pdf["i"], strict=True)])
+        marks = pd.Series([(j, i) in speck for j, i in zip(pdf["j"], pdf["i"], strict=True)], index=pdf.index)
+        return pdf[[*keys, "j", "i", value]].assign(speck=marks, clean=known.where(~marks, -32.0))
 
     return df.groupBy(*keys).applyInPandas(mark, schema)
 

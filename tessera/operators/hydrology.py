@@ -2,24 +2,31 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.scalar import runoff_coefficient
+from tessera.operators.windows import fading_sum, spine
+
 
 @dataclass(frozen=True)
 class Loss:
-    """Initial loss and storage in mm, share of rain that runs off at once, memory of the wetness in hours."""
+    """In mm: runoff threshold p0 and retention s; the share alpha of each cell that runs after p0b mm, with its own
+    retention sb; the rate phi, above which rain runs off dry ground; in hours: the memory of the wetness."""
 
     p0: float = 150.0
     s: float = 150.0
-    quick: float = 0.016
-    phi: float = 40.0
+    phi: float | None = 40.0
     memory: float = 72.0
+    alpha: float = 0.016
+    p0b: float = 10.0
+    sb: float = 100.0
 
 
 def _kinds(df: DataFrame, names: Sequence[str]) -> str:
@@ -27,33 +34,32 @@ def _kinds(df: DataFrame, names: Sequence[str]) -> str:
     return ", ".join(f"`{n}` {kinds[n]}" for n in names)
 
 
-def net_rain_step(wet: np.ndarray, rain: np.ndarray, loss: Loss) -> tuple[np.ndarray, np.ndarray]:
-    """(wetness after, runoff) of one hour: saturation at mid-hour wetness, rain above the infiltration rate, and a quick
-    share of what is left."""
-    after = wet * np.exp(-1 / loss.memory) + rain
-    x = np.maximum(after - rain / 2 - loss.p0, 0)
-    share = x * (x + 2 * loss.s) / (x + loss.s) ** 2
-    left = rain * (1 - share)
-    excess = np.maximum(left - loss.phi, 0)
-    return after, rain * share + excess + loss.quick * (left - excess)
+def net_of(wet: Column, rain: Column, loss: Loss, excess: Column | None = None) -> Column:
+    """Net rain of an hour after which the wetness is `wet`: the saturated share at mid-hour wetness; of the rest, rain
+    above the rate phi (or `excess`, where it is known: that of the bursts within the hour, no more than the rain); and on
+    the share alpha all that its own small store does not hold."""
+    middle = wet - rain / 2
+    share = runoff_coefficient(middle, loss.p0, loss.s)
+    runs = rain * share
+    if loss.phi is not None:
+        above = F.greatest(rain - loss.phi, F.lit(0.0))
+        if excess is not None:
+            above = F.when(excess.isNotNull() & ~F.isnan(excess), F.least(excess, rain)).otherwise(above)
+        runs = runs + (1 - share) * above
+    return (1 - loss.alpha) * runs + loss.alpha * rain * runoff_coefficient(middle, loss.p0b, loss.sb)
 
 
-def net_rain(df: DataFrame, keys: Sequence[str], rain: str, loss: Loss = Loss()) -> DataFrame:
-    """Wetness and net rain of each hour from each key's first to its last; absent hours are dry. The series of one key
-    is one task's loop; keys go side by side."""
+def every_hour(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """keys, t and the total of value of each hour from each key's first to its last; absent hours have none."""
+    total = df.groupBy(*keys, "t").agg(F.sum(value).cast("double").alias(value))
+    return spine(total, keys).join(total, [*keys, "t"], "left").select(*keys, "t", F.coalesce(value, F.lit(0.0)).alias(value))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = pdf.groupby("t")[rain].sum()
-        axis = np.arange(total.index.min(), total.index.max() + 1)
-        p = total.reindex(axis, fill_value=0.0).to_numpy(float)
-        wet, out = 0.0, np.zeros((len(p), 2))
-        for k, x in enumerate(p):
-            wet, net = net_rain_step(wet, x, loss)
-            out[k] = wet, net
-        head = {c: pdf[c].iloc[0] for c in keys}
-        return pd.DataFrame({**head, "t": axis, "rain": p, "wetness": out[:, 0], "net": out[:, 1]})[[*keys, "t", "rain", "wetness", "net"]]
 
-    return df.select(*keys, "t", rain).groupBy(*keys).applyInPandas(run, f"{_kinds(df, keys)}, t long, rain double, wetness double, net double")
+def net_rain(df: DataFrame, keys: Sequence[str], rain: str, loss: Loss = Loss()) -> DataFrame:
+    """Wetness and net rain of each hour from each key's first to its last; absent hours are dry. The wetness is a fading
+    sum, so long series are many groups and nothing runs hour by hour."""
+    wet = fading_sum(every_hour(df, keys, rain), keys, rain, loss.memory, "wetness")
+    return wet.select(*keys, "t", F.col(rain).alias("rain"), "wetness", net_of(F.col("wetness"), F.col(rain), loss).alias("net"))
 
 
 def convolve(net: DataFrame, areas: DataFrame, cell: str, point: str) -> DataFrame:
@@ -64,64 +70,116 @@ def convolve(net: DataFrame, areas: DataFrame, cell: str, point: str) -> DataFra
 
 def linear_store(df: DataFrame, keys: Sequence[str], value: str, hours: float) -> DataFrame:
     """A linear reservoir: each hour it moves 1 - exp(-1 / hours) of the way to its inflow."""
-    c = 1 - np.exp(-1 / hours)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        s = pdf.set_index("t")[value]
-        axis = np.arange(s.index.min(), s.index.max() + 1)
-        v, q, out = s.reindex(axis, fill_value=0.0).to_numpy(float), 0.0, []
-        for x in v:
-            q += c * (x - q)
-            out.append(q)
-        return pd.DataFrame({**{k: pdf[k].iloc[0] for k in keys}, "t": axis, "routed": out})
-
-    return df.select(*keys, "t", value).groupBy(*keys).applyInPandas(run, f"{_kinds(df, keys)}, t long, routed double")
+    routed = fading_sum(every_hour(df, keys, value), keys, value, hours, "routed", 1 - math.exp(-1 / hours))
+    return routed.select(*keys, "t", "routed")
 
 
-def cascade(inflows: DataFrame, dams: pd.DataFrame, scenario: str, substeps: int = 4) -> DataFrame:
-    """Storage of a cascade of reservoirs in each scenario. inflows: scenario, dam, t, inflow (m3/s). dams (a small table,
-    upstream first): dam, capacity and start (hm3), weir (m3/s for hm3 ** 1.5 above capacity; NaN: no limit), outflow
-    (m3/s at rest), below (the dam it flows into) and lag_h. Gives volume, outflow and spill of each dam and hour."""
-    plan = dams.reset_index(drop=True)
-    hm3 = 3600 / 1e6
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        axis = np.arange(pdf["t"].min(), pdf["t"].max() + 1)
-        q = pdf.pivot_table(index="t", columns="dam", values="inflow", aggfunc="sum").reindex(axis, fill_value=0.0).fillna(0.0)
-        arriving = {d: q[d].to_numpy(float).copy() if d in q else np.zeros(len(axis)) for d in plan["dam"]}
-        parts = []
-        for dam in plan.itertuples():
-            v, inflow = float(dam.start), arriving[dam.dam]
-            out, spilled, volume = np.zeros(len(axis)), np.zeros(len(axis)), np.zeros(len(axis))
-            for k in range(len(axis)):
-                for _ in range(substeps):
-                    v += inflow[k] * hm3 / substeps
-                    rest = min(dam.outflow * hm3 / substeps, v)
-                    v -= rest
-                    over = max(v - dam.capacity, 0.0)
-                    spill = over if np.isnan(dam.weir) else min(over, dam.weir * over**1.5 * hm3 / substeps)
-                    v -= spill
-                    out[k] += (rest + spill) / hm3
-                    spilled[k] += spill / hm3
-                volume[k] = v
-            if dam.below in arriving:
-                lag = int(dam.lag_h)
-                arriving[dam.below][lag:] += out[: len(axis) - lag] if lag else out
-            parts.append(pd.DataFrame({scenario: pdf[scenario].iloc[0], "dam": dam.dam, "t": axis, "volume": volume, "outflow": out, "spill": spilled}))
-        return pd.concat(parts, ignore_index=True)
-
+@dataclass(frozen=True)
+class Dams:
+    """Reservoirs, upstream first. Volumes in hm3, flows in m3/s, heights in m.
+
+    spill: volume at the sill of the spillway; a, b, h0: level = h0 + (volume / a) ** (1 / b); sill: its level; rating: m3/s
+    of the spillway for each m ** 1.5 above the sill (NaN: no limit); outlet: what an always open outlet passes at the
+    spill volume (0: none), which goes with (volume / spill) ** exponent; release: what is let out otherwise, of which
+    river goes down the river; before: outflow to the river before the start; start: volume; above: for each dam the dams
+    that flow into it, and the hours (at least 1) that takes."""
+
+    spill: Sequence[float]
+    a: Sequence[float]
+    b: Sequence[float]
+    h0: Sequence[float]
+    sill: Sequence[float]
+    rating: Sequence[float]
+    outlet: Sequence[float]
+    release: Sequence[float]
+    river: Sequence[float]
+    before: Sequence[float]
+    start: Sequence[float]
+    above: Sequence[Sequence[tuple[int, int]]]
+    exponent: float = 0.5
+    substeps: int = 4
+
+
+def store_hours(own: np.ndarray, dams: Dams) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """own: inflow (scenario, hour, dam). Volume at the end of each hour, and its mean inflow, outflow to the river and spill."""
+    p = {f: np.array(getattr(dams, f), float) for f in ("spill", "a", "b", "h0", "sill", "rating", "outlet", "release", "river", "before")}
+    shape, hm3 = own.shape, 3600 / 1e6 / dams.substeps
+    volume, inflow, out, spilled = (np.zeros(shape) for _ in range(4))
+    now = np.broadcast_to(np.array(dams.start, float), (shape[0], shape[2])).copy()
+    river = np.minimum(p["river"], p["release"])
+    for t in range(shape[1]):
+        q = own[:, t].copy()
+        for d, ups in enumerate(dams.above):
+            for u, lag in ups:
+                q[:, d] += out[:, t - lag, u] if t >= lag else p["before"][u]
+        q = np.maximum(q, 0)
+        for _ in range(dams.substeps):
+            free = p["outlet"] * np.clip(now / p["spill"], 0, 4) ** dams.exponent
+            let = np.minimum(np.where(p["outlet"] > 0, free, p["release"]), now / hm3 + q)  # an empty reservoir lets out what comes in
+            level = p["h0"] + (np.maximum(now, 0) / p["a"]) ** (1 / p["b"])
+            able = p["rating"] * np.maximum(level - p["sill"], 0) ** 1.5
+            over = np.clip((now - p["spill"]) / hm3 + q - let, 0, np.where(np.isfinite(able), able, np.inf))
+            now = np.maximum(now + (q - let - over) * hm3, 0)
+            out[:, t] += (np.minimum(let, river) + over) / dams.substeps
+            spilled[:, t] += over / dams.substeps
+        volume[:, t], inflow[:, t] = now, q
+    return volume, inflow, out, spilled
+
+
+def cascade(inflows: DataFrame, dams: Dams, scenario: str, together: int = 64) -> DataFrame:
+    """Storage of a cascade of reservoirs in each scenario. inflows: scenario, dam (its place in dams), t, inflow (m3/s). Gives
+    volume, inflow, outflow and spill of each dam and hour. The hours of a scenario follow each other in one task, about
+    `together` scenarios side by side in numpy; a scenario has as many numbers as dams times hours. All start at the first
+    hour of any."""
+    first, last = inflows.agg(F.min("t"), F.max("t")).first()
+    n = len(dams.spill)
     kinds = dict(inflows.dtypes)
-    return inflows.groupBy(scenario).applyInPandas(run, f"`{scenario}` {kinds[scenario]}, dam {kinds['dam']}, t long, volume double, outflow double, spill double")
-
+    schema = f"`{scenario}` {kinds[scenario]}, dam {kinds['dam']}, t long, volume double, inflow double, outflow double, spill double"
+    if first is None:
+        return inflows.sparkSession.createDataFrame([], schema)
+    groups = max(1, -(-inflows.select(scenario).distinct().count() // together))
 
-def fit_level_volume(df: DataFrame, keys: Sequence[str], level: str, volume: str, candidates: Sequence[float]) -> DataFrame:
-    """a, b and h0 of volume = a (level - h0) ** b: for each h0 below the lowest level by one of the candidates, a line
-    through the logarithms; the one that leaves the least is kept."""
-    low = df.groupBy(*keys).agg(F.min(level).alias("low_"))
-    rows = df.join(low, list(keys)).withColumn("h0", F.explode(F.array(*[F.lit(float(c)) for c in candidates]))).withColumn("h0", F.col("low_") - F.col("h0")).where((F.col(volume) > 0) & (F.col(level) > F.col("h0")))
-    x, y = F.log(F.col(level) - F.col("h0")), F.log(volume)
-    fits = rows.select(*keys, "h0", x.alias("x"), y.alias("y")).groupBy(*keys, "h0").agg(F.regr_slope("y", "x").alias("b"), F.exp(F.regr_intercept("y", "x")).alias("a"), F.sqrt((F.regr_syy("y", "x") - F.pow(F.regr_sxy("y", "x"), F.lit(2.0)) / F.regr_sxx("y", "x")) / F.count("*")).alias("rms"))
-    return fits.where("rms is not null").groupBy(*keys).agg(F.min_by(F.struct("h0", "a", "b", "rms"), F.struct("rms", "h0")).alias("f")).select(*keys, "f.*")
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        names, at = np.unique(pdf[scenario].to_numpy(), return_inverse=True)
+        own = np.zeros((len(names), last - first + 1, n))
+        np.add.at(own, (at, pdf["t"].to_numpy() - first, pdf["dam"].to_numpy()), pdf["inflow"].to_numpy(float))
+        s, t, d = (x.ravel() for x in np.indices(own.shape))
+        columns = dict(zip(("volume", "inflow", "outflow", "spill"), (x.ravel() for x in store_hours(own, dams)), strict=True))
+        return pd.DataFrame({scenario: names[s], "dam": d, "t": t + first, **columns})
+
+    dealt = inflows.withColumn("group_", F.pmod(F.xxhash64(scenario), F.lit(groups)))
+    return dealt.groupBy("group_").applyInPandas(run, schema)
+
+
+def fit_level_volume(df: DataFrame, keys: Sequence[str], level: str, volume: str) -> DataFrame:
+    """volume = a (level - h0) ** b of each key: a, b, h0, rms (of the volumes), n, clipped (the volume at which the gauge stands
+    still while the level rises, or null).
+
+    A centimetre of level counts once, by its median volume; it goes if it is far (15 %, 0.02 at least) from the median of
+    itself and four neighbours on either side, where there are nine. Of levels at which three or more have the greatest
+    volume over more than 25 cm only the first stays. For each of 110 h0 below the lowest level a line goes through the
+    logarithms; of those with 1 <= b <= 6 the one that misses the volumes least is kept. Keys with fewer than four levels, or
+    less than 30 cm between them, have no fit."""
+    points = df.where((F.col(volume) > 0) & F.col(level).isNotNull()).groupBy(*keys, F.round(level, 2).alias("h")).agg(F.median(volume).alias("v"))
+    own, w = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("h").rowsBetween(-4, 4)
+    around = F.sort_array(F.collect_list("v").over(w))  # nine values at most
+    n = F.size("a_")
+    mid = (F.get("a_", F.floor((n - 1) / 2).cast("int")) + F.get("a_", F.floor(n / 2).cast("int"))) / 2
+    points = points.withColumns({"a_": around, "n_": F.count("*").over(own)}).withColumn("m_", mid).where((F.col("n_") < 9) | (F.abs(F.col("v") - F.col("m_")) <= F.greatest(0.15 * F.col("m_"), F.lit(0.02))))
+    points = points.withColumns({"n_": F.count("*").over(own), "low_": F.min("h").over(own), "high_": F.max("h").over(own), "top_": F.max("v").over(own)})
+    points = points.where("n_ >= 4 and high_ - low_ >= 0.3 - 1e-9")
+    flat = F.when(F.col("v") >= F.col("top_") * 0.9995, F.col("h"))
+    points = points.withColumns({"flat_": F.count(flat).over(own), "from_": F.min(flat).over(own), "to_": F.max(flat).over(own)})
+    stands = (F.col("flat_") >= 3) & (F.col("to_") - F.col("from_") > 0.25)
+    points = points.withColumn("clipped", F.when(stands, F.col("top_"))).where(~stands | (F.col("h") <= F.col("from_") + 1e-9)).withColumns({"n": F.count("*").over(own), "span_": F.greatest(F.max("h").over(own) - F.min("h").over(own), F.lit(1.0))})
+    near = F.transform(F.sequence(F.lit(0), F.lit(29)), lambda k: 0.05 + k * (2.95 / 29))
+    far = F.transform(F.sequence(F.lit(0), F.lit(79)), lambda k: 3.2 * F.pow(40.0 * F.col("span_") / 3.2, k / 79.0))
+    tried = points.select(*keys, "h", "v", "n", "clipped", "low_", F.posexplode(F.concat(near, far)).alias("try_", "d_")).withColumns({"h0": F.col("low_") - F.col("d_")}).withColumns({"x_": F.log(F.col("h") - F.col("h0")), "y_": F.log("v")})
+    lines = tried.groupBy(*keys, "try_").agg(F.regr_slope("y_", "x_").alias("b"), F.regr_intercept("y_", "x_").alias("la_")).where("b between 1 and 6")
+    missed = tried.join(lines, [*keys, "try_"]).groupBy(*keys, "try_").agg(
+        F.sqrt(F.avg(F.pow(F.exp(F.col("la_") + F.col("b") * F.col("x_")) - F.col("v"), F.lit(2.0)))).alias("rms"), F.exp(F.first("la_")).alias("a"), F.first("b").alias("b"), F.first("h0").alias("h0"), F.first("n").alias("n"), F.first("clipped").alias("clipped")
+    )
+    return missed.groupBy(*keys).agg(F.min_by(F.struct("a", "b", "h0", "rms", "n", "clipped"), F.struct("rms", "try_")).alias("f")).select(*keys, "f.*")
 
 
 def theil_sen(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:

@@ -44,8 +44,13 @@ def brier_skill(df: DataFrame, keys: Sequence[str], p: str, event: str, base: Co
     return out.withColumn("bss", 1.0 - _ratio(F.col("bs"), F.col("bs_ref"))).drop("o_")
 
 
-def reliability(df: DataFrame, keys: Sequence[str], p: str, event: str, bins: int = 10) -> DataFrame:
-    b = F.least(F.floor(F.col(p) * bins + 1e-9), F.lit(bins - 1)).cast("int")
+#: Edges of the bins of a reliability curve: narrow where forecasts of rare events are. Fixed values.
+EDGES = (0, 0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.7, 0.9)
+
+
+def reliability(df: DataFrame, keys: Sequence[str], p: str, event: str, edges: Sequence[float] = EDGES) -> DataFrame:
+    """Number, mean probability and event frequency by bin; a bin has its lower edge."""
+    b = F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]), lambda e: e <= F.col(p) + 1e-9)) - 1
     return df.groupBy(*keys, b.alias("bin")).agg(F.count("*").alias("n"), F.avg(p).alias("mean_p"), F.avg(F.col(event).cast("double")).alias("frequency"))
 
 
@@ -160,8 +165,8 @@ def isotonic(df: DataFrame, keys: Sequence[str], p: str, event: str, bins: int =
 
 
 def cost_loss_threshold(fitted: DataFrame, keys: Sequence[str], ratio: float, bins: int = 200) -> DataFrame:
-    """The least probability whose fitted frequency reaches the cost-loss ratio."""
-    return fitted.where(F.col("frequency") >= ratio).groupBy(*keys).agg((F.min("bin") / bins).alias("tau"))
+    """The least probability, 0.005 at least, whose fitted frequency reaches the cost-loss ratio."""
+    return fitted.where(F.col("frequency") >= ratio).groupBy(*keys).agg(F.round(F.greatest(F.min("bin") / bins, F.lit(0.005)), 3).alias("tau"))
 
 
 def feature_rank(df: DataFrame, others: DataFrame, keys: Sequence[str], group: str, value: str, least: int = 20) -> DataFrame:

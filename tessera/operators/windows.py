@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -130,11 +131,12 @@ def rate_of_change(df: DataFrame, keys: Sequence[str], value: str, back: int, le
 
 
 def median3(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
-    """Running median of a row and its neighbours, as a sum less extremes: no sort for each row."""
+    """Running median of a row and its neighbours, as a sum less extremes: no sort for each row. The first and the last
+    row, which lack a neighbour, stay as they are."""
     w = _by(keys, "t")
     a, b, c = F.lag(value).over(w), F.col(value), F.lead(value).over(w)
     middle = a + b + c - F.greatest(a, b, c) - F.least(a, b, c)
-    return df.withColumn(out, F.when(a.isNull() & c.isNull(), b).when(a.isNull(), (b + c) / 2).when(c.isNull(), (a + b) / 2).otherwise(middle))
+    return df.withColumn(out, F.when(a.isNull() | c.isNull(), b).otherwise(middle))
 
 
 def moving_mean(df: DataFrame, keys: Sequence[str], value: str, half: int, out: str) -> DataFrame:
@@ -192,14 +194,27 @@ def splice(past: DataFrame, forecast: DataFrame, bridge: DataFrame, keys: Sequen
     return axis.join(have, [*keys, "t"], "left").select(*keys, "t", F.coalesce(value, F.lit(0.0)).alias(value), label.alias("origin"))
 
 
-def antecedent_index(df: DataFrame, keys: Sequence[str], value: str, tau: float, out: str, reach: int | None = None) -> DataFrame:
-    """Exponentially decaying sum of the past. Weights below 1e-12 of the newest are left out, so a window of bounded
-    reach serves, and no sum overflows however long the series."""
-    reach = reach or int(np.ceil(tau * 27.7))
-    w = _by(keys, "t").rangeBetween(-reach, 0)
-    past = F.collect_list(F.struct("t", value)).over(w)
-    decayed = F.aggregate(past, F.lit(0.0), lambda acc, p: acc + p[value] * F.exp((p["t"] - F.col("t")) / tau))
-    return df.withColumn(out, decayed)
+def fading_sum(df: DataFrame, keys: Sequence[str], value: str, hours: float, out: str, gain: float = 1.0) -> DataFrame:
+    """gain times the sum of all values up to each row, each weighed by exp(-age / hours): what the recurrence
+    s[t] = exp(-1 / hours) s[t - 1] + gain v[t] gives, rows that are absent being 0.
+
+    Time is cut into blocks of 32 times `hours`. Within a block it is a running sum of values that were scaled to the
+    block's start; of what lies before the block, only the block before it still counts (older values weigh less than
+    e^-32 of their size). So a series of any length is many groups, and no scale overflows."""
+    size = max(1, math.ceil(32 * hours))
+    block = F.floor(F.col("t") / size)
+    since = (F.col("t") - F.col("block_") * size) / hours
+    rows = df.withColumn("block_", block)
+    carried = rows.groupBy(*keys, (F.col("block_") + 1).alias("block_")).agg(F.sum(F.col(value) * F.exp(since - size / hours)).alias("before_"))
+    within = F.sum(F.col(value) * F.exp(since)).over(Window.partitionBy(*keys, "block_").orderBy("t"))
+    both = rows.withColumn("within_", within).join(carried, [*keys, "block_"], "left")
+    total = (F.coalesce("within_", F.lit(0.0)) + F.coalesce("before_", F.lit(0.0))) * F.exp(-since) * gain
+    return both.withColumn(out, total).select(*df.columns, out)
+
+
+def antecedent_index(df: DataFrame, keys: Sequence[str], value: str, tau: float, out: str) -> DataFrame:
+    """Exponentially decaying sum of the past (see fading_sum)."""
+    return fading_sum(df, keys, value, tau, out)
 
 
 def _per_key(df: DataFrame, keys: Sequence[str], fn, schema: str) -> DataFrame:
@@ -228,37 +243,30 @@ def decluster(df: DataFrame, keys: Sequence[str], value: str, apart: int) -> Dat
     return _per_key(df.select(*keys, "t", value), keys, keep, _types(df, [*keys, "t", value]))
 
 
-def despike(df: DataFrame, keys: Sequence[str], value: str, drop: float = 0.6, band: float = 0.12, longest: int = 72, entry: float = 0.5) -> DataFrame:
-    """Plateaus that end in a fall of at least `drop` of their height in one step, stay within `band` for at most
-    `longest` rows, and were entered from below `entry` of it, become null; repeated until none is left."""
+def despike(df: DataFrame, keys: Sequence[str], value: str, left: float = 0.4, fall: float = 2.0, band: float = 0.12, longest: int = 72, entry: float = 0.5, passes: int = 4) -> DataFrame:
+    """Plateaus that end in one step, by a fall of over `fall` to less than `left` of their height, stay within `band` of it
+    for at most `longest` rows, and were entered from below `entry` of it, become null, with the two rows before and the
+    two after (the samples of the transition). Plateaus may be stacked, so up to `passes` passes look at what is left; each
+    judges all falls of the same rows. A key's series is one pass of numpy, as each pass depends on the one before."""
 
     def clean(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("t")
         v = pdf[value].to_numpy(float).copy()
-        for _ in range(len(v)):
-            known = np.flatnonzero(~np.isnan(v))
-            x = v[known]
-            found = False
-            for i in range(len(x) - 1):
-                if x[i] > 0 and x[i + 1] <= (1 - drop) * x[i]:
-                    j = i
-                    while j > 0 and i - j < longest and abs(x[j - 1] - x[i]) <= band * x[i]:
-                        j -= 1
-                    if j > 0 and x[j - 1] < entry * x[i]:
-                        v[known[j : i + 1]] = np.nan
-                        found = True
-                        break
-            if not found:
+        bad = np.zeros(len(v), bool)
+        for _ in range(passes):
+            rest = np.flatnonzero(~bad)
+            x = v[rest]
+            ends = np.flatnonzero((x[1:] < left * x[:-1]) & (x[:-1] - x[1:] > fall)).tolist()
+            before = bad.sum()
+            for end in ends:
+                begin = end
+                while begin > 0 and end - begin < longest and abs(x[begin - 1] - x[end]) <= band * x[end]:
+                    begin -= 1
+                if begin > 0 and x[begin - 1] < entry * x[end]:
+                    bad[rest[max(begin - 2, 0)] : rest[min(end + 2, len(rest) - 1)] + 1] = True
+            if bad.sum() == before:
                 break
+        v[bad] = np.nan
         return pdf.assign(clean=pd.Series(v, index=pdf.index).astype(object).where(~np.isnan(v), None))
 
     return _per_key(df.select(*keys, "t", value), keys, clean, f"{_types(df, [*keys, 't', value])}, clean double")
-
-
-def unroll(df: DataFrame, keys: Sequence[str], fn, schema: str) -> DataFrame:
-    """A recurrence over each key's rows in time order: fn gets a sorted frame and returns one."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return fn(pdf.sort_values("t"))
-
-    return _per_key(df, keys, run, schema)

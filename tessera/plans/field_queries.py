@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tessera.functions.scalar import blend_weight
 from tessera.operators import fields as X
 from tessera.operators.grids import disc
-from tessera.plans.catalogue import FIELD, field, hourly, hourly_sql, query, r6, table
+from tessera.operators.windows import step_end
+from tessera.plans.catalogue import FIELD, cents, field, query, r6, table
 
 NY, NX = 20, 10
 
@@ -26,12 +27,13 @@ def conditional_merge(spark: SparkSession, sf: str) -> DataFrame:
 BOX = ", ".join(f"({a}, {b})" for a, b in disc(12.0, 5.5, 4.4))
 
 
-@query(f"""WITH {FIELD}, g AS (SELECT plane, j, i, v * CAST(0.02 AS DOUBLE) AS g FROM field WHERE (j * 7 + i * 3) % 11 = 0), o(dj, di) AS (VALUES {BOX}),
-a AS (SELECT c.plane, c.j, c.i, max(g.g) AS top, count(g.g) AS n FROM field c, o LEFT JOIN g ON g.plane = c.plane AND g.j = least(greatest(c.j + dj, 0), {NY - 1}) AND g.i = least(greatest(c.i + di, 0), {NX - 1}) GROUP BY 1, 2, 3)
-SELECT plane, j, i, round(CASE WHEN n >= 3 THEN least(v, 3 * top + 20) ELSE v END, 6) AS v FROM field JOIN a USING (plane, j, i)""")
+@query(f"""WITH {FIELD}, g AS (SELECT plane, j, i, v * CAST(0.6 AS DOUBLE) AS g, v / CAST(8 AS DOUBLE) AS r, v * CAST(0.6 AS DOUBLE) >= 20 AND v * CAST(0.6 AS DOUBLE) > CAST(2.5 AS DOUBLE) * greatest(v / CAST(8 AS DOUBLE), 1) AS weak FROM field WHERE (j * 7 + i * 3) % 11 = 0), o(dj, di) AS (VALUES {BOX}),
+a AS (SELECT c.plane, c.j, c.i, max(g.g) AS top, count(g.g) AS n, coalesce(bool_or(weak), false) AS weak FROM field c, o LEFT JOIN g ON g.plane = c.plane AND g.j = least(greatest(c.j + dj, 0), {NY - 1}) AND g.i = least(greatest(c.i + di, 0), {NX - 1}) GROUP BY 1, 2, 3)
+SELECT plane, j, i, round(CASE WHEN n >= 3 AND NOT weak THEN least(v * 3, 3 * top + 20) ELSE v * 3 END, 6) AS v FROM field JOIN a USING (plane, j, i)""")
 def gauge_ceiling(spark: SparkSession, sf: str) -> DataFrame:
-    g = field(spark, sf).where((F.col("j") * 7 + F.col("i") * 3) % 11 == 0).select("plane", "j", "i", (F.col("v") * 0.02).alias("g"))
-    return X.ceiling(field(spark, sf), g, ["plane"], "v", disc(12.0, 5.5, 4.4), NY, NX).select("plane", "j", "i", *r6("v"))
+    f = field(spark, sf)
+    g = f.where((F.col("j") * 7 + F.col("i") * 3) % 11 == 0).select("plane", "j", "i", (F.col("v") * 0.6).alias("g"), (F.col("v") / 8).alias("r"))
+    return X.ceiling(f.withColumn("v", F.col("v") * 3), g, ["plane"], "v", disc(12.0, 5.5, 4.4), NY, NX).select("plane", "j", "i", *r6("v"))
 
 
 @query()
@@ -80,12 +82,15 @@ def advected_field(spark: SparkSession, sf: str) -> DataFrame:
     return X.advect(field(spark, sf), ["plane"], "v", 1.25, -0.5, NY, NX).select("plane", "j", "i", *r6("v"))
 
 
-@query(f"""WITH {hourly_sql()}, n AS (SELECT s AS member, t, t % 6 AS lead, c FROM hourly WHERE s < 20), d AS (SELECT s - 100 AS donor, t, c FROM hourly WHERE s BETWEEN 100 AND 104), w AS (SELECT *, CAST(0.5 AS DOUBLE) * (1 + cos(pi() * least(greatest((lead - 1) / CAST(3 AS DOUBLE), 0), 1))) AS w FROM n)
+@query(f"""WITH n AS (SELECT user_id AS member, CAST(ceil(epoch_us(ts) / 3600000000.0) AS BIGINT) AS t, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS c FROM events WHERE event_type <> 'view' GROUP BY 1, 2),
+d AS (SELECT user_id % 5 AS donor, CAST(ceil(epoch_us(ts) / 3600000000.0) AS BIGINT) AS t, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS c FROM events WHERE event_type = 'view' GROUP BY 1, 2),
+w AS (SELECT *, t % 6 AS lead, CAST(0.5 AS DOUBLE) * (1 + cos(pi() * least(greatest((t % 6 - 1) / CAST(3 AS DOUBLE), 0), 1))) AS w FROM n)
 SELECT member, w.t, lead, round(coalesce(w * w.c + (1 - w) * d.c, w.c), 4) AS c FROM w LEFT JOIN d ON d.donor = member % 5 AND d.t = w.t""")
 def blended_members(spark: SparkSession, sf: str) -> DataFrame:
-    h = hourly(spark, sf)
-    n = h.where("s < 20").select(F.col("s").alias("member"), "t", (F.col("t") % 6).alias("lead"), F.col("c").cast("double").alias("c"))
-    d = h.where("s BETWEEN 100 AND 104").select((F.col("s") - 100).alias("donor"), "t", F.col("c").cast("double").alias("c"))
-    keyed = n.select("member", "t", "c")
-    out = X.blend_members(keyed, d, 5, blend_weight((F.col("t") % 6).cast("double")), "c", ["t"])
+    """Every user is a member, with all events but views; the views of each fifth of the users are a donor."""
+    e = table(spark, sf, "events").select("user_id", "event_type", step_end(F.col("ts")).alias("t"), cents("value").alias("c"))
+    total = F.sum("c").cast("double").alias("c")
+    n = e.where("event_type <> 'view'").groupBy(F.col("user_id").alias("member"), "t").agg(total)
+    d = e.where("event_type = 'view'").groupBy((F.col("user_id") % 5).alias("donor"), "t").agg(total)
+    out = X.blend_members(n, d, 5, blend_weight((F.col("t") % 6).cast("double")), "c", ["t"])
     return out.select("member", "t", (F.col("t") % 6).alias("lead"), F.round("c", 4).alias("c"))

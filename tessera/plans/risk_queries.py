@@ -125,21 +125,38 @@ def zone_day_logistic(spark: SparkSession, sf: str) -> DataFrame:
 
 EFI = """WITH q AS (SELECT quantile_cont(l_quantity, [CAST(0.1 AS DOUBLE), CAST(0.3 AS DOUBLE), CAST(0.5 AS DOUBLE), CAST(0.7 AS DOUBLE), CAST(0.9 AS DOUBLE)]) AS qs FROM lineitem),
 c AS (SELECT qs[i] AS q, [CAST(0.1 AS DOUBLE), CAST(0.3 AS DOUBLE), CAST(0.5 AS DOUBLE), CAST(0.7 AS DOUBLE), CAST(0.9 AS DOUBLE)][i] AS p FROM q, range(1, 6) x(i)),
-f AS (SELECT l_suppkey AS k, p, asin(sqrt(p)) AS x, p - avg(CASE WHEN l_quantity <= q THEN CAST(1 AS DOUBLE) ELSE 0 END) AS gap FROM lineitem, c GROUP BY 1, 2, 3),
-d AS (SELECT k, (gap + lead(gap) OVER w) * (lead(x) OVER w - x) * 2 / pi() AS part FROM f WINDOW w AS (PARTITION BY k ORDER BY p)) SELECT k, round(least(greatest(sum(part), -1), 1), 6) AS efi FROM d GROUP BY k"""
+f AS (SELECT l_suppkey AS k, p, (p - avg(CASE WHEN l_quantity <= q THEN CAST(1 AS DOUBLE) ELSE 0 END)) / sqrt(p * (1 - p)) AS y FROM lineitem, c GROUP BY 1, 2),
+d AS (SELECT k, (y + lead(y) OVER w) / 2 * (lead(p) OVER w - p) * 2 / pi() AS part FROM f WINDOW w AS (PARTITION BY k ORDER BY p)) SELECT k, round(least(greatest(sum(part), -1), 1), 6) AS efi FROM d GROUP BY k"""
+
+
+EFI_LEVELS = [0.1, 0.3, 0.5, 0.7, 0.9]
+
+
+def climate(li: DataFrame) -> DataFrame:
+    """Quantiles of all rows, for each key."""
+    q = li.agg(F.percentile("v", F.array(*[F.lit(p) for p in EFI_LEVELS])).alias("q"))
+    pairs = F.explode(F.arrays_zip(F.array(*[F.lit(p) for p in EFI_LEVELS]).alias("p"), "q"))
+    return li.select("k").distinct().crossJoin(q).select("k", pairs.alias("x")).select("k", "x.p", "x.q")  # q is one row
 
 
 @query(EFI)
 def efi_index(spark: SparkSession, sf: str) -> DataFrame:
     li = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("k"), F.col("l_quantity").alias("v"))
-    ps = [0.1, 0.3, 0.5, 0.7, 0.9]
-    q = li.agg(F.percentile("v", F.array(*[F.lit(p) for p in ps])).alias("q"))
-    climate = li.select("k").distinct().crossJoin(q).select("k", F.explode(F.arrays_zip(F.array(*[F.lit(p) for p in ps]).alias("p"), "q")).alias("x")).select("k", "x.p", "x.q")  # q is one row
-    return E.forecast_index(li, climate, ["k"], "v").select("k", *r6("efi"))
+    return E.forecast_index(li, climate(li), ["k"], "v").select("k", *r6("efi"))
+
+
+@query(EFI.split(", f AS")[0].rstrip(",\n").split("f AS (SELECT")[0].rstrip().rstrip(",") + """,
+f AS (SELECT l_suppkey AS k, p, any_value(q) AS q, avg(CASE WHEN l_quantity <= q THEN CAST(1 AS DOUBLE) ELSE 0 END) AS f FROM lineitem, c GROUP BY 1, 2),
+g AS (SELECT k, p, q, f FROM f UNION ALL SELECT k, 0, arg_min(q, p), arg_min(f, p) FROM f GROUP BY k UNION ALL SELECT k, 1, arg_max(q, p), arg_max(f, p) FROM f GROUP BY k),
+h AS (SELECT *, asin(sqrt(p)) AS x, sqrt(p * (1 - p)) AS r FROM g), d AS (SELECT *, lead(p) OVER w AS p2, lead(q) OVER w AS q2, lead(f) OVER w AS f2, lead(x) OVER w - x AS dx, lead(r) OVER w - r AS dr FROM h WINDOW w AS (PARTITION BY k ORDER BY p))
+SELECT k, round(least(greatest(sum(CASE WHEN q2 > 20 THEN (1 - 2 * f) * dx - dr + (f2 - f) / (p2 - p) * ((2 * p - 1) * dx + dr) END) / sum(CASE WHEN q2 > 20 THEN dx - dr END), -1), 1), 6) AS efi FROM d WHERE p2 IS NOT NULL GROUP BY k""")
+def efi_closed_form(spark: SparkSession, sf: str) -> DataFrame:
+    li = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("k"), F.col("l_quantity").alias("v"))
+    return E.closed_forecast_index(li, climate(li), ["k"], "v", wet=20.0).select("k", *r6("efi"))
 
 
 @query("""WITH c AS (SELECT quantile_cont(l_quantity, CAST(0.9 AS DOUBLE)) AS cp, quantile_cont(l_quantity, CAST(0.99 AS DOUBLE)) AS ct FROM lineitem), q AS (SELECT l_suppkey AS k, quantile_cont(l_quantity, CAST(0.9 AS DOUBLE)) AS q FROM lineitem GROUP BY 1)
-SELECT k, round(CASE WHEN ct - cp >= CAST(0.5 AS DOUBLE) THEN (q - ct) / (ct - cp) END, 6) AS sot FROM q, c""")
+SELECT k, round((q - ct) / greatest(ct - cp, CAST(0.5 AS DOUBLE)), 6) AS sot FROM q, c""")
 def shift_of_tails(spark: SparkSession, sf: str) -> DataFrame:
     li = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("k"), F.col("l_quantity").alias("v"))
     c = li.agg(F.percentile("v", F.lit(0.9)).alias("c_p"), F.percentile("v", F.lit(0.99)).alias("c_top"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -123,10 +125,10 @@ def asof_latest_run(spark: SparkSession, sf: str) -> DataFrame:
     return J.runs_available(issues, runs, 7, 36, 3)
 
 
-@query(f"""WITH {hourly_sql('event_type')}, a AS (SELECT s, t FROM hourly WHERE t % 3 = 0), b AS (SELECT s, t, c FROM hourly WHERE t % 3 = 1) SELECT a.s, a.t, b.c AS known FROM a ASOF LEFT JOIN b ON a.s = b.s AND a.t >= b.t""")
+@query(f"""WITH {hourly_sql('event_type')}, a AS (SELECT s, t FROM hourly WHERE t % 2 = 0), b AS (SELECT s, t, c FROM hourly WHERE t % 2 = 1) SELECT a.s, a.t, b.c AS known FROM a ASOF LEFT JOIN b ON a.s = b.s AND a.t >= b.t""")
 def asof_value(spark: SparkSession, sf: str) -> DataFrame:
     h = hourly(spark, sf, "event_type")
-    return J.as_of(h.where("t % 3 = 0").select("s", "t"), h.where("t % 3 = 1").select("s", "t", "c"), ["s"], "c", "known")
+    return J.as_of(h.where("t % 2 = 0").select("s", "t"), h.where("t % 2 = 1").select("s", "t", "c"), ["s"], "c", "known")
 
 
 @query(f"""WITH {hourly_sql()}, r AS (SELECT s % 10 AS g, t, t - s % 60 AS run, max(c) AS c FROM hourly GROUP BY 1, 2, 3), w AS (SELECT g, t, run, c, d, CASE WHEN d = 0 THEN t - 1 ELSE t - 24 * d END AS last FROM r, range(3) x(d))
@@ -217,13 +219,12 @@ def upstream_closure_recursive(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"{UP} SELECT u.dst AS node, CAST(sum(v) AS BIGINT) AS v FROM up u JOIN edges e ON u.src = e.src GROUP BY 1")
 def flow_accumulation(spark: SparkSession, sf: str) -> DataFrame:
-    t = tree(spark, sf)
-    return R.accumulate(R.closure(t), t.select(F.col("src").alias("node"), "v"), "node", "v")
+    return R.tree_sums(tree(spark, sf).withColumnRenamed("src", "node"), "node", "dst", "v").select("node", "v")
 
 
 @query(f"{UP} SELECT dst AS node, CAST(max(steps) AS INT) AS level FROM up GROUP BY 1")
 def topological_levels(spark: SparkSession, sf: str) -> DataFrame:
-    return R.order(R.closure(tree(spark, sf)))
+    return R.tree_sums(tree(spark, sf).withColumnRenamed("src", "node"), "node", "dst", "v").select("node", "level")
 
 
 @query("SELECT s_nationkey AS river, s_suppkey AS code, lag(s_suppkey) OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS next FROM supplier")
@@ -238,12 +239,12 @@ def steepest_descent(spark: SparkSession, sf: str) -> DataFrame:
     return R.steepest(field(spark, sf), ["plane"], "v", NY, NX).withColumn("slope", F.round("slope", 6))
 
 
-@query(f"""{FW}, p AS (SELECT s_suppkey AS id, CAST(s_suppkey % 20 AS INT) AS pj, CAST(s_suppkey % 10 AS INT) AS pi FROM supplier), c AS (SELECT id, j, i, v, abs(j - pj) + abs(i - pi) AS d FROM p JOIN field ON plane = 0 AND abs(j - pj) <= 2 AND abs(i - pi) <= 2),
-r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY v DESC, d, j, i) AS k FROM c) SELECT id, j, i, v FROM r WHERE k = 1""")
+@query(f"""{FW}, p AS (SELECT s_suppkey AS id, CAST(s_suppkey % 20 AS INT) AS pj, CAST(s_suppkey % 10 AS INT) AS pi FROM supplier), c AS (SELECT plane, id, j, i, v, abs(j - pj) + abs(i - pi) AS d FROM p JOIN field ON abs(j - pj) <= 2 AND abs(i - pi) <= 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY plane, id ORDER BY v DESC, d, j, i) AS k FROM c) SELECT plane, id, j, i, v FROM r WHERE k = 1""")
 def snap_to_maximum(spark: SparkSession, sf: str) -> DataFrame:
     s = F.col("s_suppkey")
     points = table(spark, sf, "supplier").select(s.alias("id"), (s % 20).cast("int").alias("j"), (s % 10).cast("int").alias("i"))
-    return R.snap(points, field(spark, sf).where("plane = 0").drop("plane"), "v", 2)
+    return R.snap(points, field(spark, sf), ["plane"], "v", 2)
 
 
 @query("SELECT l_suppkey AS p, CAST(floor(l_quantity / 7) AS INT) AS lag_h, CAST(sum(l_linenumber) AS BIGINT) AS km2 FROM lineitem GROUP BY 1, 2")
@@ -262,66 +263,123 @@ def time_area_convolution(spark: SparkSession, sf: str) -> DataFrame:
     return Y.convolve(net, areas, "f", "p").withColumn("q", F.round("q", 2))
 
 
-@query()
+def _share_sql(wet: str, p0: float, s: float) -> str:
+    x = f"greatest({wet} - CAST({p0} AS DOUBLE), 0)"
+    return f"({x} * ({x} + 2 * CAST({s} AS DOUBLE)) / pow({x} + CAST({s} AS DOUBLE), 2))"
+
+
+def _fading_sql(hours: float, gain: float = 1.0) -> str:
+    """Every hour of each user, with the fading sum as one running sum: the days of these tables are few enough for it."""
+    age = f"(t - {START}) / CAST({hours} AS DOUBLE)"
+    return f"""{hourly_sql()}, axis AS (SELECT s, unnest(range(min(t), max(t) + 1)) AS t FROM hourly GROUP BY s), every AS (SELECT a.s, a.t, coalesce(h.c / CAST(100 AS DOUBLE), 0) AS rain FROM axis a LEFT JOIN hourly h ON a.s = h.s AND a.t = h.t),
+faded AS (SELECT *, {gain!r} * exp(-{age}) * sum(rain * exp({age})) OVER (PARTITION BY s ORDER BY t) AS x FROM every)"""
+
+
+LOSS = Y.Loss()
+
+
+@query(f"""WITH {_fading_sql(LOSS.memory)}, k AS (SELECT *, {_share_sql('(x - rain / 2)', LOSS.p0, LOSS.s)} AS c, {_share_sql('(x - rain / 2)', LOSS.p0b, LOSS.sb)} AS cb FROM faded)
+SELECT s, t, round(rain, 6) AS rain, round(x, 4) AS wetness, round((1 - {LOSS.alpha!r}) * (rain * c + (1 - c) * greatest(rain - {LOSS.phi!r}, 0)) + {LOSS.alpha!r} * rain * cb, 4) AS net FROM k""")
 def net_rain_recurrence(spark: SparkSession, sf: str) -> DataFrame:
-    return Y.net_rain(hourly(spark, sf).withColumn("rain", F.col("c") / 100.0), ["s"], "rain")
+    out = Y.net_rain(hourly(spark, sf).withColumn("rain", F.col("c") / 100.0), ["s"], "rain")
+    return out.select("s", "t", *r6("rain"), F.round("wetness", 4).alias("wetness"), F.round("net", 4).alias("net"))
 
 
-@query()
+@query(f"WITH {_fading_sql(6.0, 1 - math.exp(-1 / 6.0))} SELECT s, t, round(x, 4) AS routed FROM faded")
 def linear_store_routing(spark: SparkSession, sf: str) -> DataFrame:
-    return Y.linear_store(hourly(spark, sf).withColumn("q", F.col("c") / 100.0), ["s"], "q", 6.0)
+    out = Y.linear_store(hourly(spark, sf).withColumn("q", F.col("c") / 100.0), ["s"], "q", 6.0)
+    return out.select("s", "t", F.round("routed", 4).alias("routed"))
 
 
 @query()
 def reservoir_cascade(spark: SparkSession, sf: str) -> DataFrame:
-    import pandas as pd
-
-    dams = pd.DataFrame({"dam": [0, 1, 2], "capacity": [2.0, 3.0, 5.0], "start": [1.5, 1.0, 4.0], "weir": [400.0, float("nan"), 900.0], "outflow": [5.0, 8.0, 12.0], "below": [2, 2, -1], "lag_h": [2, 1, 0]})
-    q = hourly(spark, sf).groupBy((F.col("s") % 7).alias("member"), (F.col("s") % 3).alias("dam"), "t").agg((F.sum("c") / 100.0).alias("inflow"))
+    nan = float("nan")
+    dams = Y.Dams(
+        spill=[2.0, 3.0, 5.0], a=[0.01, 0.02, 0.02], b=[1.8, 1.7, 1.9], h0=[90.0, 60.0, 30.0], sill=[109.0, 79.0, 48.0], rating=[30.0, nan, 60.0], outlet=[0.0, 8.0, 0.0], release=[5.0, 8.0, 12.0],
+        river=[5.0, 8.0, 6.0], before=[5.0, 8.0, 6.0], start=[1.5, 1.0, 4.0], above=[[], [], [(0, 2), (1, 1)]],
+    )
+    q = hourly(spark, sf).groupBy((F.col("s") % 7).alias("member"), (F.col("s") % 3).cast("int").alias("dam"), "t").agg((F.sum("c") / 100.0).alias("inflow"))
     return Y.cascade(q, dams, "member")
 
 
-@query()
+@query("""WITH raw AS (SELECT l_suppkey AS k, round(100 + l_quantity / CAST(4 AS DOUBLE), 2) AS h, CASE WHEN l_quantity = 17 THEN 5 ELSE 1 END * CAST(0.02 AS DOUBLE) * pow(least(l_quantity, 44) + 3, CAST(1.8 AS DOUBLE)) * (1 + l_discount / 10) AS v FROM lineitem),
+p AS (SELECT k, h, median(v) AS v FROM raw GROUP BY 1, 2), m AS (SELECT *, median(v) OVER (PARTITION BY k ORDER BY h ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING) AS med, count(*) OVER (PARTITION BY k) AS n FROM p),
+g AS (SELECT k, h, v FROM m WHERE n < 9 OR abs(v - med) <= greatest(CAST(0.15 AS DOUBLE) * med, CAST(0.02 AS DOUBLE))), w AS (SELECT *, count(*) OVER o AS n, min(h) OVER o AS low, max(h) OVER o AS high, max(v) OVER o AS top FROM g WINDOW o AS (PARTITION BY k)),
+f AS (SELECT *, count(*) FILTER (WHERE v >= top * CAST(0.9995 AS DOUBLE)) OVER o AS flat, min(CASE WHEN v >= top * CAST(0.9995 AS DOUBLE) THEN h END) OVER o AS a, max(CASE WHEN v >= top * CAST(0.9995 AS DOUBLE) THEN h END) OVER o AS z FROM w WHERE n >= 4 AND high - low >= CAST(0.3 AS DOUBLE) - CAST(1e-9 AS DOUBLE) WINDOW o AS (PARTITION BY k)),
+c AS (SELECT k, h, v, low, CASE WHEN flat >= 3 AND z - a > CAST(0.25 AS DOUBLE) THEN top END AS clipped FROM f WHERE NOT (flat >= 3 AND z - a > CAST(0.25 AS DOUBLE)) OR h <= a + CAST(1e-9 AS DOUBLE)), s AS (SELECT *, count(*) OVER (PARTITION BY k) AS n, greatest(max(h) OVER (PARTITION BY k) - min(h) OVER (PARTITION BY k), 1) AS span FROM c),
+t AS (SELECT k, h, v, n, clipped, i, low - CASE WHEN i < 30 THEN CAST(0.05 AS DOUBLE) + i * (CAST(2.95 AS DOUBLE) / 29) ELSE CAST(3.2 AS DOUBLE) * pow(40 * span / CAST(3.2 AS DOUBLE), (i - 30) / CAST(79 AS DOUBLE)) END AS h0 FROM s, range(110) r(i)), l AS (SELECT k, i, regr_slope(ln(v), ln(h - h0)) AS b, regr_intercept(ln(v), ln(h - h0)) AS la FROM t GROUP BY 1, 2),
+e AS (SELECT t.k, t.i, any_value(b) AS b, any_value(n) AS n, any_value(clipped) AS clipped, sqrt(avg(pow(exp(la + b * ln(h - h0)) - v, 2))) AS rms FROM t JOIN l ON t.k = l.k AND t.i = l.i WHERE b BETWEEN 1 AND 6 GROUP BY 1, 2), best AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY rms, i) AS rank FROM e)
+SELECT k, round(b, 4) AS b, round(rms, 4) AS rms, n, round(clipped, 4) AS clipped FROM best WHERE rank = 1""")
 def level_volume_fit(spark: SparkSession, sf: str) -> DataFrame:
-    li = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("k"), (100 + F.col("l_quantity")).alias("h"), (0.02 * F.pow(F.col("l_quantity") + 3, F.lit(1.8)) * (1 + F.col("l_discount") / 10)).alias("v"))
-    return Y.fit_level_volume(li, ["k"], "h", "v", [0.5, 1, 2, 3, 4, 6, 8])
+    """A glitch at one level, and a gauge that stands still above another."""
+    q = F.col("l_quantity")
+    v = F.when(q == 17, 5.0).otherwise(1.0) * 0.02 * F.pow(F.least(q, F.lit(44.0)) + 3, F.lit(1.8)) * (1 + F.col("l_discount") / 10)
+    li = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("k"), (100 + q / 4).alias("h"), v.alias("v"))
+    return Y.fit_level_volume(li, ["k"], "h", "v").select("k", F.round("b", 4).alias("b"), F.round("rms", 4).alias("rms"), "n", F.round("clipped", 4).alias("clipped"))
 
 
-@query()
+NETWORK = "s_suppkey // 20"
+
+
+@query(f"""WITH p AS (SELECT {NETWORK} AS k, CAST(s_suppkey AS DOUBLE) AS x, s_acctbal AS y FROM supplier), s AS (SELECT a.k, median((b.y - a.y) / (b.x - a.x)) AS slope FROM p a JOIN p b ON a.k = b.k AND a.x < b.x GROUP BY 1)
+SELECT k, round(any_value(slope), 5) AS slope, round(median(y - slope * x), 3) AS intercept FROM s JOIN p USING (k) GROUP BY k""")
 def theil_sen_slope(spark: SparkSession, sf: str) -> DataFrame:
-    s = table(spark, sf, "supplier").select((F.col("s_nationkey") % 5).alias("k"), F.col("s_suppkey").cast("double").alias("x"), "s_acctbal")
-    return Y.theil_sen(s, ["k"], "x", "s_acctbal")
+    """Sections of 20 points each, however many sections there are."""
+    s = table(spark, sf, "supplier").select(F.floor(F.col("s_suppkey") / 20).alias("k"), F.col("s_suppkey").cast("double").alias("x"), "s_acctbal")
+    return Y.theil_sen(s, ["k"], "x", "s_acctbal").select("k", F.round("slope", 5).alias("slope"), F.round("intercept", 3).alias("intercept"))
+
+
+def network(spark: SparkSession, sf: str) -> DataFrame:
+    """Networks of 20 gauges each."""
+    at = lambda m, n: (F.col("s_suppkey") * m % n).cast("double")
+    return table(spark, sf, "supplier").select(F.floor(F.col("s_suppkey") / 20).alias("k"), F.col("s_suppkey").alias("id"), at(13, 23).alias("y"), at(29, 19).alias("x"), F.greatest(F.col("s_acctbal") / 100, F.lit(0.0)).alias("v"))
 
 
 @query()
 def kriging_merge(spark: SparkSession, sf: str) -> DataFrame:
-    points = table(spark, sf, "supplier").select((F.col("s_suppkey") % 3).alias("k"), (F.col("s_suppkey") * 13 % 97).cast("double").alias("y"), (F.col("s_suppkey") * 29 % 89).cast("double").alias("x"), F.sqrt(F.abs("s_acctbal")).alias("v"))
-    targets = spark.range(300).select((F.col("id") % 3).alias("k"), F.col("id"), (F.col("id") % 90).cast("double").alias("y"), (F.col("id") * 7 % 90).cast("double").alias("x"))
+    points = network(spark, sf).withColumn("v", F.sqrt("v"))
+    n = F.explode(F.sequence(F.lit(0), F.lit(9)))
+    targets = points.select("k").distinct().withColumn("n", n).select("k", (F.col("k") * 10 + F.col("n")).alias("id"), (F.col("n") * 3.0).alias("y"), (F.col("n") * 7 % 20).cast("double").alias("x"))
     return G.krige(points, targets, ["k"], "v")
 
 
 @query()
 def gauge_quality_check(spark: SparkSession, sf: str) -> DataFrame:
-    p = table(spark, sf, "supplier").select((F.col("s_suppkey") % 3).alias("k"), F.col("s_suppkey").alias("id"), (F.col("s_suppkey") * 13 % 97).cast("double").alias("y"), (F.col("s_suppkey") * 29 % 89).cast("double").alias("x"), F.greatest(F.col("s_acctbal") / 100, F.lit(0.0)).alias("v"))
-    return G.gauge_check(p, ["k"], "v")
+    g = F.when(F.col("id") % 9 == 0, 0.0).when(F.col("id") % 11 == 0, 900.0 + F.col("v")).otherwise(F.col("v"))
+    p = network(spark, sf).withColumn("r", F.when(F.col("id") % 5 > 0, F.col("v"))).withColumn("v", g)
+    return G.gauge_check(p, ["k"], "v", "r")
 
 
-@query()
+CORES = f"""{FW}, o(a, b) AS (SELECT a, b FROM range(-2, 3) x(a), range(-2, 3) y(b)), z AS (SELECT plane, j, i, v * CAST(1.1 AS DOUBLE) - 8 AS z FROM field),
+m AS (SELECT c.plane, c.j, c.i, any_value(c.z) AS z, 10 * log10(avg(pow(10, greatest(n.z, 0) / 10))) AS mean FROM z c, o JOIN z n ON n.plane = c.plane AND n.j = least(greatest(c.j + a, 0), {NY - 1}) AND n.i = least(greatest(c.i + b, 0), {NX - 1}) GROUP BY 1, 2, 3),
+core AS (SELECT *, floor(least(greatest(1 + (mean - 25) / 5, 1), 5)) - 1 AS reach FROM m WHERE z >= 40 OR (z >= 25 AND z - mean >= CASE WHEN mean < 0 THEN 10 WHEN mean < CAST(42.43 AS DOUBLE) THEN 10 - mean * mean / 180 ELSE 0 END))"""
+
+
+@query(f"{CORES} SELECT m.plane, m.j, m.i, round(m.z, 6) AS v, m.z >= 15 AND EXISTS (SELECT 1 FROM core c WHERE c.plane = m.plane AND abs(c.j - m.j) + abs(c.i - m.i) <= c.reach) AS convective FROM m")
 def convective_cells(spark: SparkSession, sf: str) -> DataFrame:
-    return G.convective(field(spark, sf), ["plane"], "v", NY, NX)
+    z = field(spark, sf).withColumn("v", F.col("v") * 1.1 - 8)
+    # only whole fields: the last one of a table may end early
+    return G.convective(z, ["plane"], "v", NY, NX, 2, 2).select("plane", "j", "i", *r6("v"), "convective")
 
 
-@query()
+@query(f"""WITH RECURSIVE {FIELD}, f AS (SELECT plane, j, i, CASE WHEN (j * 3 + i) % 17 = 0 THEN NULL WHEN v > 35 THEN v ELSE 0 END AS v FROM field), e AS (SELECT plane, j, i, j * {NX} + i AS c, v FROM f WHERE v >= 12),
+walk AS (SELECT plane, c AS start, c FROM e UNION SELECT w.plane, w.start, n.c FROM walk w JOIN e m ON m.plane = w.plane AND m.c = w.c JOIN e n ON n.plane = m.plane AND abs(n.j - m.j) + abs(n.i - m.i) = 1),
+parts AS (SELECT w.plane, w.start AS c, count(*) < 4 AND max(e.v) >= 30 AS speck FROM walk w JOIN e ON e.plane = w.plane AND e.c = w.c GROUP BY 1, 2)
+SELECT f.plane, f.j, f.i, coalesce(speck, false) AS speck, CASE WHEN coalesce(speck, false) THEN -32 ELSE f.v END AS clean FROM f LEFT JOIN parts p ON p.plane = f.plane AND p.c = f.j * {NX} + f.i""")
 def despeckle_echoes(spark: SparkSession, sf: str) -> DataFrame:
-    f = field(spark, sf).withColumn("v", F.when(F.col("v") > 30, F.col("v")).otherwise(0.0))
-    return G.despeckle(f, ["plane"], "v")
+    f = field(spark, sf).withColumn("v", F.when(F.col("v") > 35, F.col("v")).otherwise(0.0)).withColumn("static", (F.col("j") * 3 + F.col("i")) % 17 == 0)
+    return G.despeckle(f, ["plane"], "v", clutter="static").select("plane", "j", "i", "speck", "clean")
 
 
-@query()
+@query(f"""{FW}, g AS (SELECT plane, j + 1 AS j, i - 2 AS i, sqrt(v * CAST(1.1 AS DOUBLE)) AS g FROM field WHERE (j * 7 + i) % 3 = 0 AND j + 1 < {NY} AND i - 2 >= 0), b(a, b) AS (SELECT a, b FROM range(-1, 2) x(a), range(-1, 2) y(b)),
+r AS (SELECT c.plane, c.j, c.i, sqrt(avg(n.v)) AS f FROM field c, b JOIN field n ON n.plane = c.plane AND n.j = least(greatest(c.j + b.a, 0), {NY - 1}) AND n.i = least(greatest(c.i + b.b, 0), {NX - 1}) GROUP BY 1, 2, 3), o(dj, di) AS (SELECT a, b FROM range(-3, 4) x(a), range(-3, 4) y(b)),
+s AS (SELECT g.plane, dj, di, corr(g, f) AS c, count(*) FILTER (WHERE g >= 1 AND f >= 1) AS n FROM g, o JOIN r ON r.plane = g.plane AND r.j = least(greatest(g.j - dj, 0), {NY - 1}) AND r.i = least(greatest(g.i - di, 0), {NX - 1}) GROUP BY 1, 2, 3),
+k AS (SELECT *, row_number() OVER (PARTITION BY plane ORDER BY round(c, 9) DESC, dj, di) AS rank, max(CASE WHEN dj = 0 AND di = 0 THEN c END) OVER (PARTITION BY plane) AS c0, max(CASE WHEN dj = 0 AND di = 0 THEN n END) OVER (PARTITION BY plane) AS n0 FROM s)
+SELECT plane, CAST(CASE WHEN n0 >= 30 AND c - c0 >= CAST(0.03 AS DOUBLE) THEN dj ELSE 0 END AS INT) AS dj, CAST(CASE WHEN n0 >= 30 AND c - c0 >= CAST(0.03 AS DOUBLE) THEN di ELSE 0 END AS INT) AS di, round(CASE WHEN n0 >= 30 AND c - c0 >= CAST(0.03 AS DOUBLE) THEN c ELSE c0 END, 6) AS r FROM k WHERE rank = 1""")
 def radar_registration(spark: SparkSession, sf: str) -> DataFrame:
     r = field(spark, sf).select("plane", "j", "i", F.col("v").alias("r"))
-    g = field(spark, sf).select("plane", (F.col("j") + 1).alias("j"), (F.col("i") - 2).alias("i"), (F.col("v") * 1.1).alias("g")).where("(j * 7 + i) % 3 = 0")
-    return G.register(r, g, ["plane"], 3)
+    g = field(spark, sf).where("(j * 7 + i) % 3 = 0").select("plane", (F.col("j") + 1).alias("j"), (F.col("i") - 2).alias("i"), (F.col("v") * 1.1).alias("g"))
+    return G.register(r, g, ["plane"], NY, NX, 3).select("plane", "dj", "di", *r6("r"))
 
 
 @query("""SELECT p_partkey AS k, round(least(greatest(1 - log10(greatest(p_retailprice, 1)) / 15, CAST(0.5 AS DOUBLE)), 1), 6) AS arf, round(20 * pow(6, ln(CAST(3 AS DOUBLE)) / ln(CAST(12 AS DOUBLE))), 6) AS t6,

@@ -109,7 +109,7 @@ def brier_skill_strata(spark: SparkSession, sf: str) -> DataFrame:
     return V.brier_skill(forecasts(spark, sf), ["yr"], "p", "event", weight="w").select("yr", "n", *r6("bs", "bs_ref", "bss"))
 
 
-@query(f"{FX} SELECT status, least(CAST(floor(p * 10 + 1e-9) AS INT), 9) AS bin, count(*) AS n, round(avg(p), 6) AS mean_p, round(avg(CAST(event AS INT)), 6) AS frequency FROM f GROUP BY 1, 2")
+@query(f"{FX} SELECT status, CAST(len(list_filter([0, 0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.7, 0.9], lambda e: e <= p + 1e-9)) - 1 AS INT) AS bin, count(*) AS n, round(avg(p), 6) AS mean_p, round(avg(CAST(event AS INT)), 6) AS frequency FROM f GROUP BY 1, 2")
 def reliability_bins(spark: SparkSession, sf: str) -> DataFrame:
     return V.reliability(forecasts(spark, sf), ["status"], "p", "event").select("status", "bin", "n", *r6("mean_p", "frequency"))
 
@@ -235,12 +235,18 @@ def bootstrap_csi(spark: SparkSession, sf: str) -> DataFrame:
     return V.bootstrap(f, "grp", ["h", "any"], F.col("h") / F.nullif(F.col("any").cast("double"), F.lit(0.0)))
 
 
-@query()
+#: Isotonic fit without pooling: the greatest, over bins at or below, of the least mean over runs of bins from there on.
+ISO = f"""{FX}, h AS (SELECT status, CAST(least(floor(p * 200 + 1e-9), 200) AS INT) AS bin, count(*) AS n, count(*) FILTER (WHERE event) AS hits FROM f GROUP BY 1, 2), c AS (SELECT *, sum(n) OVER w AS cn, sum(hits) OVER w AS ch FROM h WINDOW w AS (PARTITION BY status ORDER BY bin)),
+m AS (SELECT a.status, a.bin AS a, b.bin AS b, (b.ch - a.ch + a.hits) / CAST(b.cn - a.cn + a.n AS DOUBLE) AS mean FROM c a JOIN c b ON a.status = b.status AND a.bin <= b.bin), l AS (SELECT x.status, x.bin, m.a, min(m.mean) AS least FROM c x JOIN m ON m.status = x.status AND m.a <= x.bin AND m.b >= x.bin GROUP BY 1, 2, 3),
+iso AS (SELECT status, bin, max(least) AS frequency FROM l GROUP BY 1, 2)"""
+
+
+@query(f"{ISO} SELECT status, bin, n, round(frequency, 6) AS frequency FROM iso JOIN h USING (status, bin)")
 def isotonic_calibration(spark: SparkSession, sf: str) -> DataFrame:
-    return V.isotonic(forecasts(spark, sf), ["status"], "p", "event")
+    return V.isotonic(forecasts(spark, sf), ["status"], "p", "event").select("status", "bin", "n", *r6("frequency"))
 
 
-@query()
+@query(f"{ISO} SELECT status, round(greatest(min(bin) / CAST(200 AS DOUBLE), CAST(0.005 AS DOUBLE)), 3) AS tau FROM iso WHERE frequency >= CAST(0.33 AS DOUBLE) GROUP BY status")
 def cost_loss_threshold(spark: SparkSession, sf: str) -> DataFrame:
     return V.cost_loss_threshold(V.isotonic(forecasts(spark, sf), ["status"], "p", "event"), ["status"], 0.33)
 

@@ -19,13 +19,13 @@ def closed(df: DataFrame, spark: SparkSession) -> DataFrame:
     return S.last_batch(spark, S.run_once(df, "complete"))
 
 
-@query("SELECT event_type, CAST(floor(epoch_us(ts) / 3600000000) AS BIGINT) + 1 AS t, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS c FROM events GROUP BY 1, 2")
+@query("SELECT event_type, CAST(ceil(epoch_us(ts) / 3600000000.0) AS BIGINT) AS t, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS c FROM events GROUP BY 1, 2")
 def stream_tumbling_hours(spark: SparkSession, sf: str) -> DataFrame:
     out = closed(S.tumbling(events(spark, sf), ["event_type"], "ts", "1 hour", [F.count("*").alias("n"), F.sum("c").alias("c")]), spark)
     return out.select("event_type", F.floor(F.unix_seconds("t") / 3600).alias("t"), "n", "c")
 
 
-@query("""WITH e AS (SELECT event_type, CAST(floor(epoch_us(ts) / 3600000000) AS BIGINT) AS h, CAST(round(value * 100) AS BIGINT) AS c FROM events) SELECT event_type, h // 6 * 6 + 6 + 6 * k AS t, CAST(sum(c) AS BIGINT) AS c FROM e, range(2) x(k) GROUP BY 1, 2""")
+@query("""WITH e AS (SELECT event_type, CAST(ceil(epoch_us(ts) / 21600000000.0) AS BIGINT) * 6 AS h, CAST(round(value * 100) AS BIGINT) AS c FROM events) SELECT event_type, h + 6 * k AS t, CAST(sum(c) AS BIGINT) AS c FROM e, range(2) x(k) GROUP BY 1, 2""")
 def stream_sliding_12h(spark: SparkSession, sf: str) -> DataFrame:
     out = closed(S.sliding(events(spark, sf), ["event_type"], "ts", "12 hours", "6 hours", [F.sum("c").alias("c")]), spark)
     return out.select("event_type", F.floor(F.unix_seconds("t") / 3600).alias("t"), "c")

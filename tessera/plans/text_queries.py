@@ -49,9 +49,9 @@ def accumulation_parameters(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select(F.col("p_partkey").alias("k"), x["hours"].alias("hours"), x["value"].alias("value"))
 
 
-@query("""SELECT doc_id, trim(regexp_replace(translate(lower(left(text, 60)), 'áàâäãéèêëíìîïóòôöõúùûüñç', 'aaaaaeeeeiiiiooooouuuunc'), '[^a-z0-9]+', ' ', 'g')) AS key FROM documents""")
+@query("""SELECT doc_id, trim(regexp_replace(translate(lower(text), 'áàâäãéèêëíìîïóòôöõúùûüñç', 'aaaaaeeeeiiiiooooouuuunc'), '[^a-z0-9]+', ' ', 'g')) AS key FROM documents""")
 def folded_search_key(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", S.fold_text(F.substring("text", 1, 60)).alias("key"))
+    return table(spark, sf, "documents").select("doc_id", S.fold_text(F.col("text")).alias("key"))
 
 
 @query("""SELECT s_suppkey AS id, CAST(s_nationkey AS BIGINT) AS zone, CASE WHEN s_acctbal < 0 THEN 4 WHEN s_acctbal < 3000 THEN 3 ELSE 2 END AS level, s_acctbal AS mm FROM supplier""")

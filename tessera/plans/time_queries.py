@@ -102,7 +102,7 @@ def rate_of_change_3h(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""{H}, w AS (SELECT s, t, c, lag(c) OVER x AS a, lead(c) OVER x AS b FROM hourly WINDOW x AS (PARTITION BY s ORDER BY t))
-SELECT s, t, CAST(CASE WHEN a IS NULL AND b IS NULL THEN c WHEN a IS NULL THEN (c + b) / 2.0 WHEN b IS NULL THEN (a + c) / 2.0 ELSE a + b + c - greatest(a, b, c) - least(a, b, c) END AS DOUBLE) AS middle FROM w""")
+SELECT s, t, CAST(CASE WHEN a IS NULL OR b IS NULL THEN c ELSE a + b + c - greatest(a, b, c) - least(a, b, c) END AS DOUBLE) AS middle FROM w""")
 def median3_filter(spark: SparkSession, sf: str) -> DataFrame:
     h = hourly(spark, sf).withColumn("c", F.col("c").cast("double"))
     return W.median3(h, ["s"], "c", "middle").select("s", "t", "middle")
@@ -165,7 +165,7 @@ def with_past_splice(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""WITH {hourly_sql('event_type')} SELECT a.s, a.t, round(sum(b.c * exp((b.t - a.t) / CAST(24 AS DOUBLE))), 4) AS api FROM hourly a JOIN hourly b ON a.s = b.s AND b.t BETWEEN a.t - 665 AND a.t GROUP BY a.s, a.t""")
 def antecedent_index(spark: SparkSession, sf: str) -> DataFrame:
-    return W.antecedent_index(hourly(spark, sf, "event_type"), ["s"], "c", 24.0, "api", 665).select("s", "t", F.round("api", 4).alias("api"))
+    return W.antecedent_index(hourly(spark, sf, "event_type"), ["s"], "c", 24.0, "api").select("s", "t", F.round("api", 4).alias("api"))
 
 
 @query()

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 from uuid import uuid4
@@ -13,11 +12,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tessera.sources.storage import durable_folder
+
 
 def work_folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which the cluster shares; a local one where none is set (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-stream-")
-    return f"{base}/stream-{uuid4().hex}"
+    """A new folder under the one that the cluster shares."""
+    return f"{durable_folder(spark)}/stream-{uuid4().hex}"
 
 
 def read_files(spark: SparkSession, path: str, files_at_once: int = 8) -> DataFrame:
@@ -32,14 +32,21 @@ def event_time(df: DataFrame, ts: str, late: str) -> DataFrame:
     return df.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
 
 
-def tumbling(df: DataFrame, keys: Sequence[str], ts: str, width: str, aggs: Sequence[Column]) -> DataFrame:
+def _just_before(df: DataFrame, ts: str, late: str | None) -> DataFrame:
+    """end_, a microsecond before ts: windows are left-closed, so those of it are right-closed in ts. On a stream, late gives
+    it a watermark of its own."""
+    moved = df.withColumn("end_", F.col(ts) - F.expr("INTERVAL 1 MICROSECOND"))
+    return moved.withWatermark("end_", late) if late and df.isStreaming else moved
+
+
+def tumbling(df: DataFrame, keys: Sequence[str], ts: str, width: str, aggs: Sequence[Column], late: str | None = None) -> DataFrame:
     """Right-closed windows: a moment that ends a window belongs to it. t is the window's end."""
-    moved = df.withColumn("w_", F.window(F.col(ts) - F.expr("INTERVAL 1 MICROSECOND"), width)) if not df.isStreaming else df.withColumn("w_", F.window(ts, width))
-    return moved.groupBy(*keys, "w_").agg(*aggs).withColumn("t", F.col("w_.end")).drop("w_")
+    return sliding(df, keys, ts, width, width, aggs, late)
 
 
-def sliding(df: DataFrame, keys: Sequence[str], ts: str, width: str, step: str, aggs: Sequence[Column]) -> DataFrame:
-    return df.groupBy(*keys, F.window(ts, width, step).alias("w_")).agg(*aggs).withColumn("t", F.col("w_.end")).drop("w_")
+def sliding(df: DataFrame, keys: Sequence[str], ts: str, width: str, step: str, aggs: Sequence[Column], late: str | None = None) -> DataFrame:
+    """Right-closed windows of `width` that end every `step`."""
+    return _just_before(df, ts, late).groupBy(*keys, F.window("end_", width, step).alias("w_")).agg(*aggs).withColumn("t", F.col("w_.end")).drop("w_")
 
 
 def sessions(df: DataFrame, keys: Sequence[str], ts: str, gap: str | Column, aggs: Sequence[Column]) -> DataFrame:

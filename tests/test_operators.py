@@ -55,10 +55,14 @@ def test_events_and_episodes(spark):
     assert [r.episode for r in W.merge_intervals(iv, ["k"], "a", "b").orderBy("a").collect()] == [0, 0, 1]
 
 
-def test_despike_removes_a_plateau_and_nothing_else(spark):
-    v = [1.0, 1.2, 9.0, 9.1, 9.0, 1.1, 3.0, 2.9]
+def test_despike_removes_a_plateau_and_the_samples_around_it(spark):
+    v = [1.0, 1.1, 1.2, 1.1, 9.0, 9.1, 9.0, 1.1, 1.0, 3.0, 2.9]
     df = spark.createDataFrame([(1, t, x) for t, x in enumerate(v)], "s int, t long, v double")
-    assert [r.clean for r in W.despike(df, ["s"], "v").orderBy("t").collect()] == [1.0, 1.2, None, None, None, 1.1, 3.0, 2.9]
+    assert [r.clean for r in W.despike(df, ["s"], "v").orderBy("t").collect()] == [1.0, 1.1, None, None, None, None, None, None, None, 3.0, 2.9]
+    # a fall of less than 2, and one that was not entered by a jump, stay
+    for v in ([0.1, 1.5, 1.5, 0.1], [1.0, 6.0, 9.0, 1.0]):
+        df = spark.createDataFrame([(1, t, x) for t, x in enumerate(v)], "s int, t long, v double")
+        assert [r.clean for r in W.despike(df, ["s"], "v").orderBy("t").collect()] == v
 
 
 def test_decluster_keeps_the_larger_peak(spark):
@@ -118,6 +122,10 @@ def test_flow_graph(spark):
     assert sorted((r.src, r.dst) for r in paths.collect()) == [(1, 1), (1, 2), (1, 3), (2, 2), (2, 3), (3, 3), (4, 3), (4, 4)]
     nodes = spark.createDataFrame([(1, 5.0), (2, 3.0), (3, 2.0), (4, 1.0)], "n long, a double")
     assert rows(R.accumulate(paths, nodes, "n", "a"), "n") == [(1, 5.0), (2, 8.0), (3, 11.0), (4, 1.0)]
+    got = R.tree_sums(edges.join(nodes, F.col("src") == F.col("n"), "left").select("src", "dst", "a"), "src", "dst", "a")
+    assert rows(got, "src") == [(1, 5.0, 0), (2, 8.0, 1), (3, 11.0, 2), (4, 1.0, 0)]
+    chain = spark.range(100).select(F.col("id").alias("n"), F.when(F.col("id") < 99, F.col("id") + 1).alias("d"), F.lit(1).alias("v"))
+    assert all(r.v == r.n + 1 and r.level == r.n for r in R.tree_sums(chain, "n", "d", "v").collect())
     codes = spark.createDataFrame([("83", "81"), ("81", "83"), ("8112", "811"), ("820", "81")], "a string, b string")
     assert [r[0] for r in codes.select(R.is_upstream(F.col("a"), F.col("b"))).collect()] == [True, False, True, False]
 
@@ -144,15 +152,13 @@ def test_l_moments_of_an_even_sample(spark):
 
 
 def test_cascade_keeps_water(spark):
-    import pandas as pd
-
-    dams = pd.DataFrame({"dam": [1, 2], "capacity": [1.0, 2.0], "start": [0.9, 1.9], "weir": [math.nan, math.nan], "outflow": [5.0, 5.0], "below": [2, -1], "lag_h": [0, 0]})
-    q = spark.createDataFrame([(0, 1, t, 100.0) for t in range(24)], "m int, dam int, t long, inflow double")
+    dams = Y.Dams(spill=[1.0, 2.0], a=[0.01, 0.01], b=[2.0, 2.0], h0=[0.0, 0.0], sill=[10.0, 14.0], rating=[math.nan, math.nan], outlet=[0.0, 0.0], release=[5.0, 5.0], river=[5.0, 5.0], before=[0.0, 0.0], start=[0.9, 1.9], above=[[], [(0, 1)]])
+    q = spark.createDataFrame([(0, 0, t, 100.0) for t in range(24)], "m int, dam int, t long, inflow double")
     out = Y.cascade(q, dams, "m").toPandas()
     last = out[out.t == 23].set_index("dam").volume
-    gone = out[out.dam == 2].outflow.sum() * 3600 / 1e6
-    assert last.sum() + gone == pytest.approx(2.8 + 24 * 100 * 3600 / 1e6)
-    assert out.groupby("dam").volume.max().to_dict() == pytest.approx({1: 1.0, 2: 2.0})
+    gone = out[out.dam == 1].outflow.sum() + out[(out.dam == 0) & (out.t == 23)].outflow.sum()  # what has not arrived yet
+    assert last.sum() + gone * 3600 / 1e6 == pytest.approx(2.8 + 24 * 100 * 3600 / 1e6)
+    assert out.groupby("dam").volume.max().to_dict() == pytest.approx({0: 1.0, 1: 2.0})
 
 
 def test_as_of_and_runs(spark):
