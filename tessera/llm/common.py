@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,28 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.sources.storage import durable, durable_folder  # noqa: F401  (the corpus modules take them from here)
+
 #: Bytes of text that one numpy pass handles, so that its arrays stay in cache.
 BLOCK = 1 << 18
 U = np.uint64
 
 
-def durable_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all executors share. Only where a local session has none (tests), a
-    temporary one is set; on a cluster that is an error, as no folder of one machine would do."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not spark._jsc.sc().getCheckpointDir().isDefined():
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-checkpoint-"))
-    return named or spark._jsc.sc().getCheckpointDir().get()
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """Compute df now and cut its lineage, by a checkpoint in the shared folder."""
-    durable_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def forget(spark: SparkSession, folder: str) -> None:
     """Delete a folder of intermediate rows that nothing reads any more."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
@@ -57,17 +41,26 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
 
 #: A key is hot if it holds at least 1 / HOT of all rows: whatever the input, there are at most HOT hot keys.
 HOT = 4096
+#: Facts that may be broadcast whole: some 6 MB.
+MOST_FACTS = 1 << 16
 
 
 def attach(rows: DataFrame, facts: DataFrame, key: str, total: int, size: str = "rows__") -> DataFrame:
     """rows left-joined with facts, which has one row for each value of `key`, and in `size` how many of the `total` rows
-    have it. Facts of hot keys, at most HOT, are broadcast, so that their rows stay where they are; rows without a key
-    meet nothing; only the others are shuffled, in groups of less than 1 / HOT of all rows. `size` is left out."""
-    hot = F.broadcast(facts.where(F.col(size) * HOT >= total).drop(size))
-    cold = facts.where(F.col(size) * HOT < total).drop(size)
-    bare = rows.where(F.col(key).isNull()).select(*rows.columns, *[F.lit(None).cast(t).alias(c) for c, t in cold.dtypes if c != key])
-    rest = rows.where(F.col(key).isNotNull()).join(hot.select(key), key, "left_anti").join(cold, key, "left")
-    return rows.join(hot, key).unionByName(rest).unionByName(bare)
+    have it. `size` is left out.
+
+    Few facts are broadcast, after they are counted. More meet their rows by a shuffle in which no group holds more than
+    about 1 / HOT of all rows: rows of hot keys (at most HOT, so these are broadcast) are dealt to several groups, and so
+    are rows without a key."""
+    if facts.count() <= MOST_FACTS:
+        return rows.join(F.broadcast(facts.drop(size)), key, "left")
+    groups = F.ceil(F.col(size) * HOT / total).cast("int")
+    hot = F.broadcast(facts.where(F.col(size) * HOT >= total).select(key, groups.alias("groups__")))
+    dealt = F.xxhash64(*[c for c in rows.columns if c != key], F.spark_partition_id())
+    group = F.when(F.col(key).isNull(), F.pmod(dealt, F.lit(HOT))).otherwise(F.coalesce(F.pmod(dealt, "groups__"), F.lit(0))).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.when(F.col(size) * HOT >= total, groups).otherwise(1) - 1))
+    left = rows.join(hot, key, "left").withColumn("group__", group).drop("groups__")
+    return left.join(facts.withColumn("group__", every).drop(size), [key, "group__"], "left").drop("group__")
 
 
 #: Ids that may be broadcast: 16 MB of longs.

@@ -10,7 +10,7 @@ from tessera.llm.common import attach, durable
 
 def _least(edges: DataFrame, total: int) -> DataFrame:
     """edges (u, v) with m, the least v of each u. The centre of a star may have any share of the edges."""
-    return attach(edges, edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("rows__")), "u", total)
+    return attach(edges, durable(edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("rows__"))), "u", total)
 
 
 def _large(edges: DataFrame, total: int) -> DataFrame:

@@ -151,8 +151,8 @@ def identify(
     hosts = scored.where("host is not null").groupBy("host").agg(*votes, in_all)
     hosts = durable(hosts.withColumn("domain", F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1)).withColumn("suffix", F.regexp_extract("host", r"\.([^.]+)$", 1)))
     n_hosts = max(1, hosts.count())
-    domains = hosts.groupBy("domain").agg(*[F.sum(x).alias(f"d{x}") for x in v], F.count("*").alias("hosts__"))
-    suffixes = hosts.groupBy("suffix").agg(*[F.sum(x).alias(f"s{x}") for x in v], F.count("*").alias("hosts__"))
+    domains = durable(hosts.groupBy("domain").agg(*[F.sum(x).alias(f"d{x}") for x in v], F.count("*").alias("hosts__")))
+    suffixes = durable(hosts.groupBy("suffix").agg(*[F.sum(x).alias(f"s{x}") for x in v], F.count("*").alias("hosts__")))
     hosts = durable(attach(attach(hosts, domains, "domain", n_hosts, "hosts__"), suffixes, "suffix", n_hosts, "hosts__").drop("domain"))
     tags = durable(scored.where("declared is not null").groupBy("declared").agg(*[x.alias(f"t{y}") for x, y in zip(votes, v, strict=True)], in_all))
     joined = attach(attach(scored, hosts, "host", rows_in_all), tags, "declared", rows_in_all)

@@ -210,7 +210,7 @@ def members(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     labelled = least.join(root, least["fp"] == root["node"], "left").select("fp", "least", "rows__", F.coalesce("root", "fp").alias("root"))
     # few components have several fingerprints: the minimum is taken over those alone
     many = labelled.join(root.select("root").distinct(), "root", "left_semi").groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("size__"))
-    named = attach(labelled, many, "root", max(1, root.count()), "size__").select("fp", "root", "rows__", F.coalesce("component_id", "least").alias("component_id"))
+    named = attach(labelled, durable(many), "root", max(1, root.count()), "size__").select("fp", "root", "rows__", F.coalesce("component_id", "least").alias("component_id"))
     # copies without number share one fingerprint
     return attach(rows, durable(named), "fp", max(1, rows.count())).select("id", "fp", "root", "component_id")
 

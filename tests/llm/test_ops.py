@@ -18,8 +18,10 @@ SF = "/root/testdata/sf0.001"
 
 
 @pytest.fixture
-def no_broadcast(spark):
+def no_broadcast(spark, monkeypatch):
+    """Nothing is broadcast for being small."""
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    monkeypatch.setattr(common, "MOST_FACTS", 0)
     yield
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
