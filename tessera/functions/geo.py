@@ -42,24 +42,24 @@ def compass(deg: Column) -> Column:
 
 
 def utm_to_lonlat(east: Column, north: Column, zone: int = 30) -> tuple[Column, Column]:
-    """Northern-hemisphere UTM (WGS 84) to (lon, lat), by the usual series in the third flattening's powers."""
-    a, f, k0 = 6378137.0, 1 / 298.257223563, 0.9996
+    """Northern-hemisphere UTM (GRS 80) to (lon, lat), by the usual series in the third flattening's powers, to the sixth order."""
+    a, f, k0 = 6378137.0, 1 / 298.257222101, 0.9996
     e2 = f * (2 - f)
     ep2, e1 = e2 / (1 - e2), (1 - math.sqrt(1 - e2)) / (1 + math.sqrt(1 - e2))
     mu = north / (k0 * a * (1 - e2 / 4 - 3 * e2**2 / 64 - 5 * e2**3 / 256))
-    p = mu + (1.5 * e1 - 27 / 32 * e1**3) * F.sin(2 * mu) + (21 / 16 * e1**2 - 55 / 32 * e1**4) * F.sin(4 * mu) + 151 / 96 * e1**3 * F.sin(6 * mu)
+    p = mu + (1.5 * e1 - 27 / 32 * e1**3) * F.sin(2 * mu) + (21 / 16 * e1**2 - 55 / 32 * e1**4) * F.sin(4 * mu) + 151 / 96 * e1**3 * F.sin(6 * mu) + 1097 / 512 * e1**4 * F.sin(8 * mu)
     s, c, t = F.sin(p), F.cos(p), F.pow(F.tan(p), F.lit(2.0))
     cc = ep2 * c * c
     n = a / F.sqrt(1 - e2 * s * s)
     r = a * (1 - e2) / F.pow(1 - e2 * s * s, F.lit(1.5))
     d = (east - 500000.0) / (n * k0)
-    lat = p - n * F.tan(p) / r * (d * d / 2 - (5 + 3 * t + 10 * cc - 4 * cc * cc - 9 * ep2) * F.pow(d, F.lit(4.0)) / 24)
-    lon = (d - (1 + 2 * t + cc) * F.pow(d, F.lit(3.0)) / 6 + (5 - 2 * cc + 28 * t) * F.pow(d, F.lit(5.0)) / 120) / c
+    lat = p - n * F.tan(p) / r * (d * d / 2 - (5 + 3 * t + 10 * cc - 4 * cc * cc - 9 * ep2) * F.pow(d, F.lit(4.0)) / 24 + (61 + 90 * t + 298 * cc + 45 * t * t - 252 * ep2 - 3 * cc * cc) * F.pow(d, F.lit(6.0)) / 720)
+    lon = (d - (1 + 2 * t + cc) * F.pow(d, F.lit(3.0)) / 6 + (5 - 2 * cc + 28 * t - 3 * cc * cc + 8 * ep2 + 24 * t * t) * F.pow(d, F.lit(5.0)) / 120) / c
     return F.degrees(lon) + (zone * 6 - 183), F.degrees(lat)
 
 
-def equal_area(lat: Column, lon: Column, lat0: float = 52.0, lon0: float = 10.0) -> tuple[Column, Column]:
-    """Ellipsoidal Lambert azimuthal equal-area projection (GRS 80) to metres east and north of its centre."""
+def equal_area(lat: Column, lon: Column, lat0: float = 52.0, lon0: float = 10.0, east0: float = 0.0, north0: float = 0.0) -> tuple[Column, Column]:
+    """Ellipsoidal Lambert azimuthal equal-area projection (GRS 80) to metres, the centre being at (east0, north0)."""
     a, f = 6378137.0, 1 / 298.257222101
     e2 = f * (2 - f)
     e = math.sqrt(e2)
@@ -74,7 +74,7 @@ def equal_area(lat: Column, lon: Column, lat0: float = 52.0, lon0: float = 10.0)
     d0 = a * math.cos(math.radians(lat0)) / math.sqrt(1 - e2 * s0 * s0) / (rq * math.cos(b0))
     b, dl = F.asin(authalic(F.sin(F.radians(lat))) / qp), F.radians(lon - lon0)
     k = rq * F.sqrt(2 / (1 + math.sin(b0) * F.sin(b) + math.cos(b0) * F.cos(b) * F.cos(dl)))
-    return k * d0 * F.cos(b) * F.sin(dl), k / d0 * (math.cos(b0) * F.sin(b) - math.sin(b0) * F.cos(b) * F.cos(dl))
+    return east0 + k * d0 * F.cos(b) * F.sin(dl), north0 + k / d0 * (math.cos(b0) * F.sin(b) - math.sin(b0) * F.cos(b) * F.cos(dl))
 
 
 def cell_index(lat: Column, lon: Column, lat0: float, lon0: float, step: float, ny: int, nx: int) -> Column:

@@ -96,18 +96,21 @@ def threshold_for_pod(curve: DataFrame, keys: Sequence[str], pod: float) -> Data
     return curve.where(F.col("pod") >= pod).groupBy(*keys).agg(F.max("tau").alias("tau"), F.max_by("far", "tau").alias("far"))
 
 
+def draw(*parts: Column | str) -> Column:
+    """A whole number from 0 to 2^48 - 1 that depends on the parts alone: the first 12 hex digits of their MD5, joined by colons.
+    Other engines can draw the same."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *[F.col(p).cast("string") if isinstance(p, str) else p.cast("string") for p in parts])), 1, 12), 16, 10).cast("long")
+
+
 def bootstrap(df: DataFrame, group: str, sums: Sequence[str], statistic: Column, times: int = 400, seed: int = 1) -> DataFrame:
-    """p05, p50 and p95 of a statistic of sums, over resampled groups. Group totals come first; each then counts in a
-    resample a number of times that a hash draws from the Poisson law with mean 1."""
+    """p05, p50 and p95 of a statistic of sums, over `times` resamples of as many groups as there are, drawn with replacement.
+    Groups (cases) are few: their totals come first, and only these are resampled."""
     totals = df.groupBy(group).agg(*[F.sum(s).alias(s) for s in sums])
-    wide = totals.withColumn("draw_", F.explode(F.sequence(F.lit(0), F.lit(times - 1))))
-    u = (F.pmod(F.xxhash64(F.col(group), "draw_", F.lit(seed)), F.lit(1 << 30)) + 0.5) / (1 << 30)
-    cdf, term, count = 0.0, float(np.exp(-1)), F.lit(0)
-    for k in range(8):
-        cdf += term
-        count = count + F.when(u > cdf, 1).otherwise(0)
-        term /= k + 1
-    drawn = wide.groupBy("draw_").agg(*[F.sum(F.col(s) * count).alias(s) for s in sums]).select(statistic.alias("x"))
+    numbered = totals.withColumn("one_", F.lit(1)).withColumn("at_", F.row_number().over(Window.partitionBy("one_").orderBy(group)) - 1)
+    n = F.max("at_") + 1
+    slots = numbered.agg(n.alias("n_")).select("n_", F.explode(F.sequence(F.lit(0), F.lit(times - 1))).alias("draw_")).select("n_", "draw_", F.explode(F.sequence(F.lit(0), F.col("n_") - 1)).alias("slot_"))
+    picked = slots.withColumn("at_", F.pmod(draw(F.lit(seed), "draw_", "slot_"), "n_").cast("int")).join(numbered, "at_")
+    drawn = picked.groupBy("draw_").agg(*[F.sum(s).alias(s) for s in sums]).select(statistic.alias("x"))
     return drawn.agg(*[F.percentile("x", F.lit(q)).alias(n) for n, q in (("p05", 0.05), ("p50", 0.5), ("p95", 0.95))])
 
 
@@ -140,7 +143,7 @@ def rank_correlation(df: DataFrame, keys: Sequence[str], x: str, y: str) -> Data
 def folds(df: DataFrame, keys: Sequence[str], ident: str, k: int, seed: int) -> DataFrame:
     """Splits the ids of each key evenly into k folds, in the order of a hash."""
     ids = df.select(*keys, ident).distinct()
-    n = F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64(F.col(ident), F.lit(seed)), ident))
+    n = F.row_number().over(Window.partitionBy(*keys).orderBy(draw(F.lit(seed), ident), ident))
     return df.join(ids.withColumn("fold", (n - 1) % k), [*keys, ident])
 
 

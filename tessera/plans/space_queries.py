@@ -416,14 +416,42 @@ def distances_and_cells(spark: SparkSession, sf: str) -> DataFrame:
     return p.select(F.col("id").alias("k"), F.round(geo.great_circle_km(F.col("lat"), F.col("lon"), F.lit(39.5), F.lit(-0.4)), 4).alias("km"), geo.cell_index(F.col("lat"), F.col("lon"), 38.5, -0.5, 0.25, 8, 6).alias("cell"))
 
 
-@query()
-def bearings_and_projections(spark: SparkSession, sf: str) -> DataFrame:
+ROSE = ", ".join(f"'{x}'" for x in geo.COMPASS)
+
+
+@query(f"""WITH {PLACES}, b AS (SELECT id, lat, lon, (degrees(atan2(sin(radians(-0.4 - lon)) * cos(radians(39.5)), cos(radians(lat)) * sin(radians(39.5)) - sin(radians(lat)) * cos(radians(39.5)) * cos(radians(-0.4 - lon)))) + 360) % 360 AS b FROM points),
+d AS (SELECT *, asin(sin(radians(lat)) * cos(CAST(10 AS DOUBLE) / 6371) + cos(radians(lat)) * sin(CAST(10 AS DOUBLE) / 6371) * cos(radians(b))) AS y FROM b)
+SELECT id, round(b, 6) AS bearing, [{ROSE}][CAST(floor(b / CAST(22.5 AS DOUBLE) + 0.5) AS BIGINT) % 16 + 1] AS rose, round(degrees(y), 7) AS to_lat, round(degrees(radians(lon) + atan2(sin(radians(b)) * sin(CAST(10 AS DOUBLE) / 6371) * cos(radians(lat)), cos(CAST(10 AS DOUBLE) / 6371) - sin(radians(lat)) * sin(y))), 7) AS to_lon FROM d""")
+def bearings_and_destinations(spark: SparkSession, sf: str) -> DataFrame:
     p, _ = places(spark, sf)
     b = geo.bearing(F.col("lat"), F.col("lon"), F.lit(39.5), F.lit(-0.4))
     to, east = geo.destination(F.col("lat"), F.col("lon"), b, F.lit(10.0))
-    x, y = geo.equal_area(F.col("lat"), F.col("lon"))
-    lon, lat = geo.utm_to_lonlat(F.lit(700_000.0) + F.col("id"), F.lit(4_370_000.0))
-    return p.select("id", b.alias("bearing"), geo.compass(b).alias("rose"), to.alias("to_lat"), east.alias("to_lon"), x.alias("x"), y.alias("y"), lon.alias("utm_lon"), lat.alias("utm_lat"))
+    return p.select("id", F.round(b, 6).alias("bearing"), geo.compass(b).alias("rose"), F.round(to, 7).alias("to_lat"), F.round(east, 7).alias("to_lon"))
+
+
+_E2 = (2 - 1 / 298.257222101) / 298.257222101
+
+
+def _authalic_sql(s: str) -> str:
+    e = _E2**0.5
+    return f"({1 - _E2!r} * ({s} / (1 - {_E2!r} * {s} * {s}) - ln((1 - {e!r} * {s}) / (1 + {e!r} * {s})) / {2 * e!r}))"
+
+
+@query(f"""WITH {PLACES}, c AS (SELECT {_authalic_sql('CAST(1 AS DOUBLE)')} AS qp, asin({_authalic_sql('sin(radians(CAST(55 AS DOUBLE)))')} / {_authalic_sql('CAST(1 AS DOUBLE)')}) AS b0), k AS (SELECT qp, b0, 6378137 * sqrt(qp / 2) AS rq, 6378137 * cos(radians(CAST(55 AS DOUBLE))) / sqrt(1 - {_E2!r} * pow(sin(radians(CAST(55 AS DOUBLE))), 2)) AS m FROM c),
+p AS (SELECT id, asin({_authalic_sql('sin(radians(lat))')} / qp) AS b, radians(lon - 10) AS l, rq, b0, m / (rq * cos(b0)) AS d FROM points, k), q AS (SELECT *, rq * sqrt(2 / (1 + sin(b0) * sin(b) + cos(b0) * cos(b) * cos(l))) AS kk FROM p)
+SELECT id, round(1950000 + kk * d * cos(b) * sin(l), 3) AS x, round(-2100000 + kk / d * (cos(b0) * sin(b) - sin(b0) * cos(b) * cos(l)), 3) AS y FROM q""")
+def equal_area_projection(spark: SparkSession, sf: str) -> DataFrame:
+    p, _ = places(spark, sf)
+    x, y = geo.equal_area(F.col("lat"), F.col("lon"), 55.0, 10.0, 1_950_000.0, -2_100_000.0)
+    return p.select("id", F.round(x, 3).alias("x"), F.round(y, 3).alias("y"))
+
+
+@query()
+def utm_positions(spark: SparkSession, sf: str) -> DataFrame:
+    """Tests hold the series against projecting back."""
+    p, _ = places(spark, sf)
+    lon, lat = geo.utm_to_lonlat(F.lit(700_000.0) + F.col("id") * 13 % 90_000, F.lit(4_370_000.0) + F.col("id") * 7 % 90_000)
+    return p.select("id", lon.alias("lon"), lat.alias("lat"))
 
 
 @query("""SELECT c_custkey AS k, (lat + lon > 38.2 AND lat - lon < 40.5 AND lat < 40 AND lat > 38.3) AS inside FROM (SELECT c_custkey, CAST(38 AS DOUBLE) + c_custkey * 37 % 3001 / CAST(1000 AS DOUBLE) AS lat, CAST(-1 AS DOUBLE) + c_custkey * 53 % 2503 / CAST(1000 AS DOUBLE) AS lon FROM customer)""")

@@ -229,10 +229,17 @@ def gev_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
     return X.gev_bootstrap(maxima(spark, sf), ["k"], "v", 50.0)
 
 
-@query()
+def draw_sql(*parts: str) -> str:
+    joined = " || ':' || ".join(f"CAST({p} AS VARCHAR)" for p in parts)
+    return f"CAST(('0x' || substr(md5({joined}), 1, 12)) AS BIGINT)"
+
+
+@query(f"""{FX}, g AS (SELECT grp, CAST(row_number() OVER (ORDER BY grp) - 1 AS BIGINT) AS place, count(*) FILTER (WHERE event AND p >= 0.45) AS h, count(*) FILTER (WHERE event OR p >= 0.45) AS a FROM f GROUP BY grp), n AS (SELECT count(*) AS n FROM g),
+d AS (SELECT draw, {draw_sql('1', 'draw', 'slot')} % n AS place FROM n, range(400) x(draw), (SELECT unnest(range((SELECT count(*) FROM g))) AS slot)), x AS (SELECT draw, sum(h) / CAST(sum(a) AS DOUBLE) AS x FROM d JOIN g USING (place) GROUP BY draw)
+SELECT round(quantile_cont(x, CAST(0.05 AS DOUBLE)), 6) AS p05, round(quantile_cont(x, CAST(0.5 AS DOUBLE)), 6) AS p50, round(quantile_cont(x, CAST(0.95 AS DOUBLE)), 6) AS p95 FROM x""")
 def bootstrap_csi(spark: SparkSession, sf: str) -> DataFrame:
     f = forecasts(spark, sf).withColumn("h", (F.col("event") & (F.col("p") >= 0.45)).cast("long")).withColumn("any", (F.col("event") | (F.col("p") >= 0.45)).cast("long"))
-    return V.bootstrap(f, "grp", ["h", "any"], F.col("h") / F.nullif(F.col("any").cast("double"), F.lit(0.0)))
+    return V.bootstrap(f, "grp", ["h", "any"], F.col("h") / F.nullif(F.col("any").cast("double"), F.lit(0.0))).select(*r6("p05", "p50", "p95"))
 
 
 #: Isotonic fit without pooling: the greatest, over bins at or below, of the least mean over runs of bins from there on.
@@ -251,10 +258,10 @@ def cost_loss_threshold(spark: SparkSession, sf: str) -> DataFrame:
     return V.cost_loss_threshold(V.isotonic(forecasts(spark, sf), ["status"], "p", "event"), ["status"], 0.33)
 
 
-@query()
+@query(f"SELECT s_suppkey, CAST((row_number() OVER (PARTITION BY s_nationkey ORDER BY {draw_sql('5', 's_suppkey')}, s_suppkey) - 1) % 10 AS INT) AS fold FROM supplier")
 def holdout_folds(spark: SparkSession, sf: str) -> DataFrame:
-    s = table(spark, sf, "supplier").withColumn("one", F.lit(1))
-    return V.folds(s, ["one"], "s_suppkey", 10, 5).select("s_suppkey", "fold")
+    """Ten folds within each nation."""
+    return V.folds(table(spark, sf, "supplier"), ["s_nationkey"], "s_suppkey", 10, 5).select("s_suppkey", "fold")
 
 
 @query()

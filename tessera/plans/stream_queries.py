@@ -43,7 +43,7 @@ def stream_latest_upsert(spark: SparkSession, sf: str) -> DataFrame:
     e = events(spark, sf).select("user_id", "event_type", "event_id", "ts")
     path = S.work_folder(spark)
     S.run_once(e, "append", path, S.upsert(spark, path, ["user_id", "event_type"], "ts"))
-    return S.last_batch(spark, path).select("user_id", "event_type", "event_id")
+    return spark.read.parquet(path).select("user_id", "event_type", "event_id")
 
 
 @query("""SELECT user_id, CAST(floor(epoch_us(max(ts)) / 1000000) AS BIGINT) AS at, round(sum(CAST(round(value * 100) AS BIGINT) * exp((epoch_us(ts) - m) / CAST(3600000000 AS DOUBLE) / 72)), 3) AS store FROM events JOIN (SELECT user_id AS u, epoch_us(max(ts)) AS m FROM events GROUP BY 1) ON u = user_id GROUP BY user_id""")

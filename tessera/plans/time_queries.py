@@ -168,7 +168,9 @@ def antecedent_index(spark: SparkSession, sf: str) -> DataFrame:
     return W.antecedent_index(hourly(spark, sf, "event_type"), ["s"], "c", 24.0, "api").select("s", "t", F.round("api", 4).alias("api"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {hourly_sql()}, r AS (SELECT s, t, c, row_number() OVER (PARTITION BY s ORDER BY c DESC, t) AS k FROM hourly), g AS (SELECT s, CAST(1 AS BIGINT) AS k, [t] AS kept FROM r WHERE k = 1
+UNION ALL SELECT r.s, r.k, CASE WHEN len(list_filter(kept, lambda x: abs(x - r.t) < 72)) = 0 THEN list_append(kept, r.t) ELSE kept END FROM g JOIN r ON r.s = g.s AND r.k = g.k + 1),
+f AS (SELECT s, unnest(arg_max(kept, k)) AS t FROM g GROUP BY s) SELECT f.s, f.t, h.c FROM f JOIN hourly h ON h.s = f.s AND h.t = f.t""")
 def decluster_greedy(spark: SparkSession, sf: str) -> DataFrame:
     return W.decluster(hourly(spark, sf).select("s", "t", "c"), ["s"], "c", 72)
 

@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tessera.sources.storage import durable_folder
+from tessera.sources.sinks import overwrite_partitions, partitions
+from tessera.sources.storage import durable, durable_folder
 
 
 def work_folder(spark: SparkSession) -> str:
@@ -58,15 +59,19 @@ def first_of(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.dropDuplicatesWithinWatermark(list(keys)) if df.isStreaming else df.dropDuplicates(list(keys))
 
 
-def upsert(spark: SparkSession, path: str, keys: Sequence[str], order: str) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: keeps in versions under `path` the row of each key with the greatest `order`. A batch that comes
-    again writes the same version again."""
+def upsert(spark: SparkSession, path: str, keys: Sequence[str], order: str, parts: int = 16) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: keeps under `path` the row of each key with the greatest `order`, in `parts` partitions by a hash of
+    the key. A batch rewrites the partitions that it has keys of, and no others. A batch that comes again changes nothing."""
 
     def write(batch: DataFrame, number: int) -> None:
-        new = batch.unionByName(spark.read.parquet(f"{path}/v={number - 1}")) if number else batch
-        rest = [c for c in batch.columns if c not in keys]
-        best = new.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("b")).select(*keys, "b.*")
-        best.select(batch.columns).write.mode("overwrite").parquet(f"{path}/v={number}")
+        new = batch.withColumn("part", F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int"))
+        touched = [r[0] for r in new.select("part").distinct().collect()]  # at most `parts`
+        known = spark.read.parquet(path) if partitions(spark, path, "part") else None
+        both = new if known is None else new.unionByName(known.where(F.col("part").isin(touched)).select(new.columns))
+        rest = [c for c in new.columns if c not in keys]
+        best = both.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("b")).select(*keys, "b.*").select(new.columns)
+        # what is read must stand elsewhere before its partitions are replaced
+        overwrite_partitions(durable(best), path, ["part"])
 
     return write
 
