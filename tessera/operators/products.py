@@ -268,3 +268,65 @@ def station_facts(stations: DataFrame, places: DataFrame, days: DataFrame, known
     peak = stations.select("code", F.coalesce("inst", "daily").alias("peak"), F.when(F.col("inst").isNotNull(), F.col("inst_day")).otherwise(F.col("daily_day")).alias("day"), F.col("inst").isNotNull().alias("measured"))
     met = peak.where("peak is not null").join(places, "code").join(days, "day").select("case", "point", "peak", "measured", "day")
     return met.join(known, ["case", "point"], "left_anti")
+
+
+def in_frames(rows: DataFrame, frames: DataFrame) -> DataFrame:
+    """rows (t) with the frames (f, t0, t1] that they fall in. Frames are few, so their hours go to the rows."""
+    return rows.join(F.broadcast(frames.select("f", F.explode(F.sequence(F.col("t0") + 1, F.col("t1"))).alias("t"))), "t")
+
+
+def fallen(rows: DataFrame, keys: Sequence[str], chances: Sequence[Column], weight: str, tau: Sequence[float], extra: Sequence[Column] = ()) -> DataFrame:
+    """keys, p2, p3, ...: weighted means of the chances, made to fall with the level; level: the highest that reaches its tau; and
+    further aggregates."""
+    means = [(F.sum(F.col(weight) * c) / F.sum(weight)).alias(f"raw{k}") for k, c in enumerate(chances)]
+    base = rows.where(F.col(weight) > 0).groupBy(*keys).agg(*means, *extra)
+    down = [F.least(*[F.col(f"raw{j}") for j in range(k + 1)]) if k else F.col("raw0") for k in range(len(chances))]
+    out = base.withColumns({f"p{k + 2}": x for k, x in enumerate(down)}).drop(*[f"raw{k}" for k in range(len(chances))])
+    return out.withColumn("level", F.greatest(F.lit(1), *[F.when(F.col(f"p{k + 2}") >= t, k + 2).otherwise(1) for k, t in enumerate(tau)]))
+
+
+def discharge_product(q: DataFrame, points: DataFrame, frames: DataFrame, weight: str, tau: Sequence[float], sigma: float, vote: str | None = None) -> DataFrame:
+    """f, pt: probabilities of the levels, level, and the weighted median and 90 % quantile of the frames' peaks (peak_50, peak_90).
+    q: member, pt, t, q (m3/s), the weight, and, if given, vote: a chance that may raise the first two levels and never lowers
+    one. points: pt, limits (array of the levels' discharges; null: no level)."""
+    votes = [F.max(F.col(vote)).alias("vote_")] if vote else []
+    peaks = in_frames(q, frames).groupBy("member", "pt", "f").agg(F.max("q").alias("peak"), F.first(weight).alias(weight), *votes).join(F.broadcast(points), "pt")
+    chances = [F.coalesce(dress(F.col("peak") / F.get("limits", F.lit(k)), sigma), F.lit(0.0)) for k in range(len(tau))]
+    if vote:
+        chances = [F.greatest(c, F.coalesce("vote_", F.lit(0.0))) if k < 2 else c for k, c in enumerate(chances)]
+    out = fallen(peaks, ["f", "pt"], chances, weight, tau)
+    return out.join(step_quantiles(peaks, ["f", "pt"], "peak", weight, {"peak_50": 0.5, "peak_90": 0.9}).drop("mean"), ["f", "pt"])
+
+
+def reservoir_product(sim: DataFrame, dams: DataFrame, frames: DataFrame, weight: str, tau: Sequence[float]) -> DataFrame:
+    """f, dam: probabilities of the levels, level, of being inside the flood reserve (reserve), of spilling (spilling) and of passing
+    what the spillway is built for (design), and weighted quantiles of the volume at the frame's end (v10, v50, v90).
+
+    sim: member, dam, t, volume, outflow, spill and the weight. dams: dam, start, full (the spill volume), top, reserve_from,
+    able (m3/s of the spillway), gain and rise (hm3 above the start that count for the second level, the latter inside the
+    reserve), limits (array of the outflows of levels 2 to 4); unknown ones are null."""
+    c = F.col
+    rows = in_frames(sim, frames).groupBy("member", "dam", "f").agg(F.max("volume").alias("most"), F.max_by("volume", "t").alias("last"), F.max("outflow").alias("out"), F.max("spill").alias("over"), F.first(weight).alias(weight))
+    rows = rows.join(F.broadcast(dams), "dam")
+    sure = lambda x: F.coalesce(x, F.lit(False))
+    inside = sure(c("most") >= c("reserve_from"))
+    spilling = (c("over") > 0) | (c("most") >= c("full") * 0.9995)
+    design = sure(c("over") >= c("able")) | sure(c("most") >= c("top"))
+    beyond = [sure(c("out") >= F.get("limits", F.lit(k))) for k in range(3)]
+    second = (c("most") - c("start") >= c("gain")) | (inside & (c("most") - c("start") >= c("rise"))) | beyond[0]
+    third, fourth = spilling | beyond[1], beyond[2]
+    chance = lambda x: x.cast("double")
+    mean = lambda x, n: (F.sum(c(weight) * chance(x)) / F.sum(weight)).alias(n)
+    out = fallen(rows, ["f", "dam"], [chance(second | third | fourth | design), chance(third | fourth | design), chance(fourth | design), chance(design)], weight, tau, [mean(inside, "reserve"), mean(spilling, "spilling"), mean(design, "design")])
+    return out.join(step_quantiles(rows, ["f", "dam"], "last", weight, {"v10": 0.1, "v50": 0.5, "v90": 0.9}).drop("mean"), ["f", "dam"])
+
+
+def event_maxima(rain: DataFrame, keys: Sequence[str], start: int, end: int, durations: Sequence[int]) -> DataFrame:
+    """For each key and duration: the greatest sum of so many hours that ends within (start, end], and when (the first, if tied).
+    rain: keys, t, p; absent hours are dry."""
+    near = rain.where(F.col("t").between(start - max(durations) + 1, end))
+    w = Window.partitionBy(*keys).orderBy("t")
+    rolled = near.select(*keys, "t", *[F.sum("p").over(w.rangeBetween(-(d - 1), 0)).alias(f"p{d}_") for d in durations])
+    sums = rolled.select(*keys, "t", F.explode(F.array(*[F.struct(F.lit(d).alias("hours"), F.col(f"p{d}_").alias("amount")) for d in durations])).alias("x"))
+    inside = sums.where(F.col("t") > start).select(*keys, "t", "x.*")
+    return inside.groupBy(*keys, "hours").agg(F.max("amount").alias("amount"), F.min_by("t", F.struct(-F.col("amount"), "t")).alias("at"))

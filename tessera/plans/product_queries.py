@@ -298,3 +298,71 @@ def warnings_in_order(spark: SparkSession, sf: str) -> DataFrame:
 def paired_series(spark: SparkSession, sf: str) -> DataFrame:
     h = hourly(spark, sf, "event_type")
     return h.where("s = 'view'").select("t", F.col("c").alias("level")).join(h.where("s = 'click'").select("t", F.col("c").alias("volume")), "t")
+
+
+def _falls(n: int) -> str:
+    return ", ".join(f"least({', '.join(f'c{j}' for j in range(k + 1))}) AS p{k + 2}" if k else "c0 AS p2" for k in range(n))
+
+
+def _level(n: int) -> str:
+    return f"CAST(greatest(1, {', '.join(f'CASE WHEN p{k + 2} >= {_d(TAU[k])} THEN {k + 2} ELSE 1 END' for k in range(n))}) AS INT) AS level"
+
+
+def _three(x: str, qs: dict[str, float]) -> str:
+    return ", ".join(f"min(CASE WHEN c >= {_d(q)} - 1e-9 THEN {x} END) AS {n}" for n, q in qs.items())
+
+
+MW = f"mw(m, w) AS (VALUES {', '.join(f"('{m}', {_d(x)})" for m, x in WEIGHTS)})"
+SERIES = f"raw AS (SELECT event_type AS m, user_id % 9 AS k, CAST(ceil(epoch_us(ts) / 3600000000.0) AS BIGINT) AS t, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS c FROM events GROUP BY 1, 2, 3)"
+FR = f"fr AS (SELECT f, {START} + 24 * f AS t0, {START} + 24 * f + 24 AS t1 FROM range({DAYS}) x(f))"
+
+
+def series(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events").groupBy(F.col("event_type").alias("member"), (F.col("user_id") % 9).alias("k"), W.step_end(F.col("ts")).alias("t")).agg(F.sum(cents("value")).alias("c"))
+    return e.withColumn("w", F.element_at(F.create_map(*[x for m, v in WEIGHTS for x in (F.lit(m), F.lit(v))]), F.col("member")))
+
+
+def days(spark: SparkSession) -> DataFrame:
+    return spark.range(DAYS).select(F.col("id").alias("f"), (START + 24 * F.col("id")).alias("t0"), (START + 24 * F.col("id") + 24).alias("t1"))
+
+
+LIMITS = [20.0, 45.0, 90.0, 180.0]
+
+
+@query(f"""WITH {SERIES}, {MW}, {FR}, q AS (SELECT m, k, t, {_d(0.2)} * exp(-(t - {START}) / {_d(5.0)}) * sum(c / {_d(70.0)} * exp((t - {START}) / {_d(5.0)})) OVER (PARTITION BY m, k ORDER BY t) AS q FROM raw),
+pk AS (SELECT m, k AS pt, f, max(q) AS peak FROM q JOIN fr ON t > t0 AND t <= t1 GROUP BY 1, 2, 3), k AS (SELECT * FROM pk JOIN mw USING (m)),
+p AS (SELECT f, pt, {', '.join(f"sum(w * {'greatest(' if j < 2 else ''}{_dressed(f'peak / {_d(x)}', _d(SIGMA))}{', CASE WHEN pt % 4 = 0 THEN CAST(0.2 AS DOUBLE) ELSE 0 END)' if j < 2 else ''}) / sum(w) AS c{j}" for j, x in enumerate(LIMITS))} FROM k GROUP BY 1, 2),
+n AS (SELECT f, pt, {_falls(4)} FROM p), s AS (SELECT f, pt, peak, sum(w) OVER (PARTITION BY f, pt ORDER BY peak) / sum(w) OVER (PARTITION BY f, pt) AS c FROM (SELECT f, pt, peak, sum(w) AS w FROM k GROUP BY 1, 2, 3)), z AS (SELECT f, pt, {_three('peak', {'peak_50': 0.5, 'peak_90': 0.9})} FROM s GROUP BY 1, 2)
+SELECT f, pt, round(p2, 5) AS p2, round(p3, 5) AS p3, round(p4, 5) AS p4, round(p5, 5) AS p5, {_level(4)}, round(peak_50, 5) AS peak_50, round(peak_90, 5) AS peak_90 FROM n JOIN z USING (f, pt)""")
+def discharge_product(spark: SparkSession, sf: str) -> DataFrame:
+    """Routed rain of each member at nine points, some of which have a vote."""
+    x = series(spark, sf).withColumn("x", F.col("c") / 70.0)
+    q = W.fading_sum(x, ["member", "k"], "x", 5.0, "q", 0.2).select("member", F.col("k").alias("pt"), "t", "q", "w", F.when(F.col("k") % 4 == 0, 0.2).otherwise(0.0).alias("vote"))
+    points = spark.range(9).select(F.col("id").alias("pt"), F.array(*[F.lit(v) for v in LIMITS]).alias("limits"))
+    out = P.discharge_product(q, points, days(spark), "w", TAU, SIGMA, "vote")
+    return out.select("f", "pt", *[F.round(f"p{k}", 5).alias(f"p{k}") for k in range(2, 6)], "level", F.round("peak_50", 5).alias("peak_50"), F.round("peak_90", 5).alias("peak_90"))
+
+
+@query(f"""WITH {SERIES}, {MW}, {FR}, sim AS (SELECT m, k AS dam, t, 5 + c / {_d(9000.0)} AS volume, c / {_d(300.0)} AS outflow, CASE WHEN c > 60000 THEN c / {_d(1700.0)} ELSE 0 END AS spill FROM raw),
+d AS (SELECT k AS dam, {_d(7.0)} AS start, 10 + k AS fll, CASE WHEN k % 4 < 3 THEN 14 + k END AS top, CASE WHEN k % 3 = 0 THEN 9 + k / {_d(2.0)} END AS res, CASE WHEN k % 5 > 0 THEN {_d(40.0)} END AS able FROM range(9) x(k)),
+a AS (SELECT m, dam, f, max(volume) AS most, arg_max(volume, t) AS last, max(outflow) AS q, max(spill) AS over FROM sim JOIN fr ON t > t0 AND t <= t1 GROUP BY 1, 2, 3),
+e AS (SELECT *, coalesce(most >= res, false) AS ins, over > 0 OR most >= fll * {_d(0.9995)} AS sp, coalesce(over >= able, false) OR coalesce(most >= top, false) AS de FROM a JOIN d USING (dam) JOIN mw USING (m)),
+g AS (SELECT *, sp OR q >= 150 OR q >= 250 OR de AS l3, q >= 250 OR de AS l4, most - start >= 2 OR (ins AND most - start >= {_d(0.5)}) OR q >= 60 AS l2 FROM e),
+p AS (SELECT f, dam, sum(CASE WHEN l2 OR l3 THEN w ELSE 0 END) / sum(w) AS c0, sum(CASE WHEN l3 THEN w ELSE 0 END) / sum(w) AS c1, sum(CASE WHEN l4 THEN w ELSE 0 END) / sum(w) AS c2, sum(CASE WHEN de THEN w ELSE 0 END) / sum(w) AS c3, sum(CASE WHEN ins THEN w ELSE 0 END) / sum(w) AS reserve, sum(CASE WHEN sp THEN w ELSE 0 END) / sum(w) AS spilling FROM g GROUP BY 1, 2),
+n AS (SELECT f, dam, reserve, spilling, c3 AS design, {_falls(4)} FROM p), s AS (SELECT f, dam, last, sum(w) OVER (PARTITION BY f, dam ORDER BY last) / sum(w) OVER (PARTITION BY f, dam) AS c FROM (SELECT f, dam, last, sum(w) AS w FROM g GROUP BY 1, 2, 3)), z AS (SELECT f, dam, {_three('last', {'v10': 0.1, 'v50': 0.5, 'v90': 0.9})} FROM s GROUP BY 1, 2)
+SELECT f, dam, {', '.join(f'round({x}, 6) AS {x}' for x in ('p2', 'p3', 'p4', 'p5', 'reserve', 'spilling', 'design', 'v10', 'v50', 'v90'))}, {_level(4)} FROM n JOIN z USING (f, dam)""")
+def reservoir_product(spark: SparkSession, sf: str) -> DataFrame:
+    """Volumes and flows of nine dams that stand for what a cascade gives."""
+    c, k = F.col("c"), F.col("id")
+    sim = series(spark, sf).select("member", F.col("k").alias("dam"), "t", (5 + c / 9000.0).alias("volume"), (c / 300.0).alias("outflow"), F.when(c > 60000, c / 1700.0).otherwise(0.0).alias("spill"), "w")
+    dams = spark.range(9).select(
+        k.alias("dam"), F.lit(7.0).alias("start"), (10 + k).alias("full"), F.when(k % 4 < 3, 14 + k).alias("top"), F.when(k % 3 == 0, 9 + k / 2.0).alias("reserve_from"), F.when(k % 5 > 0, 40.0).alias("able"), F.lit(2.0).alias("gain"), F.lit(0.5).alias("rise"), F.array(F.lit(60.0), F.lit(150.0), F.lit(250.0)).alias("limits"),
+    )
+    out = P.reservoir_product(sim, dams, days(spark), "w", TAU)
+    return out.select("f", "dam", *r6("p2", "p3", "p4", "p5", "reserve", "spilling", "design", "v10", "v50", "v90"), "level")
+
+
+@query(f"""WITH {SERIES}, r AS (SELECT m, k, t, hours, sum(b.c) AS amount FROM (SELECT DISTINCT m, k, t FROM raw) a JOIN (VALUES (1), (3), (12), (24)) d(hours) ON true JOIN raw b USING (m, k) WHERE b.t <= a.t AND b.t > a.t - hours AND a.t > {START} + 100 AND a.t <= {START} + 400 GROUP BY 1, 2, a.t, 4)
+SELECT m AS member, k, CAST(hours AS INT) AS hours, CAST(max(amount) AS BIGINT) AS amount, (array_agg(t ORDER BY amount DESC, t))[1] AS at FROM r GROUP BY 1, 2, 3""".replace("SELECT m, k, t, hours, sum(b.c)", "SELECT m, k, a.t AS t, hours, sum(b.c)"))
+def event_maxima(spark: SparkSession, sf: str) -> DataFrame:
+    return P.event_maxima(series(spark, sf).withColumnRenamed("c", "p"), ["member", "k"], START + 100, START + 400, [1, 3, 12, 24])
