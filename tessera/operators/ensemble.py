@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.scalar import dress, logistic
+from tessera.functions.scalar import dress, logistic, unit_envelope
 
 LEVELS = (2, 3, 4, 5)
 
@@ -144,6 +144,10 @@ def worst(df: DataFrame, keys: Sequence[str], level: str, p: str, frame: str) ->
     return df.groupBy(*keys).agg(best.alias("b")).select(*keys, "b.*")
 
 
-def flood_vote(ratio: Column, ratio_now: Column, depth: Column, beta: Sequence[float]) -> Column:
-    ln = lambda x: F.log(F.greatest(x, F.lit(1e-3)))
-    return logistic(beta[0] + beta[1] * ln(ratio) + beta[2] * ln(ratio_now) + beta[3] * F.log(F.lit(1.0) + depth))
+def flood_vote(peak: Column, potential: Column, threshold: Column, area: Column, depth: Column, beta: Sequence[float]) -> Column:
+    """Chance that a threshold (m3/s) is reached, from the simulated peak, the potential flow (both m3/s), the catchment's area
+    (km2) and the rain that arrives (mm): logistic in logarithms of ratios, to which a tenth of the envelope of a catchment of
+    that size is added. Without a threshold there is none."""
+    few = 0.1 * unit_envelope(F.greatest(area, F.lit(1.0)))
+    z = beta[0] + beta[1] * F.log((peak + few) / threshold) + beta[2] * F.log((potential + few) / threshold) + beta[3] * F.log1p(depth)
+    return F.when(threshold > 0, logistic(z)).otherwise(0.0)

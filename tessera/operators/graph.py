@@ -45,11 +45,6 @@ def accumulate(paths: DataFrame, nodes: DataFrame, node: str, value: str) -> Dat
     return paths.join(nodes.select(F.col(node).alias("src"), F.col(value)), "src").groupBy(F.col("dst").alias(node)).agg(F.sum(value).alias(value))
 
 
-def order(paths: DataFrame) -> DataFrame:
-    """Level of each node: the longest way from a source to it, so that a node comes after all that flow into it."""
-    return paths.groupBy(F.col("dst").alias("node")).agg(F.max("steps").alias("level"))
-
-
 def tree_sums(nodes: DataFrame, node: str, down: str, value: str, most: int = 64) -> DataFrame:
     """node, value (the sum of its own and of all that flows into it) and level (the longest way to it from a source), for nodes
     that each flow into at most one (null: none). Pointers are doubled: after k rounds a node knows the sum and the longest way

@@ -186,7 +186,7 @@ def fit_logistic(df: DataFrame, features: Sequence[str], event: str, weight: str
     """Intercept and coefficients of a ridge logistic regression by Newton steps. Each step is one aggregate of
     (k + 1)(k + 2) / 2 sums; only these come to the driver."""
     names = ["one_", *features]
-    rows = df.withColumn("one_", F.lit(1.0))
+    rows = df.select(*features, event, *([weight] if weight else []), F.lit(1.0).alias("one_")).persist()  # read once a step
     w = F.col(weight) if weight else F.lit(1.0)
     beta = np.zeros(len(names))
     pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
@@ -204,4 +204,5 @@ def fit_logistic(df: DataFrame, features: Sequence[str], event: str, weight: str
         beta = beta + step
         if np.abs(step).max() < 1e-10:
             break
+    rows.unpersist()
     return beta

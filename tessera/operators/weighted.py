@@ -74,11 +74,12 @@ def binned_means(df: DataFrame, keys: Sequence[str], x: Column, value: str, leas
 
 
 def circular_climatology(df: DataFrame, keys: Sequence[str], day: str, value: str, half: int, qs: dict[str, float], period: int = 366) -> DataFrame:
-    """Quantiles of all values within `half` days of each day of the year. Days are expanded, so the join is free of
-    range conditions."""
+    """Quantiles of all values within `half` days of each day of the year. Equal values of a day are counted first; then days
+    are expanded, so the join is free of range conditions."""
+    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(day), F.col(value)).agg(F.count("*").alias("n_"))
     around = F.explode(F.sequence(F.lit(-half), F.lit(half))).alias("d_")
-    wide = df.select(*keys, F.col(day), F.col(value), around).withColumn("doy", (F.col(day) - 1 + F.col("d_") + period) % period + 1)
-    return wide.groupBy(*keys, "doy").agg(F.count(value).alias("n"), *[F.percentile(value, F.lit(q)).alias(n) for n, q in qs.items()])
+    wide = counted.select(*keys, F.col(day), F.col(value), "n_", around).withColumn("doy", (F.col(day) - 1 + F.col("d_") + period) % period + 1)
+    return wide.groupBy(*keys, "doy").agg(F.sum("n_").alias("n"), *[F.percentile(value, F.lit(q), F.col("n_")).alias(n) for n, q in qs.items()])
 
 
 def vector_mean(df: DataFrame, keys: Sequence[str], u: str, v: str) -> DataFrame:

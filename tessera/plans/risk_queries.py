@@ -16,7 +16,7 @@ THRESHOLDS = {2: (2000.0, 6000.0), 3: (5000.0, 12000.0), 4: (12000.0, 25000.0),
 TAU = {2: 0.15, 3: 0.30, 4: 0.30, 5: 0.40}
 SIGMA, BIAS, CAP = 0.6, 1.1, 4
 #: Coefficients of the flood vote: intercept, log ratio, log ratio now, log depth. Fixed values.
-FLOOD_BETA = (-6.769, 0.587, 0.898, 0.837)
+FLOOD_BETA = (-6.768986374145211, 0.5866359895714746, 0.898469750909088, 0.8373875301101608)
 
 MEMBER_VALUES = ", ".join(f"('{k}', CAST({v} AS DOUBLE))" for k, v in MEMBERS.items())
 LEVEL_VALUES = ", ".join(f"({k}, CAST({a} AS DOUBLE), CAST({b} AS DOUBLE))" for k, (a, b) in THRESHOLDS.items())
@@ -206,10 +206,11 @@ def top_40(spark: SparkSession, sf: str) -> DataFrame:
     return c.select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("v"), F.row_number().over(Window.orderBy(F.desc("c_acctbal"), "c_custkey")).alias("place"))
 
 
-@query(f"""WITH {PROBS} SELECT cell, f, round(1 / (1 + exp(-(CAST({FLOOD_BETA[0]} AS DOUBLE) + CAST({FLOOD_BETA[1]} AS DOUBLE) * ln(greatest(p_top, CAST(0.001 AS DOUBLE))) + CAST({FLOOD_BETA[2]} AS DOUBLE) * ln(greatest(decided / CAST(2 AS DOUBLE), CAST(0.001 AS DOUBLE))) + CAST({FLOOD_BETA[3]} AS DOUBLE) * ln(1 + decided * CAST(20 AS DOUBLE))))), 6) AS vote FROM decided""")
+@query(f"""WITH {PROBS}, vx AS (SELECT cell, f, p_top * 50 AS peak, decided * CAST(9 AS DOUBLE) AS pot, CASE WHEN cell % 10 > 0 THEN CAST(30 + cell AS DOUBLE) END AS t, decided * CAST(20 AS DOUBLE) AS depth, CAST(0.5 AS DOUBLE) * pow((20 + cell * CAST(15 AS DOUBLE)) / 184, CAST(0.75 AS DOUBLE)) AS few FROM decided)
+SELECT cell, f, round(CASE WHEN t > 0 THEN 1 / (1 + exp(-({FLOOD_BETA[0]!r} + {FLOOD_BETA[1]!r} * ln((peak + few) / t) + {FLOOD_BETA[2]!r} * ln((pot + few) / t) + {FLOOD_BETA[3]!r} * ln(1 + depth)))) ELSE 0 END, 6) AS vote FROM vx""")
 def flood_vote(spark: SparkSession, sf: str) -> DataFrame:
-    d = decisions(spark, sf)
-    v = E.flood_vote(F.col("p_top"), F.col("decided") / 2.0, F.col("decided") * 20.0, FLOOD_BETA)
+    d, cell = decisions(spark, sf), F.col("cell")
+    v = E.flood_vote(F.col("p_top") * 50, F.col("decided") * 9.0, F.when(cell % 10 > 0, (30 + cell).cast("double")), 20 + cell * 15.0, F.col("decided") * 20.0, FLOOD_BETA)
     return d.select("cell", "f", F.round(v, 6).alias("vote"))
 
 
