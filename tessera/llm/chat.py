@@ -8,9 +8,10 @@ A turn is rendered as `<|im_start|>ROLE\\nCONTENT<|im_end|>\\n`, ROLE being assi
 `<|` in a content or a name becomes `<\\u200b|`, so that no text can open or close a turn. A learned span covers a content
 and its end mark.
 
-A dialogue from one view is one text. It is put together in two steps, of runs of `run` turn numbers first, so that turns
-of a long dialogue are rendered and placed by many tasks; only the runs' texts meet in one. Texts too long for one row
-can be had in segments instead (per_segment), each of which stands for itself.
+A dialogue's turns meet once, as a set that is begun before the shuffle, so that neither repeated rows nor a text in several
+views is moved more than once; all views are put together from it in place. They are so in runs of `run` turns, which keeps
+the running sums of lengths short. A dialogue is one row of its output, however long; texts too long for one row can be
+had in segments instead (per_segment), each of which stands for itself.
 
 Rows with a null conv_id or turn belong to no dialogue. Repeated rows count once; different rows of one turn are ordered
 by role, then text. A null or empty role is the speaker "unknown", a null text is empty. A dialogue of context turns only
@@ -19,7 +20,7 @@ has no perspective, so no rows; nor has an empty table.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import attach
@@ -37,32 +38,34 @@ def perspectives(turns: DataFrame, context: tuple[str, ...] = CONTEXT, per_segme
         F.coalesce("text", F.lit("")).alias("text"),
     )
     segment = F.floor(F.col("turn") / per_segment).cast("long") if per_segment else F.lit(0).cast("long")
-    rows = plain.distinct().withColumns({"segment": segment, "run": F.floor(F.col("turn") / run).cast("long")})
+    rows = plain.withColumn("segment", segment).groupBy("conv_id", "segment").agg(F.sort_array(F.collect_set(F.struct("turn", "role", "text"))).alias("turns"))
+    speaks = F.array_distinct(F.transform(F.filter("turns", lambda t: ~t["role"].isin(*context)), lambda t: t["role"]))
+    if per_segment:  # whoever speaks anywhere in a dialogue has a view of each of its segments
+        speakers = plain.groupBy("conv_id").agg(F.collect_set(F.when(~F.col("role").isin(*context), F.col("role"))).alias("speakers"), F.count_distinct(segment).alias("rows__"))
+        rows, speaks = attach(rows, speakers, "conv_id", rows.count()), F.col("speakers")
     shut = lambda c: F.replace(c, F.lit("<|"), F.lit("<\u200b|"))
-    rows = rows.withColumn("body", F.concat(shut(F.col("text")), F.lit("<|im_end|>")))
-    # a dialogue may hold any share of all turns, so its speakers come to its turns (see attach)
-    speakers = plain.groupBy("conv_id").agg(F.collect_set(F.when(~F.col("role").isin(*context), F.col("role"))).alias("perspectives"), F.count("*").alias("rows__"))
-    seen = attach(rows, speakers, "conv_id", plain.count()).withColumn("perspective", F.explode("perspectives"))
-    mine = F.col("role") == F.col("perspective")
-    head = F.when(mine, F.lit("assistant")).when(F.col("role").isin(*context), F.col("role")).otherwise(F.concat(F.lit("user name="), shut(F.col("role"))))
-    seen = seen.withColumn("mine", mine).withColumn("head", F.concat(F.lit("<|im_start|>"), head, F.lit("\n")))
-    group = ["conv_id", "perspective", "segment"]
-    before = Window.partitionBy(*group, "run").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, -1)
-    size = F.length("head") + F.length("body") + 1
-    placed = seen.withColumn("at", F.coalesce(F.sum(size).over(before), F.lit(0)) + F.length("head"))
-    parts = F.sort_array(F.collect_list(F.struct("at", "head", "body", "mine")))
-    runs = placed.groupBy(*group, "run").agg(F.count("*").alias("n_turns"), parts.alias("parts"))
-    spans = F.transform(F.filter("parts", lambda p: p["mine"]), lambda p: F.struct(p["at"].alias("start"), (p["at"] + F.length(p["body"])).alias("stop")))
-    runs = runs.select(*group, "run", "n_turns", F.array_join(F.transform("parts", lambda p: F.concat(p["head"], p["body"], F.lit("\n"))), "").alias("text"), spans.alias("spans"))
-    earlier = Window.partitionBy(*group).orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
-    runs = runs.withColumn("origin", F.coalesce(F.sum(F.length("text")).over(earlier), F.lit(0)).cast("long"))
-    moved = F.transform("spans", lambda s: F.struct((s["start"] + F.col("origin")).alias("start"), (s["stop"] + F.col("origin")).alias("stop")))
-    whole = runs.select(*group, "n_turns", F.struct("run", "text", moved.alias("spans")).alias("part")).groupBy(*group).agg(F.sum("n_turns").alias("n_turns"), F.sort_array(F.collect_list("part")).alias("parts"))
-    learned = F.flatten(F.transform("parts", lambda p: p["spans"]))
-    return whole.select(
-        *group,
-        "n_turns",
-        F.array_join(F.transform("parts", lambda p: p["text"]), "").alias("text"),
-        learned.alias("spans"),
-        F.aggregate(learned, F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"]).alias("n_learned"),
-    )
+    label = lambda t: F.when(t["role"].isin(*context), t["role"]).otherwise(F.concat(F.lit("user name="), shut(t["role"])))
+    rendered = F.transform("turns", lambda t: F.struct(t["role"].alias("role"), label(t).alias("label"), F.concat(shut(t["text"]), F.lit("<|im_end|>")).alias("body")))
+    sized = F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["label"].alias("label"), t["body"].alias("body"), F.length(t["label"]).alias("n_label"), F.length(t["body"]).alias("n_body")))
+    n = F.size("turns")
+    in_runs = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / run).cast("int")), lambda k: F.slice("turns", k * run + 1, F.lit(run)))
+    rows = rows.select("conv_id", "segment", speaks.alias("speakers"), rendered.alias("turns")).withColumn("turns", sized)
+    seen = rows.select("conv_id", F.explode("speakers").alias("perspective"), "segment", n.cast("long").alias("n_turns"), in_runs.alias("runs"))
+    mine = lambda t: t["role"] == F.col("perspective")
+    head = lambda t: F.when(mine(t), F.lit("assistant")).otherwise(t["label"])
+    n_head = lambda t: F.when(mine(t), F.lit(len("assistant"))).otherwise(t["n_label"])
+    # <|im_start|>HEAD, newline, BODY, newline
+    open_, ends = len("<|im_start|>"), 2
+    total = lambda ts: F.aggregate(ts, F.lit(0).cast("long"), lambda a, t: a + open_ + ends + n_head(t) + t["n_body"])
+    text = F.array_join(F.transform("runs", lambda r: F.array_join(F.transform(r, lambda t: F.concat(F.lit("<|im_start|>"), head(t), F.lit("\n"), t["body"], F.lit("\n"))), "")), "")
+    sums = seen.withColumns({"text": text, "sizes": F.transform("runs", total)})
+    origin = lambda k: F.aggregate(F.slice("sizes", F.lit(1), k), F.lit(0).cast("long"), lambda a, x: a + x)
+    placed = F.transform("runs", lambda r, k: F.struct(r.alias("turns"), origin(k).alias("origin")))
+
+    def learned(run_: Column) -> Column:
+        at = lambda i: run_["origin"] + total(F.slice(run_["turns"], F.lit(1), i)) + open_ + len("assistant") + 1
+        own = F.transform(run_["turns"], lambda t, i: F.when(mine(t), F.struct(at(i).alias("start"), (at(i) + t["n_body"]).alias("stop"))))
+        return F.filter(own, lambda s: s.isNotNull())
+
+    out = sums.withColumn("placed", placed).withColumn("spans", F.flatten(F.transform("placed", learned)))
+    return out.select("conv_id", "perspective", "segment", "n_turns", "text", "spans", F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["stop"] - s["start"]).alias("n_learned"))
