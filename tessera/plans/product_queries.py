@@ -366,3 +366,28 @@ def reservoir_product(spark: SparkSession, sf: str) -> DataFrame:
 SELECT m AS member, k, CAST(hours AS INT) AS hours, CAST(max(amount) AS BIGINT) AS amount, (array_agg(t ORDER BY amount DESC, t))[1] AS at FROM r GROUP BY 1, 2, 3""".replace("SELECT m, k, t, hours, sum(b.c)", "SELECT m, k, a.t AS t, hours, sum(b.c)"))
 def event_maxima(spark: SparkSession, sf: str) -> DataFrame:
     return P.event_maxima(series(spark, sf).withColumnRenamed("c", "p"), ["member", "k"], START + 100, START + 400, [1, 3, 12, 24])
+
+
+def _gev_sql(x: str, loc: float, scale: float, xi: float) -> str:
+    return f"exp(-pow(greatest(1 + {_d(xi)} * ({x} - {_d(loc)}) / {_d(scale)}, 0), {_d(-1 / xi)}))"
+
+
+@query(f"""WITH p AS (SELECT p_partkey AS k, CAST(p_size AS DOUBLE) AS x, p_retailprice AS a, least(greatest((p_size - 5) / {_d(30.0)}, 0), 1) AS ramp FROM part), c AS (SELECT *, least(greatest({_gev_sql('x', 20.0, 8.0, 0.1)}, {_d(0.02)}), 1 - 1 / {_d(2000.0)}) AS f FROM p)
+SELECT k, round(2 * {_d(1.5)} * pow({_d(0.5)}, x / {_d(6.0)}), 6) AS weight, round(ramp, 6) AS ramp, round(exp((ln(greatest(ramp, {_d(0.05)})) + ln(least(greatest(x / 50, {_d(0.05)}), 1))) / 2), 6) AS score, round({_d(0.3)} * pow(x / pow(a / 10000, {_d(0.25)}), {_d(0.76)}), 6) AS hours,
+round(least(greatest({_d(1.1)} * sqrt(a / 10000) * pow(x, {_d(0.2)}), {_d(0.5)}), 3), 6) AS speed, round(least(greatest({_d(0.35)} * pow(a, {_d(0.45)}), 1), 12), 6) AS response, round({_d(30.0)} + {_d(12.0)} * (exp({_d(0.2)} * -ln(-ln(f))) - 1) / {_d(0.2)}, 4) AS mapped FROM c""")
+def weights_and_terrain(spark: SparkSession, sf: str) -> DataFrame:
+    x, a = F.col("p_size").cast("double"), F.col("p_retailprice")
+    ramp = S.ramp(x, 5.0, 35.0)
+    out = {
+        "weight": S.aged_weight(F.lit(2.0), F.lit(1.5), x, 6.0), "ramp": ramp, "score": S.ingredients_score([ramp, x / 50]), "hours": S.travel_time(x, a / 10000), "speed": S.stream_velocity(a / 10000, x, 1.1, 0.5, 3.0), "response": S.response_time(a, 0.35, 0.45, 12.0),
+    }
+    mapped = S.quantile_map(x, (20.0, 8.0, 0.1), (30.0, 12.0, 0.2))
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("k"), *[F.round(c, 6).alias(n) for n, c in out.items()], F.round(mapped, 4).alias("mapped"))
+
+
+@query(f"WITH {hourly_sql()} SELECT s % 50 AS place, round(avg(c), 4) AS mean, round(quantile_cont(c, 0.5), 4) AS p50, round(quantile_cont(c, 0.9), 4) AS p90, CAST(max(c) AS BIGINT) AS top, round(avg(CASE WHEN c >= 2000 THEN 1 ELSE 0 END), 6) AS p_2000, round(avg(CASE WHEN c >= 20000 THEN 1 ELSE 0 END), 6) AS p_20000 FROM hourly GROUP BY 1")
+def ensemble_summary(spark: SparkSession, sf: str) -> DataFrame:
+    from tessera.sources.catalogue import ensemble_summary as summary
+
+    out = summary(hourly(spark, sf).withColumn("place", F.col("s") % 50), ["place"], "c", [2000, 20000])
+    return out.select("place", *[F.round(c, 4).alias(c) for c in ("mean", "p50", "p90")], "top", *r6("p_2000", "p_20000"))

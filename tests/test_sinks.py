@@ -1,6 +1,4 @@
-"""Sinks, registered functions, parsers of sources."""
-
-import datetime
+"""Sinks, upserts, registered functions, projections."""
 
 from pyspark.sql import functions as F
 
@@ -109,10 +107,3 @@ def test_utm_series_comes_back(spark):
         east = 500_000 + k0 * scale * (eta + sum(x * math.cos(2 * j * xi) * math.sinh(2 * j * eta) for j, x in enumerate(alpha, 1)))
         north = k0 * scale * (xi + sum(x * math.sin(2 * j * xi) * math.cosh(2 * j * eta) for j, x in enumerate(alpha, 1)))
         assert abs(east - r.e) < 0.01 and abs(north - r.n) < 0.01
-
-
-def test_summer_time(spark):
-    times = [(datetime.datetime(2024, 7, 1, 12), datetime.datetime(2024, 7, 1, 10)), (datetime.datetime(2024, 1, 1, 12), datetime.datetime(2024, 1, 1, 11))]
-    df = spark.createDataFrame(times, "local timestamp_ntz, utc timestamp_ntz")
-    got = df.select(F.to_utc_timestamp(F.col("local").cast("string"), "Europe/Madrid").cast("timestamp_ntz").alias("x"), "utc").collect()
-    assert all(r.x == r.utc for r in got)
