@@ -9,19 +9,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.sources.storage import durable, durable_folder  # noqa: F401  (the corpus modules take them from here)
+from tessera.sources.sinks import forget  # noqa: F401  (the corpus modules take these from here)
+from tessera.sources.storage import durable, durable_folder  # noqa: F401
 
 #: Bytes of text that one numpy pass handles, so that its arrays stay in cache.
 BLOCK = 1 << 18
 U = np.uint64
 
 
-def forget(spark: SparkSession, folder: str) -> None:
-    """Delete a folder of intermediate rows that nothing reads any more."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
