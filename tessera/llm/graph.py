@@ -36,6 +36,6 @@ def components(edges: DataFrame) -> DataFrame:
         if state == seen or not state[0]:
             break
         seen = state
-        grown = durable(_large(now, state[0]))
-        now = durable(_small(grown, grown.count()))
+        # a round never adds links
+        now = durable(_small(durable(_large(now, state[0])), state[0]))
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
