@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,13 +17,9 @@ BLOCK = 1 << 18
 U = np.uint64
 
 
-def settle(spark: SparkSession, rows_per_batch: int = 2048) -> None:
-    """For the start of a stage of a long run in one session: lets the driver free what the stages before it have left there
-    (plans, broadcasts, what is known of their checkpoints), and keeps the batches that Python functions get small, as texts
-    may be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows_per_batch))
-    gc.collect()  # rows that Python no longer names let go of their plans
-    spark._jvm.System.gc()
+def small_batches(spark: SparkSession, rows: int = 2048) -> None:
+    """Keeps the batches that Python functions get small for what the session runs from now on, as texts may be long."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -79,11 +79,17 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
             for k, lang in enumerate(b.column(0).to_pylist()):
                 keys = trigrams(data[offsets[k] : offsets[k + 1]]) if offsets[k + 1] - offsets[k] > 2 else np.zeros(0, np.uint32)
                 counts[lang] = counts.get(lang, np.zeros(1 << BITS, np.int64)) + np.bincount(keys, minlength=1 << BITS)
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array([c.tobytes() for c in counts.values()], pa.binary())], ["lang", "counts"])
+        for lang, n in counts.items():
+            seen = np.flatnonzero(n) if n.any() else np.array([_BLANK])  # so that a language of empty texts is known
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(seen), pa.string()), pa.array(seen.astype(np.int32)), pa.array(n[seen])], ["lang", "key", "n"])
 
+    # summed before it comes to the driver: at most 2 ** BITS numbers for each language, however many tasks count
+    summed = rows.mapInArrow(count, "lang string, key int, n long").groupBy("lang", "key").agg(F.sum("n").alias("n")).toArrow()
     found: dict[str, np.ndarray] = {}
-    for r in rows.mapInArrow(count, "lang string, counts binary").collect():
-        found[r["lang"]] = found.get(r["lang"], 0) + np.frombuffer(r["counts"], np.int64)
+    names, keys, numbers = np.array(summed.column("lang").to_pylist(), object), summed.column("key").to_numpy(), summed.column("n").to_numpy()
+    for lang in set(names):
+        found[lang] = np.zeros(1 << BITS, np.int64)
+        found[lang][keys[names == lang]] = numbers[names == lang]
     languages = tuple(sorted(found))
     table = np.zeros((1 << BITS, len(languages) + 1))
     table[:, -1] = 1
