@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import chunks, decontam, langid, packing, simhash
-from tessera.llm.common import durable, durable_folder, forget, fresh, select_ids, settle, table
+from tessera.llm.common import durable, durable_folder, forget, fresh, select_ids, small_batches, table
 from tessera.llm.queries import tokenizer_path
 
 
@@ -18,7 +18,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A row whose id is null cannot be judged by id and stays. An id whose rows are judged differently stays, if one of them
     is accepted."""
-    settle(spark)
+    small_batches(spark)
     model = langid.train(docs)
     judged = langid.identify(docs.where("doc_id is not null"), model, "doc_id", F.col("text"), F.col("lang"), F.col("source"), address_suffix=False)
     rejected = judged.groupBy("id").agg(F.max("accepted").alias("any")).where(~F.col("any")).select(F.col("id").alias("doc_id"))
@@ -29,7 +29,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Keeps of each group of near duplicates one row: of the least id, and where several rows have it, of the least
     fingerprint, then of the text that sorts first. So of rows with the same id and different texts each stays, unless it
     has a near duplicate. Rows with a null id belong to no group and stay."""
-    settle(spark)
+    small_batches(spark)
     rows = durable(simhash.members(docs).where("id is not null"))
     least = F.min(F.struct("id", "fp")).alias("s")
     kept = durable(rows.where(F.col("id") == F.col("component_id")).groupBy("root").agg(least).select(F.col("s.id").alias("doc_id"), F.col("s.fp").alias("fp")))
@@ -48,21 +48,21 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes repeated passages out, but for the first of each; documents of which no word is left go. n_chars follows the
     text. Rows with a null id or text stay as they are."""
-    settle(spark)
+    small_batches(spark)
     out = chunks.without_repeats(docs)
     return out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(dict(docs.dtypes)["n_chars"])).select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes out documents that hold a passage of a benchmark item. Rows with a null id cannot be named and stay."""
-    settle(spark)
+    small_batches(spark)
     hit = decontam.overlaps(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
     return select_ids(docs, hit, "doc_id", "left_anti").select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs all documents, those with a null id or text included, into sequences of at most 2,048 tokens."""
-    settle(spark)
+    small_batches(spark)
     return packing.pack(docs, tokenizer_path())
 
 
