@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.grids import neighbourhood
+from tessera.operators.grids import kriging_weights, neighbourhood
 
 
 def _kinds(df: DataFrame, names: Sequence[str]) -> str:
@@ -21,14 +21,8 @@ def _kinds(df: DataFrame, names: Sequence[str]) -> str:
 
 
 def _kriged(p: np.ndarray, v: np.ndarray, q: np.ndarray, reach: float, nugget: float, variance: bool = False):
-    n = len(p)
-    gamma = lambda d: np.where(d > 0, nugget + (1 - nugget) * (1 - np.exp(-3 * d / reach)), 0.0)
-    away = lambda a, b: np.hypot(a[:, None, 0] - b[None, :, 0], a[:, None, 1] - b[None, :, 1])
-    m, r = np.ones((n + 1, n + 1)), np.ones((n + 1, len(q)))
-    m[:n, :n], m[n, n], r[:n] = gamma(away(p, p)), 0, gamma(away(p, q))
-    w = np.linalg.solve(m + 1e-10 * np.eye(n + 1), r)
-    estimate = w[:n].T @ v
-    return (estimate, np.maximum((w * r).sum(axis=0), 0)) if variance else estimate
+    weights, spread = kriging_weights(p, q, reach, nugget)
+    return (weights @ v, spread) if variance else weights @ v
 
 
 def merge_gauges(radar: DataFrame, gauges: DataFrame, keys: Sequence[str], least: int = 5, reach: float = 24.0, nugget: float = 0.1, usual: float = 1.0) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from uuid import uuid4
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,30 +29,23 @@ def closure(edges: DataFrame, src: str = "src", dst: str = "dst", stop: str | No
     return paths.select("src", "dst", "steps").union(nodes.select("n", F.col("n").alias("m"), F.lit(0)))
 
 
-def closure_sql(spark, edges: DataFrame, src: str, dst: str) -> DataFrame:
-    """The same as one recursive query, for graphs of moderate depth."""
-    name = f"edges_{uuid4().hex[:8]}"
-    edges.select(F.col(src).alias("s"), F.col(dst).alias("d")).createOrReplaceTempView(name)
-    return spark.sql(
-        f"WITH RECURSIVE up(src, dst, steps) AS (SELECT n, n, 0 FROM (SELECT s AS n FROM {name} UNION SELECT d FROM {name} WHERE d IS NOT NULL) "
-        f"UNION ALL SELECT up.src, e.d, up.steps + 1 FROM up JOIN {name} e ON up.dst = e.s WHERE e.d IS NOT NULL) SELECT * FROM up"
-    )
-
-
 def accumulate(paths: DataFrame, nodes: DataFrame, node: str, value: str) -> DataFrame:
     """Sum of a node's own value and those of all nodes upstream of it."""
     return paths.join(nodes.select(F.col(node).alias("src"), F.col(value)), "src").groupBy(F.col("dst").alias(node)).agg(F.sum(value).alias(value))
 
 
-def tree_sums(nodes: DataFrame, node: str, down: str, value: str, most: int = 64) -> DataFrame:
+def tree_sums(nodes: DataFrame, node: str, down: str, value: str) -> DataFrame:
     """node, value (the sum of its own and of all that flows into it) and level (the longest way to it from a source), for nodes
     that each flow into at most one (null: none). Pointers are doubled: after k rounds a node knows the sum and the longest way
     of what lies less than 2^k steps upstream, and who is 2^k steps downstream. So rows stay as many as nodes, and a river of n
-    nodes takes log2(n) rounds."""
+    nodes takes log2(n) rounds. Pointers that last longer lead into a cycle, which no river has: a ValueError."""
     now = durable(nodes.select(F.col(node).alias("n"), F.col(down).alias("d"), F.col(value).alias("v"), F.lit(0).alias("l")))
-    for k in range(most):
+    rounds = now.count().bit_length()
+    for k in range(rounds + 1):
         if now.where("d is not null").isEmpty():
             break
+        if k == rounds:
+            raise ValueError("nodes flow into each other in a cycle")
         arriving = now.where("d is not null").groupBy(F.col("d").alias("n")).agg(F.sum("v").alias("v2"), F.max("l").alias("l2"))
         beyond = now.where("d is not null").select(F.col("n").alias("d"), F.col("d").alias("d2"))
         grown = now.join(arriving, "n", "left").join(beyond, "d", "left")
@@ -89,11 +81,11 @@ def steepest(df: DataFrame, keys: Sequence[str], height: str, ny: int, nx: int)
 
 
 def snap(points: DataFrame, field: DataFrame, keys: Sequence[str], value: str, radius: int) -> DataFrame:
-    """Moves each point (id, j, i) to the cell within the radius that has the greatest value (the nearest, if tied), in
-    the field of each of the keys."""
+    """Moves each point (keys, id, j, i) to the cell within the radius that has the greatest value (the nearest, if tied), in
+    the field of its own keys; a point meets only the cells around it."""
     o = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in range(-radius, radius + 1) for b in range(-radius, radius + 1)]))
-    wide = points.withColumn("o_", o).select("id", (F.col("j") + F.col("o_.a")).alias("j"), (F.col("i") + F.col("o_.b")).alias("i"), (F.abs("o_.a") + F.abs("o_.b")).alias("d_"))
-    return wide.join(field, ["j", "i"]).groupBy(*keys, "id").agg(F.min_by(F.struct("j", "i", value), F.struct(-F.col(value), "d_", "j", "i")).alias("b")).select(*keys, "id", "b.*")
+    wide = points.withColumn("o_", o).select(*keys, "id", (F.col("j") + F.col("o_.a")).alias("j"), (F.col("i") + F.col("o_.b")).alias("i"), (F.abs("o_.a") + F.abs("o_.b")).alias("d_"))
+    return wide.join(field, [*keys, "j", "i"]).groupBy(*keys, "id").agg(F.min_by(F.struct("j", "i", value), F.struct(-F.col(value), "d_", "j", "i")).alias("b")).select(*keys, "id", "b.*")
 
 
 def time_area(cells: DataFrame, keys: Sequence[str], hours: str, area: str) -> DataFrame:

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.sources.storage import durable
+
 
 def disc(radius_km: float, dy_km: float, dx_km: float) -> list[tuple[int, int]]:
     """Offsets (dj, di) of the cells whose centres lie within the radius."""
@@ -94,16 +96,15 @@ def regrid(weights: DataFrame, values: DataFrame, to: Sequence[str], source: Seq
 
 
 def bilinear(df: DataFrame, at: DataFrame, keys: Sequence[str], value: str, ny: int, nx: int) -> DataFrame:
-    """Values of the field at fractional (y, x) of `at` (id, y, x), clamped to the grid. Up to 65,536 points come to the
-    fields' rows; more meet them by cell."""
-    few = at.count() <= 1 << 16
+    """Values at fractional (y, x) of the points `at` (keys, id, y, x), each in the field of its own keys, clamped to the
+    grid. A point meets the four cells around it by keys and cell, so there are as many results as points."""
     y, x = F.least(F.greatest("y", F.lit(0.0)), F.lit(ny - 1.0)), F.least(F.greatest("x", F.lit(0.0)), F.lit(nx - 1.0))
     j0, i0 = F.least(F.floor(y), F.lit(max(ny - 2, 0))), F.least(F.floor(x), F.lit(max(nx - 2, 0)))
     p = at.withColumn("fy", y - j0).withColumn("fx", x - i0).withColumn("j0", j0).withColumn("i0", i0).withColumn("o_", _offsets([(0, 0), (0, 1), (1, 0), (1, 1)]))
     w = F.when(F.col("o_.dj") == 1, F.col("fy")).otherwise(1 - F.col("fy")) * F.when(F.col("o_.di") == 1, F.col("fx")).otherwise(1 - F.col("fx"))
-    p = p.withColumn("w_", w).withColumn("j", (F.col("j0") + F.col("o_.dj")).cast("int")).withColumn("i", (F.col("i0") + F.col("o_.di")).cast("int"))
+    p = p.select(*keys, "id", w.alias("w_"), (F.col("j0") + F.col("o_.dj")).cast("int").alias("j"), (F.col("i0") + F.col("o_.di")).cast("int").alias("i"))
     known = F.when(F.col(value).isNotNull(), F.col("w_"))
-    return df.join(F.broadcast(p) if few else p, ["j", "i"]).groupBy(*keys, "id").agg((F.sum(F.col("w_") * F.col(value)) / F.nullif(F.sum(known), F.lit(0.0))).alias(value))
+    return p.join(df.select(*keys, "j", "i", value), [*keys, "j", "i"]).groupBy(*keys, "id").agg((F.sum(F.col("w_") * F.col(value)) / F.nullif(F.sum(known), F.lit(0.0))).alias(value))
 
 
 def majority(df: DataFrame, keys: Sequence[str], unit: str) -> DataFrame:
@@ -135,6 +136,21 @@ def field_bias(pairs: DataFrame, keys: Sequence[str], gauge: str, radar: str, lo
     return pairs.groupBy(*keys).agg(F.least(F.greatest(F.sum(gauge) / F.nullif(F.sum(radar), F.lit(0.0)), F.lit(lo)), F.lit(hi)).alias("bias"), F.count("*").alias("n"))
 
 
+def kriging_weights(points: np.ndarray, targets: np.ndarray, reach: float, nugget: float) -> tuple[np.ndarray, np.ndarray]:
+    """Weights (target x point) and variances of ordinary kriging, the sill being 1, by generalised least squares: the known
+    mean is the one of least variance, and what is left of each point counts by its covariance with the target."""
+    apart = lambda a, b: np.linalg.norm(a[:, None, :] - b[None, :, :], axis=2)
+    covariance = lambda d: np.where(d == 0, 1.0, (1 - nugget) * np.exp(-3 * d / reach))
+    among, towards = covariance(apart(points, points)), covariance(apart(targets, points))
+    lower = np.linalg.cholesky(among + 1e-10 * np.eye(len(points)))
+    half = np.linalg.solve(lower, np.column_stack([towards.T, np.ones(len(points))]))
+    both = np.linalg.solve(lower.T, half)  # inverse covariance times the targets' covariances, and times ones
+    simple, ones = both[:, :-1].T, both[:, -1]
+    missing = 1 - simple.sum(axis=1)  # what simple kriging leaves to the mean
+    variance = 1 - np.einsum("ij,ij->i", simple, towards) + missing**2 / ones.sum()
+    return simple + missing[:, None] * ones / ones.sum(), np.maximum(variance, 0)
+
+
 def krige(points: DataFrame, targets: DataFrame, keys: Sequence[str], value: str, range_km: float = 40.0, nugget: float = 0.1) -> DataFrame:
     """Ordinary kriging with an exponential variogram (95 % of the sill at range_km): points (keys, y, x in km, value), targets (keys, id, y, x); estimate
     and variance per target. A key's points are one network at one time: a bounded set, which one task solves."""
@@ -145,44 +161,45 @@ def krige(points: DataFrame, targets: DataFrame, keys: Sequence[str], value: str
         out = wanted[[*keys, "id"]].copy()
         if known.empty or wanted.empty:
             return out.assign(estimate=np.nan, variance=np.nan)
-        p, q = known[["y", "x"]].to_numpy(float), wanted[["y", "x"]].to_numpy(float)
-        n = len(p)
-        distance = lambda a, b: np.sqrt(((a[:, None] - b[None]) ** 2).sum(-1))
-        g = lambda d: np.where(d > 0, nugget + (1 - nugget) * (1 - np.exp(-3 * d / range_km)), 0.0)
-        m = np.ones((n + 1, n + 1))
-        m[:n, :n], m[n, n] = g(distance(p, p)), 0
-        r = np.ones((n + 1, len(q)))
-        r[:n] = g(distance(p, q))
-        w = np.linalg.solve(m + np.eye(n + 1) * 1e-10, r)
-        return out.assign(estimate=w[:n].T @ known[value].to_numpy(), variance=np.maximum((w * r).sum(axis=0), 0))
+        weights, variance = kriging_weights(known[["y", "x"]].to_numpy(float), wanted[["y", "x"]].to_numpy(float), range_km, nugget)
+        return out.assign(estimate=weights @ known[value].to_numpy(float), variance=variance)
 
     return points.select(*keys, "y", "x", value).groupBy(*keys).cogroup(targets.select(*keys, "id", "y", "x").groupBy(*keys)).applyInPandas(solve, schema)
 
 
 def gauge_check(df: DataFrame, keys: Sequence[str], value: str, radar: str, radius_km: float = 15.0) -> DataFrame:
-    """Rejects impossible values (below 0, or 1,500 and more); a gauge that is dry (below 0.5) where the radar has 15 or more
-    and the median of at least two neighbours is 10 or more; and one over 30 that is above three times the greatest of
-    neighbours and radar, plus 20. df: keys, id, y, x (km), value, radar (null: not seen). Gauges are judged in the order
-    of their ids, and a rejected one is nobody's neighbour any more, so a network (a key at one time) is one task's loop over
-    its suspects."""
-    kinds = dict(df.dtypes)
-    schema = ", ".join(f"`{k}` {kinds[k]}" for k in [*keys, "id", value]) + ", kept boolean"
-
-    def check(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        y, x, g, r = (pdf[c].to_numpy(float) for c in ("y", "x", value, radar))
-        kept = (g >= 0) & (g < 1500)
-        for k in np.flatnonzero(kept & ((g < 0.5) | (g > 30))):
-            near = kept & (np.hypot(y - y[k], x - x[k]) <= radius_km)
-            near[k] = False
-            if near.sum() < 2:
-                continue
-            blocked = g[k] < 0.5 and r[k] >= 15 and np.median(g[near]) >= 10
-            dumped = g[k] > 30 and r[k] >= 0 and g[k] > 3 * max(g[near].max(), r[k]) + 20
-            kept[k] = not (blocked or dumped)
-        return pdf[[*keys, "id", value]].assign(kept=kept)
-
-    return df.select(*keys, "id", "y", "x", value, radar).groupBy(*keys).applyInPandas(check, schema)
+    """keys, id, value, kept. Rejects impossible values (null, below 0, or 1,500 and more); a gauge that is dry (below 0.5) where
+    the radar has 15 or more and the median of at least two neighbours is 10 or more; and one over 30 that is above three
+    times the greatest of neighbours and radar, plus 20. df: keys, id, y, x (km), value, radar (null: not seen).
+
+    Gauges are judged in the order of their ids, and a rejected one is nobody's neighbour any more. Only suspects can be
+    rejected, so a suspect may be judged once all suspects of lesser ids around it are: each round judges all of these at
+    once, from neighbour pairs that are found only once, by squares of radius_km. Ids are unique within a key."""
+    named = df.select(*keys, "id", "y", "x", F.col(value).cast("double").alias("g_"), F.col(radar).alias("r_"), F.col(value)).withColumn("fine_", F.coalesce((F.col("g_") >= 0) & (F.col("g_") < 1500), F.lit(False)))
+    good = named.where("fine_").withColumn("suspect_", (F.col("g_") < 0.5) | (F.col("g_") > 30))
+    square = lambda c: F.floor(F.col(c) / radius_km)
+    steps = F.explode(F.sequence(F.lit(-1), F.lit(1)))
+    asked = good.where("suspect_").withColumn("a_", steps).withColumn("b_", steps).select(*keys, F.col("id").alias("of_"), F.col("y").alias("y0_"), F.col("x").alias("x0_"), F.col("g_").alias("g0_"), F.col("r_").alias("r0_"), (square("y") + F.col("a_")).alias("sy_"), (square("x") + F.col("b_")).alias("sx_"))
+    around = good.select(*keys, F.col("id").alias("near_"), "y", "x", "g_", "suspect_", square("y").alias("sy_"), square("x").alias("sx_"))
+    close = (F.hypot(F.col("y") - F.col("y0_"), F.col("x") - F.col("x0_")) <= radius_km) & (F.col("near_") != F.col("of_"))
+    pairs = durable(asked.join(around, [*keys, "sy_", "sx_"]).where(close).select(*keys, "of_", "g0_", "r0_", "near_", "g_", "suspect_"))
+    verdict = None
+    waiting = pairs
+    while not waiting.isEmpty():
+        known = waiting if verdict is None else waiting.join(verdict, [*keys, "near_"], "left")
+        out = F.lit(None).cast("boolean") if verdict is None else F.col("out_")
+        known = known.withColumn("open_", F.col("suspect_") & (F.col("near_") < F.col("of_")) & out.isNull()).withColumn("here_", F.when(~F.coalesce(out, F.lit(False)), F.col("g_")))
+        seen = known.groupBy(*keys, "of_").agg(F.first("g0_").alias("g0_"), F.first("r0_").alias("r0_"), F.max("open_").alias("open_"), F.count("here_").alias("n_"), F.median("here_").alias("mid_"), F.max("here_").alias("top_"))
+        dry = (F.col("g0_") < 0.5) & (F.col("r0_") >= 15) & (F.col("mid_") >= 10)
+        dumped = (F.col("g0_") > 30) & (F.col("r0_") >= 0) & (F.col("g0_") > 3 * F.greatest("top_", "r0_") + 20)
+        judged = seen.where(~F.col("open_")).select(*keys, F.col("of_").alias("near_"), F.coalesce((F.col("n_") >= 2) & (dry | dumped), F.lit(False)).alias("out_"))
+        verdict = durable(judged if verdict is None else verdict.unionByName(judged))
+        waiting = durable(pairs.join(verdict.select(*keys, F.col("near_").alias("of_")), [*keys, "of_"], "left_anti"))
+    kept = F.col("fine_")
+    if verdict is not None:
+        named = named.join(verdict.withColumnRenamed("near_", "id"), [*keys, "id"], "left")
+        kept = kept & ~F.coalesce("out_", F.lit(False))
+    return named.select(*keys, "id", value, kept.alias("kept"))
 
 
 def _box_mean(df: DataFrame, keys: Sequence[str], value: str, half_j: int, half_i: int, ny: int, nx: int, out: str) -> DataFrame:

@@ -74,83 +74,6 @@ def linear_store(df: DataFrame, keys: Sequence[str], value: str, hours: float) -
     return routed.select(*keys, "t", "routed")
 
 
-@dataclass(frozen=True)
-class Dams:
-    """Reservoirs, upstream first. Volumes in hm3, flows in m3/s, heights in m.
-
-    spill: volume at the sill of the spillway; a, b, h0: level = h0 + (volume / a) ** (1 / b); sill: its level; rating: m3/s
-    of the spillway for each m ** 1.5 above the sill (NaN: no limit); outlet: what an always open outlet passes at the
-    spill volume (0: none), which goes with (volume / spill) ** exponent; release: what is let out otherwise, of which
-    river goes down the river; before: outflow to the river before the start; start: volume; above: for each dam the dams
-    that flow into it, and the hours (at least 1) that takes."""
-
-    spill: Sequence[float]
-    a: Sequence[float]
-    b: Sequence[float]
-    h0: Sequence[float]
-    sill: Sequence[float]
-    rating: Sequence[float]
-    outlet: Sequence[float]
-    release: Sequence[float]
-    river: Sequence[float]
-    before: Sequence[float]
-    start: Sequence[float]
-    above: Sequence[Sequence[tuple[int, int]]]
-    exponent: float = 0.5
-    substeps: int = 4
-
-
-def store_hours(own: np.ndarray, dams: Dams) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """own: inflow (scenario, hour, dam). Volume at the end of each hour, and its mean inflow, outflow to the river and spill."""
-    p = {f: np.array(getattr(dams, f), float) for f in ("spill", "a", "b", "h0", "sill", "rating", "outlet", "release", "river", "before")}
-    shape, hm3 = own.shape, 3600 / 1e6 / dams.substeps
-    volume, inflow, out, spilled = (np.zeros(shape) for _ in range(4))
-    now = np.broadcast_to(np.array(dams.start, float), (shape[0], shape[2])).copy()
-    river = np.minimum(p["river"], p["release"])
-    for t in range(shape[1]):
-        q = own[:, t].copy()
-        for d, ups in enumerate(dams.above):
-            for u, lag in ups:
-                q[:, d] += out[:, t - lag, u] if t >= lag else p["before"][u]
-        q = np.maximum(q, 0)
-        for _ in range(dams.substeps):
-            free = p["outlet"] * np.clip(now / p["spill"], 0, 4) ** dams.exponent
-            let = np.minimum(np.where(p["outlet"] > 0, free, p["release"]), now / hm3 + q)  # an empty reservoir lets out what comes in
-            level = p["h0"] + (np.maximum(now, 0) / p["a"]) ** (1 / p["b"])
-            able = p["rating"] * np.maximum(level - p["sill"], 0) ** 1.5
-            over = np.clip((now - p["spill"]) / hm3 + q - let, 0, np.where(np.isfinite(able), able, np.inf))
-            now = np.maximum(now + (q - let - over) * hm3, 0)
-            out[:, t] += (np.minimum(let, river) + over) / dams.substeps
-            spilled[:, t] += over / dams.substeps
-        volume[:, t], inflow[:, t] = now, q
-    return volume, inflow, out, spilled
-
-
-def cascade(inflows: DataFrame, dams: Dams, scenario: str, together: int = 64) -> DataFrame:
-    """Storage of a cascade of reservoirs in each scenario. inflows: scenario, dam (its place in dams), t, inflow (m3/s). Gives
-    volume, inflow, outflow and spill of each dam and hour. The hours of a scenario follow each other in one task, about
-    `together` scenarios side by side in numpy; a scenario has as many numbers as dams times hours. All start at the first
-    hour of any."""
-    first, last = inflows.agg(F.min("t"), F.max("t")).first()
-    n = len(dams.spill)
-    kinds = dict(inflows.dtypes)
-    schema = f"`{scenario}` {kinds[scenario]}, dam {kinds['dam']}, t long, volume double, inflow double, outflow double, spill double"
-    if first is None:
-        return inflows.sparkSession.createDataFrame([], schema)
-    groups = max(1, -(-inflows.select(scenario).distinct().count() // together))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        names, at = np.unique(pdf[scenario].to_numpy(), return_inverse=True)
-        own = np.zeros((len(names), last - first + 1, n))
-        np.add.at(own, (at, pdf["t"].to_numpy() - first, pdf["dam"].to_numpy()), pdf["inflow"].to_numpy(float))
-        s, t, d = (x.ravel() for x in np.indices(own.shape))
-        columns = dict(zip(("volume", "inflow", "outflow", "spill"), (x.ravel() for x in store_hours(own, dams)), strict=True))
-        return pd.DataFrame({scenario: names[s], "dam": d, "t": t + first, **columns})
-
-    dealt = inflows.withColumn("group_", F.pmod(F.xxhash64(scenario), F.lit(groups)))
-    return dealt.groupBy("group_").applyInPandas(run, schema)
-
-
 def fit_level_volume(df: DataFrame, keys: Sequence[str], level: str, volume: str) -> DataFrame:
     """volume = a (level - h0) ** b of each key: a, b, h0, rms (of the volumes), n, clipped (the volume at which the gauge stands
     still while the level rises, or null).

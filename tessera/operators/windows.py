@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.sources.storage import durable
+
 
 def _by(keys: Sequence[str], *order: str | Column) -> Window:
     return Window.partitionBy(*keys).orderBy(*order)
@@ -244,29 +246,30 @@ def decluster(df: DataFrame, keys: Sequence[str], value: str, apart: int) -> Dat
 
 
 def despike(df: DataFrame, keys: Sequence[str], value: str, left: float = 0.4, fall: float = 2.0, band: float = 0.12, longest: int = 72, entry: float = 0.5, passes: int = 4) -> DataFrame:
-    """Plateaus that end in one step, by a fall of over `fall` to less than `left` of their height, stay within `band` of it
-    for at most `longest` rows, and were entered from below `entry` of it, become null, with the two rows before and the
-    two after (the samples of the transition). Plateaus may be stacked, so up to `passes` passes look at what is left; each
-    judges all falls of the same rows. A key's series is one pass of numpy, as each pass depends on the one before."""
-
-    def clean(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t")
-        v = pdf[value].to_numpy(float).copy()
-        bad = np.zeros(len(v), bool)
-        for _ in range(passes):
-            rest = np.flatnonzero(~bad)
-            x = v[rest]
-            ends = np.flatnonzero((x[1:] < left * x[:-1]) & (x[:-1] - x[1:] > fall)).tolist()
-            before = bad.sum()
-            for end in ends:
-                begin = end
-                while begin > 0 and end - begin < longest and abs(x[begin - 1] - x[end]) <= band * x[end]:
-                    begin -= 1
-                if begin > 0 and x[begin - 1] < entry * x[end]:
-                    bad[rest[max(begin - 2, 0)] : rest[min(end + 2, len(rest) - 1)] + 1] = True
-            if bad.sum() == before:
-                break
-        v[bad] = np.nan
-        return pdf.assign(clean=pd.Series(v, index=pdf.index).astype(object).where(~np.isnan(v), None))
-
-    return _per_key(df.select(*keys, "t", value), keys, clean, f"{_types(df, [*keys, 't', value])}, clean double")
+    """keys, t, value and clean. Plateaus that end in one step, by a fall of over `fall` to less than `left` of their height, stay
+    within `band` of it for at most `longest` rows after their first, and were entered from below `entry` of it, are null in
+    clean, with the two rows before and the two after (the samples of the transition). Plateaus may be stacked, so up to
+    `passes` passes look at what is left; each judges all falls of the same rows.
+
+    Falls are rare. Each meets the rows before it by a join on stretches of its series, and the last of these that is off
+    its height tells where the plateau began. A null value is left out of the series, and clean there. Repeated times are
+    rows of their own, in any order."""
+    series = df.select(*keys, "t", value).withColumn("row_", F.monotonically_increasing_id())
+    series = durable(series)
+    left_over = series.where(F.col(value).isNotNull())
+    span = longest + 1
+    stretch = lambda n: F.floor(n / span)
+    for _ in range(passes):
+        at, after = F.row_number().over(_by(keys, "t", "row_")), F.lead(value).over(_by(keys, "t", "row_"))
+        now = durable(left_over.withColumn("n_", at).withColumn("next_", after))
+        ends = now.where((F.col("next_") < left * F.col(value)) & (F.col(value) - F.col("next_") > fall))
+        ends = ends.select(*keys, F.col("n_").alias("end_"), F.col(value).alias("level_"), F.explode(F.array(stretch(F.col("n_")), stretch(F.col("n_")) - 1)).alias("stretch_"))
+        before = now.select(*keys, "n_", value, stretch(F.col("n_")).alias("stretch_"))
+        off = ends.join(before, [*keys, "stretch_"]).where((F.col("n_") < F.col("end_")) & (F.col("n_") >= F.col("end_") - span) & (F.abs(F.col(value) - F.col("level_")) > band * F.col("level_")))
+        entered = off.groupBy(*keys, "end_", "level_").agg(F.max_by(F.struct("n_", value), "n_").alias("b_")).where(F.col(f"b_.{value}") < entry * F.col("level_"))
+        gone = durable(entered.select(*keys, F.explode(F.sequence(F.col("b_.n_") - 1, F.col("end_") + 2)).alias("n_")).distinct())
+        if gone.isEmpty():
+            break
+        left_over = now.join(gone, [*keys, "n_"], "left_anti").select(*left_over.columns)
+    kept = left_over.select("row_", F.col(value).alias("clean"))
+    return series.join(kept, "row_", "left").select(*keys, "t", value, "clean")

@@ -84,12 +84,12 @@ def regrid_weights(spark: SparkSession, sf: str) -> DataFrame:
     return G.regrid(w, o.select("oid", "v"), ["c"], ["oid"], "v").withColumn("v", F.round("v", 4))
 
 
-@query(f"""{FW}, p AS (SELECT s_suppkey AS id, least(greatest(s_suppkey % 23 - CAST(1.25 AS DOUBLE), 0), 19) AS y, least(greatest(s_suppkey % 13 - CAST(0.5 AS DOUBLE), 0), 9) AS x FROM supplier),
-q AS (SELECT id, y, x, least(floor(y), 18) AS j0, least(floor(x), 8) AS i0 FROM p), o(a, b) AS (VALUES (0, 0), (0, 1), (1, 0), (1, 1))
-SELECT plane, id, round(sum((CASE WHEN a = 1 THEN y - j0 ELSE 1 - (y - j0) END) * (CASE WHEN b = 1 THEN x - i0 ELSE 1 - (x - i0) END) * v), 6) AS v FROM q, o JOIN field f ON f.j = j0 + a AND f.i = i0 + b GROUP BY 1, 2""")
+@query(f"""{FW}, p AS (SELECT s_suppkey // 10 AS plane, s_suppkey AS id, least(greatest(s_suppkey % 23 - CAST(1.25 AS DOUBLE), 0), 19) AS y, least(greatest(s_suppkey % 13 - CAST(0.5 AS DOUBLE), 0), 9) AS x FROM supplier),
+q AS (SELECT plane, id, y, x, least(floor(y), 18) AS j0, least(floor(x), 8) AS i0 FROM p), o(a, b) AS (VALUES (0, 0), (0, 1), (1, 0), (1, 1))
+SELECT q.plane, id, round(sum((CASE WHEN a = 1 THEN y - j0 ELSE 1 - (y - j0) END) * (CASE WHEN b = 1 THEN x - i0 ELSE 1 - (x - i0) END) * v), 6) AS v FROM q, o JOIN field f ON f.plane = q.plane AND f.j = j0 + a AND f.i = i0 + b GROUP BY 1, 2""")
 def bilinear_sample(spark: SparkSession, sf: str) -> DataFrame:
     s = F.col("s_suppkey")
-    at = table(spark, sf, "supplier").select(s.alias("id"), (s % 23 - 1.25).alias("y"), (s % 13 - 0.5).alias("x"))
+    at = table(spark, sf, "supplier").select(F.floor(s / 10).alias("plane"), s.alias("id"), (s % 23 - 1.25).alias("y"), (s % 13 - 0.5).alias("x"))
     return G.bilinear(field(spark, sf), at, ["plane"], "v", NY, NX).select("plane", "id", *r6("v"))
 
 
@@ -212,11 +212,6 @@ def upstream_closure(spark: SparkSession, sf: str) -> DataFrame:
     return R.closure(tree(spark, sf))
 
 
-@query(f"{UP} SELECT src, dst, steps FROM up")
-def upstream_closure_recursive(spark: SparkSession, sf: str) -> DataFrame:
-    return R.closure_sql(spark, tree(spark, sf), "src", "dst")
-
-
 @query(f"{UP} SELECT u.dst AS node, CAST(sum(v) AS BIGINT) AS v FROM up u JOIN edges e ON u.src = e.src GROUP BY 1")
 def flow_accumulation(spark: SparkSession, sf: str) -> DataFrame:
     return R.tree_sums(tree(spark, sf).withColumnRenamed("src", "node"), "node", "dst", "v").select("node", "v")
@@ -239,11 +234,11 @@ def steepest_descent(spark: SparkSession, sf: str) -> DataFrame:
     return R.steepest(field(spark, sf), ["plane"], "v", NY, NX).withColumn("slope", F.round("slope", 6))
 
 
-@query(f"""{FW}, p AS (SELECT s_suppkey AS id, CAST(s_suppkey % 20 AS INT) AS pj, CAST(s_suppkey % 10 AS INT) AS pi FROM supplier), c AS (SELECT plane, id, j, i, v, abs(j - pj) + abs(i - pi) AS d FROM p JOIN field ON abs(j - pj) <= 2 AND abs(i - pi) <= 2),
+@query(f"""{FW}, p AS (SELECT s_suppkey // 10 AS plane, s_suppkey AS id, CAST(s_suppkey % 20 AS INT) AS pj, CAST(s_suppkey % 10 AS INT) AS pi FROM supplier), c AS (SELECT field.plane, id, j, i, v, abs(j - pj) + abs(i - pi) AS d FROM p JOIN field ON field.plane = p.plane AND abs(j - pj) <= 2 AND abs(i - pi) <= 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY plane, id ORDER BY v DESC, d, j, i) AS k FROM c) SELECT plane, id, j, i, v FROM r WHERE k = 1""")
 def snap_to_maximum(spark: SparkSession, sf: str) -> DataFrame:
     s = F.col("s_suppkey")
-    points = table(spark, sf, "supplier").select(s.alias("id"), (s % 20).cast("int").alias("j"), (s % 10).cast("int").alias("i"))
+    points = table(spark, sf, "supplier").select(F.floor(s / 10).alias("plane"), s.alias("id"), (s % 20).cast("int").alias("j"), (s % 10).cast("int").alias("i"))
     return R.snap(points, field(spark, sf), ["plane"], "v", 2)
 
 
@@ -291,17 +286,6 @@ def linear_store_routing(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("s", "t", F.round("routed", 4).alias("routed"))
 
 
-@query()
-def reservoir_cascade(spark: SparkSession, sf: str) -> DataFrame:
-    nan = float("nan")
-    dams = Y.Dams(
-        spill=[2.0, 3.0, 5.0], a=[0.01, 0.02, 0.02], b=[1.8, 1.7, 1.9], h0=[90.0, 60.0, 30.0], sill=[109.0, 79.0, 48.0], rating=[30.0, nan, 60.0], outlet=[0.0, 8.0, 0.0], release=[5.0, 8.0, 12.0],
-        river=[5.0, 8.0, 6.0], before=[5.0, 8.0, 6.0], start=[1.5, 1.0, 4.0], above=[[], [], [(0, 2), (1, 1)]],
-    )
-    q = hourly(spark, sf).groupBy((F.col("s") % 7).alias("member"), (F.col("s") % 3).cast("int").alias("dam"), "t").agg((F.sum("c") / 100.0).alias("inflow"))
-    return Y.cascade(q, dams, "member")
-
-
 @query("""WITH raw AS (SELECT l_suppkey AS k, round(100 + l_quantity / CAST(4 AS DOUBLE), 2) AS h, CASE WHEN l_quantity = 17 THEN 5 ELSE 1 END * CAST(0.02 AS DOUBLE) * pow(least(l_quantity, 44) + 3, CAST(1.8 AS DOUBLE)) * (1 + l_discount / 10) AS v FROM lineitem),
 p AS (SELECT k, h, median(v) AS v FROM raw GROUP BY 1, 2), m AS (SELECT *, median(v) OVER (PARTITION BY k ORDER BY h ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING) AS med, count(*) OVER (PARTITION BY k) AS n FROM p),
 g AS (SELECT k, h, v FROM m WHERE n < 9 OR abs(v - med) <= greatest(CAST(0.15 AS DOUBLE) * med, CAST(0.02 AS DOUBLE))), w AS (SELECT *, count(*) OVER o AS n, min(h) OVER o AS low, max(h) OVER o AS high, max(v) OVER o AS top FROM g WINDOW o AS (PARTITION BY k)),

@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,6 +66,29 @@ def test_despike_removes_a_plateau_and_the_samples_around_it(spark):
         assert [r.clean for r in W.despike(df, ["s"], "v").orderBy("t").collect()] == v
 
 
+def test_despike_of_stacked_plateaus_equals_a_walk(spark):
+    """Against the rule walked by hand over random steps, several series at once."""
+    rng = np.random.default_rng(4)
+    series = {k: [float(x) for x in np.repeat(rng.choice([0.5, 1.0, 6.0, 6.3, 20.0, 45.0], 60), rng.integers(1, 5, 60))] for k in range(4)}
+    series[4] = [0.1] * 3 + [50.0] * 75 + [0.2] * 4 + [50.0] * 72 + [0.2] * 3  # one plateau is too long
+    df = spark.createDataFrame([(k, t, x) for k, v in series.items() for t, x in enumerate(v)] + [(9, 0, None)], "s int, t long, v double")
+    got = {(r.s, r.t): r.clean for r in W.despike(df, ["s"], "v").collect()}
+    for k, v in series.items():
+        alive = list(range(len(v)))
+        for _ in range(4):
+            x, lost = [v[t] for t in alive], set()
+            for e in range(len(x) - 1):
+                if x[e + 1] < 0.4 * x[e] and x[e] - x[e + 1] > 2:
+                    off = [b for b in range(max(e - 73, 0), e) if abs(x[b] - x[e]) > 0.12 * x[e]]
+                    if off and x[off[-1]] < 0.5 * x[e]:
+                        lost |= set(range(max(off[-1] - 1, 0), min(e + 2, len(x) - 1) + 1))
+            if not lost:
+                break
+            alive = [t for n, t in enumerate(alive) if n not in lost]
+        assert [got[k, t] for t in range(len(v))] == [x if t in alive else None for t, x in enumerate(v)]
+    assert got[9, 0] is None
+
+
 def test_decluster_keeps_the_larger_peak(spark):
     df = spark.createDataFrame([(1, 0, 5.0), (1, 50, 9.0), (1, 100, 7.0), (1, 125, 6.0)], "s int, t long, v double")
     assert sorted(r.t for r in W.decluster(df, ["s"], "v", 72).collect()) == [50, 125]
@@ -116,6 +140,38 @@ def test_kriging_meets_its_points(spark):
     assert got[1].estimate == pytest.approx(3.0, abs=1e-6) and got[1].variance < 1e-6 < got[2].variance
 
 
+def test_kriging_solves_its_equations(spark):
+    """Weights that sum to one and meet the variogram equations, whatever way they were found."""
+    rng = np.random.default_rng(6)
+    p, q = rng.uniform(0, 60, (7, 2)), np.vstack([rng.uniform(0, 60, (5, 2))])
+    w, variance = G.kriging_weights(p, q, 40.0, 0.1)
+    gamma = lambda d: np.where(d > 0, 0.1 + 0.9 * (1 - np.exp(-3 * d / 40)), 0.0)
+    away = lambda a, b: np.hypot(a[:, None, 0] - b[None, :, 0], a[:, None, 1] - b[None, :, 1])
+    assert w.sum(axis=1) == pytest.approx(np.ones(5))
+    rest = gamma(away(q, p)) - w @ gamma(away(p, p))  # the same multiplier for all points of a target
+    assert rest == pytest.approx(np.repeat(rest[:, :1], 7, axis=1), abs=1e-6)
+    assert variance == pytest.approx((w * gamma(away(q, p))).sum(axis=1) + rest[:, 0], abs=1e-6)
+
+
+def test_gauges_are_judged_in_the_order_of_their_ids(spark):
+    rng = np.random.default_rng(8)
+    rows = [(k, i, float(rng.uniform(0, 30)), float(rng.uniform(0, 30)), float(rng.choice([0.0, 0.2, 12.0, 25.0, 31.0, 90.0, 400.0, -1.0, 1500.0])), rng.choice([None, 0.0, 16.0, 40.0])) for k in range(6) for i in range(25)]
+    rows.append((7, 1, 0.0, 0.0, None, None))
+    got = {(r.k, r.id): r.kept for r in G.gauge_check(spark.createDataFrame(rows, "k int, id long, y double, x double, v double, r double"), ["k"], "v", "r").collect()}
+    kept = {(k, i): v is not None and 0 <= v < 1500 for k, i, _, _, v, _ in rows}
+    for k, i, y, x, v, r in sorted(rows[:-1]):
+        if kept[k, i] and (v < 0.5 or v > 30):
+            near = [w for k2, i2, y2, x2, w, _ in rows[:-1] if k2 == k and i2 != i and kept[k, i2] and math.hypot(y - y2, x - x2) <= 15]
+            if len(near) >= 2 and r is not None:
+                kept[k, i] = not ((v < 0.5 and r >= 15 and np.median(near) >= 10) or (v > 30 and v > 3 * max(*near, r) + 20))
+    assert got == kept and sum(not v for v in kept.values()) > 10
+
+
+def test_a_river_that_flows_in_a_circle_is_an_error(spark):
+    with pytest.raises(ValueError, match="cycle"):
+        R.tree_sums(spark.createDataFrame([(1, 2, 1.0), (2, 3, 1.0), (3, 1, 1.0), (4, 1, 1.0)], "n long, d long, v double"), "n", "d", "v")
+
+
 def test_flow_graph(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, None), (4, 3)], "src long, dst long")
     paths = R.closure(edges).cache()
@@ -151,16 +207,6 @@ def test_l_moments_of_an_even_sample(spark):
     assert (m.l1, m.l2, m.t3) == pytest.approx((6.0, 2.0, 0.0))
 
 
-def test_cascade_keeps_water(spark):
-    dams = Y.Dams(spill=[1.0, 2.0], a=[0.01, 0.01], b=[2.0, 2.0], h0=[0.0, 0.0], sill=[10.0, 14.0], rating=[math.nan, math.nan], outlet=[0.0, 0.0], release=[5.0, 5.0], river=[5.0, 5.0], before=[0.0, 0.0], start=[0.9, 1.9], above=[[], [(0, 1)]])
-    q = spark.createDataFrame([(0, 0, t, 100.0) for t in range(24)], "m int, dam int, t long, inflow double")
-    out = Y.cascade(q, dams, "m").toPandas()
-    last = out[out.t == 23].set_index("dam").volume
-    gone = out[out.dam == 1].outflow.sum() + out[(out.dam == 0) & (out.t == 23)].outflow.sum()  # what has not arrived yet
-    assert last.sum() + gone * 3600 / 1e6 == pytest.approx(2.8 + 24 * 100 * 3600 / 1e6)
-    assert out.groupby("dam").volume.max().to_dict() == pytest.approx({0: 1.0, 1: 2.0})
-
-
 def test_as_of_and_runs(spark):
     left = spark.createDataFrame([(1, 5), (1, 10), (2, 1)], "k int, t long")
     right = spark.createDataFrame([(1, 4, "a"), (1, 10, "b")], "k int, t long, v string")

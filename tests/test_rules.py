@@ -60,24 +60,6 @@ def test_linear_store_step_by_step(spark):
         assert got[t] == pytest.approx(q, rel=1e-9, abs=1e-12)
 
 
-def test_store_hours_by_hand():
-    """One dam with an open outlet and a rated spillway, in steps of a quarter of an hour."""
-    dams = Y.Dams(spill=[2.0], a=[0.02], b=[2.0], h0=[0.0], sill=[10.0], rating=[40.0], outlet=[6.0], release=[3.0], river=[3.0], before=[0.0], start=[1.8], above=[[]])
-    inflow = np.array([20.0, 400.0, 300.0, 0.0])
-    v, q, out, spill = Y.store_hours(inflow[None, :, None], dams)
-    now, hm3 = 1.8, 3600 / 1e6 / 4
-    for t, x in enumerate(inflow):
-        let_sum = over_sum = 0.0
-        for _ in range(4):
-            let = min(6.0 * min(now / 2.0, 4.0) ** 0.5, now / hm3 + x)
-            able = 40.0 * max((now / 0.02) ** 0.5 - 10.0, 0.0) ** 1.5
-            over = min(max((now - 2.0) / hm3 + x - let, 0.0), able)
-            now = max(now + (x - let - over) * hm3, 0.0)
-            let_sum, over_sum = let_sum + min(let, 3.0) + over, over_sum + over
-        assert (v[0, t, 0], out[0, t, 0], spill[0, t, 0]) == pytest.approx((now, let_sum / 4, over_sum / 4))
-    assert spill.max() > 0 and (q[0, :, 0] == inflow).all()
-
-
 def test_forecast_index_by_hand(spark):
     rng = np.random.default_rng(2)
     ps = [0.05, 0.2, 0.5, 0.8, 0.95]
