@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.sources.storage import durable
+
 
 def step_quantiles(df: DataFrame, keys: Sequence[str], value: str, weight: str, qs: dict[str, float]) -> DataFrame:
     """Weighted mean and step quantiles of each key: the least value at which the cumulated share of weights reaches q.
@@ -84,3 +87,24 @@ def circular_climatology(df: DataFrame, keys: Sequence[str], day: str, value: st
 
 def vector_mean(df: DataFrame, keys: Sequence[str], u: str, v: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.degrees(F.atan2(F.avg(u), F.avg(v))).alias("direction"), F.avg(F.sqrt(F.col(u) * F.col(u) + F.col(v) * F.col(v))).alias("speed"))
+
+
+def quantiles_of_all(df: DataFrame, value: str, ps: Sequence[float]) -> list[float]:
+    """Exact quantiles of a whole column, linear between order statistics; NaN if it has no values. Different values are counted
+    and laid out by range; the sums of the parts tell which of them holds an order statistic, and only those values come
+    to the driver, two for each quantile."""
+    counted = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v_")).agg(F.count("*").alias("n_"))
+    laid = durable(counted.repartitionByRange("v_").sortWithinPartitions("v_")).withColumn("part_", F.spark_partition_id())
+    sizes = {r["part_"]: r["n"] for r in laid.groupBy("part_").agg(F.sum("n_").alias("n")).collect()}
+    if not sizes:
+        return [math.nan] * len(ps)
+    before, total = [], 0
+    for part in range(max(sizes) + 1):
+        before.append(F.lit(total).cast("long"))
+        total += sizes.get(part, 0)
+    at = [p * (total - 1) for p in ps]
+    ranks = sorted({r for x in at for r in (math.floor(x), math.ceil(x))})
+    last = F.sum("n_").over(Window.partitionBy("part_").orderBy("v_")) + F.element_at(F.array(*before), F.col("part_") + 1)
+    wanted = F.filter(F.array(*[F.lit(r).cast("long") for r in ranks]), lambda r: (r < F.col("last_")) & (r >= F.col("last_") - F.col("n_")))
+    got = {r["rank"]: float(r["v_"]) for r in laid.withColumn("last_", last).select("v_", F.explode(wanted).alias("rank")).collect()}
+    return [got[math.floor(x)] + (got[math.ceil(x)] - got[math.floor(x)]) * (x - math.floor(x)) for x in at]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import scalar as S
 from tessera.operators import ensemble as E
 from tessera.operators import windows as W
+from tessera.operators.weighted import quantiles_of_all
 from tessera.plans.catalogue import hourly_sql, query, r6, table
 
 #: Members and their weights, thresholds (cents in 1 and 12 hours) of the levels 2 to 5, and decision thresholds.
@@ -134,9 +135,8 @@ EFI_LEVELS = [0.1, 0.3, 0.5, 0.7, 0.9]
 
 def climate(li: DataFrame) -> DataFrame:
     """Quantiles of all rows, for each key."""
-    q = li.agg(F.percentile("v", F.array(*[F.lit(p) for p in EFI_LEVELS])).alias("q"))
-    pairs = F.explode(F.arrays_zip(F.array(*[F.lit(p) for p in EFI_LEVELS]).alias("p"), "q"))
-    return li.select("k").distinct().crossJoin(q).select("k", pairs.alias("x")).select("k", "x.p", "x.q")  # q is one row
+    levels = F.explode(F.array(*[F.struct(F.lit(p).alias("p"), F.lit(q).alias("q")) for p, q in zip(EFI_LEVELS, quantiles_of_all(li, "v", EFI_LEVELS), strict=True)]))
+    return li.select("k").distinct().withColumn("x", levels).select("k", "x.p", "x.q")
 
 
 @query(EFI)
@@ -159,9 +159,9 @@ def efi_closed_form(spark: SparkSession, sf: str) -> DataFrame:
 SELECT k, round((q - ct) / greatest(ct - cp, CAST(0.5 AS DOUBLE)), 6) AS sot FROM q, c""")
 def shift_of_tails(spark: SparkSession, sf: str) -> DataFrame:
     li = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("k"), F.col("l_quantity").alias("v"))
-    c = li.agg(F.percentile("v", F.lit(0.9)).alias("c_p"), F.percentile("v", F.lit(0.99)).alias("c_top"))
-    climate = li.select("k").distinct().crossJoin(c)  # c is one row
-    return E.shift_of_tails(li, climate, ["k"], "v").select("k", *r6("sot"))
+    p, top = quantiles_of_all(li, "v", [0.9, 0.99])
+    tails = li.select("k").distinct().withColumns({"c_p": F.lit(p), "c_top": F.lit(top)})
+    return E.shift_of_tails(li, tails, ["k"], "v").select("k", *r6("sot"))
 
 
 @query(f"WITH {PROBS}, r AS (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY decided DESC, round(p_top, 6) DESC, f) AS k FROM decided) SELECT cell, f, decided, round(p_top, 6) AS p_top FROM r WHERE k = 1")
