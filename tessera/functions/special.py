@@ -29,7 +29,7 @@ def gamma_function(x: Column) -> Column:
     return F.when(x >= 0.5, above(x)).otherwise(math.pi / (F.sin(math.pi * x) * above(1.0 - x)))
 
 
-def _log_gamma(a: np.ndarray) -> np.ndarray:
+def log_gamma(a: np.ndarray) -> np.ndarray:
     z, s = a - 1, np.full_like(a, LANCZOS[0])
     for k, c in enumerate(LANCZOS[1:], 1):
         s = s + c / (z + k)
@@ -40,7 +40,7 @@ def lower_gamma(a: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Regularised lower incomplete gamma function: a series below a + 1, a continued fraction above."""
     a, x = np.broadcast_arrays(np.asarray(a, float), np.asarray(x, float))
     out = np.zeros(a.shape)
-    head = np.exp(np.where(x > 0, -x + a * np.log(np.maximum(x, 1e-300)) - _log_gamma(np.maximum(a, 0.5)) - np.where(a < 0.5, _log_gamma(a + 1) - np.log(a) - _log_gamma(np.maximum(a, 0.5)), 0), -np.inf))
+    head = np.exp(np.where(x > 0, -x + a * np.log(np.maximum(x, 1e-300)) - log_gamma(np.maximum(a, 0.5)) - np.where(a < 0.5, log_gamma(a + 1) - np.log(a) - log_gamma(np.maximum(a, 0.5)), 0), -np.inf))
     small = (x > 0) & (x < a + 1)
     term = total = 1 / a
     for n in range(1, 300):
