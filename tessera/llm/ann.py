@@ -230,13 +230,16 @@ def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([r.tobytes() for r in v], pa.binary())], ["id", "asks", "v"])
 
     packed = valid.where(F.size("v") == dim).mapInArrow(pack, "id long, asks boolean, v binary").groupBy("id", "v").agg(F.max("asks").alias("asks"))
+    # Of a vector only its first k + 1 ids are found. The rank is filtered by itself, so each task drops the others before the
+    # shuffle, and a vector that most rows share sends k + 1 rows from each task. Queries stay, whatever their rank.
     order = F.row_number().over(Window.partitionBy("v").orderBy("id"))
-    # queries stay as such, but only the first k + 1 ids of a vector are found
-    rows = durable(packed.withColumn("found", order <= search.k + 1).where("found or asks"))
+    found = packed.withColumn("rank", order).where(F.col("rank") <= search.k + 1).select("id", F.lit(False).alias("asks"), "v", F.lit(True).alias("found"))
+    asking = packed.where("asks").select("id", F.lit(True).alias("asks"), "v", F.lit(False).alias("found"))
+    rows = durable(found.unionByName(asking))
 
     depth = search.depth(n)
     share = math.ceil((1 << 30) * min(1.0, 1.2 * (16 << depth) / n))  # of the hashes: a little more than the sample
-    hashed = rows.select("v", F.xxhash64("id").alias("h")).where(F.pmod("h", F.lit(1 << 30)) < share)
+    hashed = rows.where("found").select("v", F.xxhash64("id").alias("h")).where(F.pmod("h", F.lit(1 << 30)) < share)
     sample = hashed.orderBy(F.pmod("h", F.lit(1 << 30)), "h", "v").limit(16 << depth).select("v")
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
