@@ -27,7 +27,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, per_class: int) -> tuple[DataFrame, dict[int, int]]:
-    """y, text and h of at most per_class labelled ids of each class, those with the least hashes, and how many labels
+    """y, text, h and id_ of at most per_class labelled ids of each class, those with the least hashes, and how many labels
     each class has in all. The ids are chosen from the labels alone; being at most 2 * per_class, they are broadcast, so
     that no text but the sample's is moved. Repeated labels count once; of an id's rows, the one with the least text is
     taken, so that there are no more rows than ids."""
@@ -36,7 +36,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     chosen = [known.where(F.col("y") == k).orderBy("h", "id_").limit(per_class) for k in (0, 1)]
     ids = F.broadcast(chosen[0].unionByName(chosen[1]))
     texts = docs.select(F.col(id_col).alias("id_"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return texts.join(ids, "id_").groupBy("id_", "y", "h").agg(F.min("text").alias("text")).select("y", "text", "h"), count
+    return texts.join(ids, "id_").groupBy("id_", "y", "h").agg(F.min("text").alias("text")).select("y", "text", "h", "id_"), count
 
 
 #: A key is hot if it holds at least 1 / HOT of all rows: whatever the input, there are at most HOT hot keys.

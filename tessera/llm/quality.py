@@ -7,20 +7,21 @@ of each class (those whose ids have the least hashes).
 
 Null and empty texts are one chunk of padding. Rows with equal or null ids are each scored on their own; an empty table gives
 an empty result, and other columns of the tables, whatever their names, play no part. Texts of any length are read whole,
-64 chunks at a time. A training set without one of the classes gives that of the other to all rows (0.5 if empty).
+64 chunks at a time; fitting, too, holds a bounded part of them. A training set without one of the classes gives that of the other to all rows (0.5 if empty).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import as_bytes, labelled_sample
+from tessera.llm.common import as_bytes, durable, labelled_sample
 
 PAD = 256
 
@@ -101,8 +102,45 @@ def strongest(net: Net, data: np.ndarray, offsets: np.ndarray, row: np.ndarray,
     return np.concatenate(value), np.concatenate(windows, axis=1)
 
 
-def fit(texts: list[bytes], y: np.ndarray, shape: Shape, epochs: int = 14, batch: int = 32, rate: float = 0.01, seed: int = 7) -> Net:
-    """texts: the bytes of each document; all of its chunks are seen in each epoch."""
+class Stored:
+    """A text that is read from storage, piece by piece, as often as it is needed. pieces gives (offset, bytes) in order, each
+    with the bytes that windows at its end reach into; last tells where the text ends."""
+
+    def __init__(self, pieces: Callable[[], Iterable[tuple[int, bytes]]], length: int, size: int) -> None:
+        self.pieces, self.length, self.size = pieces, length, size
+
+    def blocks(self, shape: Shape) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """data, offsets, rows and starts of the chunks that begin in each piece."""
+        step, total = shape.chunk - shape.overlap, len(chunk_starts(np.array([self.length]), shape)[0])
+        for at, raw in self.pieces():
+            n = min(self.size // step, total - at // step)
+            yield np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), np.zeros(n, np.int64), np.arange(n) * step
+
+
+class Part(NamedTuple):
+    """Of some chunks: greatest responses, the windows that gave them, and the row of each chunk."""
+
+    raw: np.ndarray
+    windows: np.ndarray
+    doc: np.ndarray
+
+
+def parts_of(net: Net, texts: list[bytes | Stored]) -> Iterator[Part]:
+    """All chunks of the texts of a batch: texts at hand together, each stored one by its pieces."""
+    own = [i for i, t in enumerate(texts) if isinstance(t, bytes)]
+    if own:
+        offsets = np.cumsum([0, *(len(texts[i]) for i in own)])
+        doc, start = chunk_starts(np.diff(offsets), net.shape)
+        yield Part(*strongest(net, np.frombuffer(b"".join([texts[i] for i in own]), np.uint8), offsets, doc, start), np.array(own)[doc])
+    for i, t in enumerate(texts):
+        if isinstance(t, Stored):
+            for block in t.blocks(net.shape):
+                yield Part(*strongest(net, *block), np.full(len(block[2]), i))
+
+
+def fit(texts: list[bytes | Stored], y: np.ndarray, shape: Shape, epochs: int = 14, batch: int = 32, rate: float = 0.01, seed: int = 7) -> Net:
+    """texts: the bytes of each document, or where they are stored; all of its chunks are seen in each epoch. A batch with a stored
+    text is gone through twice, for its pooled responses and for their gradients, so that only one piece is held."""
     rng = np.random.default_rng(seed)
     f, h = shape.filters, shape.hidden
     net = Net(shape, rng.normal(0, 0.15, (shape.width, 257, f)).astype(np.float32), np.zeros(f, np.float32), rng.normal(0, (2 * f) ** -0.5, (2 * f, h)), np.zeros(h), rng.normal(0, h**-0.5, h), 0.0)
@@ -112,28 +150,35 @@ def fit(texts: list[bytes], y: np.ndarray, shape: Shape, epochs: int = 14, batch
         order = rng.permutation(len(texts))
         for k in range(0, len(order), batch):
             own = order[k : k + batch]
-            offsets = np.cumsum([0, *(len(texts[i]) for i in own)])
-            data = np.frombuffer(b"".join([texts[i] for i in own]), np.uint8)
-            doc, start = chunk_starts(np.diff(offsets), shape)
-            n = np.bincount(doc, minlength=len(own))
-            first = np.cumsum(n) - n
-            raw, windows = strongest(net, data, offsets, doc, start)
-            value = raw + net.bias
-            pool = np.maximum(value, 0)
-            means, tops = np.add.reduceat(pool, first, axis=0) / n[:, None], np.maximum.reduceat(pool, first, axis=0)
+            batch_texts = [texts[i] for i in own]
+            again = any(isinstance(x, Stored) for x in batch_texts)
+            n, means, tops, held = np.zeros(len(own), np.int64), np.zeros((len(own), f)), np.zeros((len(own), f)), []
+            for part in parts_of(net, batch_texts):
+                pool = np.maximum(part.raw + net.bias, 0)
+                first = np.flatnonzero(np.diff(part.doc, prepend=-1))
+                docs = part.doc[first]
+                n += np.bincount(part.doc, minlength=len(own))
+                means[docs] += np.add.reduceat(pool, first, axis=0)
+                tops[docs] = np.maximum(tops[docs], np.maximum.reduceat(pool, first, axis=0))
+                if not again:
+                    held.append(part)
+            means /= n[:, None]
             z = np.hstack([means, tops])
             a = np.tanh(z @ net.w1 + net.b1)
             e = (1 / (1 + np.exp(-np.clip(a @ net.w2 + net.b2, -50, 50))) - y[own]) / len(own)
             da = e[:, None] * net.w2 * (1 - a * a)
             dz = da @ net.w1.T
-            is_top = (pool == tops[doc]) & (pool > 0)
-            dpool = dz[doc, :f] / n[doc][:, None] + dz[doc, f:] * is_top
-            dpool *= value > 0
-            dtable = np.empty_like(net.table)
-            cell = np.arange(f)[None, :]
-            for j in range(shape.width):
-                dtable[j] = np.bincount((windows[j] * f + cell).ravel(), dpool.ravel(), minlength=257 * f).reshape(257, f)
-            grads = {"table": dtable, "bias": dpool.sum(axis=0), "w1": z.T @ da + 1e-4 * net.w1, "b1": da.sum(axis=0), "w2": a.T @ e + 1e-4 * net.w2, "b2": e.sum()}
+            dtable, dbias, cell = np.zeros((shape.width, 257, f)), np.zeros(f), np.arange(f)[None, :]
+            for part in parts_of(net, batch_texts) if again else held:
+                value, doc = part.raw + net.bias, part.doc
+                pool = np.maximum(value, 0)
+                is_top = (pool == tops[doc]) & (pool > 0)
+                dpool = dz[doc, :f] / n[doc][:, None] + dz[doc, f:] * is_top
+                dpool *= value > 0
+                dbias += dpool.sum(axis=0)
+                for j in range(shape.width):
+                    dtable[j] += np.bincount((part.windows[j] * f + cell).ravel(), dpool.ravel(), minlength=257 * f).reshape(257, f)
+            grads = {"table": dtable.astype(np.float32), "bias": dbias, "w1": z.T @ da + 1e-4 * net.w1, "b1": da.sum(axis=0), "w2": a.T @ e + 1e-4 * net.w2, "b2": e.sum()}
             t += 1
             now = rate * (1 - epoch / epochs) + 1e-4
             for name, g in grads.items():
@@ -145,16 +190,54 @@ def fit(texts: list[bytes], y: np.ndarray, shape: Shape, epochs: int = 14, batch
     return net
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = 1000, shape: Shape = Shape()) -> Net | float:
-    """A net, or the one class that all labelled rows have."""
+def in_pieces(sample: DataFrame, shape: Shape, size: int) -> DataFrame:
+    """h, y, id_, length, at and piece of all texts of the sample, in pieces of `size` bytes, that hold whole chunks."""
+    more = shape.overlap + shape.width - 1
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row, text in enumerate(b.column(3).cast(pa.large_binary())):
+                raw = text.as_py()
+                total = len(chunk_starts(np.array([len(raw)]), shape)[0]) * (shape.chunk - shape.overlap)
+                for at in range(0, total, size):
+                    yield pa.RecordBatch.from_arrays([*(b.column(c)[row : row + 1] for c in range(3)), pa.array([len(raw)], pa.int64()), pa.array([at], pa.int64()), pa.array([raw[at : at + size + more]], pa.binary())], ["h", "y", "id_", "length", "at", "piece"])
+
+    kind = dict(sample.dtypes)["id_"]
+    return sample.select("h", "y", "id_", "text").mapInArrow(cut, f"h long, y int, id_ {kind}, length long, at long, piece binary")
+
+
+def training_texts(sample: DataFrame, shape: Shape, held: int, size: int) -> tuple[list[bytes | Stored], np.ndarray]:
+    """The texts of the sample and their classes, in the order of their hashes. Texts of one piece are at hand, the shortest
+    first, up to `held` bytes; the others stay in shared storage."""
+    pieces = durable(in_pieces(sample, shape, size))
+    rows = sorted(tuple(r) for r in pieces.where("at = 0").select("h", "id_", "y", "length").collect())  # numbers of at most 2 * per_class texts
+    here, total = [], 0
+    for r in sorted(rows, key=lambda r: (r[3], r[:2])):
+        total += r[3]
+        if r[3] > size or total > held:
+            break
+        here.append(r)
+    names = {r[:2] for r in here}
+    few = {(r["h"], r["id_"]): bytes(r["piece"]) for r in pieces.where(F.col("h").isin([h for h, _ in names])).collect() if (r["h"], r["id_"]) in names} if names else {}
+
+    def stored(h: int, ident: object) -> Callable[[], Iterable[tuple[int, bytes]]]:
+        own = pieces.where((F.col("h") == h) & (F.col("id_") == F.lit(ident))).select("at", "piece")
+        return lambda: ((r["at"], bytes(r["piece"])) for r in own.orderBy("at").toLocalIterator())
+
+    texts = [few[r[:2]] if r[:2] in few else Stored(stored(r[0], r[1]), r[3], size) for r in rows]
+    return texts, np.array([r[2] for r in rows], float)
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = 1000, shape: Shape = Shape(), held: int = 1 << 26, together: int = 1 << 12) -> Net | float:
+    """A net, or the one class that all labelled rows have. held: bytes of text that the driver keeps; what is beyond them is
+    read from shared storage whenever it is its turn, `together` chunks at a time."""
     sample, count = labelled_sample(docs, labels, id_col, text_col, label_col, per_class)
     if len(count) < 2:
         return float(next(iter(count), 0.5))
-    got = sorted(sample.select("h", "y", "text").collect())  # at most 2 * per_class texts
-    y = np.array([r["y"] for r in got], float)
+    texts, y = training_texts(sample, shape, held, together * (shape.chunk - shape.overlap))
     if len(set(y)) < 2:
         return float(y.mean()) if len(y) else 0.5
-    net = fit([r["text"].encode() for r in got], y, shape)
+    net = fit(texts, y, shape)
     # fitted on classes of like size; the rows have them in other shares
     net.b2 += np.log(count[1] / count[0]) - np.log(y.sum() / (len(y) - y.sum()))
     return net
