@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import as_bytes, durable, hashed_words, mix
+from tessera.llm.common import HOT, as_bytes, durable, hashed_words, mix
 
 U = np.uint64
 
@@ -46,7 +46,6 @@ class Seeds:
     bits_per_seed: int = 64
     most_bits: int = 29
     exact: int = 1 << 20
-    deals: int = 32
 
 
 def seed_keys(words: np.ndarray, mask: str, nth: int) -> np.ndarray:
@@ -157,7 +156,7 @@ def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col
 
     Documents are read once: what is left of them are the places whose seeds pass a sieve of the items' seeds, with the
     words around them. These alone are joined by seed. Items' seeds are sent to them if they are few; else both sides are
-    shuffled, seeds of documents dealt to `deals` groups, as a phrase may stand in any share of them.
+    shuffled, and frequent seeds of documents dealt to several groups, as a phrase may stand in any share of them.
     """
     spark = docs.sparkSession
     items_w = durable(item_words(items, item_id, item_text, seeds).distinct())
@@ -212,9 +211,15 @@ def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col
     if small:
         met = hits.join(F.broadcast(keys.select("key", "at", "item_id", F.xxhash64("item").alias("which"))), "key")
     else:
-        deal = F.explode(F.sequence(F.lit(0), F.lit(seeds.deals - 1)))
-        dealt = hits.withColumn("deal", F.pmod(F.xxhash64("region", "doc_at"), F.lit(seeds.deals)).cast("int"))
-        met = dealt.join(keys.select("key", "at", "item_id", F.xxhash64("item").alias("which"), deal.alias("deal")), ["key", "deal"])
+        # a seed that stands in more than 1 / HOT of all places is dealt to as many groups as that takes; such seeds are few
+        each = durable(hits.groupBy("key").agg(F.count("*").alias("rows__")))
+        total = each.agg(F.sum("rows__")).first()[0] or 1
+        groups = F.ceil(F.col("rows__") * HOT / total).cast("int")
+        hot = F.broadcast(each.where(F.col("rows__") * HOT >= total).select("key", groups.alias("deals")))  # HOT rows at most
+        deals = F.coalesce("deals", F.lit(1))
+        dealt = hits.join(hot, "key", "left").withColumn("deal", F.pmod(F.xxhash64("region", "doc_at"), deals).cast("int")).drop("deals")
+        every = keys.select("key", "at", "item_id", F.xxhash64("item").alias("which")).join(hot, "key", "left")
+        met = dealt.join(every.withColumn("deal", F.explode(F.sequence(F.lit(0), deals - 1))).drop("deals"), ["key", "deal"])
     diagonals = met.groupBy("region", "item_id", "which").agg(F.collect_set(F.col("doc_at") - F.col("at")).alias("diagonals"))
     texts = items_w.select("item_id", F.xxhash64("item").alias("which"), "item", "n")
     pairs = diagonals.join(regions.select("region", "doc_id", "origin", "words"), "region")
