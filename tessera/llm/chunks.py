@@ -211,5 +211,6 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             columns = [pa.array(texts, b.column(k).type) if n == k else b.column(n) for n in range(len(names))]
             yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(keep))
 
-    joined = docs.join(cut, F.col(id_col).cast("long") == F.col(cut_id), "left").drop(cut_id)
-    return joined.mapInArrow(strip, docs.schema)
+    # rows without an id have no passages, and need not meet in one task
+    named = docs.where(F.col(id_col).isNotNull()).join(cut, F.col(id_col).cast("long") == F.col(cut_id), "left").drop(cut_id)
+    return named.mapInArrow(strip, docs.schema).unionByName(docs.where(F.col(id_col).isNull()))

@@ -44,6 +44,52 @@ def test_classifier_queries(spark, name, n, k, cut, label):
     assert np.mean(right) > (0.9 if label == 2 else 0.8)
 
 
+def plain_fusion(rows, model, evidence=150.0, host_weight=20.0):
+    """id -> (language, that of the text alone, probability). rows: id, text, declared, host."""
+    n, seen = len(model.languages), {}
+    fold = lambda b: b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32
+    for i, text, declared, host in rows:
+        low, total = [fold(b) for b in (text or "").encode()], np.zeros(n + 1)
+        for a, b, c in zip(low, low[1:], low[2:]):
+            total += model.table[((a << 16 | b << 8 | c) * 0x9E3779B1 % (1 << 32)) >> (32 - langid.BITS)]
+        letters = round(total[-1])
+        own = np.zeros(n)
+        if letters:
+            own[int(np.argmax(total[:-1]))] = 1
+        tag = re.match(r"\s*([A-Za-z]+)", declared or "")
+        domain, suffix = re.search(r"([^.]+\.[^.]+)$", host or ""), re.search(r"\.([^.]+)$", host or "")
+        seen[i] = (total[:-1] * (evidence / (letters + evidence)), own, tag and tag[1].lower(), host or None, domain and domain[1], suffix and suffix[1])
+    votes = lambda at, name: sum((x[1] for x in seen.values() if x[at] == name), np.zeros(n))
+    overall = sum((x[1] for x in seen.values()), np.zeros(n))
+    share = (overall + 1) / (overall.sum() + n)
+    out = {}
+    for i, (log, own, tag, host, domain, suffix) in seen.items():
+        up = np.maximum(votes(4, domain) - own, 0) if suffix else np.zeros(n)
+        at = np.maximum((votes(3, host) if host else np.zeros(n)) - own, 0)
+        prior = (at + host_weight * (up + host_weight * share) / (up.sum() + host_weight)) / (at.sum() + host_weight)
+        says = np.ones(n)
+        for place, name in ((2, tag), (5, suffix)):
+            if name:
+                v = votes(place, name) - own
+                says = says * np.maximum((v + share) / (v.sum() + 1) / share, 1e-3)
+        z = log + np.log(prior) + np.log(says)
+        k = int(np.argmax(z))
+        out[i] = (model.languages[k], model.languages[int(np.argmax(own))] if own.any() else None, 1 / np.exp(z - z[k]).sum())
+    return out
+
+
+def test_language_equals_the_fusion_by_hand(spark):
+    """All evidence of each row, put together in plain Python from the model's table of trigrams."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    hosted = docs.select("doc_id", "text", F.when(F.col("doc_id") % 3 == 0, F.col("lang")).alias("lang"), F.concat(F.lit("h"), (F.col("doc_id") % 11).cast("string"), F.lit(".d"), (F.col("doc_id") % 4).cast("string"), F.when(F.col("doc_id") % 5 == 0, ".de").otherwise(".com")).alias("host"))
+    model = langid.train(docs)
+    got = {r.id: r for r in langid.identify(hosted, model, "doc_id", F.col("text"), F.col("lang"), F.col("host")).collect()}
+    want = plain_fusion([tuple(r) for r in hosted.collect()], model)
+    assert set(got) == set(want)
+    for i, (lang, text_lang, p) in want.items():
+        assert (got[i].lang, got[i].text_lang) == (lang, text_lang) and got[i].probability == pytest.approx(p, abs=1e-6)
+
+
 def test_nobody_learns_from_held_out_rows(spark):
     docs, labels = queries._learned(spark, SF, 4, 2)
     assert not any(held(r.doc_id, 4, 2) for r in docs.select("doc_id").collect() + labels.select("doc_id").collect())
@@ -68,6 +114,32 @@ def test_toxicity_scores_equal_plain_python(spark):
         assert got[doc_id] == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-9)
 
 
+def test_quality_is_fitted_alike_on_stored_texts(spark):
+    """Texts that the driver does not hold are read in pieces, and teach the same."""
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    few = {r.doc_id for r in labels.orderBy("doc_id").limit(24).collect()}
+    some = docs.where(F.col("doc_id").isin(list(few)) & (F.length("text") < 2500))
+    some = some.unionByName(some.limit(1).withColumns({"doc_id": F.lit(-1).cast("long"), "text": F.lit("")}))
+    marks = labels.where(F.col("doc_id").isin(list(few))).unionByName(spark.createDataFrame([(-1, 0, 0)], labels.schema))
+    shape = quality.Shape(filters=4, hidden=4)
+    nets = [quality.train(some, marks, shape=shape, held=held, together=k) for held, k in ((1 << 26, 1 << 12), (0, 2), (3000, 3))]
+    for net in nets[1:]:
+        for name in ("table", "bias", "w1", "w2", "b2"):
+            assert getattr(net, name) == pytest.approx(getattr(nets[0], name), abs=2e-4)
+
+
+def test_a_vector_that_many_ids_share_is_found_by_its_least_ids(spark):
+    rng = np.random.default_rng(12)
+    hot, other = [1.0, 2.0, 3.0], rng.normal(size=(40, 3))
+    rows = [(i, hot) for i in range(100, 400)] + [(400 + i, [float(x) for x in v]) for i, v in enumerate(other)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(7)
+    got = {}
+    for r in ann.nearest(df, F.col("vec_id").isin(100, 103, 399)).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    first = lambda q: [i for i in range(100, 110) if i != q][:5]
+    assert {q: [i for _, i in sorted(v)] for q, v in got.items()} == {q: first(q) for q in (100, 103, 399)}
+
+
 def test_quality_scores_equal_plain_python(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     net = quality.train(docs, spark.read.parquet(f"{SF}/labels.parquet"), per_class=20)
