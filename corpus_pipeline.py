@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import chunks, decontam, langid, packing, simhash
@@ -27,8 +27,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each group of near duplicates one row: of the least id, and where several rows have it, of the least
-    fingerprint, then of the text that sorts first. So of rows with the same id and different texts each stays, unless it
-    has a near duplicate. Rows with a null id belong to no group and stay."""
+    fingerprint, then of the text that sorts first (then of the other columns). So of rows with the same id and different texts each stays, unless it
+    has a near duplicate. Rows with a null id belong to no group and stay. An empty table stays empty; other columns stay as they are."""
     small_batches(spark)
     rows = durable(simhash.members(docs).where("id is not null"))
     least = F.min(F.struct("id", "fp")).alias("s")
@@ -38,30 +38,34 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     several = ids.where("n > 1").select("doc_id")
     gone = ids.join(kept, "doc_id", "left_anti").select("doc_id").unionByName(several).distinct()
     plain = select_ids(docs, gone, "doc_id", "left_anti").select(docs.columns)
-    fp, nth = fresh("fp__", docs.columns), fresh("nth__", docs.columns)
+    fp, row = fresh("fp__", docs.columns), fresh("row__", docs.columns)
     mixed = select_ids(docs, several, "doc_id", "left_semi").withColumn(fp, simhash.fingerprint_of(F.col("text").cast("string")))
-    mixed = mixed.join(kept.withColumnRenamed("fp", fp), ["doc_id", fp], "left_semi")
-    one = F.row_number().over(Window.partitionBy("doc_id", fp).orderBy("text", *[F.col(c) for c in docs.columns if c not in ("doc_id", "text")]))
-    return plain.unionByName(mixed.withColumn(nth, one).where(F.col(nth) == 1).select(docs.columns))
+    # the first row of each id and fingerprint: each task keeps one before rows are shuffled, however often an id is repeated
+    first = F.min(F.struct("text", *[F.col(c) for c in docs.columns if c not in ("doc_id", "text")])).alias(row)
+    mixed = mixed.groupBy("doc_id", fp).agg(first).join(kept.withColumnRenamed("fp", fp), ["doc_id", fp], "left_semi")
+    return plain.unionByName(mixed.select(*[F.col(c) if c == "doc_id" else F.col(f"{row}.`{c}`").alias(c) for c in docs.columns]))
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes repeated passages out, but for the first of each; documents of which no word is left go. n_chars follows the
-    text. Rows with a null id or text stay as they are."""
+    text. Rows with a null id or text stay as they are; of an id with several rows the passages of all are taken out of each. An
+    empty table stays empty; other columns stay as they are."""
     small_batches(spark)
     out = chunks.without_repeats(docs)
     return out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(dict(docs.dtypes)["n_chars"])).select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes out documents that hold a passage of a benchmark item. Rows with a null id cannot be named and stay."""
+    """Takes out documents that hold a passage of a benchmark item. Rows with a null id cannot be named and stay; of
+    an id with several rows all go. An empty table stays empty; other columns stay as they are."""
     small_batches(spark)
     hit = decontam.overlaps(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
     return select_ids(docs, hit, "doc_id", "left_anti").select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs all documents, those with a null id or text included, into sequences of at most 2,048 tokens."""
+    """Packs all documents, those with a null id or text included, into sequences of at most 2,048 tokens. Rows
+    with equal ids are documents of their own; an empty table gives no sequences."""
     small_batches(spark)
     return packing.pack(docs, tokenizer_path())
 
