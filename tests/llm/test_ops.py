@@ -6,6 +6,7 @@ import itertools
 import math
 import re
 import zlib
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -311,6 +312,26 @@ def test_decontamination_equals_all_stretches(spark):
         assert len(got) == len(set(got)) and set(got) == want
 
 
+BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+{} THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."""
+
+
+def test_whole_license_texts_name_themselves(spark):
+    """The two BSD texts, and those that this machine has."""
+    third = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+    whole = {"BSD-2-Clause": BSD.format(""), "BSD-3-Clause": BSD.format(third)}
+    for file, name in {"Apache-2.0": "Apache-2.0", "CC0-1.0": "CC0-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0"}.items():
+        path = Path("/usr/share/common-licenses") / file
+        if path.exists():
+            whole[name] = path.read_text()
+    names = list(whole)
+    df = spark.createDataFrame([(k, whole[n]) for k, n in enumerate(names)], "doc_id long, text string")
+    got = {(names[r.doc_id], r.license) for r in licenses.scan(df).collect()}
+    assert got == {(n, n) for n in names}
+
+
 def test_licenses_equal_every_window(spark):
     """Against the exact containment of each template in every window of a document as long as it is."""
     names = ("MIT", "Apache-2.0", "MPL-2.0", "Zlib", "CC-BY-4.0", "BSD-3-Clause")
