@@ -167,11 +167,12 @@ def run_of_each_time(times: DataFrame, runs: DataFrame) -> DataFrame:
     return times.join(runs, "t").groupBy("t").agg(F.min_by("run", "rank").alias("run"), F.min("rank").alias("rank"))
 
 
-def mixed_axis(start: int, fine: int, last: int) -> list[int]:
-    """Hours every 3 from `start` (rounded down to 3) to `fine` hours on, then those divisible by 6 until `last`."""
-    first = start - start % 3
-    axis = list(range(first, first + fine + 1, 3))
-    return axis + [t for t in range(axis[-1] + 1, first + last + 1) if t % 6 == 0]
+def mixed_axis(ends: DataFrame, fine: int) -> DataFrame:
+    """t: hours every 3 from `lo` (rounded down to 3) to `fine` hours on, then those divisible by 6 until `hi`. ends: rows of lo, hi."""
+    first = F.col("lo") - F.pmod("lo", F.lit(3))
+    near = ends.select(F.explode(F.sequence(first, first + fine, F.lit(3).cast("long"))).alias("t"))
+    change = first + fine - fine % 3 + 1
+    return near.unionByName(ends.where(F.col("hi") >= change).select(F.explode(F.sequence(change, F.col("hi"))).alias("t")).where("t % 6 = 0"))
 
 
 def nested_threshold(df: DataFrame, case: str, p: str, event: str, weight: str, taus: Sequence[float], slack: float = 0.005) -> DataFrame:

@@ -13,6 +13,7 @@ from tessera.operators import grids as G
 from tessera.operators import hydrology as Y
 from tessera.operators import joins as J
 from tessera.plans.catalogue import FIELD, START, cents, field, hourly, hourly_sql, query, r6, table
+from tessera.plans.time_queries import SIDES, sides
 
 NY, NX = 20, 10
 DISC = G.disc(12.0, 5.5, 4.4)
@@ -160,18 +161,19 @@ def union_missing_columns(spark: SparkSession, sf: str) -> DataFrame:
     return J.unite(c, table(spark, sf, "supplier").select(F.lit("s").alias("kind"), F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("balance")))
 
 
-@query(f"""WITH {hourly_sql('event_type')}, a AS (SELECT t, c FROM hourly WHERE s = 'view'), b AS (SELECT t, c FROM hourly WHERE s = 'click') SELECT coalesce(a.t, b.t) AS t, CAST(coalesce(a.c, b.c * CAST(0.75 AS DOUBLE)) AS DOUBLE) AS c FROM a FULL JOIN b ON a.t = b.t""")
+@query(f"""WITH {SIDES}, a AS (SELECT k, t, c FROM sides WHERE own), b AS (SELECT k, t, c FROM sides WHERE NOT own) SELECT coalesce(a.k, b.k) AS k, coalesce(a.t, b.t) AS t, coalesce(a.c, b.c * CAST(0.75 AS DOUBLE)) AS c FROM a FULL JOIN b ON a.k = b.k AND a.t = b.t""")
 def corrected_preferred_union(spark: SparkSession, sf: str) -> DataFrame:
-    h = hourly(spark, sf, "event_type").withColumn("c", F.col("c").cast("double"))
-    return J.prefer(h.where("s = 'view'").select("t", "c"), h.where("s = 'click'").select("t", "c"), ["t"], "c", 0.75)
+    h = sides(spark, sf)
+    return J.prefer(h.where("own").select("k", "t", "c"), h.where("not own").select("k", "t", "c"), ["k", "t"], "c", 0.75)
 
 
-@query(f"""WITH {hourly_sql()}, s AS (SELECT s % 10 AS g, t - n * 2 AS a, t AS b, CAST(c AS DOUBLE) AS v FROM hourly), w AS (SELECT g, wid, {START} + wid * 5 AS w0, {START} + wid * 5 + 7 AS w1 FROM range(20) x(wid), range(10) y(g))
+@query(f"""WITH {hourly_sql()}, s AS (SELECT s % 10 AS g, t - n * 2 AS a, t AS b, CAST(c AS DOUBLE) AS v FROM hourly), w AS (SELECT DISTINCT g, b // 5 AS wid, b // 5 * 5 AS w0, b // 5 * 5 + 7 AS w1 FROM s)
 SELECT w.g, wid, CASE WHEN sum(least(b, w1) - greatest(a, w0)) >= CAST(0.9 AS DOUBLE) * (w1 - w0) THEN round(sum(v * (least(b, w1) - greatest(a, w0)) / CAST(b - a AS DOUBLE)), 4) END AS amount, CAST(sum(least(b, w1) - greatest(a, w0)) AS BIGINT) AS covered
 FROM s JOIN w ON s.g = w.g AND least(b, w1) > greatest(a, w0) GROUP BY w.g, wid, w0, w1""")
 def interval_overlap_sum(spark: SparkSession, sf: str) -> DataFrame:
+    """Windows of seven hours, one every five hours with readings."""
     s = hourly(spark, sf).select((F.col("s") % 10).alias("g"), (F.col("t") - F.col("n") * 2).alias("a"), F.col("t").alias("b"), F.col("c").cast("double").alias("v"))
-    w = spark.range(200).select((F.col("id") % 10).alias("g"), F.floor(F.col("id") / 10).alias("wid")).withColumn("w0", START + F.col("wid") * 5).withColumn("w1", F.col("w0") + 7)
+    w = s.select("g", F.floor(F.col("b") / 5).alias("wid")).distinct().withColumn("w0", F.col("wid") * 5).withColumn("w1", F.col("w0") + 7)
     return J.interval_overlap(s, w, ["g"], "v").select("g", "wid", F.round("amount", 4).alias("amount"), "covered")
 
 

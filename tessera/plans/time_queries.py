@@ -11,6 +11,15 @@ from tessera.plans.catalogue import START, cents, hourly, hourly_sql, query, r6,
 H = f"WITH {hourly_sql()}"
 
 
+#: Hourly sums of each user, views and clicks apart from the rest.
+SIDES = """sides AS (SELECT user_id AS k, CAST(ceil(epoch_us(ts) / 3600000000.0) AS BIGINT) AS t, event_type IN ('view', 'click') AS own, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS DOUBLE) AS c FROM events GROUP BY 1, 2, 3)"""
+
+
+def sides(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events").withColumn("own", F.col("event_type").isin("view", "click"))
+    return e.groupBy(F.col("user_id").alias("k"), W.step_end(F.col("ts")).alias("t"), "own").agg(F.sum(cents("value")).cast("double").alias("c"))
+
+
 @query(f"{H} SELECT s, t, CAST(sum(c) OVER (PARTITION BY s ORDER BY t RANGE BETWEEN 11 PRECEDING AND CURRENT ROW) AS BIGINT) AS a12 FROM hourly")
 def trailing_12h_sum(spark: SparkSession, sf: str) -> DataFrame:
     return W.trailing(hourly(spark, sf), ["s"], "c", 12, "a12").select("s", "t", "a12")
@@ -120,10 +129,10 @@ def gaps_islands_events(spark: SparkSession, sf: str) -> DataFrame:
     return W.events(hourly(spark, sf), ["s"], F.col("c") > 500, "c", 12, 2000.0)
 
 
-@query(f"""{H}, d AS (SELECT s % 20 AS g, s, t AS a, t + n * 6 AS b FROM hourly), o AS (SELECT *, CASE WHEN a > max(b) OVER (PARTITION BY g ORDER BY a, b, s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS new FROM d),
+@query(f"""{H}, d AS (SELECT s AS g, s, t AS a, t + n * 6 AS b FROM hourly), o AS (SELECT *, CASE WHEN a > max(b) OVER (PARTITION BY g ORDER BY a, b, s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS new FROM d),
 e AS (SELECT *, sum(new) OVER (PARTITION BY g ORDER BY a, b, s ROWS UNBOUNDED PRECEDING) AS episode FROM o) SELECT g, CAST(episode AS BIGINT) AS episode, min(a) AS a, max(b) AS b, count(*) AS n FROM e GROUP BY g, episode""")
 def interval_merge_episodes(spark: SparkSession, sf: str) -> DataFrame:
-    d = hourly(spark, sf).select((F.col("s") % 20).alias("g"), F.col("t").alias("a"), (F.col("t") + F.col("n") * 6).alias("b"))
+    d = hourly(spark, sf).select(F.col("s").alias("g"), F.col("t").alias("a"), (F.col("t") + F.col("n") * 6).alias("b"))
     return W.merge_intervals(d, ["g"], "a", "b").groupBy("g", "episode").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.count("*").alias("n"))
 
 
@@ -147,20 +156,22 @@ def annual_max_argmax(spark: SparkSession, sf: str) -> DataFrame:
     return W.yearly_maxima(rows, ["s"], F.col("y"), "v")
 
 
-@query(f"""WITH {hourly_sql('event_type')}, a AS (SELECT t, CAST(c AS DOUBLE) AS x FROM hourly WHERE s = 'view'), b AS (SELECT t, CAST(c AS DOUBLE) AS y FROM hourly WHERE s = 'click'),
-p AS (SELECT k AS lag, corr(x, y) AS r, count(*) AS n FROM a, range(-6, 7) g(k), b WHERE b.t = a.t + k GROUP BY k HAVING count(*) > 6) SELECT 1 AS k, (array_agg(CAST(lag AS INT) ORDER BY r DESC, abs(lag), lag))[1] AS lag, round(max(r), 6) AS r FROM p""")
+@query(f"""WITH {SIDES}, z AS (SELECT k // 15 AS k, t, own, sum(c) AS c FROM sides GROUP BY 1, 2, 3), p AS (SELECT a.k, g AS lag, corr(a.c, b.c) AS r FROM z a, range(-6, 7) x(g), z b WHERE a.own AND NOT b.own AND a.k = b.k AND b.t = a.t + g GROUP BY 1, 2 HAVING count(*) > 6)
+SELECT k, (array_agg(CAST(lag AS INT) ORDER BY round(r, 9) DESC, abs(lag), lag))[1] AS lag, round(max(r), 6) AS r FROM p WHERE NOT isnan(r) GROUP BY k""")
 def lag_by_correlation(spark: SparkSession, sf: str) -> DataFrame:
-    h = hourly(spark, sf, "event_type").withColumn("k", F.lit(1))
-    a, b = h.where("s = 'view'").select("k", "t", F.col("c").cast("double").alias("x")), h.where("s = 'click'").select("k", "t", F.col("c").cast("double").alias("y"))
-    return W.best_lag(a, b, ["k"], range(-6, 7)).select("k", "lag", *r6("r"))
+    """Of fifteen users together, by how many hours other events follow views and clicks."""
+    h = sides(spark, sf).groupBy(F.floor(F.col("k") / 15).alias("k"), "t", "own").agg(F.sum("c").alias("c"))
+    return W.best_lag(h.where("own").select("k", "t", F.col("c").alias("x")), h.where("not own").select("k", "t", F.col("c").alias("y")), ["k"], range(-6, 7)).select("k", "lag", *r6("r"))
 
 
-@query(f"""WITH {hourly_sql('event_type')}, rows AS (SELECT t, c, 0 AS r FROM hourly WHERE s = 'view' AND t <= {START} UNION ALL SELECT t, c, 1 FROM hourly WHERE s = 'click' AND t > {START}),
-axis AS (SELECT unnest(range(min(t), max(t) + 1)) AS t FROM rows), every AS (SELECT * FROM rows UNION ALL SELECT t, c, 2 FROM hourly WHERE s = 'error'), have AS (SELECT t, (array_agg(c ORDER BY r))[1] AS c, min(r) AS r FROM every GROUP BY t)
-SELECT 1 AS k, a.t, CAST(coalesce(h.c, 0) AS DOUBLE) AS c, CASE coalesce(r, 3) WHEN 0 THEN 'observed' WHEN 1 THEN 'forecast' WHEN 2 THEN 'bridge' ELSE 'none' END AS origin FROM axis a LEFT JOIN have h ON a.t = h.t""")
+@query(f"""WITH {SIDES}, rows AS (SELECT k, t, c, 0 AS r FROM sides WHERE own AND t <= {START} UNION ALL SELECT k, t, c, 1 FROM sides WHERE own AND t > {START} AND t % 5 > 0),
+axis AS (SELECT k, unnest(range(min(t), max(t) + 1)) AS t FROM rows GROUP BY k), every AS (SELECT * FROM rows UNION ALL SELECT k, t, c, 2 FROM sides WHERE NOT own), have AS (SELECT k, t, (array_agg(c ORDER BY r))[1] AS c, min(r) AS r FROM every GROUP BY 1, 2)
+SELECT a.k, a.t, coalesce(h.c, 0) AS c, CASE coalesce(r, 3) WHEN 0 THEN 'observed' WHEN 1 THEN 'forecast' WHEN 2 THEN 'bridge' ELSE 'none' END AS origin FROM axis a LEFT JOIN have h ON a.k = h.k AND a.t = h.t""")
 def with_past_splice(spark: SparkSession, sf: str) -> DataFrame:
-    h = hourly(spark, sf, "event_type").select(F.lit(1).alias("k"), "s", "t", F.col("c").cast("double").alias("c"))
-    return W.splice(h.where("s = 'view'"), h.where("s = 'click'"), h.where("s = 'error'"), ["k"], START, "c")
+    """Each user's views and clicks, whose forecast lacks every fifth hour, with other events as the bridge."""
+    h = sides(spark, sf).select("own", "k", "t", "c")
+    own, other = h.where("own").drop("own"), h.where("not own").drop("own")
+    return W.splice(own, own.where("t % 5 > 0"), other, ["k"], START, "c")
 
 
 @query(f"""WITH {hourly_sql('event_type')} SELECT a.s, a.t, round(sum(b.c * exp((b.t - a.t) / CAST(24 AS DOUBLE))), 4) AS api FROM hourly a JOIN hourly b ON a.s = b.s AND b.t BETWEEN a.t - 665 AND a.t GROUP BY a.s, a.t""")
