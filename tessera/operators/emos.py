@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.special import log_gamma, lower_gamma, normal_quantile
+from tessera.operators.search import Search
 from tessera.sources.storage import durable
 
 
@@ -98,38 +99,12 @@ def fit(df: DataFrame, mean: str, upper: str, outcome: str, weight: str | None =
         return None
     starts = [freed(s) for s in STARTS]
     first = trial_scores(rows, starts)
-    centre, best = starts[int(first.argmin())], (float(first.min()), starts[int(first.argmin())])
-    rng, n = np.random.default_rng(seed), len(centre)
-    half = sample // 2
-    share = np.log(half + 0.5) - np.log(np.arange(1, half + 1))
-    share /= share.sum()
-    mass = 1 / (share**2).sum()
-    c_path, c_step = (4 + mass / n) / (n + 4 + 2 * mass / n), (mass + 2) / (n + mass + 5)
-    damp = 1 + c_step + 2 * max(0.0, math.sqrt((mass - 1) / (n + 1)) - 1)
-    c_one = 2 / ((n + 1.3) ** 2 + mass)
-    c_many = min(1 - c_one, 2 * (mass - 2 + 1 / mass) / ((n + 2) ** 2 + mass))
-    usual = math.sqrt(n) * (1 - 1 / (4 * n) + 1 / (21 * n * n))  # length of a standard normal vector
-    spread, size, path, step_path = np.eye(n), 0.5, np.zeros(n), np.zeros(n)
-    for turn in range(1, rounds + 1):
-        values, vectors = np.linalg.eigh(spread)
-        root = vectors * np.sqrt(np.maximum(values, 1e-20))
-        draws = rng.normal(size=(sample, n)) @ root.T
-        trials = np.clip(centre + size * draws, -20, 20)
-        scores = trial_scores(rows, list(trials))
-        order = np.argsort(scores, kind="stable")[:half]
-        if scores[order[0]] < best[0]:
-            best = (float(scores[order[0]]), trials[order[0]])
-        moved = share @ draws[order]
-        centre = np.clip(centre + size * moved, -20, 20)
-        step_path = (1 - c_step) * step_path + math.sqrt(c_step * (2 - c_step) * mass) * vectors @ ((vectors.T @ moved) / np.sqrt(np.maximum(values, 1e-20)))
-        length = float(np.linalg.norm(step_path))
-        steady = length / math.sqrt(1 - (1 - c_step) ** (2 * turn)) < (1.4 + 2 / (n + 1)) * usual
-        path = (1 - c_path) * path + steady * math.sqrt(c_path * (2 - c_path) * mass) * moved
-        spread = (1 - c_one - c_many) * spread + c_one * np.outer(path, path) + c_many * (draws[order].T * share) @ draws[order]
-        size *= math.exp(c_step / damp * (length / usual - 1))
-        if size * math.sqrt(float(values.max())) < 1e-4:
+    search = Search(starts[int(first.argmin())], float(first.min()), sample, np.random.default_rng(seed), 20.0)
+    for _ in range(rounds):
+        search.learn(trial_scores(rows, list(search.trials())))
+        if search.done:
             break
-    return Law.of(best[1]), best[0], float(raw)
+    return Law.of(search.best[1]), search.best[0], float(raw)
 
 
 def outcome_scores(law: Law, m: np.ndarray, q: np.ndarray, y: np.ndarray) -> np.ndarray:
