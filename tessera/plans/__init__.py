@@ -2,7 +2,7 @@
 
 
 def all_queries():
-    from tessera.plans import catalogue, field_queries, model_queries, product_queries, risk_queries, space_queries, stat_queries, stream_queries, text_queries, time_queries  # noqa: F401
+    from tessera.plans import calibration_queries, catalogue, field_queries, model_queries, product_queries, risk_queries, space_queries, stat_queries, stream_queries, text_queries, time_queries  # noqa: F401
 
     return catalogue.QUERIES
 
