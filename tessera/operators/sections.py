@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.sources.storage import durable
+
 
 @dataclass(frozen=True)
 class Trace:
@@ -112,7 +114,7 @@ def thalweg(stations: DataFrame, raster: DataFrame, line: Sequence[str], within:
 
     stations: line, n, chain (m along it), x, y; raster: within (columns of `line`), j, i, z. The cross-profile of each station
     is sampled at whole offsets; the offset of the lowest place is smoothed along the line, and z is the lowest known ground near it
-    (null: none). A line that climbs was drawn upstream: its chain and directions are turned, so that chain grows downstream."""
+    (null: none). Offsets and heights are each kept in shared storage, so places are sampled once. A line that climbs was drawn upstream: its chain and directions are turned, so that chain grows downstream."""
     c = F.col
     s = directed(stations.select(*line, "n", "chain", "x", "y"), line, trace.along)
     right = lambda o: {"x": c("x0_") + o * c("ty"), "y": c("y0_") - o * c("tx")}
@@ -122,10 +124,10 @@ def thalweg(stations: DataFrame, raster: DataFrame, line: Sequence[str], within:
     profile = F.transform(F.array_sort(F.collect_list(F.struct("o_", "z"))), lambda p: p["z"])
     offsets = heights.groupBy(*line, "n").agg(profile.alias("p_")).select(*line, "n", _offset(c("p_"), trace).cast("double").alias("at_"))
     smooth = offsets.withColumn("at_", running_median("at_", line, trace.median)).withColumn("at_", running_mean("at_", line, trace.mean))
-    bed = placed.join(smooth, [*line, "n"])
+    bed = durable(placed.join(smooth, [*line, "n"]))
     beside = bed.withColumn("o_", F.explode(F.sequence(F.lit(-trace.near), F.lit(trace.near)))).withColumns(right(c("at_") + c("o_")))
     lowest = sampled(raster, beside.select(*line, "n", "o_", "x", "y"), [*[k for k in line if k not in within], "n", "o_"], within).groupBy(*line, "n").agg(F.min("z").alias("z"))
-    out = bed.withColumns(right(c("at_"))).join(lowest, [*line, "n"])
+    out = durable(bed.withColumns(right(c("at_"))).join(lowest, [*line, "n"]))
     out = out.join(_climbs(out, line, trace.apart), list(line))
     turned = lambda v: F.when(c("climbs"), -c(v)).otherwise(c(v)).alias(v)
     return out.select(*line, "n", turned("chain"), "x", "y", "z", turned("tx"), turned("ty"), c("climbs").alias("flipped"))

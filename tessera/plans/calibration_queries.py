@@ -1,4 +1,5 @@
-"""Queries of calibration. Lines are cases (what came of them is their price), suppliers the groups, line numbers the episodes."""
+"""Queries of calibration and of river beds. Lines are cases (what came of them is their price), suppliers the groups, line numbers the episodes;
+each field of parts is a raster with a river mapped down its middle."""
 
 from __future__ import annotations
 
@@ -8,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import calibrate as C
-from tessera.plans.catalogue import cents, query, r6, table
+from tessera.operators import sections as S
+from tessera.plans.catalogue import FIELD, cents, field, query, r6, table
 
 GRID = C.Grid(0.1, 8.0, 25)
 FACTORS = (0.1, 0.5, 1.0, 2.0, 8.0)
@@ -66,3 +68,24 @@ def explained_factors(spark: SparkSession, sf: str) -> DataFrame:
     found = C.select_attributes(left, known, attributes, {"quantity": -1, "balance": 0, "nation": 0}, most=1, folds=4, rounds=15, grid=GRID)
     x = found[0].predict() if found else F.lit(None).cast("double")
     return attributes.select(F.col("group").alias("supplier"), x.alias("x"))
+
+
+@query(f"""WITH {FIELD}, st AS (SELECT plane, n, n * CAST(0.5 AS DOUBLE) AS y FROM (SELECT DISTINCT plane FROM field), (SELECT unnest(range(0, 38)) AS n)),
+a AS (SELECT plane, n, y, o, 4.5 + o AS x FROM st, (SELECT unnest(range(-2, 3)) AS o)),
+az AS (SELECT plane, n, o, sum(v * (1 - abs(a.y - j)) * (1 - abs(a.x - i))) AS z FROM a JOIN field USING (plane) WHERE j BETWEEN floor(a.y) AND floor(a.y) + 1 AND i BETWEEN floor(a.x) AND floor(a.x) + 1 GROUP BY 1, 2, 3 HAVING count(*) = 4),
+p AS (SELECT plane, n, list(coalesce(az.z, top, 0) ORDER BY o) AS l FROM (SELECT *, max(z) OVER (PARTITION BY plane, n) AS top FROM a LEFT JOIN az USING (plane, n, o)) az GROUP BY 1, 2),
+c AS (SELECT plane, n, k, (l[greatest(k - 1, 1)] + l[k] + l[least(k + 1, 5)]) / 3 + abs(k - 3) * CAST(0.004 AS DOUBLE) AS cost FROM p, (SELECT unnest(range(1, 6)) AS k)),
+o AS (SELECT plane, n, k - 3 AS o FROM c QUALIFY row_number() OVER (PARTITION BY plane, n ORDER BY cost, k) = 1),
+m AS (SELECT plane, n, b + c + d - greatest(b, c, d) - least(b, c, d) AS m FROM (SELECT plane, n, coalesce(lag(o) OVER w, o) AS b, o AS c, coalesce(lead(o) OVER w, o) AS d FROM o WINDOW w AS (PARTITION BY plane ORDER BY n))),
+f AS (SELECT plane, n, n * CAST(0.5 AS DOUBLE) AS y, 4.5 + (coalesce(lag(m) OVER w, m) + m + coalesce(lead(m) OVER w, m)) / CAST(3 AS DOUBLE) AS x FROM m WINDOW w AS (PARTITION BY plane ORDER BY n)),
+b AS (SELECT plane, n, y, x + d AS x, d FROM f, (SELECT unnest(range(-1, 2)) AS d)),
+bz AS (SELECT plane, n, d, sum(v * (1 - abs(b.y - j)) * (1 - abs(b.x - i))) AS z FROM b JOIN field USING (plane) WHERE j BETWEEN floor(b.y) AND floor(b.y) + 1 AND i BETWEEN floor(b.x) AND floor(b.x) + 1 GROUP BY 1, 2, 3 HAVING count(*) = 4),
+z AS (SELECT f.plane, f.n, f.x, f.y, min(bz.z) AS z FROM f LEFT JOIN bz ON f.plane = bz.plane AND f.n = bz.n GROUP BY 1, 2, 3, 4),
+t AS (SELECT u.plane, count(*) AS pairs, sum(CASE WHEN w.z > u.z THEN 1 ELSE 0 END) AS rises FROM z u JOIN z w ON u.plane = w.plane AND w.n > u.n + 2 WHERE u.z IS NOT NULL AND w.z IS NOT NULL GROUP BY 1)
+SELECT z.plane, CAST(n AS INT) AS n, CAST(CASE WHEN 2 * rises > pairs THEN -10 * n ELSE 10 * n END AS BIGINT) AS chain, round(x, 6) AS x, y, round(z, 6) AS z, coalesce(2 * rises > pairs, false) AS flipped FROM z LEFT JOIN t ON z.plane = t.plane""")
+def river_beds(spark: SparkSession, sf: str) -> DataFrame:
+    raster = field(spark, sf).withColumnRenamed("v", "z")
+    stations = raster.select("plane").distinct().withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(37))))
+    stations = stations.select("plane", "n", (F.col("n") * 10.0).alias("chain"), F.lit(4.5).alias("x"), (F.col("n") * 0.5).alias("y"))
+    found = S.thalweg(stations, raster, ["plane"], ["plane"], S.Trace(reach=2, along=3, across=3, median=3, mean=3, near=1))
+    return found.select("plane", "n", F.col("chain").cast("long").alias("chain"), *r6("x"), "y", *r6("z"), "flipped")
