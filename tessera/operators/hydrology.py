@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -105,6 +106,28 @@ def fit_level_volume(df: DataFrame, keys: Sequence[str], level: str, volume: str
     return missed.groupBy(*keys).agg(F.min_by(F.struct("a", "b", "h0", "rms", "n", "clipped"), F.struct("rms", "try_")).alias("f")).select(*keys, "f.*")
 
 
+def inflow_scenarios(sim: DataFrame, dams: DataFrame, weight: str, sigma: float, nodes: int = 5) -> DataFrame:
+    """member, k, dam, t, q, the weight: each simulated inflow with `nodes` equally likely errors, and with what the measured one
+    says of its error now.
+
+    sim: member, dam, t (hours), q, weight; dams: dam, now, seen (measured inflow at now, or null), release, fade (hours). Error k
+    multiplies by exp(sigma z), z the middle of the k-th of `nodes` equal parts of a normal law. The difference of seen and the
+    multiplied inflow at now (0 where it is not simulated) is added to the hours after it: of a positive one, as much as is being
+    released stays, the rest fades with exp(-(h - 1/2) / fade) in the h-th hour. Inflows do not fall below 0. Dams without a
+    row, or a null now, have no scenarios; without seen nothing is added."""
+    law = NormalDist()
+    errors = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(math.exp(sigma * law.inv_cdf((k + 0.5) / nodes))).alias("x")) for k in range(nodes)]))
+    known = dams.where("now is not null").select("dam", "now", "seen", F.coalesce("release", F.lit(0.0)).alias("release"), "fade")
+    rows = sim.select("member", "dam", "t", "q", weight).join(known, "dam")
+    at = rows.where("t = now").groupBy("member", "dam").agg(F.max("q").alias("now_q"))
+    wide = rows.where("t > now").join(at, ["member", "dam"], "left").withColumn("e", errors)
+    off = F.when(F.col("seen").isNotNull(), F.col("seen") - F.coalesce("now_q", F.lit(0.0)) * F.col("e.x")).otherwise(0.0)
+    stays = F.when(off > 0, F.least(off, F.col("release"))).otherwise(0.0)
+    fading = F.exp(-(F.col("t") - F.col("now") - 0.5) / F.col("fade"))
+    q = F.greatest(F.col("q") * F.col("e.x") + stays + (off - stays) * fading, F.lit(0.0))
+    return wide.select("member", F.col("e.k").alias("k"), "dam", "t", q.alias("q"), (F.col(weight) / nodes).alias(weight))
+
+
 def theil_sen(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
     """Median slope and the median of what it leaves. All pairs of a key's points: keys are sections of few points."""
 

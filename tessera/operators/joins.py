@@ -40,6 +40,22 @@ def as_of(left: DataFrame, right: DataFrame, keys: Sequence[str], value: str, ou
     return a.unionByName(b, allowMissingColumns=True).withColumn(out, F.last("v_", ignorenulls=True).over(w)).where("side_ = 1").drop("side_", "v_")
 
 
+def nearest_in_time(left: DataFrame, right: DataFrame, keys: Sequence[str], value: str, tolerance: float, out: str | None = None) -> DataFrame:
+    """For each row of left (keys, t) the value of right (keys, t) that is nearest in time, before or after, and no further than the
+    tolerance; null if there is none. Of two as near the earlier counts, of several at one time the greatest. Null values of
+    right, and rows without a time, are as if absent. One union, one sort for each direction."""
+    out, kind = out or value, dict(right.dtypes)[value]
+    b = right.where(F.col(value).isNotNull() & F.col("t").isNotNull()).groupBy(*keys, "t").agg(F.max(value).alias("v_"))
+    rows = left.withColumns({"side_": F.lit(1), "s_": F.lit(None).cast(f"struct<t:{dict(right.dtypes)['t']},v:{kind}>")})
+    rows = rows.unionByName(b.select(*keys, "t", F.struct("t", F.col("v_").alias("v")).alias("s_")).withColumn("side_", F.lit(0)), allowMissingColumns=True)
+    past = Window.partitionBy(*keys).orderBy("t", "side_").rowsBetween(Window.unboundedPreceding, 0)
+    future = Window.partitionBy(*keys).orderBy(F.desc("t"), "side_").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({"a_": F.last("s_", ignorenulls=True).over(past), "z_": F.last("s_", ignorenulls=True).over(future)}).where("side_ = 1")
+    back, ahead = F.col("t") - F.col("a_.t"), F.col("z_.t") - F.col("t")
+    found = F.when((back <= tolerance) & (ahead.isNull() | (back <= ahead)), F.col("a_.v")).when(ahead <= tolerance, F.col("z_.v"))
+    return rows.withColumn(out, found).drop("side_", "s_", "a_", "z_")
+
+
 def lead_series(runs: DataFrame, lead_days: Sequence[int], keys: Sequence[str], value: str, most_age: int = 36) -> DataFrame:
     """Of each valid time t and lead day L, the value of the newest run with run <= t - 24 L (L = 0: run < t) that has t,
     at most most_age hours older than that."""

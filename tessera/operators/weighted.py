@@ -108,3 +108,17 @@ def quantiles_of_all(df: DataFrame, value: str, ps: Sequence[float]) -> list[flo
     wanted = F.filter(F.array(*[F.lit(r).cast("long") for r in ranks]), lambda r: (r < F.col("last_")) & (r >= F.col("last_") - F.col("n_")))
     got = {r["rank"]: float(r["v_"]) for r in laid.withColumn("last_", last).select("v_", F.explode(wanted).alias("rank")).collect()}
     return [got[math.floor(x)] + (got[math.ceil(x)] - got[math.floor(x)]) * (x - math.floor(x)) for x in at]
+
+
+def daily_climate(nodes: DataFrame, keys: Sequence[str], value: str, period: int = 366) -> DataFrame:
+    """keys, day (0 to period - 1), value: a climate known at some days of the year, linear between them and around the year's end.
+
+    Each node yields the days up to the next one, so what needs the climate of its day finds it by equality. One node holds for
+    all days; of several at one day their mean counts; nodes without a value or outside the year are as if absent."""
+    known = nodes.where(F.col(value).isNotNull() & F.col("day").between(0, period - 1)).groupBy(*keys, "day").agg(F.avg(value).alias("q_"))
+    w = Window.partitionBy(*keys).orderBy("day")
+    first = F.first(F.struct("day", "q_")).over(w)
+    n = known.withColumns({"next_": F.coalesce(F.lead("day").over(w), first["day"] + period), "nq_": F.coalesce(F.lead("q_").over(w), first["q_"])})
+    days = n.withColumn("d_", F.explode(F.sequence(F.col("day"), F.col("next_") - 1)))
+    part = (F.col("d_") - F.col("day")) / (F.col("next_") - F.col("day"))
+    return days.select(*keys, F.pmod(F.col("d_"), F.lit(period)).cast("int").alias("day"), ((1 - part) * F.col("q_") + part * F.col("nq_")).alias(value))

@@ -4,13 +4,17 @@ each field of parts is a raster with a river mapped down its middle."""
 from __future__ import annotations
 
 import math
+from statistics import NormalDist
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import calibrate as C
+from tessera.operators import hydrology as R
 from tessera.operators import sections as S
+from tessera.operators import weighted as W
 from tessera.plans.catalogue import FIELD, cents, field, query, r6, table
+from tessera.plans.product_queries import MW, SERIES, series
 
 GRID = C.Grid(0.1, 8.0, 25)
 FACTORS = (0.1, 0.5, 1.0, 2.0, 8.0)
@@ -89,3 +93,34 @@ def river_beds(spark: SparkSession, sf: str) -> DataFrame:
     stations = stations.select("plane", "n", (F.col("n") * 10.0).alias("chain"), F.lit(4.5).alias("x"), (F.col("n") * 0.5).alias("y"))
     found = S.thalweg(stations, raster, ["plane"], ["plane"], S.Trace(reach=2, along=3, across=3, median=3, mean=3, near=1))
     return found.select("plane", "n", F.col("chain").cast("long").alias("chain"), *r6("x"), "y", *r6("z"), "flipped")
+
+
+@query("""WITH n AS (SELECT o_orderpriority AS s, (dayofyear(o_orderdate) - 1) // 5 * 5 AS day, sum(CAST(round(o_totalprice * 100) AS BIGINT)) / CAST(count(*) AS DOUBLE) AS q FROM orders GROUP BY 1, 2),
+m AS (SELECT s, day, q, coalesce(lead(day) OVER w, first(day) OVER w + 366) AS d2, coalesce(lead(q) OVER w, first(q) OVER w) AS q2 FROM n WINDOW w AS (PARTITION BY s ORDER BY day)),
+d AS (SELECT *, unnest(range(day, d2)) AS x FROM m)
+SELECT s AS priority, CAST(x % 366 AS INT) AS day, round(q + (q2 - q) * (x - day) / (d2 - day), 2) AS q FROM d""")
+def daily_climate(spark: SparkSession, sf: str) -> DataFrame:
+    """The mean price of orders of each priority by day of the year, known every five days."""
+    o = table(spark, sf, "orders")
+    day = (F.floor((F.dayofyear("o_orderdate") - 1) / 5) * 5).cast("int")
+    nodes = o.groupBy(F.col("o_orderpriority").alias("priority"), day.alias("day")).agg((F.sum(cents("o_totalprice")) / F.count("*")).alias("q"))
+    return W.daily_climate(nodes, ["priority"], "q").select("priority", "day", F.round("q", 2).alias("q"))
+
+
+ERRORS = ", ".join(f"({k}, CAST({math.exp(0.4 * NormalDist().inv_cdf((k + 0.5) / 5))!r} AS DOUBLE))" for k in range(5))
+
+
+@query(f"""WITH {SERIES}, {MW}, err(j, x) AS (VALUES {ERRORS}), s AS (SELECT m, k, t, c / CAST(100 AS DOUBLE) AS q, w FROM raw JOIN mw USING (m)),
+dam AS (SELECT k, (3 * min(t) + max(t)) // 4 AS now, CASE WHEN k % 4 < 3 THEN sum(c) / CAST(100 AS DOUBLE) / count(*) END AS seen, CAST(20 AS DOUBLE) AS rel, 3 + k AS fade FROM raw GROUP BY k),
+n AS (SELECT s.m, s.k, s.q AS q0 FROM s JOIN dam ON s.k = dam.k AND s.t = dam.now),
+o AS (SELECT s.m, j, s.k, t, now, fade, rel, q * x AS q, w / 5 AS w, CASE WHEN seen IS NULL THEN 0 ELSE seen - coalesce(q0, 0) * x END AS off FROM s JOIN dam ON s.k = dam.k AND t > now JOIN err ON true LEFT JOIN n ON n.m = s.m AND n.k = s.k),
+p AS (SELECT *, CASE WHEN off > 0 THEN least(off, rel) ELSE 0 END AS stay FROM o)
+SELECT m AS member, CAST(j AS INT) AS k, k AS dam, t, round(greatest(q + stay + (off - stay) * exp(-(t - now - CAST(0.5 AS DOUBLE)) / fade), 0), 6) AS q, round(w, 6) AS w FROM p""")
+def inflow_scenarios(spark: SparkSession, sf: str) -> DataFrame:
+    """Nine dams; now is a quarter into each one's time, measured is its mean."""
+    q = series(spark, sf)
+    facts = q.groupBy("k").agg(F.floor((3 * F.min("t") + F.max("t")) / 4).alias("now"), F.sum("c").alias("c_"), F.count("*").alias("n_"))
+    seen = F.when(F.col("k") % 4 < 3, F.col("c_") / 100 / F.col("n_"))
+    dams = facts.select(F.col("k").alias("dam"), "now", seen.alias("seen"), F.lit(20.0).alias("release"), (3 + F.col("k")).alias("fade"))
+    sim = q.select("member", F.col("k").alias("dam"), "t", (F.col("c") / 100).alias("q"), "w")
+    return R.inflow_scenarios(sim, dams, "w", 0.4).select("member", "k", "dam", "t", *r6("q", "w"))

@@ -132,6 +132,13 @@ def asof_value(spark: SparkSession, sf: str) -> DataFrame:
     return J.as_of(h.where("t % 2 = 0").select("s", "t"), h.where("t % 2 = 1").select("s", "t", "c"), ["s"], "c", "known")
 
 
+@query(f"""WITH {hourly_sql()}, b AS (SELECT s, t, c FROM hourly WHERE t % 7 = 3), p AS (SELECT a.s, a.t, b.c FROM hourly a LEFT JOIN b ON a.s = b.s AND abs(a.t - b.t) <= 30 QUALIFY row_number() OVER (PARTITION BY a.s, a.t ORDER BY abs(a.t - b.t), b.t) = 1)
+SELECT s, t, c AS near FROM p""")
+def nearest_in_time(spark: SparkSession, sf: str) -> DataFrame:
+    h = hourly(spark, sf)
+    return J.nearest_in_time(h.select("s", "t"), h.where("t % 7 = 3").select("s", "t", "c"), ["s"], "c", 30, "near")
+
+
 @query(f"""WITH {hourly_sql()}, r AS (SELECT s % 10 AS g, t, t - s % 60 AS run, max(c) AS c FROM hourly GROUP BY 1, 2, 3), w AS (SELECT g, t, run, c, d, CASE WHEN d = 0 THEN t - 1 ELSE t - 24 * d END AS last FROM r, range(3) x(d))
 SELECT g, t, CAST(d AS INT) AS lead_day, arg_max(c, run) AS c, max(run) AS run FROM w WHERE run <= last AND last - run <= 36 GROUP BY g, t, d""")
 def previous_run_series(spark: SparkSession, sf: str) -> DataFrame:

@@ -213,3 +213,39 @@ def test_as_of_and_runs(spark):
     assert rows(J.as_of(left, right, ["k"], "v"), "k", "t") == [(1, 5, "a"), (1, 10, "b"), (2, 1, None)]
     issues, runs = spark.createDataFrame([(40,)], "t long"), spark.createDataFrame([(0,), (12,), (24,), (36,)], "run long")
     assert [r.run for r in J.runs_available(issues, runs, 7, 36, 3).orderBy("rank").collect()] == [24, 12]
+
+
+def test_nearest_in_time_ties_nulls_and_empties(spark):
+    from tessera.operators.joins import nearest_in_time
+
+    left = spark.createDataFrame([("a", 10, "x"), ("a", 20, "y"), ("a", 40, None), ("b", 10, "z"), (None, 5, "n"), ("a", None, "t")], "s string, t int, c string")
+    right = spark.createDataFrame([("a", 8, 1.0, 0), ("a", 12, 2.0, 0), ("a", 20, 3.0, 0), ("a", 20, 4.0, 0), ("a", 34, 5.0, 0), ("a", 41, None, 0), (None, 6, 6.0, 0)], "s string, t int, v double, c int")
+    got = {(r.s, r.t): (r.c, r.near) for r in nearest_in_time(left, right, ["s"], "v", 5, "near").collect()}
+    assert got == {("a", 10): ("x", 1.0), ("a", 20): ("y", 4.0), ("a", 40): (None, None), ("b", 10): ("z", None), (None, 5): ("n", 6.0), ("a", None): ("t", None)}
+    assert {r.near for r in nearest_in_time(left, right.limit(0), ["s"], "v", 5, "near").collect()} == {None}
+    assert not nearest_in_time(left.limit(0), right, ["s"], "v", 5).collect()
+
+
+def test_daily_climate_of_few_nodes(spark):
+    from tessera.operators.weighted import daily_climate
+
+    nodes = [("one", 100, 7.0), ("two", 60, 0.0), ("two", 360, 6.0), ("two", 360, 6.0), ("two", 400, 9.0), ("two", 5, None)]
+    got = {}
+    for r in daily_climate(spark.createDataFrame(nodes, "s string, day int, q double"), ["s"], "q").collect():
+        got.setdefault(r.s, {})[r.day] = r.q
+    assert all(sorted(d) == list(range(366)) for d in got.values()) and set(got["one"].values()) == {7.0}
+    for x in range(366):
+        want = 6 * (x - 60) / 300 if 60 <= x <= 360 else 6 * (1 - ((x - 360) % 366) / 66)
+        assert got["two"][x] == pytest.approx(want, abs=1e-12)
+
+
+def test_inflow_scenarios_of_odd_dams(spark):
+    from tessera.operators.hydrology import inflow_scenarios
+
+    sim = [("m", d, t, 10.0, 2.0) for d in (1, 2, 3, 4, 5) for t in (0, 1, 2)] + [("late", 1, 2, 4.0, 1.0)]
+    dams = [(1, 0, 16.0, 5.0, 4.0), (2, 0, None, 5.0, 4.0), (3, None, 1.0, 1.0, 1.0), (4, 0, 3.0, None, 2.0)]
+    df = spark.createDataFrame(sim, "member string, dam int, t int, q double, w double")
+    got = {(r.member, r.dam, r.t): (r.q, r.w) for r in inflow_scenarios(df, spark.createDataFrame(dams, "dam int, now int, seen double, release double, fade double"), "w", 0.4, 3).where("k = 1").collect()}
+    e = lambda h, fade: math.exp(-(h - 0.5) / fade)
+    want = {("m", 1, 1): 15 + e(1, 4), ("m", 1, 2): 15 + e(2, 4), ("late", 1, 2): 4 + 5 + 11 * e(2, 4), ("m", 2, 1): 10, ("m", 2, 2): 10, ("m", 4, 1): 10 - 7 * e(1, 2), ("m", 4, 2): 10 - 7 * e(2, 2)}
+    assert {k: v[0] for k, v in got.items()} == pytest.approx(want) and got[("m", 1, 1)][1] == pytest.approx(2 / 3)
