@@ -121,4 +121,4 @@ def daily_climate(nodes: DataFrame, keys: Sequence[str], value: str, period: int
     n = known.withColumns({"next_": F.coalesce(F.lead("day").over(w), first["day"] + period), "nq_": F.coalesce(F.lead("q_").over(w), first["q_"])})
     days = n.withColumn("d_", F.explode(F.sequence(F.col("day"), F.col("next_") - 1)))
     part = (F.col("d_") - F.col("day")) / (F.col("next_") - F.col("day"))
-    return days.select(*keys, F.pmod(F.col("d_"), F.lit(period)).cast("int").alias("day"), ((1 - part) * F.col("q_") + part * F.col("nq_")).alias(value))
+    return days.select(*keys, F.pmod(F.col("d_"), F.lit(period)).cast("int").alias("day"), (F.col("q_") + (F.col("nq_") - F.col("q_")) * part).alias(value))
