@@ -106,6 +106,17 @@ def fit_level_volume(df: DataFrame, keys: Sequence[str], level: str, volume: str
     return missed.groupBy(*keys).agg(F.min_by(F.struct("a", "b", "h0", "rms", "n", "clipped"), F.struct("rms", "try_")).alias("f")).select(*keys, "f.*")
 
 
+def discharge(rain: DataFrame, areas: DataFrame, keys: Sequence[str], cell: str, point: str, value: str, loss: Loss = Loss(), hours: float = 6.0) -> DataFrame:
+    """keys, point, t, q (m3/s): rain of cells (keys, cell, t, value in mm) made net, sent down by the lags of areas (point, cell, lag_h,
+    km2), and held back by a linear store at each point. keys tell members apart.
+
+    Flows that reach a point in one hour are added before the shuffle. Hours without rain count as dry; cells without an
+    area, and rows of it without rain, add nothing; rain that is null counts as none."""
+    net = net_rain(rain, [*keys, cell], value, loss).where("net > 0").select(*keys, cell, "t", "net")
+    arriving = net.join(areas, cell).groupBy(*keys, point, (F.col("t") + F.col("lag_h")).alias("t")).agg(F.sum(F.col("km2") * F.col("net") / 3.6).alias("q"))
+    return linear_store(arriving, [*keys, point], "q", hours).withColumnRenamed("routed", "q")
+
+
 def inflow_scenarios(sim: DataFrame, dams: DataFrame, weight: str, sigma: float, nodes: int = 5) -> DataFrame:
     """member, k, dam, t, q, the weight: each simulated inflow with `nodes` equally likely errors, and with what the measured one
     says of its error now.

@@ -57,7 +57,7 @@ def catchment_ratios(own: DataFrame, shares: DataFrame, units: DataFrame, frames
     own: keys, u, t, o (measured) and f (forecast) mean rain of each hour, all hours present. units: u, area, up_area, t1, t12
     (arrays of the levels' thresholds). Measured rain counts only so far as more is coming; the family's factors (s1, s12) and
     the bias act on the forecast. Upstream windows may end up to a response time (at most `longest` hours) before the frame."""
-    rows = own.join(upstream_rain(own, shares, keys), [*keys, "u", "t"]).join(F.broadcast(units), "u")  # units are a fixed set
+    rows = own.join(upstream_rain(own, shares, keys), [*keys, "u", "t"]).join(units, "u")
     by = Window.partitionBy(*keys, "u").orderBy("t")
     roll = lambda x, d: F.sum(x).over(by.rangeBetween(-(d - 1), 0))
     tc = response_time(F.col("up_area"), c.a, c.b, c.slowest)
@@ -291,7 +291,7 @@ def discharge_product(q: DataFrame, points: DataFrame, frames: DataFrame, weight
     q: member, pt, t, q (m3/s), the weight, and, if given, vote: a chance that may raise the first two levels and never lowers
     one. points: pt, limits (array of the levels' discharges; null: no level)."""
     votes = [F.max(F.col(vote)).alias("vote_")] if vote else []
-    peaks = in_frames(q, frames).groupBy("member", "pt", "f").agg(F.max("q").alias("peak"), F.first(weight).alias(weight), *votes).join(F.broadcast(points), "pt")
+    peaks = in_frames(q, frames).groupBy("member", "pt", "f").agg(F.max("q").alias("peak"), F.first(weight).alias(weight), *votes).join(points, "pt")
     chances = [F.coalesce(dress(F.col("peak") / F.get("limits", F.lit(k)), sigma), F.lit(0.0)) for k in range(len(tau))]
     if vote:
         chances = [F.greatest(c, F.coalesce("vote_", F.lit(0.0))) if k < 2 else c for k, c in enumerate(chances)]
@@ -308,7 +308,7 @@ def reservoir_product(sim: DataFrame, dams: DataFrame, frames: DataFrame, weight
     reserve), limits (array of the outflows of levels 2 to 4); unknown ones are null."""
     c = F.col
     rows = in_frames(sim, frames).groupBy("member", "dam", "f").agg(F.max("volume").alias("most"), F.max_by("volume", "t").alias("last"), F.max("outflow").alias("out"), F.max("spill").alias("over"), F.first(weight).alias(weight))
-    rows = rows.join(F.broadcast(dams), "dam")
+    rows = rows.join(dams, "dam")
     sure = lambda x: F.coalesce(x, F.lit(False))
     inside = sure(c("most") >= c("reserve_from"))
     spilling = (c("over") > 0) | (c("most") >= c("full") * 0.9995)

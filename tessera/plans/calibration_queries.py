@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 
 from tessera.operators import calibrate as C
 from tessera.operators import hydrology as R
+from tessera.operators import products as P
 from tessera.operators import sections as S
 from tessera.operators import weighted as W
-from tessera.plans.catalogue import FIELD, cents, field, query, r6, table
-from tessera.plans.product_queries import MW, SERIES, series
+from tessera.operators.windows import step_end
+from tessera.plans.catalogue import FIELD, START, cents, field, query, r6, table
+from tessera.plans.product_queries import LIMITS, MW, SERIES, SIGMA, TAU, WEIGHTS, _d, _dressed, _falls, _level, _three, series
+from tessera.plans.space_queries import _share_sql
 
 GRID = C.Grid(0.1, 8.0, 25)
 FACTORS = (0.1, 0.5, 1.0, 2.0, 8.0)
@@ -124,3 +127,39 @@ def inflow_scenarios(spark: SparkSession, sf: str) -> DataFrame:
     dams = facts.select(F.col("k").alias("dam"), "now", seen.alias("seen"), F.lit(20.0).alias("release"), (3 + F.col("k")).alias("fade"))
     sim = q.select("member", F.col("k").alias("dam"), "t", (F.col("c") / 100).alias("q"), "w")
     return R.inflow_scenarios(sim, dams, "w", 0.4).select("member", "k", "dam", "t", *r6("q", "w"))
+
+
+def _faded(source: str, keys: str, value: str, hours: float, out: str, gain: float = 1.0) -> str:
+    """Every hour of each series, and the fading sum as one running sum: the days of these tables are few enough for it."""
+    age = f"(t - {START}) / {_d(hours)}"
+    on = " AND ".join(f"a.{k} = b.{k}" for k in [*keys.split(", "), "t"])
+    return f"""{out}_axis AS (SELECT {keys}, unnest(range(min(t), max(t) + 1)) AS t FROM {source} GROUP BY {keys}), {out}_all AS (SELECT a.*, coalesce(b.{value}, 0) AS v FROM {out}_axis a LEFT JOIN {source} b ON {on}),
+{out} AS (SELECT *, {gain!r} * exp(-{age}) * sum(v * exp({age})) OVER (PARTITION BY {keys} ORDER BY t) AS x FROM {out}_all)"""
+
+
+LOSS = R.Loss(p0=60.0, s=40.0, phi=5.0)
+
+
+@query(f"""WITH rain AS (SELECT event_type AS m, user_id % 12 AS cell, CAST(ceil(epoch_us(ts) / 3600000000.0) AS BIGINT) AS t, sum(CAST(round(value * 100) AS BIGINT)) / {_d(1000.0)} AS r FROM events GROUP BY 1, 2, 3), {MW},
+area AS (SELECT l_suppkey % 9 AS pt, l_partkey % 12 AS cell, CAST(floor(l_quantity / 10) AS INT) AS lag, sum(l_linenumber) / {_d(100.0)} AS km2 FROM lineitem GROUP BY 1, 2, 3),
+{_faded('rain', 'm, cell', 'r', LOSS.memory, 'wet')}, k AS (SELECT *, {_share_sql('(x - v / 2)', LOSS.p0, LOSS.s)} AS c, {_share_sql('(x - v / 2)', LOSS.p0b, LOSS.sb)} AS cb FROM wet),
+net AS (SELECT m, cell, t, (1 - {LOSS.alpha!r}) * (v * c + (1 - c) * greatest(v - {LOSS.phi!r}, 0)) + {LOSS.alpha!r} * v * cb AS net FROM k),
+arr AS (SELECT m, pt, t + lag AS t, sum(km2 * net / {_d(3.6)}) AS q FROM net JOIN area USING (cell) WHERE net > 0 GROUP BY 1, 2, 3),
+{_faded('arr', 'm, pt', 'q', 6.0, 'flow', 1 - math.exp(-1 / 6.0))},
+pk AS (SELECT m, pt, CAST(floor((t - 1) / 24) AS BIGINT) AS f, max(x) AS peak FROM flow GROUP BY 1, 2, 3), g AS (SELECT * FROM pk JOIN mw USING (m)),
+p AS (SELECT f, pt, {', '.join(f"sum(w * {_dressed(f'peak / {_d(x)}', _d(SIGMA))}) / sum(w) AS c{j}" for j, x in enumerate(LIMITS))} FROM g GROUP BY 1, 2),
+n AS (SELECT f, pt, {_falls(4)} FROM p), s AS (SELECT f, pt, peak, sum(w) OVER (PARTITION BY f, pt ORDER BY peak) / sum(w) OVER (PARTITION BY f, pt) AS c FROM g), z AS (SELECT f, pt, {_three('peak', {'peak_50': 0.5, 'peak_90': 0.9})} FROM s GROUP BY 1, 2)
+SELECT f, pt, {', '.join(f'round(p{k}, 5) AS p{k}' for k in range(2, 6))}, {_level(4)}, round(peak_50, 4) AS peak_50, round(peak_90, 4) AS peak_90 FROM n JOIN z USING (f, pt)""")
+def rain_to_levels(spark: SparkSession, sf: str) -> DataFrame:
+    """From the rain of each member to the warning levels of nine points on every day, by net rain, lags and stores."""
+    e = table(spark, sf, "events").groupBy(F.col("event_type").alias("member"), (F.col("user_id") % 12).alias("cell"), step_end(F.col("ts")).alias("t")).agg((F.sum(cents("value")) / 1000).alias("rain"))
+    li = table(spark, sf, "lineitem")
+    areas = li.groupBy((F.col("l_suppkey") % 9).alias("pt"), (F.col("l_partkey") % 12).alias("cell"), F.floor(F.col("l_quantity") / 10).cast("int").alias("lag_h")).agg((F.sum("l_linenumber") / 100).alias("km2"))
+    q = R.discharge(e, areas, ["member"], "cell", "pt", "rain", LOSS, 6.0)
+    weights = F.create_map(*[x for m, v in WEIGHTS for x in (F.lit(m), F.lit(v))])
+    q = q.withColumn("w", F.element_at(weights, F.col("member")))
+    points = areas.select("pt", F.array(*[F.lit(v) for v in LIMITS]).alias("limits")).distinct()
+    f = F.floor((F.col("t") - 1) / 24)
+    frames = q.select(f.alias("f")).distinct().select("f", (F.col("f") * 24).alias("t0"), (F.col("f") * 24 + 24).alias("t1"))
+    out = P.discharge_product(q, points, frames, "w", TAU, SIGMA)
+    return out.select("f", "pt", *[F.round(f"p{k}", 5).alias(f"p{k}") for k in range(2, 6)], "level", F.round("peak_50", 4).alias("peak_50"), F.round("peak_90", 4).alias("peak_90"))
