@@ -124,7 +124,7 @@ def register(radar: DataFrame, gauges: DataFrame, keys: Sequence[str], ny: int,
     moved = inside.withColumn("o_", _offsets(shifts)).select(*keys, "g", "o_.dj", "o_.di", _clamped(F.col("j") - F.col("o_.dj"), ny).alias("j"), _clamped(F.col("i") - F.col("o_.di"), nx).alias("i"))
     wet = (F.sqrt("g") >= 1) & (F.col("f_") >= 1)
     flat = F.stddev_pop("f_") <= 0
-    scores = moved.join(smooth, [*keys, "j", "i"]).groupBy(*keys, "dj", "di").agg(F.when(flat, -1.0).otherwise(F.corr(F.sqrt("g"), "f_")).alias("c"), F.count_if(wet).alias("n"))
+    scores = moved.join(smooth.hint("merge"), [*keys, "j", "i"]).groupBy(*keys, "dj", "di").agg(F.when(flat, -1.0).otherwise(F.corr(F.sqrt("g"), "f_")).alias("c"), F.count_if(wet).alias("n"))
     here = (F.col("dj") == 0) & (F.col("di") == 0)
     best = scores.groupBy(*keys).agg(F.min_by(F.struct("dj", "di", "c"), F.struct(-F.round("c", 9), "dj", "di")).alias("b"), F.max(F.when(here, F.col("c"))).alias("c0"), F.max(F.when(here, F.col("n"))).alias("n"))
     use = (F.col("n") >= least) & (F.col("b.c") - F.col("c0") >= gain)
