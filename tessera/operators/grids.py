@@ -65,21 +65,39 @@ def mean_reflectivity(df: DataFrame, keys: Sequence[str], dbz: str, size: int =
 def nearest_points(points: DataFrame, others: DataFrame, k: int, radius_km: float, least_cos: float = 0.5, within: Sequence[str] = ()) -> DataFrame:
     """For each point (id, lat, lon) the k nearest others (oid, olat, olon) within the radius: rank, km.
 
-    Both sides are dealt to square cells at least as wide as the radius, and points look in the nine around them, so the
-    join is on equality. least_cos: least cosine of a latitude that occurs. Ties go to the smaller oid."""
-    dlat = radius_km / 111.0
-    dlon = dlat / least_cos
-    cell = lambda lat, lon: (F.floor(lat / dlat).cast("long"), F.floor(lon / dlon).cast("long"))
+    Both sides are dealt to square cells at least as wide as a radius, and points look in the nine around them, so the join
+    is on equality. Where others are dense the first radius is a small one, by the fullest cell: a point that has k others within it
+    is settled, and the few left go on with twice the radius, so the pairs that are made grow with the points, not with the
+    density. Of others at one place only the k of least oid can be found. least_cos: least cosine of a latitude that occurs.
+    Ties go to the smaller oid."""
+    same = Window.partitionBy(*within, "olat", "olon").orderBy("oid")
+    others = others.withColumn("n_", F.row_number().over(same)).where(F.col("n_") <= k).drop("n_")
+
+    def cells(lat: str, lon: str, radius: float) -> tuple[Column, Column]:
+        dlat = radius / 111.0
+        return F.floor(F.col(lat) / dlat).cast("long"), F.floor(F.col(lon) / (dlat / least_cos)).cast("long")
+
+    cy, cx = cells("olat", "olon", radius_km)
+    full = others.groupBy(*within, cy.alias("cy"), cx.alias("cx")).count().agg(F.max("count")).first()[0] or 0
+    halvings = min(int(math.log(max(full / k, 1), 4)), 20)
     near = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1)]
-    cy, cx = cell(F.col("lat"), F.col("lon"))
-    left = points.withColumn("o_", _offsets(near)).withColumn("cy", cy + F.col("o_.dj")).withColumn("cx", cx + F.col("o_.di")).drop("o_")
-    oy, ox = cell(F.col("olat"), F.col("olon"))
-    right = others.withColumn("cy", oy).withColumn("cx", ox)
     x = F.radians(F.col("olon") - F.col("lon")) * F.cos(F.radians((F.col("lat") + F.col("olat")) / 2))
     y = F.radians(F.col("olat") - F.col("lat"))
-    pairs = left.join(right, ["cy", "cx", *within]).withColumn("km", 6371.0 * F.sqrt(x * x + y * y)).where(F.col("km") <= radius_km)
-    rank = F.row_number().over(Window.partitionBy(*within, "id").orderBy("km", "oid"))
-    return pairs.withColumn("rank", rank).where(F.col("rank") <= k).drop("cy", "cx")
+    own = Window.partitionBy(*within, "id")
+    out, waiting = None, points
+    for halved in range(halvings, -1, -1):
+        radius = radius_km / (1 << halved)
+        cy, cx = cells("lat", "lon", radius)
+        oy, ox = cells("olat", "olon", radius)
+        left = waiting.withColumn("o_", _offsets(near)).withColumn("cy", cy + F.col("o_.dj")).withColumn("cx", cx + F.col("o_.di")).drop("o_")
+        pairs = left.join(others.withColumn("cy", oy).withColumn("cx", ox).hint("merge"), ["cy", "cx", *within]).withColumn("km", 6371.0 * F.sqrt(x * x + y * y)).where(F.col("km") <= radius)
+        found = pairs.withColumn("rank", F.row_number().over(own.orderBy("km", "oid"))).where(F.col("rank") <= k).drop("cy", "cx")
+        if halved:
+            found = durable(found.withColumn("n_", F.count("*").over(own)).where(F.col("n_") == k).drop("n_"))
+            settled = found.where(F.col("rank") == k).select(*within, "id")
+            waiting = durable(waiting.join(settled.hint("merge"), [*within, "id"], "left_anti"))
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def inverse_distance(points: DataFrame, others: DataFrame, value: str, k: int = 6, radius_km: float = 40.0, least_km: float = 1e-3) -> DataFrame:

@@ -1,5 +1,7 @@
 """What larger tables and odd places brought to light: joins that must not be broadcast, dense neighbours, edges, short lines."""
 
+import numpy as np
+
 from tessera.operators import grids as G
 
 
@@ -8,3 +10,20 @@ def test_registration_sends_no_moved_gauges_to_the_driver(spark):
     found = G.register(radar, radar.withColumnRenamed("r", "g"), ["k"], 20, 10, 2)
     assert "BroadcastHashJoin" not in found._jdf.queryExecution().toString()
     assert [(r["dj"], r["di"]) for r in found.collect()] == [(0, 0)]
+
+
+def test_dense_neighbours_are_found_in_rounds(spark):
+    rng = np.random.default_rng(3)
+    p, o = rng.uniform([38, -1], [38.6, -0.4], (40, 2)), rng.uniform([38, -1], [38.6, -0.4], (900, 2))
+    o[:30], o[30:60], p[0], p[1] = o[0], o[30] + 1e-9, o[0], (39.5, 1.0)
+    points = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(p)], "id long, lat double, lon double")
+    others = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(o)], "oid long, olat double, olon double")
+    found = G.nearest_points(points, others, 5, 40.0)
+    assert "ExistingRDD" in found._jdf.queryExecution().toString()  # some were settled within less than the radius
+    got = {(r["id"], r["rank"]): r["oid"] for r in found.collect()}
+    want = {}
+    for i, (lat, lon) in enumerate(p):
+        km = 6371.0 * np.sqrt((np.radians(o[:, 1] - lon) * np.cos(np.radians((lat + o[:, 0]) / 2))) ** 2 + np.radians(o[:, 0] - lat) ** 2)
+        near = sorted((d, k) for k, d in enumerate(km.tolist()) if d <= 40)[:5]
+        want |= {(i, n + 1): k for n, (_, k) in enumerate(near)}
+    assert got == want and not any(i == 1 for i, _ in got)
