@@ -88,3 +88,21 @@ def in_ring(x: Column, y: Column, ring: Column) -> Column:
     pairs = F.arrays_zip(F.slice(ring, 1, F.size(ring) - 1).alias("a"), F.slice(ring, 2, F.size(ring) - 1).alias("b"))
     crossed = F.filter(pairs, lambda p: ((p["a"]["y"] > y) != (p["b"]["y"] > y)) & (x < (p["b"]["x"] - p["a"]["x"]) * (y - p["a"]["y"]) / (p["b"]["y"] - p["a"]["y"]) + p["a"]["x"]))
     return F.size(crossed) % 2 == 1
+
+
+def near_ring(x: Column, y: Column, ring: Column, margin: float = 1e-9) -> Column:
+    """Whether a point is so near the closed ring that rounding may decide `in_ring`."""
+    pairs = F.arrays_zip(F.slice(ring, 1, F.size(ring) - 1).alias("a"), F.slice(ring, 2, F.size(ring) - 1).alias("b"))
+
+    def close(p: Column) -> Column:
+        dx, dy = p["b"]["x"] - p["a"]["x"], p["b"]["y"] - p["a"]["y"]
+        along = F.coalesce(F.least(F.greatest(((x - p["a"]["x"]) * dx + (y - p["a"]["y"]) * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0)), F.lit(0.0)), F.lit(1.0)), F.lit(0.0))
+        return F.hypot(x - p["a"]["x"] - along * dx, y - p["a"]["y"] - along * dy) <= margin
+
+    return F.exists(pairs, close)
+
+
+def in_open_ring(x: Column, y: Column, ring: Column, sides: Column, margin: float = 1e-9) -> Column:
+    """Whether a convex closed ring holds the point in its interior: no point of an edge is inside. Beside an edge, where the ring's
+    rounded corners could not tell, the sides decide: array of struct(a, b, c), each a half-plane a x + b y > c."""
+    return F.when(near_ring(x, y, ring, margin), F.forall(sides, lambda s: s["a"] * x + s["b"] * y > s["c"])).otherwise(in_ring(x, y, ring))

@@ -1,7 +1,9 @@
 """What larger tables and odd places brought to light: joins that must not be broadcast, dense neighbours, edges, short lines."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
+from tessera.functions import geo
 from tessera.operators import grids as G
 
 
@@ -27,3 +29,12 @@ def test_dense_neighbours_are_found_in_rounds(spark):
         near = sorted((d, k) for k, d in enumerate(km.tolist()) if d <= 40)[:5]
         want |= {(i, n + 1): k for n, (_, k) in enumerate(near)}
     assert got == want and not any(i == 1 for i, _ in got)
+
+
+def test_points_of_edges_are_outside(spark):
+    ring = "array(struct(0D as x, 0D as y), struct(1D as x, 0D as y), struct(1D as x, 1D as y), struct(0D as x, 1D as y), struct(0D as x, 0D as y))"
+    sides = "array(struct(1D as a, 0D as b, 0D as c), struct(-1D as a, 0D as b, -1D as c), struct(0D as a, 1D as b, 0D as c), struct(0D as a, -1D as b, -1D as c))"
+    points = [(0.5, 0.5, True), (0.0, 0.5, False), (0.5, 0.0, False), (1.0, 0.5, False), (0.5, 1.0, False), (1e-12, 0.5, True), (0.5, 2.0, False)]
+    df = spark.createDataFrame(points, "x double, y double, want boolean")
+    got = df.select("want", geo.in_open_ring(F.col("x"), F.col("y"), F.expr(ring), F.expr(sides)).alias("got")).collect()
+    assert [r["got"] for r in got] == [r["want"] for r in got]
