@@ -21,7 +21,7 @@ class Trace:
     """reach: how far to each side the bed is sought; along: stations of the running mean that gives the line's direction; across:
     places of the running mean of a cross-profile; median, mean: stations by which the offset is smoothed; near: how far
     from the smoothed offset the lowest ground is taken; pull: height added for each cell away from the mapped line; apart: stations
-    nearer than this (in chain) say nothing of the slope."""
+    nearer than this (in chain) say nothing of the slope; known: lines with fewer stations of known height are not turned."""
 
     reach: int = 30
     along: int = 21
@@ -31,6 +31,7 @@ class Trace:
     near: int = 4
     pull: float = 0.004
     apart: float = 20.0
+    known: int = 5
 
 
 def sampled(raster: DataFrame, at: DataFrame, keys: Sequence[str], within: Sequence[str]) -> DataFrame:
@@ -89,8 +90,8 @@ def _offset(profile: Column, trace: Trace) -> Column:
     return F.array_position(cost, F.array_min(cost)) - 1 - trace.reach
 
 
-def _climbs(df: DataFrame, line: Sequence[str], apart: float) -> DataFrame:
-    """Lines on which most pairs of stations that are further apart than `apart` rise with chain. A line at a time, counted in
+def _climbs(df: DataFrame, line: Sequence[str], apart: float, least: int) -> DataFrame:
+    """Lines of `least` known heights on which most pairs of stations that are further apart than `apart` rise with chain. A line at a time, counted in
     blocks of 512 stations."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -103,7 +104,7 @@ def _climbs(df: DataFrame, line: Sequence[str], apart: float) -> DataFrame:
             far = dx > apart
             pairs += int(far.sum())
             rises += int((far & (dz > 0)).sum())
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in line}, "climbs": [len(x) >= 5 and 2 * rises > pairs]})
+        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in line}, "climbs": [len(x) >= least and 2 * rises > pairs]})
 
     kinds = dict(df.dtypes)
     return df.select(*line, "chain", "z").groupBy(*line).applyInPandas(run, ", ".join([*(f"`{k}` {kinds[k]}" for k in line), "climbs boolean"]))
@@ -128,7 +129,7 @@ def thalweg(stations: DataFrame, raster: DataFrame, line: Sequence[str], within:
     beside = bed.withColumn("o_", F.explode(F.sequence(F.lit(-trace.near), F.lit(trace.near)))).withColumns(right(c("at_") + c("o_")))
     lowest = sampled(raster, beside.select(*line, "n", "o_", "x", "y"), [*[k for k in line if k not in within], "n", "o_"], within).groupBy(*line, "n").agg(F.min("z").alias("z"))
     out = durable(bed.withColumns(right(c("at_"))).join(lowest, [*line, "n"]))
-    out = out.join(_climbs(out, line, trace.apart), list(line))
+    out = out.join(_climbs(out, line, trace.apart, trace.known), list(line))
     turned = lambda v: F.when(c("climbs"), -c(v)).otherwise(c(v)).alias(v)
     return out.select(*line, "n", turned("chain"), "x", "y", "z", turned("tx"), turned("ty"), c("climbs").alias("flipped"))
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import geo
 from tessera.operators import grids as G
+from tessera.operators import sections as S
 
 
 def test_registration_sends_no_moved_gauges_to_the_driver(spark):
@@ -38,3 +39,9 @@ def test_points_of_edges_are_outside(spark):
     df = spark.createDataFrame(points, "x double, y double, want boolean")
     got = df.select("want", geo.in_open_ring(F.col("x"), F.col("y"), F.expr(ring), F.expr(sides)).alias("got")).collect()
     assert [r["got"] for r in got] == [r["want"] for r in got]
+
+
+def test_short_lines_turn_if_no_number_of_heights_is_asked_for(spark):
+    rows = spark.createDataFrame([("up", float(n), float(n)) for n in range(4)] + [("down", float(n), -float(n)) for n in range(4)], "line string, chain double, z double")
+    climbs = lambda least: {r["line"]: r["climbs"] for r in S._climbs(rows, ["line"], 0.0, least).collect()}
+    assert climbs(0) == {"up": True, "down": False} and climbs(5) == {"up": False, "down": False}
