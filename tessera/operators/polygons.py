@@ -85,10 +85,10 @@ def cover(polygons: DataFrame, poly: str, rings: str, coarse: float, levels: int
         side = coarse / (1 << level)
         near = durable(near.where(_touching(side)))
         border = near.select("poly", "cx", "cy").distinct()
-        plain = cells.join(border, ["poly", "cx", "cy"], "left_anti")
+        plain = cells.join(border.hint("merge"), ["poly", "cx", "cy"], "left_anti")
         # a plain cell is as its middle is; the row of least cells through the middle has all edges that matter
         middle = plain.withColumns({"mx_": (F.col("cx") + 0.5) * side, "my_": (F.col("cy") + 0.5) * side}).withColumn("row_", number(F.col("my_"), least))
-        tested = middle.join(strips.withColumnRenamed("cy", "row_"), ["poly", "row_"]).where(crossing(F.col("edges"), F.col("mx_"), F.col("my_")) % 2 == 1)
+        tested = middle.join(strips.withColumnRenamed("cy", "row_").hint("merge"), ["poly", "row_"]).where(crossing(F.col("edges"), F.col("mx_"), F.col("my_")) % 2 == 1)
         done.append(durable(tested.select("poly", F.lit(level).alias("level"), "cx", "cy", F.lit(True).alias("inside"))))
         if level == levels:
             done.append(durable(border.select("poly", F.lit(level).alias("level"), "cx", "cy", F.lit(False).alias("inside"))))
@@ -112,13 +112,21 @@ def _placed(points: DataFrame, ident: str, x: str, y: str) -> DataFrame:
 
 def containing(points: DataFrame, index: Cover, ident: str, x: str, y: str) -> DataFrame:
     """ident, poly of all polygons that hold each point. Few cells are broadcast, after they are counted; more are joined by
-    a shuffle, in which Spark splits cells with many points."""
+    a shuffle, in which Spark splits cells with many points, and bring the edges of their row along. Joins name their kind, as
+    Spark takes rows that were exploded for as small as they were before."""
     few = index.cells.count() <= MOST_CELLS
     sides = [index.coarse / (1 << k) for k in range(index.levels + 1)]
     key = F.explode(F.array(*[F.struct(F.lit(k).alias("level"), F.floor(F.col("x_") / s).alias("cx"), F.floor(F.col("y_") / s).alias("cy")) for k, s in enumerate(sides)]))
-    met = _placed(points, ident, x, y).withColumn("k_", key).select("id_", "x_", "y_", "k_.*").join(F.broadcast(index.cells) if few else index.cells, ["level", "cx", "cy"])
-    tested = met.where("not inside").join(index.strips, ["poly", "cy"]).where(crossing(F.col("edges"), F.col("x_"), F.col("y_")) % 2 == 1)
-    return met.where("inside").select("id_", "poly").unionByName(tested.select("id_", "poly")).withColumnRenamed("id_", ident)
+    placed = _placed(points, ident, x, y).withColumn("k_", key).select("id_", "x_", "y_", "k_.*")
+    within = crossing(F.col("edges"), F.col("x_"), F.col("y_")) % 2 == 1
+    if few:
+        met = placed.join(F.broadcast(index.cells), ["level", "cx", "cy"])
+        tested = met.where("not inside").join(index.strips.hint("merge"), ["poly", "cy"]).where(within)
+        return met.where("inside").select("id_", "poly").unionByName(tested.select("id_", "poly")).withColumnRenamed("id_", ident)
+    border = index.cells.where("not inside").join(index.strips.hint("merge"), ["poly", "cy"])
+    cells = index.cells.where("inside").withColumn("edges", F.lit(None).cast(border.schema["edges"].dataType)).unionByName(border)
+    met = placed.join(cells.hint("merge"), ["level", "cx", "cy"])
+    return met.where(F.col("inside") | within).select(F.col("id_").alias(ident), "poly")
 
 
 def _apart2() -> Column:
@@ -138,7 +146,7 @@ def locate(points: DataFrame, index: Cover, ident: str, x: str, y: str, reach: f
     asked = _placed(points, ident, x, y)
     first = containing(points, index, ident, x, y).groupBy(F.col(ident).alias("id_")).agg(F.min("poly").alias("poly")).withColumn("apart", F.lit(0.0))
     found = [durable(first)]
-    left = durable(asked.join(found[0], "id_", "left_anti"))
+    left = durable(asked.join(found[0].hint("merge"), "id_", "left_anti"))
     span = index.edges.agg(*[f(f"{c}{k}") for c in ("x", "y") for k in (1, 2) for f in (F.min, F.max)]).first()
     side = index.coarse if reach is None else min(index.coarse, reach)
     while span[0] is not None and not left.isEmpty():
@@ -146,14 +154,14 @@ def locate(points: DataFrame, index: Cover, ident: str, x: str, y: str, reach: f
         around = F.explode(F.sequence(F.lit(-1), F.lit(1)))
         asked_at = left.withColumn("a_", around).withColumn("b_", around).withColumns({"cx": square(F.col("x_")) + F.col("a_"), "cy": square(F.col("y_")) + F.col("b_")})
         spread = index.edges.withColumn("cx", F.explode(F.sequence(square(F.least("x1", "x2")), square(F.greatest("x1", "x2"))))).withColumn("cy", F.explode(F.sequence(square(F.least("y1", "y2")), square(F.greatest("y1", "y2")))))
-        best = asked_at.join(spread, ["cx", "cy"]).withColumn("d_", _apart2()).groupBy("id_").agg(F.min(F.struct(F.round(F.sqrt("d_"), 12).alias("apart"), "poly")).alias("b_"))
+        best = asked_at.join(spread.hint("merge"), ["cx", "cy"]).withColumn("d_", _apart2()).groupBy("id_").agg(F.min(F.struct(F.round(F.sqrt("d_"), 12).alias("apart"), "poly")).alias("b_"))
         near = durable(best.select("id_", "b_.poly", "b_.apart").where(F.col("apart") <= side))
         found.append(near)
         if reach is not None and side >= reach:
             break
-        left = durable(left.join(near, "id_", "left_anti"))
+        left = durable(left.join(near.hint("merge"), "id_", "left_anti"))
         side = side * 2 if reach is None else min(side * 2, reach)
     out = found[0].select("id_", "poly", "apart")
     for d in found[1:]:
         out = out.unionByName(d.select("id_", "poly", "apart"))
-    return points.select(F.col(ident)).join(out.withColumnRenamed("id_", ident), ident, "left")
+    return points.select(F.col(ident)).join(out.withColumnRenamed("id_", ident).hint("merge"), ident, "left")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import geo
 from tessera.operators import grids as G
+from tessera.operators import polygons as P
 from tessera.operators import sections as S
 
 
@@ -45,3 +46,13 @@ def test_short_lines_turn_if_no_number_of_heights_is_asked_for(spark):
     rows = spark.createDataFrame([("up", float(n), float(n)) for n in range(4)] + [("down", float(n), -float(n)) for n in range(4)], "line string, chain double, z double")
     climbs = lambda least: {r["line"]: r["climbs"] for r in S._climbs(rows, ["line"], 0.0, least).collect()}
     assert climbs(0) == {"up": True, "down": False} and climbs(5) == {"up": False, "down": False}
+
+
+def test_many_cells_bring_their_edges_and_are_not_broadcast(spark, monkeypatch):
+    frame = [[(-3.0, -3.0), (3.0, -3.0), (3.0, 3.0), (-3.0, 3.0)], [(-1.0, -1.0), (1.0, -1.0), (1.0, 1.0), (-1.0, 1.0)]]
+    index = P.cover(spark.createDataFrame([(1, frame)], "poly int, rings array<array<struct<x:double,y:double>>>"), "poly", "rings", 2.0, 3)
+    points = [(0, 0.0, 0.0), (1, 2.0, 0.3), (2, 0.99, 0.0), (3, 1.01, 0.0), (4, 2.99, 2.99), (5, 3.01, 0.0), (6, None, 0.0)]
+    monkeypatch.setattr(P, "MOST_CELLS", 0)
+    found = P.containing(spark.createDataFrame(points, "id long, x double, y double"), index, "id", "x", "y")
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().toString()
+    assert sorted(r["id"] for r in found.collect()) == [1, 3, 4]
