@@ -122,7 +122,7 @@ def bilinear(df: DataFrame, at: DataFrame, keys: Sequence[str], value: str, ny:
     w = F.when(F.col("o_.dj") == 1, F.col("fy")).otherwise(1 - F.col("fy")) * F.when(F.col("o_.di") == 1, F.col("fx")).otherwise(1 - F.col("fx"))
     p = p.select(*keys, "id", w.alias("w_"), (F.col("j0") + F.col("o_.dj")).cast("int").alias("j"), (F.col("i0") + F.col("o_.di")).cast("int").alias("i"))
     known = F.when(F.col(value).isNotNull(), F.col("w_"))
-    return p.join(df.select(*keys, "j", "i", value), [*keys, "j", "i"]).groupBy(*keys, "id").agg((F.sum(F.col("w_") * F.col(value)) / F.nullif(F.sum(known), F.lit(0.0))).alias(value))
+    return p.join(df.select(*keys, "j", "i", value).hint("merge"), [*keys, "j", "i"]).groupBy(*keys, "id").agg((F.sum(F.col("w_") * F.col(value)) / F.nullif(F.sum(known), F.lit(0.0))).alias(value))
 
 
 def majority(df: DataFrame, keys: Sequence[str], unit: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """What larger tables and odd places brought to light: joins that must not be broadcast, dense neighbours, edges, short lines."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import geo
@@ -8,6 +9,7 @@ from tessera.operators import grids as G
 from tessera.operators import matching as M
 from tessera.operators import polygons as P
 from tessera.operators import sections as S
+from tessera.plans import all_queries
 
 
 def test_registration_sends_no_moved_gauges_to_the_driver(spark):
@@ -65,3 +67,9 @@ def test_equal_names_are_matched_once_and_not_broadcast(spark):
     found = M.match_names(names, register, ["k"])
     assert "BroadcastHashJoin" not in found._jdf.queryExecution().toString()
     assert sorted((r["k"], r["id"], r["station"]) for r in found.collect()) == [(1, i, 3) for i in (0, 1, 2, 3, 9)]
+
+
+@pytest.mark.parametrize("name", ["bilinear_sample"])
+def test_every_place_is_sought_in_every_field(spark, name):
+    got = all_queries()[name](spark, "/root/testdata/sf0.01")
+    assert got.count() == got.select("plane").distinct().count() * got.select("id").distinct().count() == 10 * 100
