@@ -85,7 +85,7 @@ def snap(points: DataFrame, field: DataFrame, keys: Sequence[str], value: str, r
     the field of its own keys; a point meets only the cells around it."""
     o = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in range(-radius, radius + 1) for b in range(-radius, radius + 1)]))
     wide = points.withColumn("o_", o).select(*keys, "id", (F.col("j") + F.col("o_.a")).alias("j"), (F.col("i") + F.col("o_.b")).alias("i"), (F.abs("o_.a") + F.abs("o_.b")).alias("d_"))
-    return wide.join(field, [*keys, "j", "i"]).groupBy(*keys, "id").agg(F.min_by(F.struct("j", "i", value), F.struct(-F.col(value), "d_", "j", "i")).alias("b")).select(*keys, "id", "b.*")
+    return wide.join(field.hint("merge"), [*keys, "j", "i"]).groupBy(*keys, "id").agg(F.min_by(F.struct("j", "i", value), F.struct(-F.col(value), "d_", "j", "i")).alias("b")).select(*keys, "id", "b.*")
 
 
 def time_area(cells: DataFrame, keys: Sequence[str], hours: str, area: str) -> DataFrame:

@@ -69,7 +69,7 @@ def test_equal_names_are_matched_once_and_not_broadcast(spark):
     assert sorted((r["k"], r["id"], r["station"]) for r in found.collect()) == [(1, i, 3) for i in (0, 1, 2, 3, 9)]
 
 
-@pytest.mark.parametrize("name", ["bilinear_sample"])
+@pytest.mark.parametrize("name", ["bilinear_sample", "snap_to_maximum"])
 def test_every_place_is_sought_in_every_field(spark, name):
     got = all_queries()[name](spark, "/root/testdata/sf0.01")
     assert got.count() == got.select("plane").distinct().count() * got.select("id").distinct().count() == 10 * 100
