@@ -73,3 +73,19 @@ def test_equal_names_are_matched_once_and_not_broadcast(spark):
 def test_every_place_is_sought_in_every_field(spark, name):
     got = all_queries()[name](spark, "/root/testdata/sf0.01")
     assert got.count() == got.select("plane").distinct().count() * got.select("id").distinct().count() == 10 * 100
+
+
+def test_a_case_is_one_row_and_only_sums_are_shuffled(spark):
+    from tessera.operators import calibrate as C
+
+    grid = C.Grid(0.1, 8.0, 7)
+    cases = spark.range(400).selectExpr("id % 3 as `group`", "1D as w", "5D + id as obs")
+    left = lambda df: C.with_profiles(df, F.array(F.lit(2.0), F.lit(0.5), F.lit(2.0)), F.array(F.col("obs") * 3, F.col("obs"), F.lit(0.0)), F.col("obs"), F.lit(0.0), F.lit(False), grid)
+    assert left(cases).count() == 400
+    plan = C.curves(left, cases, ["group"])._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Window" not in plan
+    x = np.linspace(np.log(0.1), np.log(8.0), 7)
+    want = np.interp(x, np.log([0.5, 2.0]), [0.0, np.log(3.0)])
+    got = {r["group"]: (r["n"], [v / C.UNIT for v in r["loss"]]) for r in C.curves(left, cases, ["group"]).collect()}
+    assert {g: n for g, (n, _) in got.items()} == {0: 134, 1: 133, 2: 133}
+    assert all(loss == pytest.approx(list(want * n), abs=1e-5) for n, loss in got.values())
