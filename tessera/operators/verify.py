@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.sources.storage import durable
+
 
 def _ratio(a: Column, b: Column) -> Column:
     return a / F.nullif(b.cast("double"), F.lit(0.0))
@@ -131,13 +133,31 @@ def log_residuals(df: DataFrame, keys: Sequence[str], sim: str, obs: str, offset
     return rows.groupBy(*keys).agg(mean.alias("bias"), (F.sum(F.col(weight) * F.abs("r_")) / w).alias("mae"), F.sqrt(F.greatest(F.sum(F.col(weight) * F.col("r_") * F.col("r_")) / w - mean * mean, F.lit(0.0))).alias("sd"))
 
 
+def attached(rows: DataFrame, facts: DataFrame, on: Sequence[str]) -> DataFrame:
+    """rows with the other columns of facts (one row for each value of `on`), where nulls are equal."""
+    f = facts.withColumnsRenamed({c: f"{c}_f_" for c in on})
+    same = [F.col(c).eqNullSafe(F.col(f"{c}_f_")) for c in on] or [F.lit(True)]  # without keys facts are one row
+    return rows.join(f, same).drop(*[f"{c}_f_" for c in on])
+
+
+def counted_below(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """keys, value, n_ (rows with it) and below_ (rows of these keys with lesser values; null is the least). Different values are laid
+    out by range and summed from part to part, so no key is one task."""
+    counted = df.groupBy(*keys, value).agg(F.count("*").alias("n_"))
+    laid = durable(counted.repartitionByRange(*keys, value).withColumn("part_", F.spark_partition_id()))
+    parts, inside = Window.partitionBy(*keys).orderBy("part_"), Window.partitionBy(*keys, "part_").orderBy(value)
+    upto = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = laid.groupBy(*keys, "part_").agg(F.sum("n_").alias("b_")).withColumn("b_", upto("b_", parts))
+    return attached(laid, before, [*keys, "part_"]).select(*keys, value, "n_", (F.col("b_") + upto("n_", inside)).alias("below_"))
+
+
 def rank_correlation(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
     """Spearman's, with mean ranks for ties."""
-    def rank(c: str) -> Column:
-        w = Window.partitionBy(*keys)
-        return F.rank().over(w.orderBy(c)) + (F.count("*").over(Window.partitionBy(*keys, c)) - 1) / 2
-
-    return df.withColumn("rx_", rank(x)).withColumn("ry_", rank(y)).groupBy(*keys).agg(F.corr("rx_", "ry_").alias("spearman"), F.count("*").alias("n"))
+    rows = df.select(*keys, x, y)
+    for c, name in ((x, "rx_"), (y, "ry_")):
+        ranks = counted_below(df, keys, c).select(*keys, c, (F.col("below_") + (F.col("n_") + 1) / 2).alias(name))
+        rows = attached(rows, ranks, [*keys, c])
+    return rows.groupBy(*keys).agg(F.corr("rx_", "ry_").alias("spearman"), F.count("*").alias("n"))
 
 
 def folds(df: DataFrame, keys: Sequence[str], ident: str, k: int, seed: int) -> DataFrame:
@@ -173,13 +193,16 @@ def cost_loss_threshold(fitted: DataFrame, keys: Sequence[str], ratio: float, bi
 
 
 def feature_rank(df: DataFrame, others: DataFrame, keys: Sequence[str], group: str, value: str, least: int = 20) -> DataFrame:
-    """Mid-rank (0 to 1) of each row's value among those of other groups with the same keys; null if too few. Values of
-    a key are cumulated once; a row's own group is taken off by the same sums within the group."""
-    w, o = Window.partitionBy(*keys), Window.partitionBy(*keys, group)
-    le = lambda x: F.count("*").over(x.orderBy(value).rangeBetween(Window.unboundedPreceding, 0))
-    eq = lambda *ks: F.count("*").over(Window.partitionBy(*ks, value))
-    rows = others.withColumn("below_", le(w) - eq(*keys) - le(o) + eq(*keys, group)).withColumn("same_", eq(*keys) - eq(*keys, group)).withColumn("n_", F.count("*").over(w) - F.count("*").over(o))
-    return rows.withColumn("rank", F.when(F.col("n_") >= least, (F.col("below_") + F.col("same_") / 2) / F.col("n_"))).drop("below_", "same_", "n_").join(df.select(*keys, group).distinct(), [*keys, group], "left_semi")
+    """Mid-rank (0 to 1) of each row's value among those of other groups with the same keys; null if too few. Values are
+    counted and cumulated for the keys and for each group of them; what is a group's own is taken off."""
+    every, own = counted_below(others, keys, value), counted_below(others, [*keys, group], value)
+    totals = lambda ks, name: others.groupBy(*ks).agg(F.count("*").alias(name))
+    both = attached(own.withColumnsRenamed({"n_": "own_n_", "below_": "own_below_"}), every, [*keys, value])
+    both = attached(attached(both, totals(keys, "all_"), keys), totals([*keys, group], "own_all_"), [*keys, group])
+    n = F.col("all_") - F.col("own_all_")
+    rank = F.when(n >= least, (F.col("below_") - F.col("own_below_") + (F.col("n_") - F.col("own_n_")) / 2) / n)
+    ranked = attached(others, both.select(*keys, group, value, rank.alias("rank")), [*keys, group, value])
+    return ranked.join(df.select(*keys, group).distinct(), [*keys, group], "left_semi")
 
 
 def fit_logistic(df: DataFrame, features: Sequence[str], event: str, weight: str | None = None, ridge: float = 1.0, rounds: int = 12) -> np.ndarray:

@@ -89,3 +89,18 @@ def test_a_case_is_one_row_and_only_sums_are_shuffled(spark):
     got = {r["group"]: (r["n"], [v / C.UNIT for v in r["loss"]]) for r in C.curves(left, cases, ["group"]).collect()}
     assert {g: n for g, (n, _) in got.items()} == {0: 134, 1: 133, 2: 133}
     assert all(loss == pytest.approx(list(want * n), abs=1e-5) for n, loss in got.values())
+
+
+def test_ranks_come_by_ranges_of_values(spark):
+    from tessera.operators import verify as V
+
+    rows = [(k, x, y) for k, x, y in zip([None, 1, 1, 1, None, 1, None, None], [3.0, 1.0, 1.0, None, 3.0, 2.0, 5.0, 1.0], [1.0, 2.0, 2.0, 9.0, 4.0, 5.0, 6.0, 1.0])]
+    df = spark.createDataFrame(rows, "k int, x double, y double")
+    below = {(r["k"], r["x"]): (r["n_"], r["below_"]) for r in V.counted_below(df, ["k"], "x").collect()}
+    assert below == {(None, 1.0): (1, 0), (None, 3.0): (2, 1), (None, 5.0): (1, 3), (1, None): (1, 0), (1, 1.0): (2, 1), (1, 2.0): (1, 3)}
+    got = V.rank_correlation(df, ["k"], "x", "y")
+    assert "ExistingRDD" in got._jdf.queryExecution().toString()  # counted values, not a window of all rows
+    rank = lambda v: [sum(a < b for a in v) + (sum(a == b for a in v) + 1) / 2 for b in v]
+    for r in got.collect():
+        mine = [((-1.0 if x is None else x), y) for k, x, y in rows if k == r["k"]]
+        assert r["n"] == 4 and r["spearman"] == pytest.approx(np.corrcoef(rank([m[0] for m in mine]), rank([m[1] for m in mine]))[0, 1])
