@@ -104,3 +104,16 @@ def test_ranks_come_by_ranges_of_values(spark):
     for r in got.collect():
         mine = [((-1.0 if x is None else x), y) for k, x, y in rows if k == r["k"]]
         assert r["n"] == 4 and r["spearman"] == pytest.approx(np.corrcoef(rank([m[0] for m in mine]), rank([m[1] for m in mine]))[0, 1])
+
+
+def test_features_are_ranked_by_counts(spark):
+    from tessera.operators import verify as V
+
+    rows = [(z, g, float((7 * n + g) % 6)) for z in (0, 1) for g in range(3) for n in range(15 + g)]
+    df = spark.createDataFrame(rows, "z int, g int, v double")
+    found = V.feature_rank(df, df, ["z"], "g", "v")
+    got = {(r["z"], r["g"], r["v"]): r["rank"] for r in found.collect()}
+    assert "ExistingRDD" in found._jdf.queryExecution().toString()  # counted values, not a window of all rows
+    for z, g, v in rows:
+        others = [w for y, h, w in rows if y == z and h != g]
+        assert got[z, g, v] == pytest.approx((sum(w < v for w in others) + sum(w == v for w in others) / 2) / len(others))
