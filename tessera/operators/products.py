@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.scalar import areal_reduction, clip, dress, duration_threshold, response_time, runoff_depth
-from tessera.operators.grids import shifted
+from tessera.operators.grids import nearest_points, shifted
 from tessera.operators.weighted import step_quantiles
+from tessera.sources.storage import durable
 
 
 def displaced(field: DataFrame, keys: Sequence[str], value: str, dj: int, di: int, ny: int, nx: int, stays: float = 0.4) -> DataFrame:
@@ -147,19 +148,14 @@ def zone_truth(observed: DataFrame, keys: Sequence[str], levels: Column) -> Data
 
 def first_below(places: DataFrame, chains: DataFrame, points: DataFrame, most_km: float = 12.0) -> DataFrame:
     """The control point of each place (id, unit, lat, lon): the first in a unit down its chain (unit, below, steps), of equals the
-    least id; else the nearest within most_km; else none. points: pt, unit, lat, lon. Points meet places in squares of
-    latitude and longitude, as many as the distance reaches."""
-    by_unit = points.select(F.col("pt"), F.col("unit").alias("below"))
-    on_chain = places.select("id", "unit").join(chains, "unit").join(by_unit, "below").groupBy("id").agg(F.min_by("pt", F.struct("steps", "pt")).alias("chained"))
-    size = most_km / 90.0  # in degrees; a degree has over 90 km at these latitudes, along the parallel over 60
-    square = lambda x, s: F.floor(x / s).cast("long")
-    wide = points.select("pt", F.col("lat").alias("plat"), F.col("lon").alias("plon"))
-    around = F.explode(F.sequence(F.lit(-1), F.lit(1)))
-    wide = wide.withColumn("a_", around).withColumn("b_", around).select("pt", "plat", "plon", (square(F.col("plat"), size) + F.col("a_")).alias("y_"), (square(F.col("plon"), 1.5 * size) + F.col("b_")).alias("x_"))
-    km = 6371.0 * F.sqrt(F.pow(F.radians(F.col("plon") - F.col("lon")) * F.cos(F.radians((F.col("lat") + F.col("plat")) / 2)), F.lit(2.0)) + F.pow(F.radians(F.col("plat") - F.col("lat")), F.lit(2.0)))
-    near = places.select("id", "lat", "lon", square(F.col("lat"), size).alias("y_"), square(F.col("lon"), 1.5 * size).alias("x_")).join(wide, ["y_", "x_"]).withColumn("km", km).where(F.col("km") <= most_km)
-    nearest = near.groupBy("id").agg(F.min_by("pt", F.struct("km", "pt")).alias("near"))
-    return places.select("id").join(on_chain, "id", "left").join(nearest, "id", "left").select("id", F.coalesce("chained", "near").alias("pt"), F.when(F.col("chained").isNotNull(), "chain").when(F.col("near").isNotNull(), "near").alias("by"))
+    least id; else the nearest within most_km; else none. points: pt, unit, lat, lon. A chain is settled once for each unit (there
+    are few units: they are broadcast), and only places without a point on theirs seek the nearest."""
+    by_unit = points.groupBy(F.col("unit").alias("below")).agg(F.min("pt").alias("pt"))
+    chained = chains.join(by_unit, "below").groupBy("unit").agg(F.min_by("pt", F.struct("steps", "pt")).alias("chained"))  # a row for each unit
+    known = durable(places.select("id", "unit", "lat", "lon").join(F.broadcast(chained), "unit", "left"))
+    others = points.select(F.col("pt").alias("oid"), F.col("lat").alias("olat"), F.col("lon").alias("olon"))
+    nearest = nearest_points(known.where("chained is null").select("id", "lat", "lon"), others, 1, most_km).select("id", F.col("oid").alias("near"))
+    return known.join(nearest.hint("merge"), "id", "left").select("id", F.coalesce("chained", "near").alias("pt"), F.when(F.col("chained").isNotNull(), "chain").when(F.col("near").isNotNull(), "near").alias("by"))
 
 
 def run_of_each_time(times: DataFrame, runs: DataFrame) -> DataFrame:

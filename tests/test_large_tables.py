@@ -117,3 +117,14 @@ def test_features_are_ranked_by_counts(spark):
     for z, g, v in rows:
         others = [w for y, h, w in rows if y == z and h != g]
         assert got[z, g, v] == pytest.approx((sum(w < v for w in others) + sum(w == v for w in others) / 2) / len(others))
+
+
+def test_chains_are_settled_by_unit_and_dense_points_in_rounds(spark):
+    from tessera.operators import products
+
+    places = spark.createDataFrame([(1, 5, 38.0, -1.0), (2, 7, 38.0, -1.0), (3, 7, 39.0, -1.0), (4, 6, 38.0, -1.0)], "id long, unit long, lat double, lon double")
+    chains = spark.createDataFrame([(5, 5, 0), (5, 2, 1), (7, 7, 0), (6, 6, 0), (6, 2, 1)], "unit long, below long, steps int")
+    points = spark.createDataFrame([(i, 5 if i < 100 else 2 if i < 200 else 90, 38.0 + i % 50 * 1e-4, -1.0) for i in range(2000)], "pt long, unit long, lat double, lon double")
+    found = products.first_below(places, chains, points)
+    assert "ExistingRDD" in found._jdf.queryExecution().toString()  # near points are sought in rounds
+    assert {r["id"]: (r["pt"], r["by"]) for r in found.collect()} == {1: (0, "chain"), 2: (0, "near"), 3: (None, None), 4: (100, "chain")}
