@@ -96,14 +96,25 @@ def fit_level_volume(df: DataFrame, keys: Sequence[str], level: str, volume: str
     points = points.withColumns({"flat_": F.count(flat).over(own), "from_": F.min(flat).over(own), "to_": F.max(flat).over(own)})
     stands = (F.col("flat_") >= 3) & (F.col("to_") - F.col("from_") > 0.25)
     points = points.withColumn("clipped", F.when(stands, F.col("top_"))).where(~stands | (F.col("h") <= F.col("from_") + 1e-9)).withColumns({"n": F.count("*").over(own), "span_": F.greatest(F.max("h").over(own) - F.min("h").over(own), F.lit(1.0))})
-    near = F.transform(F.sequence(F.lit(0), F.lit(29)), lambda k: 0.05 + k * (2.95 / 29))
-    far = F.transform(F.sequence(F.lit(0), F.lit(79)), lambda k: 3.2 * F.pow(40.0 * F.col("span_") / 3.2, k / 79.0))
-    tried = points.select(*keys, "h", "v", "n", "clipped", "low_", F.posexplode(F.concat(near, far)).alias("try_", "d_")).withColumns({"h0": F.col("low_") - F.col("d_")}).withColumns({"x_": F.log(F.col("h") - F.col("h0")), "y_": F.log("v")})
-    lines = tried.groupBy(*keys, "try_").agg(F.regr_slope("y_", "x_").alias("b"), F.regr_intercept("y_", "x_").alias("la_")).where("b between 1 and 6")
-    missed = tried.join(lines, [*keys, "try_"]).groupBy(*keys, "try_").agg(
-        F.sqrt(F.avg(F.pow(F.exp(F.col("la_") + F.col("b") * F.col("x_")) - F.col("v"), F.lit(2.0)))).alias("rms"), F.exp(F.first("la_")).alias("a"), F.first("b").alias("b"), F.first("h0").alias("h0"), F.first("n").alias("n"), F.first("clipped").alias("clipped")
-    )
-    return missed.groupBy(*keys).agg(F.min_by(F.struct("a", "b", "h0", "rms", "n", "clipped"), F.struct("rms", "try_")).alias("f")).select(*keys, "f.*")
+    numbers = "a double, b double, h0 double, rms double, n long, clipped double"
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        h, v, far = pdf["h"].to_numpy(float), pdf["v"].to_numpy(float), 3.2 * (40.0 * pdf["span_"].iloc[0] / 3.2) ** (np.arange(80) / 79.0)
+        h0 = pdf["low_"].iloc[0] - np.concatenate([0.05 + np.arange(30) * (2.95 / 29), far])
+        x, y = np.log(h - h0[:, None]), np.log(v)
+        dx, dy = x - x.mean(axis=1, keepdims=True), y - y.mean()
+        b = (dx * dy).sum(axis=1) / (dx * dx).sum(axis=1)
+        la = y.mean() - b * x.mean(axis=1)
+        with np.errstate(over="ignore"):
+            rms = np.sqrt(((np.exp(la[:, None] + b[:, None] * x) - v) ** 2).mean(axis=1))
+        fine = np.flatnonzero((b >= 1) & (b <= 6))
+        k = fine[np.argmin(rms[fine])] if len(fine) else None
+        out = pdf[[*keys, "n", "clipped"]].iloc[: len(fine[:1])]
+        return out.assign(a=np.exp(la[k]), b=b[k], h0=h0[k], rms=rms[k]) if k is not None else out.assign(a=0.0, b=0.0, h0=0.0, rms=0.0)
+
+    # a key is a row for each centimetre, whatever its readings; its trials are made and judged in one place
+    fits = points.select(*keys, "h", "v", "n", "clipped", "low_", "span_").groupBy(*keys).applyInPandas(fit, f"{_kinds(points, keys)}, {numbers}")
+    return fits.select(*keys, "a", "b", "h0", "rms", "n", "clipped")
 
 
 def discharge(rain: DataFrame, areas: DataFrame, keys: Sequence[str], cell: str, point: str, value: str, loss: Loss = Loss(), hours: float = 6.0) -> DataFrame:

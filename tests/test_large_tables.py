@@ -128,3 +128,13 @@ def test_chains_are_settled_by_unit_and_dense_points_in_rounds(spark):
     found = products.first_below(places, chains, points)
     assert "ExistingRDD" in found._jdf.queryExecution().toString()  # near points are sought in rounds
     assert {r["id"]: (r["pt"], r["by"]) for r in found.collect()} == {1: (0, "chain"), 2: (0, "near"), 3: (None, None), 4: (100, "chain")}
+
+
+def test_trials_of_a_level_volume_law_are_not_shuffled(spark):
+    from tessera.operators import hydrology as H
+
+    df = spark.range(40).selectExpr("1 as k", "10 + id / 10 as h", "2 * pow(1 + id / 10, 2D) as v")
+    found = H.fit_level_volume(df, ["k"], "h", "v")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan
+    assert found.first()["b"] == pytest.approx(2, abs=0.1)
