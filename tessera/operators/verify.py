@@ -192,16 +192,23 @@ def cost_loss_threshold(fitted: DataFrame, keys: Sequence[str], ratio: float, bi
     return fitted.where(F.col("frequency") >= ratio).groupBy(*keys).agg(F.round(F.greatest(F.min("bin") / bins, F.lit(0.005)), 3).alias("tau"))
 
 
-def feature_rank(df: DataFrame, others: DataFrame, keys: Sequence[str], group: str, value: str, least: int = 20) -> DataFrame:
-    """Mid-rank (0 to 1) of each row's value among those of other groups with the same keys; null if too few. Values are
-    counted and cumulated for the keys and for each group of them; what is a group's own is taken off."""
+def value_ranks(others: DataFrame, keys: Sequence[str], group: str, value: str, least: int = 20) -> DataFrame:
+    """keys, group, value, n (rows with them) and rank: the mid-rank (0 to 1) of each value of a group among the values of other groups
+    with the same keys; null if too few. Values are counted and cumulated for the keys and for each group of them; what is a
+    group's own is taken off. So rows are only counted, however many have one value."""
     every, own = counted_below(others, keys, value), counted_below(others, [*keys, group], value)
-    totals = lambda ks, name: others.groupBy(*ks).agg(F.count("*").alias(name))
-    both = attached(own.withColumnsRenamed({"n_": "own_n_", "below_": "own_below_"}), every, [*keys, value])
+    own = own.withColumnsRenamed({"n_": "own_n_", "below_": "own_below_"})
+    totals = lambda ks, name: own.groupBy(*ks).agg(F.sum("own_n_").alias(name))
+    both = attached(own, every, [*keys, value])
     both = attached(attached(both, totals(keys, "all_"), keys), totals([*keys, group], "own_all_"), [*keys, group])
     n = F.col("all_") - F.col("own_all_")
     rank = F.when(n >= least, (F.col("below_") - F.col("own_below_") + (F.col("n_") - F.col("own_n_")) / 2) / n)
-    ranked = attached(others, both.select(*keys, group, value, rank.alias("rank")), [*keys, group, value])
+    return both.select(*keys, group, value, F.col("own_n_").alias("n"), rank.alias("rank"))
+
+
+def feature_rank(df: DataFrame, others: DataFrame, keys: Sequence[str], group: str, value: str, least: int = 20) -> DataFrame:
+    """Each row of others, where its group is in df, with the rank of its value (see value_ranks)."""
+    ranked = attached(others, value_ranks(others, keys, group, value, least).drop("n"), [*keys, group, value])
     return ranked.join(df.select(*keys, group).distinct(), [*keys, group], "left_semi")
 
 

@@ -138,3 +138,8 @@ def test_trials_of_a_level_volume_law_are_not_shuffled(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "Generate" not in plan
     assert found.first()["b"] == pytest.approx(2, abs=0.1)
+
+
+def test_ranks_of_a_climate_are_those_of_counted_values(spark):
+    plan = all_queries()["climate_rank_feature"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "parquet" not in plan and "LogicalRDD" in plan  # values were counted; no row is joined to its rank
