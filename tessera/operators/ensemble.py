@@ -94,11 +94,13 @@ def overlay_zones(cells: DataFrame, zones: DataFrame, zone: str, keys: Sequence[
 
 
 def _shares(members: DataFrame, climate: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """keys, p, q and f, the share of members at or below q, of climate (keys, p, q). Members are counted by the first
-    quantile that they do not exceed, so no group is ever gathered."""
+    """keys, p, q and f, the share of members at or below q, of climate (keys, p, q). Equal members are counted, and these counts
+    summed by the first quantile that they do not exceed, so no group is ever gathered. What a task holds of the join are the
+    levels of its keys; members pass by unsorted."""
     levels = climate.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("p", "q"))).alias("c_"))  # as many as climate has levels
     place = F.size(F.filter("c_", lambda c: c["q"] < F.col(value)))
-    counted = members.where(F.col(value).isNotNull()).join(levels, list(keys)).groupBy(*keys, place.alias("k_")).agg(F.count("*").alias("n_"))
+    same = members.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("m_"))
+    counted = same.join(levels.hint("shuffle_hash"), list(keys)).groupBy(*keys, place.alias("k_")).agg(F.sum("m_").alias("n_"))
     hist = counted.groupBy(*keys).agg(F.collect_list(F.struct("k_", "n_")).alias("h_"), F.sum("n_").alias("all_"))
     rows = levels.join(hist, list(keys)).select(*keys, F.posexplode("c_").alias("at_", "c_"), "h_", "all_")
     below = F.aggregate(F.filter("h_", lambda h: h["k_"] <= F.col("at_")), F.lit(0).cast("long"), lambda n, h: n + h["n_"])

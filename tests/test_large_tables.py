@@ -143,3 +143,14 @@ def test_trials_of_a_level_volume_law_are_not_shuffled(spark):
 def test_ranks_of_a_climate_are_those_of_counted_values(spark):
     plan = all_queries()["climate_rank_feature"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "parquet" not in plan and "LogicalRDD" in plan  # values were counted; no row is joined to its rank
+
+
+def test_members_of_an_index_are_counted_and_not_sorted(spark):
+    from tessera.operators import ensemble as E
+
+    members = spark.range(4000).selectExpr("id % 2 as k", "double(id % 7) as v")
+    climate = spark.createDataFrame([(k, p, q) for k in (0, 1) for p, q in ((0.1, 0.0), (0.5, 3.0), (0.9, 6.0))], "k long, p double, q double")
+    found = E._shares(members, climate, ["k"], "v")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and plan.index("ShuffledHashJoin") < plan.rindex("partial_count(1)")
+    assert {(r["k"], r["p"]): round(r["f"], 2) for r in found.collect()} == {(k, p): f for k in (0, 1) for p, f in ((0.1, 0.14), (0.5, 0.57), (0.9, 1.0))}
