@@ -154,3 +154,17 @@ def test_members_of_an_index_are_counted_and_not_sorted(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "ShuffledHashJoin" in plan and plan.index("ShuffledHashJoin") < plan.rindex("partial_count(1)")
     assert {(r["k"], r["p"]): round(r["f"], 2) for r in found.collect()} == {(k, p): f for k in (0, 1) for p, f in ((0.1, 0.14), (0.5, 0.57), (0.9, 1.0))}
+
+
+def test_a_law_is_fitted_by_as_many_tasks_as_its_rows_ask_for(spark, monkeypatch):
+    from tessera.functions.special import lower_gamma
+    from tessera.operators import emos as E
+
+    seen, scores = [], E.trial_scores
+    monkeypatch.setattr(E, "trial_scores", lambda rows, trials: seen.append(rows.rdd.getNumPartitions()) or scores(rows, trials))
+    monkeypatch.setattr(E, "TASK_ROWS", 100)
+    df = spark.range(0, 1000, 1, 1).selectExpr("1 + id % 7 as m", "2 + id % 9 as q", "id % 8 as y")
+    assert E.fit(df, "m", "q", "y", rounds=2) is not None and seen == [10, 10, 10]
+    a, x = np.array([0.3, 2.0, 50.0, 4000.0, 4000.0, 2.0]), np.array([1e-9, 700.0, 51.0, 4000.0, 4100.0, 0.0])  # slow and fast ones
+    assert list(lower_gamma(a, x)) == [pytest.approx(float(lower_gamma(*v)), abs=1e-12) for v in zip(a, x)]
+    assert float(lower_gamma(1.0, 2.0)) == pytest.approx(1 - np.exp(-2))
