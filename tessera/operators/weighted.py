@@ -76,13 +76,38 @@ def binned_means(df: DataFrame, keys: Sequence[str], x: Column, value: str, leas
     return df.groupBy(*keys, x.alias("bin")).agg(F.count(value).alias("n"), F.avg(value).alias(out)).where(F.col("n") >= least)
 
 
+#: Different values of days that stand together, in their order.
+RUN = 1 << 15
+
+
 def circular_climatology(df: DataFrame, keys: Sequence[str], day: str, value: str, half: int, qs: dict[str, float], period: int = 366) -> DataFrame:
-    """Quantiles of all values within `half` days of each day of the year. Equal values of a day are counted first; then days
-    are expanded, so the join is free of range conditions."""
+    """Quantiles of all values within `half` days of each day of the year, linear between order statistics.
+
+    Equal values of a day are counted, laid out by value and cut into runs. A count of each day in each run tells in which run a
+    day of the year has its order statistics, and only the values of these runs are met with it: neither are all values
+    expanded to the days around, nor are those of a day of the year ever in one place."""
+    from tessera.operators.verify import attached
+
+    order = [*keys, value, day]
     counted = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(day), F.col(value)).agg(F.count("*").alias("n_"))
+    laid = durable(counted.repartitionByRange(*order).sortWithinPartitions(*order)).withColumn("run_", F.floor(F.monotonically_increasing_id() / RUN))
     around = F.explode(F.sequence(F.lit(-half), F.lit(half))).alias("d_")
-    wide = counted.select(*keys, F.col(day), F.col(value), "n_", around).withColumn("doy", (F.col(day) - 1 + F.col("d_") + period) % period + 1)
-    return wide.groupBy(*keys, "doy").agg(F.sum("n_").alias("n"), *[F.percentile(value, F.lit(q), F.col("n_")).alias(n) for n, q in qs.items()])
+    runs = durable(laid.groupBy(*keys, F.col(day), "run_").agg(F.sum("n_").alias("n_")))
+    wide = runs.select(*keys, F.col(day), "run_", "n_", around).withColumn("doy", (F.col(day) - 1 + F.col("d_") + period) % period + 1)
+    own = Window.partitionBy(*keys, "doy")
+    upto = wide.groupBy(*keys, "doy", "run_").agg(F.sum("n_").alias("r_")).withColumns({"n": F.sum("r_").over(own), "upto_": F.sum("r_").over(own.orderBy("run_"))})
+    at = {c: q * (F.col("n") - 1) for c, q in qs.items()}
+    ranks = F.array_distinct(F.array(*[f(x).cast("long") for x in at.values() for f in (F.floor, F.ceil)]))
+    before = F.col("upto_") - F.col("r_")
+    found = upto.withColumn("ranks_", F.filter(ranks, lambda r: (r >= before) & (r < F.col("upto_")))).where(F.size("ranks_") > 0)
+    found = durable(found.select(*keys, "doy", "run_", "n", "ranks_", before.alias("before_")))  # at most two for each quantile and day of the year
+    sought = attached(wide.drop("n_", "d_"), found, [*keys, "doy", "run_"])
+    met = attached(laid, sought, [*keys, day, "run_"])
+    last = F.col("before_") + F.sum("n_").over(Window.partitionBy(*keys, "doy", "run_").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    ends = met.withColumn("last_", last).select(*keys, "doy", "n", F.col(value).cast("double").alias("v_"), F.explode(F.filter("ranks_", lambda r: (r >= F.col("last_") - F.col("n_")) & (r < F.col("last_")))).alias("rank_"))
+    v = lambda x: F.max(F.when(F.col("rank_") == x.cast("long"), F.col("v_")))
+    line = lambda x: F.when(F.floor(x) == F.ceil(x), v(F.floor(x))).otherwise((F.ceil(x) - x) * v(F.floor(x)) + (x - F.floor(x)) * v(F.ceil(x)))
+    return ends.groupBy(*keys, "doy", "n").agg(*[line(x).alias(c) for c, x in at.items()])
 
 
 def vector_mean(df: DataFrame, keys: Sequence[str], u: str, v: str) -> DataFrame:

@@ -168,3 +168,20 @@ def test_a_law_is_fitted_by_as_many_tasks_as_its_rows_ask_for(spark, monkeypatch
     a, x = np.array([0.3, 2.0, 50.0, 4000.0, 4000.0, 2.0]), np.array([1e-9, 700.0, 51.0, 4000.0, 4100.0, 0.0])  # slow and fast ones
     assert list(lower_gamma(a, x)) == [pytest.approx(float(lower_gamma(*v)), abs=1e-12) for v in zip(a, x)]
     assert float(lower_gamma(1.0, 2.0)) == pytest.approx(1 - np.exp(-2))
+
+
+def test_a_climate_of_days_meets_only_runs_with_its_order_statistics(spark, monkeypatch):
+    from tessera.operators import weighted as W
+
+    rng = np.random.default_rng(5)
+    rows = [(k, None if d == 40 else d, float(v) if v > 2 else None) for k in (1, None) for d, v in zip(rng.integers(1, 41, 400).tolist(), rng.integers(0, 60, 400).tolist())]
+    df = spark.createDataFrame(rows, "k int, d int, v double").repartition(4)
+    monkeypatch.setattr(W, "RUN", 8)
+    found = W.circular_climatology(df, ["k"], "d", "v", 3, {"low": 0.0, "p50": 0.5, "p93": 0.93, "top": 1.0}, 39)
+    assert "percentile" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r["k"], r["doy"]): r for r in found.collect()}
+    assert len(got) == 2 * 40
+    for (k, doy), r in got.items():
+        own = [v for j, d, v in rows for e in range(-3, 4) if v is not None and j == k and (None if d is None else (d - 1 + e + 39) % 39 + 1) == doy]
+        assert r["n"] == len(own) and [r[c] for c in ("low", "p50", "p93", "top")] == pytest.approx(list(np.quantile(own, [0, 0.5, 0.93, 1])))
+    assert W.circular_climatology(df.limit(0), [], "d", "v", 3, {"p50": 0.5}).collect() == []
