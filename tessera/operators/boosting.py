@@ -1,10 +1,11 @@
 """Boosted trees on histograms, with monotone features, and their probabilities out of fold.
 
-A row's features are cut into bins once, at exact quantiles of all rows. A round adds one tree to each model, level by
-level: every task sums the gradients of its rows by (model, node, feature, bin), the sums of all tasks meet in one
-aggregate, and only that histogram comes to the driver, whose size has nothing to do with the rows. There each node takes
-the split that lowers the loss most. All folds' models grow side by side in the same passes: a row takes part in all
-models but that of its own fold.
+A row's features are cut into bins once, at exact quantiles of all rows, and rows of the same bins, fold and outcome are
+counted: no tree tells them apart. A round adds one tree to each model, level by level: every task sums the gradients of
+its counted rows by (model, node, feature, bin), the sums of all tasks meet in one aggregate, and only that histogram comes
+to the driver, whose size has nothing to do with the rows. There each node takes the split that lowers the loss most. All
+folds' models grow side by side in the same passes: a row takes part in all models but that of its own fold. The rows
+themselves are read again once, at the end, for the probability by their own fold's model.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from tessera.sources.storage import durable
 @dataclass(frozen=True)
 class Boosting:
     """rate: share of a leaf's value that counts. least: rows of a leaf. l2: added to the curvature. bins: of a feature. renew:
-    rounds after which the rows' sums over trees are stored, so that no pass adds up more trees than that."""
+    rounds after which the rows' sums over trees are stored, so that no pass adds up more trees than that. task: counted rows of a task."""
 
     rounds: int = 120
     depth: int = 2
@@ -34,6 +35,7 @@ class Boosting:
     l2: float = 2.0
     bins: int = 64
     renew: int = 10
+    task: int = 10_000
 
 
 @dataclass
@@ -144,15 +146,19 @@ def cross_validated(df: DataFrame, features: Sequence[str], event: str, fold: st
         models.append(Model(math.log(own / (rest - own)) if 0 < own < rest else None, float(rest > 0 and own == rest), []))
     active = [m for m, x in enumerate(models) if x.start is not None]
     wide, size = len(features), how.bins
-    base = durable(binned(rows, features, event, fold, names, edges, keep).withColumn("sum__", F.lit(None).cast("binary"))) if names else None
-    if base is None:
+    if not names:
         return rows.select(*keep, event, fold, F.lit(0.0).alias("p"))
+    base = durable(binned(rows, features, event, fold, names, edges, ()).groupBy("y__", "fold__", "x__").agg(F.count("*").alias("n__")))
+    base = durable(base.repartition(max(1, -(-base.count() // how.task)))).withColumn("sum__", F.lit(None).cast("binary"))  # few bytes, but much work
 
-    def unpacked(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        y, own, x, sums = (b.column(len(keep) + k) for k in range(4))
-        x = np.frombuffer(b"".join(x.to_pylist()), np.uint8).reshape(-1, wide).astype(np.int64)
+    def bins(x: pa.Array) -> np.ndarray:
+        return np.frombuffer(b"".join(x.to_pylist()), np.uint8).reshape(-1, wide).astype(np.int64)
+
+    def unpacked(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        y, own, x, n, sums = b.columns
+        x = bins(x)
         sums = np.tile([m.start or 0.0 for m in models], (len(x), 1)) if sums.null_count else np.frombuffer(b"".join(sums.to_pylist())).reshape(-1, len(models)).copy()
-        return y.to_numpy().astype(float), own.to_numpy(), x, sums
+        return y.to_numpy().astype(float), own.to_numpy(), x, n.to_numpy().astype(float), sums
 
     def added(x: np.ndarray, sums: np.ndarray, since: int) -> np.ndarray:
         for m in active:
@@ -170,7 +176,7 @@ def cross_validated(df: DataFrame, features: Sequence[str], event: str, fold: st
             for b in batches:
                 if not len(b):
                     continue
-                y, own, x, sums = unpacked(b)
+                y, own, x, n, sums = unpacked(b)
                 sums = added(x, sums, since)
                 for m, tree in growing.items():
                     use = own != m
@@ -178,7 +184,7 @@ def cross_validated(df: DataFrame, features: Sequence[str], event: str, fold: st
                     at = tree.nodes(x[use], depth) - (nodes - 1)
                     for f in range(wide):
                         key = ((m * nodes + at) * wide + f) * size + x[use, f]
-                        for k, w in enumerate((p - y[use], p * (1 - p), None)):
+                        for k, w in enumerate((n[use] * (p - y[use]), n[use] * p * (1 - p), n[use])):
                             out[k] += np.bincount(key, w, math.prod(shape))
             some = np.flatnonzero(out[2])
             yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(o[some]) for o in out)], ["key", "g", "h", "n"])
@@ -211,7 +217,7 @@ def cross_validated(df: DataFrame, features: Sequence[str], event: str, fold: st
             def renewed(batches: Iterator[pa.RecordBatch], since: int = since) -> Iterator[pa.RecordBatch]:
                 for b in batches:
                     if len(b):
-                        _, _, x, sums = unpacked(b)
+                        _, _, x, _, sums = unpacked(b)
                         sums = added(x, sums, since)
                         yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([r.tobytes() for r in sums], pa.binary())], b.schema.names)
 
@@ -220,14 +226,18 @@ def cross_validated(df: DataFrame, features: Sequence[str], event: str, fold: st
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if len(b):
-                _, own, x, sums = unpacked(b)
-                p = 1 / (1 + np.exp(-added(x, sums, since)))
-                for m, model in enumerate(models):
-                    if model.start is None:
-                        p[:, m] = model.always
-                yield pa.RecordBatch.from_arrays([*b.columns[: len(keep) + 2], pa.array(p[np.arange(len(own)), own])], [*b.schema.names[: len(keep) + 2], "p"])
-
-    kinds = dict(base.dtypes)
-    out = base.mapInArrow(judged, ", ".join(f"`{c}` {kinds[c]}" for c in (*keep, "y__", "fold__")) + ", p double")
+                own, x = b.column(len(keep) + 1).to_numpy(), bins(b.column(len(keep) + 2))
+                p = np.empty(len(own))
+                for m in np.unique(own):
+                    use, model = own == m, models[m]
+                    total = np.full(int(use.sum()), model.start or 0.0)
+                    for t in model.trees:
+                        total += how.rate * t.values(x[use])
+                    p[use] = model.always if model.start is None else 1 / (1 + np.exp(-total))
+                yield pa.RecordBatch.from_arrays([*b.columns[: len(keep) + 2], pa.array(p)], [*b.schema.names[: len(keep) + 2], "p"])
+
+    out = binned(rows, features, event, fold, names, edges, keep)
+    kinds = dict(out.dtypes)
+    out = out.mapInArrow(judged, ", ".join(f"`{c}` {kinds[c]}" for c in (*keep, "y__", "fold__")) + ", p double")
     named = F.element_at(F.array(*[F.lit(x) for x in names]), F.col("fold__") + 1).cast(dict(df.dtypes)[fold])
     return out.select(*keep, F.col("y__").cast(dict(df.dtypes)[event]).alias(event), named.alias(fold), "p")

@@ -72,6 +72,19 @@ def test_probabilities_equal_plain_trees(spark, table, signs):
     assert len(got) == len(y)
 
 
+def test_equal_rows_are_counted_and_dealt_by_their_number(spark, monkeypatch):
+    df = spark.range(0, 4000, 1, 3).selectExpr("id", "double(id % 5) as v", "cast(id % 7 < id % 5 as int) as y", "id % 2 as f")
+    kept = []
+    monkeypatch.setattr(B, "durable", lambda d, f=B.durable: kept.append(f(d)) or kept[-1])
+    how = B.Boosting(rounds=3, rate=0.3, bins=8, renew=1, task=6)
+    got = {r.id: r.p for r in B.cross_validated(df, ["v"], "y", "f", [0], ["id"], how).collect()}
+    assert len(got) == 4000 and max(k.count() for k in kept) == 18  # in 2 folds: 4 values of 2 outcomes, and one that never has the event
+    assert kept[-1].rdd.getNumPartitions() == 3
+    monkeypatch.undo()
+    few = {r.v: r.p for r in B.cross_validated(df, ["v"], "y", "f", [0], ["v"], B.Boosting(rounds=3, rate=0.3, bins=8)).where("f = 0").collect()}
+    assert len(few) == 5 and all(got[i] == pytest.approx(few[float(i % 5)]) for i in range(0, 4000, 2))
+
+
 def test_monotone_features_never_lower_the_probability(spark):
     rng = np.random.default_rng(1)
     rows = [(k, float(v), int(rng.random() < 0.2 + 0.1 * v + 0.15 * math.sin(3 * v)), k % 2) for k, v in enumerate(rng.uniform(0, 6, 400))]
