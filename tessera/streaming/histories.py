@@ -6,8 +6,7 @@ from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 from typing import Any
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -24,51 +23,43 @@ def rate(times: Sequence[int], values: Sequence[float], back: int, least: int) -
 
 
 class History(StatefulProcessor):
-    """State: a map from the hour to its newest reading (of readings at one moment the greatest), and the newest moment. So the result
-    does not depend on how readings fall into batches, nor on repeated ones."""
+    """State: the newest moment, and for each hour that is kept its newest reading (of readings at one moment the greatest). So the
+    result does not depend on how readings fall into batches, nor on repeated ones. All of it is one value, of at most `keep` hours,
+    as each question to the state store is a message of its own, which costs more than what it brings. Rows come and go as rows: most
+    keys have few in a batch, for which a table each would be dear."""
 
     def __init__(self, keys: Sequence[str], keep: int, series: int, back: int) -> None:
         self.keys, self.keep, self.series, self.back = list(keys), keep, series, back
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.hours = handle.getMapState("hours", "hour long", "t long, v double")
-        self.newest = handle.getValueState("newest", "t long")
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        newest = self.newest.get()[0] if self.newest.exists() else None
-        got: dict[int, tuple[int, float]] = {}
-        for pdf in rows:
-            for t, v in zip(pdf["t__"].tolist(), pdf["v__"].tolist(), strict=True):
-                hour = t // HOUR
-                got[hour] = max(got.get(hour, (t, v)), (t, v))
+        self.held = handle.getValueState("held", "newest long, t array<long>, v array<double>")
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:  # noqa: N802, N803
+        state = self.held.get()
+        newest, got = (state[0], {t // HOUR: (t, v) for t, v in zip(state[1], state[2], strict=True)}) if state else (None, {})
+        for r in rows:
+            t, v = r["t__"], r["v__"]
+            got[t // HOUR] = max(got.get(t // HOUR, (t, v)), (t, v))
         top = max([t for t, _ in got.values()] + ([newest] if newest is not None else []))
-        for hour, (t, v) in got.items():
-            if hour > top // HOUR - self.keep:
-                old = tuple(self.hours.getValue((hour,))) if self.hours.containsKey((hour,)) else (t, v)
-                self.hours.updateValue((hour,), max(old, (t, v)))
+        held = [got[hour] for hour in sorted(got) if hour > top // HOUR - self.keep]
         if newest is None or top // HOUR > newest // HOUR:
-            for hour in [h[0] for h in self.hours.keys()]:
-                if hour <= top // HOUR - self.keep:
-                    self.hours.removeKey((hour,))
-            for at in list(self.handle.listTimers()):
+            for at in list(self.handle.listTimers()) if state else ():
                 self.handle.deleteTimer(at)
             self.handle.registerTimer((top // HOUR + self.keep) * HOUR // 1000)  # a silent key is forgotten
-        self.newest.update((top,))
-        yield self.row(key, False)
-
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        out = self.row(key, True)
-        self.hours.clear()
-        self.newest.clear()
-        yield out
-
-    def row(self, key: Any, gone: bool) -> pd.DataFrame:
-        held = sorted((h[0], *x) for h, x in self.hours.iterator())
-        recent = [(t, v) for hour, t, v in held if hour > held[-1][0] - self.series]
-        change = rate([t for t, _ in recent], [v for _, v in recent], self.back * HOUR, HOUR)
-        one = {"at": held[-1][1], "n": len(held), "last": held[-1][2], "rate": change, "series": [{"t": t, "v": v} for t, v in recent], "gone": gone}
-        return pd.DataFrame([{**dict(zip(self.keys, key, strict=True)), **one}]).astype({"rate": "float64"})
+        self.held.update((top, [t for t, _ in held], [v for _, v in held]))
+        yield self.row(key, held, False)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:  # noqa: N802, N803
+        _, times, values = self.held.get()
+        self.held.clear()
+        yield self.row(key, list(zip(times, values, strict=True)), True)
+
+    def row(self, key: Any, held: list[tuple[int, float]], gone: bool) -> Row:
+        times, values = zip(*(x for x in held if x[0] // HOUR > held[-1][0] // HOUR - self.series), strict=True)
+        change = rate(times, values, self.back * HOUR, HOUR)
+        series = [Row(t=t, v=v) for t, v in zip(times, values, strict=True)]
+        return Row(**dict(zip(self.keys, key, strict=True)), at=held[-1][0], n=len(held), last=held[-1][1], rate=change, series=series, gone=gone)
 
     def close(self) -> None:
         pass
@@ -82,7 +73,7 @@ def histories(df: DataFrame, keys: Sequence[str], ts: str, value: str, keep: int
     kinds = dict(df.dtypes)
     rows = df.where(F.col(ts).isNotNull() & F.col(value).isNotNull()).select(*keys, ts, F.unix_micros(ts).alias("t__"), F.col(value).cast("double").alias("v__"))
     schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", at long, n int, last double, rate double, series array<struct<t:long,v:double>>, gone boolean"
-    return rows.groupBy(*keys).transformWithStateInPandas(History(keys, keep, series, back), schema, "Update", "EventTime")
+    return rows.groupBy(*keys).transformWithState(History(keys, keep, series, back), schema, "Update", "EventTime")
 
 
 @contextmanager

@@ -56,3 +56,39 @@ def test_a_silent_key_is_forgotten(spark, tmp_path):
     stream = S.event_time(S.read_files(spark, str(tmp_path / "in"), 1), "ts", "1 hour")
     rows = sorted((r.k, r.v, r.n, r["last"], r.gone) for r in run(spark, H.histories(stream, ["k"], "ts", "v"), tmp_path).collect())
     assert [(k, n, last, gone) for k, _, n, last, gone in rows if k == 1] == [(1, 1, 5.0, False), (1, 1, 5.0, True), (1, 1, 7.0, False)]
+
+
+def test_a_batch_of_a_key_is_a_few_messages_to_its_state():
+    class Value:
+        kept, asked = None, 0
+
+        def get(self):
+            self.asked += 1
+            return self.kept
+
+        def update(self, value):
+            self.asked, self.kept = self.asked + 1, value
+
+    class Handle:
+        value, timers = Value(), []
+
+        def getValueState(self, name, schema):  # noqa: N802
+            return self.value
+
+        def listTimers(self):  # noqa: N802
+            return iter(self.timers)
+
+        def registerTimer(self, at):  # noqa: N802
+            self.timers.append(at)
+
+        def deleteTimer(self, at):  # noqa: N802
+            self.timers.remove(at)
+
+    one = H.History(["k"], 48, 12, 3)
+    one.init(handle := Handle())
+    readings = [(k * HOUR // 2, float(k % 7)) for k in range(300)]
+    for part in (readings[200:], readings[:200]):
+        (row,) = one.handleInputRows((5,), iter([{"t__": t * 1_000_000, "v__": v} for t, v in part]), None)
+    assert handle.value.asked == 4 and len(handle.timers) == 1
+    n, last, series, change = plain(readings)
+    assert (row.k, row.n, row["last"], [tuple(x) for x in row.series], row.rate, row.gone) == (5, n, last, series, change, False)
