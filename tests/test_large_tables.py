@@ -185,3 +185,18 @@ def test_a_climate_of_days_meets_only_runs_with_its_order_statistics(spark, monk
         own = [v for j, d, v in rows for e in range(-3, 4) if v is not None and j == k and (None if d is None else (d - 1 + e + 39) % 39 + 1) == doy]
         assert r["n"] == len(own) and [r[c] for c in ("low", "p50", "p93", "top")] == pytest.approx(list(np.quantile(own, [0, 0.5, 0.93, 1])))
     assert W.circular_climatology(df.limit(0), [], "d", "v", 3, {"p50": 0.5}).collect() == []
+
+
+def test_equal_heights_of_a_bed_rise_as_in_its_sql(spark, tmp_path):
+    import duckdb
+
+    from tessera.plans import all_sql
+
+    sizes = [int(v) for seed in (47, 851, 1629, 2185) for v in np.random.default_rng(seed).integers(1, 51, 200)]  # as many rises as falls, but for the last bits
+    part = spark.createDataFrame(list(enumerate(sizes)), "p_partkey long, p_size int")
+    part.repartition(3).write.parquet(f"{tmp_path}/part.parquet")
+    con = duckdb.connect(config={"threads": 1})
+    con.execute(f"CREATE VIEW part AS SELECT * FROM read_parquet('{tmp_path}/part.parquet/*.parquet') ORDER BY p_partkey")
+    want = con.sql(all_sql()["river_beds"])
+    got = all_queries()["river_beds"](spark, str(tmp_path)).select(*want.columns).collect()
+    assert sorted(map(tuple, got)) == sorted(want.fetchall())
