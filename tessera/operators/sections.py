@@ -37,16 +37,17 @@ class Trace:
 def sampled(raster: DataFrame, at: DataFrame, keys: Sequence[str], within: Sequence[str]) -> DataFrame:
     """`at` (within, keys, x, y) with z, linear between the four cells around; null where one of them is unknown. A place meets
     its cells by equality, and their shares are added in the order of rows and columns, so equal ground gives equal z whichever
-    cell comes first. raster: within, j, i, z, each cell once."""
+    cell comes first. What is exploded is far more than its files let expect, so no side is broadcast. raster: within, j, i, z,
+    each cell once."""
     c = F.col
     corner = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (0, 1) for b in (0, 1)]))
     p = at.withColumn("corner_", corner).withColumns({"j": (F.floor("y") + c("corner_.a")).cast("int"), "i": (F.floor("x") + c("corner_.b")).cast("int")})
     p = p.select(*within, *keys, "j", "i", (2 * c("corner_.a") + c("corner_.b")).alias("q_"), (1 - F.abs(c("y") - c("j"))).alias("wy_"), (1 - F.abs(c("x") - c("i"))).alias("wx_"))
-    met = p.join(raster.where("z is not null").select(*within, "j", "i", "z"), [*within, "j", "i"])
+    met = p.join(raster.where("z is not null").select(*within, "j", "i", "z").hint("merge"), [*within, "j", "i"])
     share = c("z") * c("wy_") * c("wx_")
     z = met.groupBy(*within, *keys).agg(*[F.sum(F.when(c("q_") == q, share)).alias(f"z{q}_") for q in range(4)], F.count("*").alias("n_"))
     z = z.where("n_ = 4").select(*within, *keys, (c("z0_") + c("z1_") + c("z2_") + c("z3_")).alias("z"))
-    return at.join(z, [*within, *keys], "left")
+    return at.join(z.hint("merge"), [*within, *keys], "left")
 
 
 def _frame(line: Sequence[str], size: int) -> tuple[Column, Column, Window, Window]:
@@ -120,17 +121,17 @@ def thalweg(stations: DataFrame, raster: DataFrame, line: Sequence[str], within:
     c = F.col
     s = directed(stations.select(*line, "n", "chain", "x", "y"), line, trace.along)
     right = lambda o: {"x": c("x0_") + o * c("ty"), "y": c("y0_") - o * c("tx")}
-    placed = s.withColumnsRenamed({"x": "x0_", "y": "y0_"})
+    placed = s.withColumnsRenamed({"x": "x0_", "y": "y0_"}).repartition(*line, "n")  # lines may be a few tasks, their stations are not
     wide = placed.withColumn("o_", F.explode(F.sequence(F.lit(-trace.reach), F.lit(trace.reach)))).withColumns(right(c("o_")))
     heights = sampled(raster, wide.select(*line, "n", "o_", "x", "y"), [*[k for k in line if k not in within], "n", "o_"], within)
     profile = F.transform(F.array_sort(F.collect_list(F.struct("o_", "z"))), lambda p: p["z"])
     offsets = heights.groupBy(*line, "n").agg(profile.alias("p_")).select(*line, "n", _offset(c("p_"), trace).cast("double").alias("at_"))
     smooth = offsets.withColumn("at_", running_median("at_", line, trace.median)).withColumn("at_", running_mean("at_", line, trace.mean))
-    bed = durable(placed.join(smooth, [*line, "n"]).withColumns(right(c("at_"))))
+    bed = durable(placed.join(smooth.hint("merge"), [*line, "n"]).withColumns(right(c("at_"))))
     beside = bed.withColumn("o_", F.explode(F.sequence(F.lit(-trace.near), F.lit(trace.near)))).withColumns({"x": c("x") + c("o_") * c("ty"), "y": c("y") - c("o_") * c("tx")})
     lowest = sampled(raster, beside.select(*line, "n", "o_", "x", "y"), [*[k for k in line if k not in within], "n", "o_"], within).groupBy(*line, "n").agg(F.min("z").alias("z"))
-    out = durable(bed.join(lowest, [*line, "n"]))
-    out = out.join(_climbs(out, line, trace.apart, trace.known), list(line))
+    out = durable(bed.join(lowest.hint("merge"), [*line, "n"]))
+    out = out.join(_climbs(out, line, trace.apart, trace.known).hint("merge"), list(line))
     turned = lambda v: F.when(c("climbs"), -c(v)).otherwise(c(v)).alias(v)
     return out.select(*line, "n", turned("chain"), "x", "y", "z", turned("tx"), turned("ty"), c("climbs").alias("flipped"))
 

@@ -200,3 +200,19 @@ def test_equal_heights_of_a_bed_rise_as_in_its_sql(spark, tmp_path):
     want = con.sql(all_sql()["river_beds"])
     got = all_queries()["river_beds"](spark, str(tmp_path)).select(*want.columns).collect()
     assert sorted(map(tuple, got)) == sorted(want.fetchall())
+
+
+def test_no_side_of_a_bed_is_broadcast(spark, monkeypatch):
+    plans, durable = [], S.durable
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return durable(df)
+
+    monkeypatch.setattr(S, "durable", seen)
+    raster = spark.range(60).selectExpr("0 as plane", "cast(id / 10 as int) as j", "cast(id % 10 as int) as i", "double(id % 7) as z")
+    stations = spark.range(8).selectExpr("0 as plane", "int(id) as n", "double(id) as chain", "4.5D as x", "id / 2D as y")
+    found = S.thalweg(stations, raster, ["plane"], ["plane"], S.Trace(reach=2, along=3, across=3, median=3, mean=3, near=1, known=0))
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) == 3 and not any("Broadcast" in p for p in plans) and all("SortMergeJoin" in p for p in plans)
+    assert found.count() == 8
